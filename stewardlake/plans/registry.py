@@ -51,7 +51,8 @@ def register(key: str, sql: str | None = None):
 
 
 def queries() -> dict[str, Builder]:
-    from . import queries_access, queries_catalog, queries_changes, queries_governance, queries_text  # noqa: F401
+    from . import (  # noqa: F401
+        queries_access, queries_catalog, queries_changes, queries_governance, queries_metadata, queries_text)
 
     return dict(_QUERIES)
 
