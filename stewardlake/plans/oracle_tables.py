@@ -65,6 +65,10 @@ SELECT * FROM (VALUES ('AUTOMOBILE','admin'),('BUILDING','steward'),('MACHINERY'
     "access_log": """
 SELECT event_id AS log_id, CASE event_type WHEN 'view' THEN 'GET' WHEN 'click' THEN 'POST' WHEN 'purchase' THEN 'PUT' WHEN 'error' THEN 'DELETE' ELSE 'GET' END AS method,
  CASE user_id % 5 WHEN 0 THEN '/api/portal/products/DP-001' WHEN 1 THEN '/api/portal/products' WHEN 2 THEN '/api/portal/requests/REQ-001/approve' WHEN 3 THEN '/api/health' ELSE '/api/portal/something-new' END AS path, user_id FROM events""",
+    "customer_profile": """
+SELECT c_custkey AS customer_id, lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') AS ssn_last4,
+ lower(replace(c_name,'#','.')) || '@example.org' AS email_address, c_mktsegment AS budget_code, c_acctbal AS amount,
+ CAST(DATE '1970-01-01' + CAST(c_custkey % 10000 AS INTEGER) AS DATE) AS birth_date, CAST(c_nationkey AS VARCHAR) AS region FROM customer""",
 }
 
 # CTEs that read other CTEs.

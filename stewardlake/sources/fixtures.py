@@ -228,6 +228,21 @@ class Tables:
             F.when(F.col("product_id") % 4 == 0, "pii").otherwise("Confidential").alias("tag_value"),
         )
 
+    @cached_property
+    def customer_profile(self) -> DataFrame:
+        """A customer table with the column names the classifier knows, for
+        masking jobs (every value is derived from ``customer``)."""
+        k = F.col("c_custkey")
+        return self.raw("customer").select(
+            k.alias("customer_id"),
+            F.lpad((k % 10000).cast("string"), 4, "0").alias("ssn_last4"),
+            F.concat(F.lower(F.replace(F.col("c_name"), F.lit("#"), F.lit("."))), F.lit("@example.org")).alias("email_address"),
+            F.col("c_mktsegment").alias("budget_code"),
+            F.col("c_acctbal").alias("amount"),
+            F.date_add(F.lit("1970-01-01").cast("date"), (k % 10000).cast("int")).alias("birth_date"),
+            F.col("c_nationkey").cast("string").alias("region"),
+        )
+
     # ---- text ------------------------------------------------------------
     @cached_property
     def conversations(self) -> DataFrame:
