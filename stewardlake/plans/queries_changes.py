@@ -1 +1,335 @@
-"""Registered queries (changes)."""
+"""Registered table-change queries.
+
+Each change batch is derived from the fixture tables (documented per key), so
+the work grows with the data. A mutation's result is the changed table (or,
+for multi-table deletes, the new row counts of each table).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import access as A
+from ..operators import changes as CH
+from ..operators.governance import user_group_role
+from ..sources import catalog_io as IO
+from ..sources.fixtures import tables
+from .params import REQUESTS_AS_OF_TEXT, STEWARD_EMAIL, requests_as_of
+from .queries_governance import _grant_sql_sql
+from .queries_metadata import word_caps_sql
+from .registry import register
+
+AS_OF = f"TIMESTAMP '{REQUESTS_AS_OF_TEXT}'"
+MAX_REF = "(SELECT COALESCE(max(TRY_CAST(substring(product_ref, 4) AS INTEGER)), 0) FROM data_products)"
+
+
+# M1 batch: each user turn of a conversation submits a product (whole text as description).
+@register("register_products", f"""
+WITH sub AS (SELECT conv_id * 1000 + turn AS submission_id, 'Request ' || CAST(conv_id AS VARCHAR) || '.' || CAST(turn AS VARCHAR) AS name,
+  text AS description, 'user' || CAST(conv_id AS VARCHAR) || '@example.org' AS submitted_by FROM conversations WHERE role = 'user'),
+ok AS (SELECT * FROM sub WHERE NULLIF(trim(name), '') IS NOT NULL AND NULLIF(trim(description), '') IS NOT NULL)
+SELECT name AS display_name, description, 'Dashboard' AS type, 'Other' AS source_system, 'user' AS tags, 'Daily' AS refresh_frequency,
+ submitted_by AS owner_email, 'Internal' AS classification, '' AS uc_full_name, 'Other' AS domain, FALSE AS is_active, 'Pending' AS status,
+ printf('DP-%03d', {MAX_REF} + row_number() OVER (ORDER BY submission_id)) AS product_ref
+FROM ok""")
+def q_register_products(spark, d):
+    t = tables(spark, d)
+    sub = t.conversations.filter(F.col("role") == "user").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("submission_id"),
+        F.concat(F.lit("Request "), F.col("conv_id").cast("string"), F.lit("."), F.col("turn").cast("string")).alias("name"),
+        F.col("text").alias("description"), F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("source"),
+        F.lit("user").alias("tags"), F.lit(None).cast("string").alias("refresh_frequency"),
+        F.lit(None).cast("string").alias("owner_email"),
+        F.concat(F.lit("user"), F.col("conv_id").cast("string"), F.lit("@example.org")).alias("submitted_by"),
+        F.lit(None).cast("string").alias("domain"))
+    return CH.register_products(t.data_products, sub, requests_as_of())["new_products"]
+
+
+# M2 batch: every pending product; publish when its id is a multiple of 40, else reject.
+@register("publish_products", f"""
+SELECT product_id, product_ref, CASE WHEN status = 'Pending' AND product_id % 40 = 0 THEN TRUE ELSE is_active END AS is_active,
+ CASE WHEN status = 'Pending' THEN CASE WHEN product_id % 40 = 0 THEN 'Published' ELSE 'Rejected' END ELSE status END AS status,
+ CASE WHEN status = 'Pending' THEN {AS_OF} END AS updated_at FROM data_products""")
+def q_publish_products(spark, d):
+    t = tables(spark, d)
+    dec = t.data_products.filter(F.col("status") == "Pending").select(
+        "product_ref", F.when(F.col("product_id") % 40 == 0, "publish").otherwise("reject").alias("action"),
+        requests_as_of().alias("decided_at"))
+    out = CH.review_products(t.data_products, dec, requests_as_of())
+    return out.select("product_id", "product_ref", "is_active", "status", "updated_at")
+
+
+# M3 batch: ids divisible by 7 lower-case their domain; by 14 also set source_type; by 21 set description to NULL.
+@register("patch_products", """
+SELECT product_id, product_ref, display_name, CASE WHEN product_id % 21 = 0 THEN NULL ELSE description END AS description, type,
+ CASE WHEN product_id % 7 = 0 THEN lower(domain) ELSE domain END AS domain, refresh_frequency,
+ CASE WHEN product_id % 14 = 0 THEN 'Snowflake' ELSE source_system END AS source_system
+FROM data_products""")
+def q_patch_products(spark, d):
+    t = tables(spark, d)
+    p = t.data_products
+    patches = p.filter(F.col("product_id") % 7 == 0).select(
+        "product_ref",
+        F.lit(True).alias("has_domain"), F.lower("domain").alias("domain"),
+        (F.col("product_id") % 14 == 0).alias("has_source_type"), F.lit("Snowflake").alias("source_type"),
+        (F.col("product_id") % 21 == 0).alias("has_description"), F.lit(None).cast("string").alias("description"))
+    out = CH.patch_products(p, patches)
+    return out.select("product_id", "product_ref", "display_name", "description", "type", "domain", "refresh_frequency",
+                      "source_system")
+
+
+# M4 batch: every Pending product is deleted.
+@register("delete_products", """
+WITH gone AS (SELECT product_id FROM data_products WHERE status = 'Pending')
+SELECT 'data_products' AS table_name, count(*) AS n_rows FROM data_products WHERE product_id NOT IN (SELECT product_id FROM gone)
+UNION ALL SELECT 'access_requests', count(*) FROM access_requests WHERE product_id NOT IN (SELECT product_id FROM gone)
+UNION ALL SELECT 'audit_log', count(*) FROM audit_log
+ WHERE TRY_CAST(json_extract_string(metadata, '$.k') AS BIGINT) IS NULL
+    OR TRY_CAST(json_extract_string(metadata, '$.k') AS BIGINT) NOT IN (SELECT product_id FROM gone)
+UNION ALL SELECT 'user_library', count(*) FROM user_library WHERE product_id NOT IN (SELECT product_id FROM gone)""")
+def q_delete_products(spark, d):
+    t = tables(spark, d)
+    refs = t.data_products.filter(F.col("status") == "Pending").select("product_ref")
+    out = CH.delete_products(refs, t.data_products, t.access_requests, t.audit_log, t.user_library)
+    return IO.table_row_counts(out)
+
+
+# M5 batch: each 'view' event submits a request for product k by that customer; each 'signup'
+# event submits one from a new e-mail (the user is created first).
+SUBMIT_SQL = f"""
+sub AS (
+ SELECT event_id AS submission_id, 'DP-' || lpad(regexp_extract(props, '[0-9]+', 0), 3, '0') AS product_ref,
+  CASE WHEN event_type = 'view' THEN 'customer.' || lpad(CAST(user_id AS VARCHAR), 9, '0') || '@example.org'
+       ELSE 'signup' || CAST(user_id AS VARCHAR) || '@example.org' END AS requester_email, event_type AS reason
+ FROM events WHERE event_type IN ('view', 'signup')),
+known AS (SELECT s.*, p.product_id FROM sub s JOIN data_products p ON p.product_ref = s.product_ref),
+newu AS (
+ SELECT k, (SELECT max(user_id) FROM users) + row_number() OVER (ORDER BY k) AS user_id
+ FROM (SELECT DISTINCT lower(trim(requester_email)) AS k FROM known) WHERE k NOT IN (SELECT lower(trim(email)) FROM users)),
+allu AS (SELECT lower(trim(email)) AS k, user_id, department FROM users UNION ALL SELECT k, user_id, 'General' FROM newu)"""
+
+
+@register("submit_requests", f"""WITH {SUBMIT_SQL}
+SELECT md5(requester_email || '|' || product_ref || '|' || CAST(submission_id AS VARCHAR)) AS request_id, product_id,
+ u.user_id AS requester_id, reason AS business_reason, 'Pending' AS status, {AS_OF} AS requested_at, u.department AS requester_team
+FROM known JOIN allu u ON u.k = lower(trim(known.requester_email))""")
+def q_submit_requests(spark, d):
+    t = tables(spark, d)
+    ev = t.raw("events").filter(F.col("event_type").isin("view", "signup"))
+    sub = ev.select(
+        F.col("event_id").alias("submission_id"),
+        F.concat(F.lit("DP-"), F.lpad(F.regexp_extract("props", "[0-9]+", 0), 3, "0")).alias("product_ref"),
+        F.when(F.col("event_type") == "view",
+               F.concat(F.lit("customer."), F.lpad(F.col("user_id").cast("string"), 9, "0"), F.lit("@example.org")))
+        .otherwise(F.concat(F.lit("signup"), F.col("user_id").cast("string"), F.lit("@example.org"))).alias("requester_email"),
+        F.lit(None).cast("string").alias("team"),
+        F.col("event_type").alias("reason"))
+    out = CH.submit_requests(t.access_requests, t.users, t.data_products, sub, requests_as_of())
+    return out["new_requests"].select(
+        "request_id", "product_id", "requester_id", "business_reason", "status", "requested_at", "requester_team")
+
+
+@register("upsert_users_on_submit", f"""WITH {SUBMIT_SQL}
+SELECT user_id, email, display_name, role, department FROM users
+UNION ALL
+SELECT n.user_id, n.k AS email,
+ {word_caps_sql("regexp_replace(split_part(n.k, '@', 1), '^([^.]*)\\.', '\\1 ')")} AS display_name, 'analyst', 'General' FROM newu n""")
+def q_upsert_users_on_submit(spark, d):
+    t = tables(spark, d)
+    ev = t.raw("events").filter(F.col("event_type").isin("view", "signup"))
+    sub = ev.select(
+        F.col("event_id").alias("submission_id"),
+        F.concat(F.lit("DP-"), F.lpad(F.regexp_extract("props", "[0-9]+", 0), 3, "0")).alias("product_ref"),
+        F.when(F.col("event_type") == "view",
+               F.concat(F.lit("customer."), F.lpad(F.col("user_id").cast("string"), 9, "0"), F.lit("@example.org")))
+        .otherwise(F.concat(F.lit("signup"), F.col("user_id").cast("string"), F.lit("@example.org"))).alias("requester_email"),
+        F.lit(None).cast("string").alias("team"),
+        F.col("event_type").alias("reason"))
+    return CH.submit_requests(t.access_requests, t.users, t.data_products, sub, requests_as_of())["users"].select(
+        "user_id", "email", "display_name", "role", "department")
+
+
+DECISIONS = f"""dec AS (
+ SELECT ar.request_id, CASE WHEN ar.requester_id % 7 = 0 THEN upper(u.email) ELSE '{STEWARD_EMAIL}' END AS approver_email
+ FROM access_requests ar JOIN users u ON u.user_id = ar.requester_id),
+ok AS (
+ SELECT d.request_id, d.approver_email FROM dec d JOIN access_requests r ON r.request_id = d.request_id
+ LEFT JOIN users u ON u.user_id = r.requester_id
+ WHERE NOT COALESCE(lower(u.email) = lower(d.approver_email), FALSE) AND NOT (r.status IS NOT NULL AND r.status <> 'Pending'))"""
+
+
+@register("approve_requests", f"""WITH {DECISIONS},
+g AS (SELECT ok.request_id, (SELECT user_id FROM users WHERE lower(email) = lower(ok.approver_email) LIMIT 1) AS approver_id,
+       {_grant_sql_sql('dp.uc_full_name', 'u.email', 'dp.display_name')} AS grant_sql
+      FROM ok JOIN access_requests ar ON ar.request_id = ok.request_id JOIN data_products dp ON dp.product_id = ar.product_id
+      JOIN users u ON u.user_id = ar.requester_id)
+SELECT ar.request_id, CASE WHEN g.request_id IS NOT NULL THEN 'Approved' ELSE ar.status END AS status,
+ CASE WHEN g.request_id IS NOT NULL THEN {AS_OF} ELSE ar.resolved_at END AS resolved_at,
+ CASE WHEN g.request_id IS NOT NULL THEN g.approver_id END AS resolved_by,
+ CASE WHEN g.request_id IS NOT NULL THEN g.grant_sql END AS uc_grant_sql,
+ CASE WHEN g.request_id IS NOT NULL THEN TRUE END AS uc_grant_issued,
+ CASE WHEN g.request_id IS NOT NULL THEN {AS_OF} + INTERVAL '90' DAY ELSE ar.expires_at END AS expires_at,
+ CASE WHEN g.request_id IS NOT NULL THEN {AS_OF} END AS updated_at
+FROM access_requests ar LEFT JOIN g ON g.request_id = ar.request_id""")
+def q_approve_requests(spark, d):
+    t = tables(spark, d)
+    dec = A.decision_batch(t.access_requests, t.users, STEWARD_EMAIL)
+    out = CH.approve_requests(t.access_requests, t.users, t.data_products, dec, requests_as_of())
+    return out.select("request_id", "status", "resolved_at", "resolved_by", "uc_grant_sql", "uc_grant_issued", "expires_at",
+                      "updated_at")
+
+
+# M7 batch: pending requests of every 5th requester are denied as stale by the steward.
+@register("deny_requests", f"""
+SELECT request_id, CASE WHEN hit THEN 'Denied' ELSE status END AS status, CASE WHEN hit THEN {AS_OF} ELSE resolved_at END AS resolved_at,
+ CAST(NULL AS BIGINT) AS resolved_by, CASE WHEN hit THEN 'stale' END AS denial_reason, CASE WHEN hit THEN {AS_OF} END AS updated_at
+FROM (SELECT *, status = 'Pending' AND requester_id % 5 = 0 AS hit FROM access_requests)""")
+def q_deny_requests(spark, d):
+    t = tables(spark, d)
+    dec = t.access_requests.filter((F.col("status") == "Pending") & (F.col("requester_id") % 5 == 0)).select(
+        "request_id", F.lit(STEWARD_EMAIL).alias("approver_email"), F.lit("stale").alias("reason"))
+    out = CH.deny_requests(t.access_requests, t.users, dec, requests_as_of())
+    return out.select("request_id", "status", "resolved_at", "resolved_by", "denial_reason", "updated_at")
+
+
+# M8 batch: approved requests of every 3rd requester are revoked with the default reason.
+@register("revoke_requests", f"""
+SELECT request_id, CASE WHEN hit THEN 'Revoked' ELSE status END AS status, CASE WHEN hit THEN {AS_OF} ELSE resolved_at END AS resolved_at,
+ CASE WHEN hit THEN 'Access revoked by administrator' END AS denial_reason,
+ CASE WHEN hit THEN '-- No UC table linked; manual revocation required' END AS uc_grant_sql, expires_at,
+ CASE WHEN hit THEN {AS_OF} END AS updated_at
+FROM (SELECT *, status = 'Approved' AND requester_id % 3 = 0 AS hit FROM access_requests)""")
+def q_revoke_requests(spark, d):
+    t = tables(spark, d)
+    dec = t.access_requests.filter((F.col("status") == "Approved") & (F.col("requester_id") % 3 == 0)).select(
+        "request_id", F.lit(None).cast("string").alias("reason"))
+    out = CH.revoke_requests(t.access_requests, dec, requests_as_of())
+    return out.select("request_id", "status", "resolved_at", "denial_reason", "uc_grant_sql", "expires_at", "updated_at")
+
+
+# M10 batch: each 'signup' event upserts a profile: existing customers become stewards of 'SIGNUP',
+# plus a new user per signing-up id (overwrite mode).
+UPSERT_INC = """inc AS (
+ SELECT DISTINCT k, display_name, role, department FROM (
+  SELECT lower(trim('customer.' || lpad(CAST(user_id AS VARCHAR), 9, '0') || '@example.org')) AS k,
+   'Signed Up ' || CAST(user_id AS VARCHAR) AS display_name, 'steward' AS role, 'SIGNUP' AS department FROM events WHERE event_type = 'signup'
+  UNION ALL
+  SELECT lower(trim('new' || CAST(user_id AS VARCHAR) || '@example.org')), 'New ' || CAST(user_id AS VARCHAR), NULL, NULL
+  FROM events WHERE event_type = 'signup'))"""
+
+
+@register("upsert_users", f"""WITH {UPSERT_INC}
+SELECT u.user_id, u.email, CASE WHEN i.k IS NOT NULL THEN i.display_name ELSE u.display_name END AS display_name,
+ CASE WHEN i.k IS NOT NULL THEN i.role ELSE u.role END AS role, CASE WHEN i.k IS NOT NULL THEN i.department ELSE u.department END AS department
+FROM users u LEFT JOIN inc i ON i.k = lower(trim(u.email))
+UNION ALL
+SELECT (SELECT max(user_id) FROM users) + row_number() OVER (ORDER BY k), k, display_name, COALESCE(role, 'analyst'), COALESCE(department, 'General')
+FROM inc WHERE k NOT IN (SELECT lower(trim(email)) FROM users)""")
+def q_upsert_users(spark, d):
+    t = tables(spark, d)
+    ev = t.raw("events").filter(F.col("event_type") == "signup")
+    uid = F.col("user_id").cast("string")
+    inc = ev.select(
+        F.concat(F.lit("customer."), F.lpad(uid, 9, "0"), F.lit("@example.org")).alias("email"),
+        F.concat(F.lit("Signed Up "), uid).alias("display_name"), F.lit("steward").alias("role"),
+        F.lit("SIGNUP").alias("department")).unionByName(ev.select(
+            F.concat(F.lit("new"), uid, F.lit("@example.org")).alias("email"), F.concat(F.lit("New "), uid).alias("display_name"),
+            F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("department"))).distinct()
+    return CH.upsert_users(t.users, inc, mode="overwrite").select("user_id", "email", "display_name", "role", "department")
+
+
+# M11 batch: every customer segment is upserted as an analyst group.
+@register("upsert_groups", """
+SELECT group_name, role FROM portal_groups WHERE group_name NOT IN (SELECT DISTINCT c_mktsegment FROM customer)
+UNION ALL SELECT DISTINCT c_mktsegment, 'analyst' FROM customer""")
+def q_upsert_groups(spark, d):
+    t = tables(spark, d)
+    inc = t.raw("customer").select(F.col("c_mktsegment").alias("group_name"), F.lit("analyst").alias("role")).distinct()
+    return CH.upsert_groups(t.portal_groups, inc)
+
+
+@register("migrate_roles", """
+SELECT user_id, email, CASE role WHEN 'steward' THEN 'admin' WHEN 'data_steward' THEN 'admin' WHEN 'manager' THEN 'analyst' ELSE role END AS role
+FROM users""")
+def q_migrate_roles(spark, d):
+    t = tables(spark, d)
+    return CH.migrate_roles(t.users, t.portal_groups)["users"].select("user_id", "email", "role")
+
+
+@register("migrate_group_roles", """
+SELECT group_name, CASE role WHEN 'steward' THEN 'admin' WHEN 'data_steward' THEN 'admin' WHEN 'manager' THEN 'admin' ELSE role END AS role
+FROM portal_groups""")
+def q_migrate_group_roles(spark, d):
+    t = tables(spark, d)
+    return CH.migrate_roles(t.users, t.portal_groups)["portal_groups"]
+
+
+@register("fill_defaults", "SELECT product_id, COALESCE(status, 'Published') AS status, COALESCE(source_system, 'Databricks') AS source_system FROM data_products")
+def q_fill_defaults(spark, d):
+    return CH.fill_defaults(tables(spark, d).data_products).select("product_id", "status", "source_system")
+
+
+SEED_REFS = ["DP-001", "DP-020", "DP-040"]
+
+
+@register("reset_workflow", """
+SELECT * FROM audit_log WHERE event_type NOT IN ('REQUEST_SUBMITTED','REQUEST_APPROVED','REQUEST_DENIED','ACCESS_REVOKED','NUDGE_SENT')""")
+def q_reset_workflow(spark, d):
+    t = tables(spark, d)
+    return CH.reset_workflow(t.access_requests, t.audit_log, t.data_products, SEED_REFS)["audit_log"]
+
+
+@register("reset_products", """
+SELECT product_id, product_ref, status FROM data_products
+WHERE NOT (COALESCE(status, '') IN ('Pending', 'Rejected') AND product_ref NOT IN ('DP-001', 'DP-020', 'DP-040'))""")
+def q_reset_products(spark, d):
+    t = tables(spark, d)
+    return CH.reset_workflow(t.access_requests, t.audit_log, t.data_products, SEED_REFS)["data_products"].select(
+        "product_id", "product_ref", "status")
+
+
+# The admin list is every user whose id is a multiple of 50.
+@register("resolve_roles", """
+WITH gr AS (SELECT user_id, role AS group_role FROM (
+  SELECT u.user_id, g.group_name, g.role, row_number() OVER (PARTITION BY u.user_id ORDER BY
+   CASE WHEN lower(g.role) = 'admin' THEN 0 WHEN lower(g.role) = 'steward' THEN 1 ELSE 2 END, g.group_name, g.role) AS rn
+  FROM users u JOIN portal_groups g ON g.group_name = u.department) WHERE rn = 1)
+SELECT u.user_id, u.email, u.role, gr.group_role,
+ CASE WHEN u.user_id % 50 = 0 THEN 'admin'
+      WHEN gr.group_role IS NOT NULL THEN CASE WHEN lower(trim(gr.group_role)) IN ('admin','steward','data_steward','data steward') THEN 'admin' ELSE 'analyst' END
+      ELSE CASE WHEN lower(trim(u.role)) IN ('admin','steward','data_steward','data steward') THEN 'admin' ELSE 'analyst' END END AS resolved_role
+FROM users u LEFT JOIN gr ON gr.user_id = u.user_id""")
+def q_resolve_roles(spark, d):
+    t = tables(spark, d)
+    admins = t.users.filter(F.col("user_id") % 50 == 0).select("email")
+    return CH.resolve_roles(t.users, admins, user_group_role(t.users, t.portal_groups))
+
+
+# M21 batch: each 'error' event edits its user: role admin when value > 50 (else empty = unchanged),
+# a new display name; the last edit (largest event id) wins.
+@register("edit_users", """
+WITH e AS (SELECT user_id, role, display_name FROM (
+  SELECT user_id, CASE WHEN value > 50 THEN 'admin' ELSE '' END AS role, 'Edited ' || CAST(event_id AS VARCHAR) AS display_name,
+   row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events WHERE event_type = 'error') WHERE rn = 1)
+SELECT u.user_id, u.email, COALESCE(NULLIF(trim(e.display_name), ''), u.display_name) AS display_name,
+ COALESCE(NULLIF(trim(e.role), ''), u.role) AS role, u.department
+FROM users u LEFT JOIN e ON e.user_id = u.user_id""")
+def q_edit_users(spark, d):
+    t = tables(spark, d)
+    ed = t.raw("events").filter(F.col("event_type") == "error").select(
+        "user_id", F.when(F.col("value") > 50, "admin").otherwise("").alias("role"), F.lit("").alias("department"),
+        F.concat(F.lit("Edited "), F.col("event_id").cast("string")).alias("display_name"), F.col("event_id").alias("edit_seq"))
+    return CH.edit_users(t.users, ed)
+
+
+# Demo seed rows; DP-001 already exists and is skipped.
+@register("seed_if_absent", """
+SELECT product_ref, display_name FROM data_products
+UNION ALL SELECT * FROM (VALUES ('DP-9001', 'Budget Expenditure Report'), ('DP-9002', 'Payroll Dashboard')) v(product_ref, display_name)
+UNION ALL SELECT 'DP-001', 'Budget Expenditure Report' WHERE 'DP-001' NOT IN (SELECT product_ref FROM data_products)""")
+def q_seed_if_absent(spark, d):
+    t = tables(spark, d)
+    seeds = spark.createDataFrame(
+        [("DP-001", "Budget Expenditure Report"), ("DP-9001", "Budget Expenditure Report"), ("DP-9002", "Payroll Dashboard")],
+        "product_ref string, display_name string")
+    return IO.seed_if_absent(t.data_products.select("product_ref", "display_name"), seeds, ["product_ref"])
