@@ -12,6 +12,14 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+WS = r"[ \t\n\x0B\f\r]"
+
+
+def js_trim(s: Column | str) -> Column:
+    """Trim all ASCII white space from both ends (not only blanks)."""
+    return F.regexp_replace(_c(s), rf"^{WS}+|{WS}+$", "")
+
+
 def word_caps(s: Column | str) -> Column:
     """Upper-case the first character of every ASCII word, keep the rest as is."""
     chunks = F.regexp_extract_all(_c(s), F.lit(r"(\w+|\W+)"), 1)
@@ -56,9 +64,9 @@ def strip_markdown(text: Column | str) -> Column:
     s = F.coalesce(_c(text), F.lit(""))
     s = F.regexp_replace(s, r"\*\*(.+?)\*\*", "$1")
     s = F.regexp_replace(s, r"\*(.+?)\*", "$1")
-    s = F.regexp_replace(s, r"(?m)^#+[ \t\n\x0B\f\r]+", "")
-    s = F.regexp_replace(s, r"(?m)^[*\-][ \t\n\x0B\f\r]+", "• ")
-    return F.trim(s)
+    s = F.regexp_replace(s, rf"(?m)^#+{WS}+", "")
+    s = F.regexp_replace(s, rf"(?m)^[*\-]{WS}+", "• ")
+    return js_trim(s)
 
 
 def prompt_line(ref, name, domain, type_, description, tags) -> Column:
@@ -76,10 +84,10 @@ def prompt_line(ref, name, domain, type_, description, tags) -> Column:
 def is_question(q: Column | str) -> Column:
     """At least 3 words and a question verb first, or an analytic phrase."""
     q = _c(q)
-    n_words = F.size(F.filter(F.split(F.trim(q), r"\s+"), lambda w: w != ""))
+    n_words = F.size(F.filter(F.split(js_trim(q), rf"{WS}+"), lambda w: w != ""))
     return F.coalesce(
         (n_words >= 3)
-        & (F.trim(q).rlike("(?i)" + rules.QUESTION_START) | q.rlike("(?i)" + rules.QUESTION_PHRASE)),
+        & (js_trim(q).rlike("(?i)" + rules.QUESTION_START) | q.rlike("(?i)" + rules.QUESTION_PHRASE)),
         F.lit(False),
     )
 
@@ -96,5 +104,5 @@ def classify_intent(text: Column | str) -> Column:
 def find_keywords(text: Column | str) -> Column:
     """Keywords of a 'find' request: stop phrases removed, words over 2 chars."""
     q = F.lower(_c(text))
-    stripped = F.trim(F.regexp_replace(q, rules.FIND_STOP_PHRASES, ""))
-    return F.filter(F.split(stripped, r"\s+"), lambda w: F.length(w) >= rules.FIND_MIN_KEYWORD_LEN)
+    stripped = js_trim(F.regexp_replace(q, rules.FIND_STOP_PHRASES, ""))
+    return F.filter(F.split(stripped, rf"{WS}+"), lambda w: F.length(w) >= rules.FIND_MIN_KEYWORD_LEN)

@@ -1 +1,101 @@
-"""Registered queries (text)."""
+"""Registered text and search queries (F14-F18, X1, X2) over the catalog,
+the conversation log (user turns as questions) and documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import rules
+from ..functions.text import prompt_line
+from ..operators import catalog as C
+from ..operators import search as S
+from ..sources.fixtures import tables
+from .registry import register
+
+WS = "[ \\t\\n\\x0B\\f\\r]"
+PUB = """pub AS (SELECT * FROM data_products WHERE is_active AND COALESCE(status, 'Published') = 'Published')"""
+QUESTIONS = "q AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user')"
+
+
+def js_trim_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+def words_sql(x: str) -> str:
+    return f"list_distinct(list_filter(regexp_extract_all(lower({x}), '[a-z0-9]+'), lambda w: length(w) >= 2))"
+
+
+def intent_sql(x: str) -> str:
+    arms = " ".join(f"WHEN regexp_matches(lower({x}), '{p}') THEN '{n}'" for n, p in rules.INTENT_RULES)
+    return f"CASE {arms} ELSE '{rules.INTENT_DEFAULT}' END"
+
+
+PROMPT_LINE_SQL = ("concat_ws(' | ', product_ref, display_name, COALESCE(domain, 'Other'), COALESCE(type, 'Dataset'), "
+                   "substr(COALESCE(description, ''), 1, 120), COALESCE(array_to_string(tags, ', '), ''))")
+
+
+@register("prompt_line", f"WITH {PUB} SELECT product_id, {PROMPT_LINE_SQL} AS line FROM pub")
+def q_prompt_line(spark, d):
+    pub = C.catalog_published(tables(spark, d).data_products)
+    return pub.select("product_id", prompt_line("product_ref", "display_name", "domain", "type", "description", "tags").alias("line"))
+
+
+@register("ask_prompt_table", f"""WITH {PUB}, {QUESTIONS},
+ctx AS (SELECT * FROM pub ORDER BY display_name, product_id LIMIT 60),
+blk AS (SELECT string_agg({PROMPT_LINE_SQL}, chr(10) ORDER BY display_name, product_id) AS b FROM ctx)
+SELECT conv_id, turn, 'User question: "' || text || '"' || chr(10) || chr(10) ||
+ 'Catalog (format: ref | name | domain | type | description | tags):' || chr(10) || b AS prompt FROM q, blk""")
+def q_ask_prompt_table(spark, d):
+    t = tables(spark, d)
+    ctx = C.ask_context(C.catalog_published(t.data_products), 60)
+    return S.ask_prompt_table(S.question_turns(t.conversations), ctx)
+
+
+@register("is_question", f"""WITH {QUESTIONS}
+SELECT conv_id, turn,
+ COALESCE(len(list_filter(regexp_split_to_array({js_trim_sql('text')}, '{WS}+'), lambda w: w <> '')) >= 3
+  AND (regexp_matches({js_trim_sql('text')}, '(?i){rules.QUESTION_START}') OR regexp_matches(text, '(?i){rules.QUESTION_PHRASE}')), FALSE)
+  AS is_question,
+ {intent_sql('text')} AS intent
+FROM q""")
+def q_is_question(spark, d):
+    return S.question_flags(S.question_turns(tables(spark, d).conversations))
+
+
+@register("classify_intent", f"WITH {QUESTIONS} SELECT conv_id, turn, {intent_sql('text')} AS intent FROM q")
+def q_classify_intent(spark, d):
+    return S.question_flags(S.question_turns(tables(spark, d).conversations)).select("conv_id", "turn", "intent")
+
+
+@register("find_keywords", f"""WITH {PUB}, {QUESTIONS},
+fq AS (SELECT * FROM q WHERE {intent_sql('text')} = 'find'),
+kw AS (SELECT DISTINCT conv_id, turn, unnest(list_filter(regexp_split_to_array(
+  {js_trim_sql(f"regexp_replace(lower(text), '{rules.FIND_STOP_PHRASES}', '', 'g')")}, '{WS}+'), lambda w: length(w) >= 3)) AS kw FROM fq),
+np AS (SELECT product_id, lower(display_name) AS name, lower(COALESCE(domain, 'Other')) AS category FROM pub)
+SELECT DISTINCT conv_id, turn, product_id FROM kw JOIN np ON contains(np.name, kw.kw) OR contains(np.category, kw.kw)""")
+def q_find_keywords(spark, d):
+    t = tables(spark, d)
+    norm = C.normalize_products(C.catalog_published(t.data_products))
+    return S.find_matches(S.question_turns(t.conversations), norm)
+
+
+@register("strip_markdown", f"""
+SELECT doc_id, {js_trim_sql(
+    f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(COALESCE(text, ''), '\\*\\*(.+?)\\*\\*', '\\1', 'g'), "
+    f"'\\*(.+?)\\*', '\\1', 'g'), '(?m)^#+{WS}+', '', 'g'), '(?m)^[*\\-]{WS}+', '• ', 'g')")} AS text FROM documents""")
+def q_strip_markdown(spark, d):
+    return S.stripped_documents(tables(spark, d).documents)
+
+
+@register("match_questions", f"""WITH {PUB}, {QUESTIONS},
+pw AS (SELECT DISTINCT product_id, unnest({words_sql("concat_ws(' ', display_name, COALESCE(domain, ''), array_to_string(tags, ' '), COALESCE(description, ''))")}) AS word FROM pub),
+n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM pub),
+wt AS (SELECT word, ln((n - df + 0.5) / (df + 0.5)) AS w FROM (SELECT word, CAST(count(*) AS DOUBLE) AS df FROM pw GROUP BY word), n
+       WHERE ln((n - df + 0.5) / (df + 0.5)) > 0),
+qw AS (SELECT DISTINCT conv_id, turn, unnest({words_sql('text')}) AS word FROM q),
+sc AS (SELECT conv_id, turn, product_id, round(sum(w), 9) AS score, count(*) AS shared_words
+       FROM qw JOIN wt USING (word) JOIN pw USING (word) GROUP BY conv_id, turn, product_id)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, product_id) AS rank FROM sc) WHERE rank <= 5""")
+def q_match_questions(spark, d):
+    t = tables(spark, d)
+    return S.match_questions(S.question_turns(t.conversations), C.catalog_published(t.data_products), 5)
