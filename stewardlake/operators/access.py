@@ -311,3 +311,40 @@ def decision_batch(requests: DataFrame, users: DataFrame, steward_email: str) ->
         F.when(F.col("requester_id") % 7 == 0, F.upper("requester_email")).otherwise(F.lit(steward_email))
         .alias("approver_email"),
     )
+
+
+def idle_users(users: DataFrame, listed: DataFrame, requests: DataFrame, library: DataFrame) -> DataFrame:
+    """Listed users with no request made, none resolved, no library row
+    (three anti joins; NULL keys can never match, unlike NOT IN)."""
+    u = users.join(listed.select("user_id"), "user_id", "left_semi")
+    made = requests.select(F.col("requester_id").alias("user_id"))
+    out = u.join(made, "user_id", "left_anti")
+    if "resolved_by" in requests.columns:
+        out = out.join(requests.select(F.col("resolved_by").alias("user_id")), "user_id", "left_anti")
+    return out.join(library.select("user_id"), "user_id", "left_anti")
+
+
+def requests_of_placeholders(requests: DataFrame, products: DataFrame, pattern: str) -> DataFrame:
+    """Requests whose product's table name matches a placeholder LIKE pattern."""
+    ph = products.filter(F.col("uc_full_name").like(pattern)).select("product_id")
+    return requests.join(ph, "product_id", "left_semi")
+
+
+def enrich_matches(matches: DataFrame, published: DataFrame) -> DataFrame:
+    """A match list (ref, reason) joined to published products by ref;
+    unknown or unpublished refs drop out."""
+    p = published.select(F.col("product_ref").alias("ref"), "product_id", "display_name", "domain", "type")
+    return matches.join(p, "ref", "inner")
+
+
+def library_dedupe(library: DataFrame, requests: DataFrame, products: DataFrame) -> DataFrame:
+    """Per user, pinned items whose product has no request of that user,
+    then every request of the user."""
+    req = requests.select(F.col("requester_id").alias("user_id"), "product_id", "status", "request_id")
+    pinned = library.select("user_id", "product_id").join(req.select("user_id", "product_id"),
+                                                           ["user_id", "product_id"], "left_anti")
+    items = pinned.select("user_id", "product_id", F.lit("pinned").alias("source"), F.lit("Approved").alias("status"),
+                          F.lit(None).cast("string").alias("request_id")).unionByName(
+        req.select("user_id", "product_id", F.lit("request").alias("source"), "status", "request_id"))
+    prod = products.select("product_id", "product_ref", F.col("display_name").alias("name"))
+    return items.join(prod, "product_id", "inner")
