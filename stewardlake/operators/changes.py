@@ -176,6 +176,12 @@ def _with_resolution_cols(requests: DataFrame) -> DataFrame:
     return requests
 
 
+def one_decision_per_request(decisions: DataFrame, cols: list[str]) -> DataFrame:
+    """Fold a batch to one decision per request id (deterministically the
+    largest ``cols`` tuple), so a repeated decision cannot multiply rows."""
+    return latest_per_key(decisions, ["request_id"], [F.col(c) for c in cols], cols)
+
+
 def _approver_ids(decisions: DataFrame, users: DataFrame) -> DataFrame:
     u = users.select(F.lower("email").alias("_ae"), F.col("user_id").alias("_approver_id"))
     return decisions.join(u, F.lower(decisions.approver_email) == u._ae, "left").drop("_ae")
@@ -186,7 +192,8 @@ def approve_requests(requests: DataFrame, users: DataFrame, products: DataFrame,
     """M6: approvals that pass G3 set Approved, resolved_at / updated_at =
     as_of, resolved_by (approver's user id or NULL), the grant text, grant
     issued, and expires_at = as_of + 90 days. Failed guards change nothing."""
-    ok = approvable(decisions, requests, users).filter("approvable").select("request_id", "approver_email")
+    decisions = one_decision_per_request(decisions, ["approver_email"])
+    ok = approvable(decisions, requests, users).filter("approvable").select("request_id", "approver_email").distinct()
     ok = _approver_ids(ok, users)
     req = _with_resolution_cols(requests)
     info = req.select("request_id", "product_id", "requester_id").join(
@@ -204,6 +211,7 @@ def approve_requests(requests: DataFrame, users: DataFrame, products: DataFrame,
 
 def deny_requests(requests: DataFrame, users: DataFrame, decisions: DataFrame, as_of: Column) -> DataFrame:
     """M7: Denied with reason, resolver and time; no Pending guard (parity)."""
+    decisions = one_decision_per_request(decisions, ["approver_email", "reason"])
     d = _approver_ids(decisions, users).select("request_id", "_approver_id", F.coalesce("reason", F.lit("")).alias("_reason"),
                                                F.lit(True).alias("_hit"))
     req = _with_resolution_cols(requests)
@@ -217,6 +225,7 @@ def deny_requests(requests: DataFrame, users: DataFrame, decisions: DataFrame, a
 def revoke_requests(requests: DataFrame, decisions: DataFrame, as_of: Column) -> DataFrame:
     """M8: Revoked with reason (default text), resolved_at, the REVOKE text
     derived from the grant text; expires_at is kept."""
+    decisions = one_decision_per_request(decisions, ["reason"])
     d = decisions.select("request_id", F.coalesce(_nz("reason"), F.lit(rules.DEFAULT_REVOKE_REASON)).alias("_reason"),
                          F.lit(True).alias("_hit"))
     req = _with_resolution_cols(requests)

@@ -159,7 +159,7 @@ ok AS (
 
 
 @register("approve_requests", f"""WITH {DECISIONS},
-g AS (SELECT ok.request_id, (SELECT user_id FROM users WHERE lower(email) = lower(ok.approver_email) LIMIT 1) AS approver_id,
+g AS (SELECT DISTINCT ok.request_id, (SELECT user_id FROM users WHERE lower(email) = lower(ok.approver_email) LIMIT 1) AS approver_id,
        {_grant_sql_sql('dp.uc_full_name', 'u.email', 'dp.display_name')} AS grant_sql
       FROM ok JOIN access_requests ar ON ar.request_id = ok.request_id JOIN data_products dp ON dp.product_id = ar.product_id
       JOIN users u ON u.user_id = ar.requester_id)
