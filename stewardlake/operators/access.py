@@ -247,19 +247,22 @@ def insight_stats(state: DataFrame, published: DataFrame, users: DataFrame) -> D
     the admin state.
     """
     pub = published.select("product_id")
-    n_pub = published.select(F.count(F.lit(1))).scalar()
-    n_dash = published.select(F.count_if(F.col("type").isin(*rules.DASHBOARD_TYPES))).scalar()
+    # Both catalog-wide counts come from one scalar subquery, attached once.
+    totals = published.select(F.struct(
+        F.count(F.lit(1)).alias("n_pub"),
+        F.count_if(F.col("type").isin(*rules.DASHBOARD_TYPES)).alias("n_dash"))).scalar()
     st = state.join(pub, "product_id", "left_semi").groupBy("requester_id").agg(
         F.count_if(F.col("state") == "granted").alias("n_granted"),
         F.count_if(F.col("state").isin("revoked", "pending")).alias("n_blocked"),
     )
     u = users.select(F.col("user_id").alias("requester_id"), (normalize_role("role") == "admin").alias("is_admin"))
-    j = u.join(st, "requester_id", "left").fillna(0, ["n_granted", "n_blocked"])
+    j = u.join(st, "requester_id", "left").fillna(0, ["n_granted", "n_blocked"]).withColumn("_t", totals)
+    n_pub, n_dash = F.col("_t.n_pub"), F.col("_t.n_dash")
     accessible = F.when(F.col("is_admin"), n_pub - F.col("n_blocked")).otherwise(F.col("n_granted"))
-    return j.select(
+    return j.withColumn("accessible", accessible).select(
         F.col("requester_id").alias("user_id"),
-        accessible.alias("accessible"),
-        (n_pub - accessible).alias("requestable"),
+        "accessible",
+        (n_pub - F.col("accessible")).alias("requestable"),
         n_dash.alias("dashboards_genie"),
         (n_pub - n_dash).alias("other_products"),
     )
