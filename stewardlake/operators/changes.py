@@ -23,7 +23,6 @@ from ..functions.classify import normalize_role
 from ..functions.grants import audit_metadata, grant_sql, revoke_sql
 from ..functions.text import tags_from_input, word_caps
 from ..sources.fixtures import days
-from .access import approvable
 from .common import latest_per_key, sequence_numbers
 from .metadata import assign_refs
 
@@ -189,22 +188,26 @@ def _approver_ids(decisions: DataFrame, users: DataFrame) -> DataFrame:
 
 def approve_requests(requests: DataFrame, users: DataFrame, products: DataFrame, decisions: DataFrame,
                      as_of: Column) -> DataFrame:
-    """M6: approvals that pass G3 set Approved, resolved_at / updated_at =
-    as_of, resolved_by (approver's user id or NULL), the grant text, grant
-    issued, and expires_at = as_of + 90 days. Failed guards change nothing."""
-    decisions = one_decision_per_request(decisions, ["approver_email"])
-    ok = approvable(decisions, requests, users).filter("approvable").select("request_id", "approver_email").distinct()
-    ok = _approver_ids(ok, users)
+    """M6: approvals that pass the G3 guard (approver is not the requester,
+    case-insensitive; request still Pending) set Approved, resolved_at /
+    updated_at = as_of, resolved_by (approver's user id or NULL), the grant
+    text, grant issued, and expires_at = as_of + 90 days. Failed guards change
+    nothing. One pass over the requests: the (folded) decisions and the
+    dimension columns are joined to each request row once."""
+    dec = _approver_ids(one_decision_per_request(decisions, ["approver_email"]), users).select(
+        "request_id", F.col("approver_email").alias("_approver"), "_approver_id")
     req = _with_resolution_cols(requests)
-    info = req.select("request_id", "product_id", "requester_id").join(
-        products.select("product_id", "uc_full_name", F.col("display_name").alias("_pname")), "product_id", "inner").join(
-        users.select(F.col("user_id").alias("requester_id"), F.col("email").alias("_remail")), "requester_id", "inner")
-    g = ok.join(info.select("request_id", "uc_full_name", "_pname", "_remail"), "request_id", "inner").select(
-        "request_id", "_approver_id", grant_sql("uc_full_name", "_remail", "_pname").alias("_grant"), F.lit(True).alias("_hit"))
-    j = req.join(g, "request_id", "left")
-    hit = F.coalesce("_hit", F.lit(False))
+    j = (
+        req.join(dec, "request_id", "left")
+        .join(users.select(F.col("user_id").alias("requester_id"), F.col("email").alias("_remail")), "requester_id", "left")
+        .join(products.select("product_id", F.col("uc_full_name").alias("_full"), F.col("display_name").alias("_pname")),
+              "product_id", "left")
+    )
+    self_approval = F.coalesce(F.lower("_remail") == F.lower("_approver"), F.lit(False))
+    pending = F.col("status").isNull() | (F.col("status") == "Pending")
+    hit = F.col("_approver").isNotNull() & ~self_approval & pending
     upd = {"status": F.lit("Approved"), "resolved_at": as_of, "resolved_by": F.col("_approver_id"),
-           "uc_grant_issued": F.lit(True), "uc_grant_sql": F.col("_grant"), "updated_at": as_of,
+           "uc_grant_issued": F.lit(True), "uc_grant_sql": grant_sql("_full", "_remail", "_pname"), "updated_at": as_of,
            "expires_at": as_of + days(rules.APPROVAL_VALID_DAYS)}
     return j.select(*[F.when(hit, upd[c]).otherwise(F.col(c)).alias(c) if c in upd else F.col(c) for c in req.columns])
 

@@ -33,24 +33,30 @@ def product_words(products: DataFrame) -> DataFrame:
     return products.select("product_id", F.explode(words(text)).alias("word"))
 
 
-def match_questions(questions: DataFrame, products: DataFrame, k: int = 5) -> DataFrame:
-    """Per question the k best products by shared informative words.
-
-    Each shared word scores its BM25 inverse document frequency over the
-    catalog, clipped at zero: idf = max(0, ln((N - df + 0.5) / (df + 0.5))).
-    Words in at least half of the catalog therefore weigh exactly zero and are
-    left out of the join without changing any score; a product needs a
-    positive score to match. Scores are summed by a partial aggregate per
-    (question, product) and the top k per question are kept by a
-    WindowGroupLimit (score desc, product id asc)."""
-    pw = product_words(products)
-    n = products.select(F.count(F.lit(1)).cast("double")).scalar()
+CONTEXT_SIZE = 60
+
+
+def match_questions(questions: DataFrame, context: DataFrame, k: int = 5) -> DataFrame:
+    """Per question the k best products of the ask context by shared
+    informative words.
+
+    As in the reference, the candidates are the ask context (L6: the first
+    60 published products by name), so the product-side word table is
+    bounded by 60 products and is broadcast; the question side is exploded
+    and joined without any shuffle of the word table. Each shared word scores
+    its BM25 inverse document frequency over the context, clipped at zero:
+    idf = max(0, ln((N - df + 0.5) / (df + 0.5))); a product needs a positive
+    score to match. Scores are summed by a partial aggregate per (question,
+    product) and the top k per question are kept by a WindowGroupLimit
+    (score desc, product id asc)."""
+    pw = product_words(context)
+    n = context.select(F.count(F.lit(1)).cast("double")).scalar()
     df = pw.groupBy("word").agg(F.count(F.lit(1)).cast("double").alias("df"))
-    idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = df.select("word", idf.alias("w")).filter(F.col("w") > 0)
+    weights = df.withColumn("w", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    table = pw.join(weights.filter(F.col("w") > 0).select("word", "w"), "word", "inner")
     qw = questions.select("conv_id", "turn", F.explode(words(F.col("text"))).alias("word"))
     scored = (
-        qw.join(weights, "word", "inner").join(pw, "word", "inner")
+        qw.join(F.broadcast(table), "word", "inner")
         .groupBy("conv_id", "turn", "product_id")
         .agg(F.round(F.sum("w"), 9).alias("score"), F.count(F.lit(1)).alias("shared_words"))
     )
