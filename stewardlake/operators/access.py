@@ -187,6 +187,7 @@ def notifications(requests: DataFrame, products: DataFrame, as_of: Column) -> Da
     w_exp = Window.partitionBy("requester_id").orderBy(F.asc("expires_at"), F.asc("request_id"))
     expiring = (
         expiring.withColumn("rank", F.row_number().over(w_exp)).filter(F.col("rank") <= rules.EXPIRING_LIMIT)
+        .withColumn("rank", F.col("rank").cast("long"))
         .withColumn("kind", F.lit("Expiring"))
     )
     recent = requests.filter(
@@ -194,6 +195,7 @@ def notifications(requests: DataFrame, products: DataFrame, as_of: Column) -> Da
     w_rec = Window.partitionBy("requester_id").orderBy(F.desc("resolved_at"), F.asc("request_id"))
     recent = (
         recent.withColumn("rank", F.row_number().over(w_rec)).filter(F.col("rank") <= rules.RECENT_LIMIT)
+        .withColumn("rank", F.col("rank").cast("long"))
         .withColumn("kind", F.col("status"))
     )
     cols = ["requester_id", "kind", "rank", "request_id", "resolved_at", "expires_at", "product_id"]
@@ -210,6 +212,7 @@ def recently_accessed(requests: DataFrame, products: DataFrame, k: int = 4) -> D
     top = (
         requests.filter(F.col("status") == "Approved")
         .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        .withColumn("rank", F.col("rank").cast("long"))
     )
     prod = products.select("product_id", "product_ref", F.col("display_name").alias("product_name"),
                            F.coalesce("type", F.lit("Dataset")).alias("product_type"))

@@ -61,7 +61,8 @@ def match_questions(questions: DataFrame, context: DataFrame, k: int = 5) -> Dat
         .agg(F.round(F.sum("w"), 9).alias("score"), F.count(F.lit(1)).alias("shared_words"))
     )
     win = Window.partitionBy("conv_id", "turn").orderBy(F.desc("score"), F.asc("product_id"))
-    return scored.withColumn("rank", F.row_number().over(win)).filter(F.col("rank") <= k)
+    return (scored.withColumn("rank", F.row_number().over(win)).filter(F.col("rank") <= k)
+            .withColumn("rank", F.col("rank").cast("long")))
 
 
 def ask_prompt_table(questions: DataFrame, context: DataFrame) -> DataFrame:
