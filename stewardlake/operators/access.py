@@ -307,15 +307,17 @@ def open_request_check(submitted: DataFrame, requests: DataFrame) -> DataFrame:
         .select("user_id", "product_id", F.coalesce("has_request", F.lit(False)).alias("has_request"))
 
 
-def decision_batch(requests: DataFrame, users: DataFrame, steward_email: str) -> DataFrame:
+def decision_batch(requests: DataFrame, users: DataFrame, steward_email: str,
+                   self_approving_department: str = "BUILDING") -> DataFrame:
     """A decision batch derived from the requests: every request is decided by
-    the steward, except for every 7th requester, who tries to self-approve
-    (upper-cased own e-mail, to exercise case-insensitive matching)."""
-    u = users.select(F.col("user_id").alias("requester_id"), F.col("email").alias("requester_email"))
+    the steward, except that requesters of one department try to approve
+    their own requests (upper-cased own e-mail, to exercise the
+    case-insensitive guard)."""
+    u = users.select(F.col("user_id").alias("requester_id"), F.col("email").alias("requester_email"), "department")
     return requests.select("request_id", "requester_id").join(u, "requester_id", "inner").select(
         "request_id",
-        F.when(F.col("requester_id") % 7 == 0, F.upper("requester_email")).otherwise(F.lit(steward_email))
-        .alias("approver_email"),
+        F.when(F.col("department") == self_approving_department, F.upper("requester_email"))
+        .otherwise(F.lit(steward_email)).alias("approver_email"),
     )
 
 

@@ -14,6 +14,6 @@ def freshness_as_of():
     return ts_ntz(FRESHNESS_AS_OF_TEXT)
 
 
-# A decision batch is made by this steward, except every 7th requester, who
-# tries to approve their own request (exercises the self-approval guard).
+# A decision batch is made by this steward, except that requesters of the
+# BUILDING segment try to approve their own requests (self-approval guard).
 STEWARD_EMAIL = "steward@example.org"

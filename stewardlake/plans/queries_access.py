@@ -201,7 +201,7 @@ def q_accessible_vs_restricted(spark, d):
 
 
 DECISIONS_SQL = f"""
-SELECT ar.request_id, CASE WHEN ar.requester_id % 7 = 0 THEN upper(u.email) ELSE '{STEWARD_EMAIL}' END AS approver_email
+SELECT ar.request_id, CASE WHEN u.department = 'BUILDING' THEN upper(u.email) ELSE '{STEWARD_EMAIL}' END AS approver_email
 FROM access_requests ar JOIN users u ON u.user_id = ar.requester_id"""
 
 

@@ -45,34 +45,36 @@ def q_register_products(spark, d):
     return CH.register_products(t.data_products, sub, requests_as_of())["new_products"]
 
 
-# M2 batch: every pending product; publish when its id is a multiple of 40, else reject.
+# M2 batch: every pending product; Datasets are published, the others rejected.
 @register("publish_products", f"""
-SELECT product_id, product_ref, CASE WHEN status = 'Pending' AND product_id % 40 = 0 THEN TRUE ELSE is_active END AS is_active,
- CASE WHEN status = 'Pending' THEN CASE WHEN product_id % 40 = 0 THEN 'Published' ELSE 'Rejected' END ELSE status END AS status,
+SELECT product_id, product_ref, CASE WHEN status = 'Pending' AND type = 'Dataset' THEN TRUE ELSE is_active END AS is_active,
+ CASE WHEN status = 'Pending' THEN CASE WHEN type = 'Dataset' THEN 'Published' ELSE 'Rejected' END ELSE status END AS status,
  CASE WHEN status = 'Pending' THEN {AS_OF} END AS updated_at FROM data_products""")
 def q_publish_products(spark, d):
     t = tables(spark, d)
     dec = t.data_products.filter(F.col("status") == "Pending").select(
-        "product_ref", F.when(F.col("product_id") % 40 == 0, "publish").otherwise("reject").alias("action"),
+        "product_ref", F.when(F.col("type") == "Dataset", "publish").otherwise("reject").alias("action"),
         requests_as_of().alias("decided_at"))
     out = CH.review_products(t.data_products, dec, requests_as_of())
     return out.select("product_id", "product_ref", "is_active", "status", "updated_at")
 
 
-# M3 batch: ids divisible by 7 lower-case their domain; by 14 also set source_type; by 21 set description to NULL.
+# M3 batch: every Report lower-cases its domain; weekly Reports also set source_type; annual Reports set
+# description to NULL (an explicit NULL).
 @register("patch_products", """
-SELECT product_id, product_ref, display_name, CASE WHEN product_id % 21 = 0 THEN NULL ELSE description END AS description, type,
- CASE WHEN product_id % 7 = 0 THEN lower(domain) ELSE domain END AS domain, refresh_frequency,
- CASE WHEN product_id % 14 = 0 THEN 'Snowflake' ELSE source_system END AS source_system
+SELECT product_id, product_ref, display_name,
+ CASE WHEN type = 'Report' AND refresh_frequency = 'Annual' THEN NULL ELSE description END AS description, type,
+ CASE WHEN type = 'Report' THEN lower(domain) ELSE domain END AS domain, refresh_frequency,
+ CASE WHEN type = 'Report' AND refresh_frequency = 'Weekly' THEN 'Snowflake' ELSE source_system END AS source_system
 FROM data_products""")
 def q_patch_products(spark, d):
     t = tables(spark, d)
     p = t.data_products
-    patches = p.filter(F.col("product_id") % 7 == 0).select(
+    patches = p.filter(F.col("type") == "Report").select(
         "product_ref",
         F.lit(True).alias("has_domain"), F.lower("domain").alias("domain"),
-        (F.col("product_id") % 14 == 0).alias("has_source_type"), F.lit("Snowflake").alias("source_type"),
-        (F.col("product_id") % 21 == 0).alias("has_description"), F.lit(None).cast("string").alias("description"))
+        (F.col("refresh_frequency") == "Weekly").alias("has_source_type"), F.lit("Snowflake").alias("source_type"),
+        (F.col("refresh_frequency") == "Annual").alias("has_description"), F.lit(None).cast("string").alias("description"))
     out = CH.patch_products(p, patches)
     return out.select("product_id", "product_ref", "display_name", "description", "type", "domain", "refresh_frequency",
                       "source_system")
@@ -150,7 +152,7 @@ def q_upsert_users_on_submit(spark, d):
 
 
 DECISIONS = f"""dec AS (
- SELECT ar.request_id, CASE WHEN ar.requester_id % 7 = 0 THEN upper(u.email) ELSE '{STEWARD_EMAIL}' END AS approver_email
+ SELECT ar.request_id, CASE WHEN u.department = 'BUILDING' THEN upper(u.email) ELSE '{STEWARD_EMAIL}' END AS approver_email
  FROM access_requests ar JOIN users u ON u.user_id = ar.requester_id),
 ok AS (
  SELECT d.request_id, d.approver_email FROM dec d JOIN access_requests r ON r.request_id = d.request_id
@@ -179,29 +181,29 @@ def q_approve_requests(spark, d):
                       "updated_at")
 
 
-# M7 batch: pending requests of every 5th requester are denied as stale by the steward.
+# M7 batch: pending low-priority requests are denied as stale by the steward.
 @register("deny_requests", f"""
 SELECT request_id, CASE WHEN hit THEN 'Denied' ELSE status END AS status, CASE WHEN hit THEN {AS_OF} ELSE resolved_at END AS resolved_at,
  CAST(NULL AS BIGINT) AS resolved_by, CASE WHEN hit THEN 'stale' END AS denial_reason, CASE WHEN hit THEN {AS_OF} END AS updated_at
-FROM (SELECT *, status = 'Pending' AND requester_id % 5 = 0 AS hit FROM access_requests)""")
+FROM (SELECT *, status = 'Pending' AND business_reason = '5-LOW' AS hit FROM access_requests)""")
 def q_deny_requests(spark, d):
     t = tables(spark, d)
-    dec = t.access_requests.filter((F.col("status") == "Pending") & (F.col("requester_id") % 5 == 0)).select(
+    dec = t.access_requests.filter((F.col("status") == "Pending") & (F.col("business_reason") == "5-LOW")).select(
         "request_id", F.lit(STEWARD_EMAIL).alias("approver_email"), F.lit("stale").alias("reason"))
     out = CH.deny_requests(t.access_requests, t.users, dec, requests_as_of())
     return out.select("request_id", "status", "resolved_at", "resolved_by", "denial_reason", "updated_at")
 
 
-# M8 batch: approved requests of every 3rd requester are revoked with the default reason.
+# M8 batch: approved urgent requests are revoked with the default reason.
 @register("revoke_requests", f"""
 SELECT request_id, CASE WHEN hit THEN 'Revoked' ELSE status END AS status, CASE WHEN hit THEN {AS_OF} ELSE resolved_at END AS resolved_at,
  CASE WHEN hit THEN 'Access revoked by administrator' END AS denial_reason,
  CASE WHEN hit THEN '-- No UC table linked; manual revocation required' END AS uc_grant_sql, expires_at,
  CASE WHEN hit THEN {AS_OF} END AS updated_at
-FROM (SELECT *, status = 'Approved' AND requester_id % 3 = 0 AS hit FROM access_requests)""")
+FROM (SELECT *, status = 'Approved' AND business_reason = '1-URGENT' AS hit FROM access_requests)""")
 def q_revoke_requests(spark, d):
     t = tables(spark, d)
-    dec = t.access_requests.filter((F.col("status") == "Approved") & (F.col("requester_id") % 3 == 0)).select(
+    dec = t.access_requests.filter((F.col("status") == "Approved") & (F.col("business_reason") == "1-URGENT")).select(
         "request_id", F.lit(None).cast("string").alias("reason"))
     out = CH.revoke_requests(t.access_requests, dec, requests_as_of())
     return out.select("request_id", "status", "resolved_at", "denial_reason", "uc_grant_sql", "expires_at", "updated_at")
@@ -288,20 +290,20 @@ def q_reset_products(spark, d):
         "product_id", "product_ref", "status")
 
 
-# The admin list is every user whose id is a multiple of 50.
+# The admin list is every user of the FURNITURE segment.
 @register("resolve_roles", """
 WITH gr AS (SELECT user_id, role AS group_role FROM (
   SELECT u.user_id, g.group_name, g.role, row_number() OVER (PARTITION BY u.user_id ORDER BY
    CASE WHEN lower(g.role) = 'admin' THEN 0 WHEN lower(g.role) = 'steward' THEN 1 ELSE 2 END, g.group_name, g.role) AS rn
   FROM users u JOIN portal_groups g ON g.group_name = u.department) WHERE rn = 1)
 SELECT u.user_id, u.email, u.role, gr.group_role,
- CASE WHEN u.user_id % 50 = 0 THEN 'admin'
+ CASE WHEN u.department = 'FURNITURE' THEN 'admin'
       WHEN gr.group_role IS NOT NULL THEN CASE WHEN lower(trim(gr.group_role)) IN ('admin','steward','data_steward','data steward') THEN 'admin' ELSE 'analyst' END
       ELSE CASE WHEN lower(trim(u.role)) IN ('admin','steward','data_steward','data steward') THEN 'admin' ELSE 'analyst' END END AS resolved_role
 FROM users u LEFT JOIN gr ON gr.user_id = u.user_id""")
 def q_resolve_roles(spark, d):
     t = tables(spark, d)
-    admins = t.users.filter(F.col("user_id") % 50 == 0).select("email")
+    admins = t.users.filter(F.col("department") == "FURNITURE").select("email")
     return CH.resolve_roles(t.users, admins, user_group_role(t.users, t.portal_groups))
 
 

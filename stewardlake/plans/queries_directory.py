@@ -77,17 +77,17 @@ def q_requests_of_placeholders(spark, d):
     return A.requests_of_placeholders(t.access_requests, t.data_products, "your_catalog.your_schema.%")
 
 
-# Every purchase event names a product ref (odd event ids name a ref that does not exist).
+# Every purchase event names a product ref; every error event names a ref that does not exist.
 @register("enrich_matches", """
-WITH m AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'DP-' || lpad(regexp_extract(props, '[0-9]+', 0), 3, '0')
-                                 ELSE 'DP-9' || regexp_extract(props, '[0-9]+', 0) END AS ref FROM events WHERE event_type = 'purchase')
+WITH m AS (SELECT event_id, CASE WHEN event_type = 'purchase' THEN 'DP-' || lpad(regexp_extract(props, '[0-9]+', 0), 3, '0')
+                                 ELSE 'DP-9' || regexp_extract(props, '[0-9]+', 0) END AS ref FROM events WHERE event_type IN ('purchase', 'error'))
 SELECT m.ref, m.event_id, p.product_id, p.display_name, p.domain, p.type FROM m
 JOIN (SELECT * FROM data_products WHERE is_active AND COALESCE(status, 'Published') = 'Published') p ON p.product_ref = m.ref""")
 def q_enrich_matches(spark, d):
     t = tables(spark, d)
     k = F.regexp_extract("props", "[0-9]+", 0)
-    m = t.raw("events").filter(F.col("event_type") == "purchase").select(
-        F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("DP-"), F.lpad(k, 3, "0")))
+    m = t.raw("events").filter(F.col("event_type").isin("purchase", "error")).select(
+        F.when(F.col("event_type") == "purchase", F.concat(F.lit("DP-"), F.lpad(k, 3, "0")))
         .otherwise(F.concat(F.lit("DP-9"), k)).alias("ref"), "event_id")
     return A.enrich_matches(m, C.catalog_published(t.data_products))
 
