@@ -46,7 +46,7 @@ SELECT actor_id, target_id, status, occurred_at, log_id FROM (
 def q_request_state_stream(spark, d):
     src, out, ckpt = _landing(spark, d, "state")
     T.request_state_stream(spark, src, out, ckpt, max_files=5)
-    return T.latest_epoch(spark, out)
+    return T.current_request_state(spark, out)
 
 
 # Approvals here are valid 20 days so warnings and expiries fire inside the 30-day flow.

@@ -68,3 +68,18 @@ def test_expiry_timers_fire_in_order(spark):
     # nothing fires past the final watermark (max event time - 1 day)
     max_ms = tables(spark, SF).raw("events").select(F.unix_millis(F.max("ts").cast("timestamp"))).first()[0]
     assert max(r["fire_ms"] for r in rows) <= max_ms - day
+
+
+def test_request_state_changelog_folds_to_batch_twin(spark):
+    src, out, ckpt = _landing(spark, "t-state", reverse=True)
+    run = T.request_state_stream(spark, src, out, ckpt, max_files=8)
+    log = spark.read.parquet(out)
+    assert run.batches > 1 and log.select("epoch").distinct().count() > 1
+    got = T.current_request_state(spark, out)
+    audit = tables(spark, SF).audit_log
+    status = T._status_expr(F.col("event_type"))
+    keyed = audit.select("actor_id", F.get_json_object("metadata", "$.k").cast("bigint").alias("target_id"),
+                         F.struct("occurred_at", "log_id", status.alias("status")).alias("e")).filter("e.status IS NOT NULL")
+    want = keyed.groupBy("actor_id", "target_id").agg(F.max("e").alias("e")).select(
+        "actor_id", "target_id", "e.status", "e.occurred_at", "e.log_id")
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
