@@ -52,9 +52,9 @@ def q_mask_table_standard(spark, d):
     return G.mask_table(prof, G.column_classes(prof), access="standard")
 
 
-# Product = the smallest product id that anyone may query; its data are its line items.
+# Product = the smallest product id with a live (approved, unexpired) grant; its data are its line items.
 @register("gated_preview", f"""WITH {STATE_CTES},
-pid AS (SELECT min(product_id) AS p FROM state WHERE can_query),
+pid AS (SELECT min(product_id) AS p FROM access_requests WHERE status = 'Approved' AND (expires_at IS NULL OR expires_at >= {AS_OF})),
 preview AS (SELECT * FROM lineitem WHERE l_partkey = (SELECT p FROM pid)
             ORDER BY l_orderkey, l_linenumber, l_suppkey LIMIT 5)
 SELECT s.requester_id AS viewer_id, preview.* FROM state s, preview
@@ -62,7 +62,7 @@ WHERE s.can_query AND s.product_id = (SELECT p FROM pid)""")
 def q_gated_preview(spark, d):
     t = tables(spark, d)
     state = A.access_state(t.access_requests, t.users, requests_as_of())
-    pid = state.filter("can_query").select(F.min("product_id")).scalar()
+    pid = A.approved_access(t.access_requests, requests_as_of()).select(F.min("product_id")).scalar()
     rows = t.raw("lineitem").filter(F.col("l_partkey") == pid)
     return G.gated_preview(state, pid, rows, ["l_orderkey", "l_linenumber", "l_suppkey"])
 
