@@ -117,7 +117,7 @@ def audit_daily_counts(spark: SparkSession, landing_glob: str, watermark: str, o
     event time; the result is maintained in complete mode (state is one row
     per day and type), so the final version equals the batch twin."""
     ev = _event_stream(spark, landing_glob, max_files).withWatermark("event_time", watermark)
-    audit = ev.select(F.date_trunc("DAY", "ts").alias("day"), F.col("event_type"))
+    audit = ev.select(F.col("ts").cast("date").cast("timestamp_ntz").alias("day"), F.col("event_type"))
     counts = audit.groupBy("day", "event_type").agg(F.count(F.lit(1)).alias("n_events"))
     q = (counts.writeStream.foreachBatch(_overwrite_sink(out)).option("checkpointLocation", ckpt)
          .outputMode("complete").trigger(availableNow=True).start())
