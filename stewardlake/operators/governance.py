@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from ..functions import rules
 from ..functions.classify import classify_sensitivity, elevated_pii, normalize_role
 from ..functions.grants import audit_metadata
+from ..functions.sampling import stable_unit
 from ..sources.fixtures import days
 from .common import sequence_numbers
 
@@ -138,15 +139,15 @@ def audit_append(audit: DataFrame, new_events: DataFrame) -> DataFrame:
 
 def backfill_last_refreshed(products: DataFrame, as_of: Column) -> DataFrame:
     """NULL last_refreshed becomes as_of minus a pseudo-random part of the
-    frequency period; the fraction is a hash of the product id, so reruns
-    and recomputed partitions agree."""
+    frequency period; the fraction is a fixed function of the product id, so
+    reruns and recomputed partitions agree."""
     span = None
     for name, d in rules.BACKFILL_SPAN_DAYS:
         span = F.when(F.col("refresh_frequency") == name, F.lit(d)) if span is None else span.when(
             F.col("refresh_frequency") == name, F.lit(d))
     span = span.otherwise(F.lit(rules.BACKFILL_DEFAULT_SPAN_DAYS))
-    frac = (F.abs(F.xxhash64("product_id")) % 1_000_000) / 1_000_000.0
-    secs = (frac * span * 86400).cast("long")
+    frac = stable_unit(F.col("product_id"), 0, 0)
+    secs = F.floor(frac * span * 86400).cast("long")
     filled = as_of - F.make_dt_interval(secs=secs.cast("decimal(18,6)"))
     need = F.col("last_refreshed").isNull() & F.col("refresh_frequency").isNotNull()
     return products.withColumn("last_refreshed", F.when(need, filled).otherwise(F.col("last_refreshed")))

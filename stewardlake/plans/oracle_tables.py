@@ -42,7 +42,7 @@ SELECT event_id AS log_id, CASE event_type WHEN 'view' THEN 'REQUEST_SUBMITTED'
     "user_library": """
 SELECT DISTINCT user_id, CAST(regexp_extract(props, '[0-9]+', 0) AS BIGINT) AS product_id FROM events WHERE event_type = 'click'""",
     "feature_requests": """
-SELECT doc_id AS request_id, substr(text,1,60) AS title, lang AS status_src, source AS requester FROM documents""",
+SELECT doc_id AS request_id, text AS title, lang AS status_src, source AS requester FROM documents""",
     "feature_request_votes": """
 SELECT DISTINCT CAST(regexp_extract(props, '[0-9]+', 0) AS BIGINT) AS request_id, user_id AS voter_id FROM events WHERE event_type = 'view'""",
     "billing_usage": """

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.sampling import stable_unit_sql
 from ..operators import access as A
 from ..operators import catalog as C
 from ..operators import changes as CH
@@ -158,13 +159,36 @@ def q_all_tables_present(spark, d):
     return IO.all_tables_present(spark, expected, existing)
 
 
-@register("gen_revenue_summary")
+def _pick_sql(values, u):
+    arr = "[" + ", ".join(f"'{v}'" for v in values) + "]"
+    return f"{arr}[CAST(floor(({u}) * {len(values)}) AS INTEGER) + 1]"
+
+
+def _u(key, salt, seed=42):
+    return stable_unit_sql(key, seed, salt)
+
+
+@register("gen_revenue_summary", f"""
+SELECT o_orderkey AS record_id,
+ {_pick_sql(IO.BUSINESS_UNITS, _u('o_orderkey', 1))} AS business_unit,
+ {_pick_sql(IO.REVENUE_REGIONS, _u('o_orderkey', 2))} AS region,
+ {AS_OF} - CAST(floor({_u('o_orderkey', 3)} * 365) AS INTEGER) * INTERVAL '1' DAY AS period_date,
+ round(50000 + {_u('o_orderkey', 4)} * 4950000, 2) AS budgeted_amount,
+ round(40000 + {_u('o_orderkey', 5)} * 4760000, 2) AS actual_amount
+FROM orders""")
 def q_gen_revenue_summary(spark, d):
     seed = tables(spark, d).raw("orders").select(F.col("o_orderkey").alias("record_id"))
     return IO.gen_revenue_summary(seed, requests_as_of())
 
 
-@register("gen_service_requests")
+@register("gen_service_requests", f"""
+SELECT request_id, printf('SR-%05d', request_id) AS request_number,
+ {_pick_sql(IO.SR_CATEGORIES, _u('request_id', 1))} AS category,
+ {_pick_sql(IO.SR_PRIORITIES, _u('request_id', 2))} AS priority,
+ {_pick_sql(IO.SR_STATUSES, _u('request_id', 3))} AS status,
+ {AS_OF} - CAST(floor({_u('request_id', 4)} * 180) AS INTEGER) * INTERVAL '1' DAY AS created_at,
+ CASE WHEN {_u('request_id', 5)} < 0.3 THEN NULL ELSE CAST(floor({_u('request_id', 6)} * 30) + 1 AS INTEGER) END AS resolution_days
+FROM (SELECT event_id + 1 AS request_id FROM events)""")
 def q_gen_service_requests(spark, d):
     seed = tables(spark, d).raw("events").select((F.col("event_id") + 1).alias("request_id"))
     return IO.gen_service_requests(seed, requests_as_of())

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions.classify import normalize_role
 from ..functions.grants import audit_metadata, grant_sql, revoke_sql
+from ..functions.sampling import stable_unit_sql
 from ..functions.text import name_from_email
 from ..operators import access as A
 from ..operators import demand as D
@@ -175,7 +176,14 @@ def q_audit_metadata(spark, d):
         "product_ref_back", F.get_json_object("metadata", "$.productRef"))
 
 
-@register("backfill_last_refreshed")
+@register("backfill_last_refreshed", f"""
+SELECT product_id, refresh_frequency,
+ CASE WHEN last_refreshed IS NULL AND refresh_frequency IS NOT NULL THEN
+  {AS_OF} - CAST(floor({stable_unit_sql('product_id', 0, 0)} *
+   CASE refresh_frequency WHEN 'Daily' THEN 1 WHEN 'Weekly' THEN 7 WHEN 'Monthly' THEN 30 ELSE 365 END * 86400) AS BIGINT)
+   * INTERVAL '1' SECOND
+ ELSE last_refreshed END AS last_refreshed
+FROM data_products""")
 def q_backfill_last_refreshed(spark, d):
     p = tables(spark, d).data_products
     return G.backfill_last_refreshed(p, requests_as_of()).select("product_id", "refresh_frequency", "last_refreshed")

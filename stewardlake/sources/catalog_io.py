@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.sampling import stable_unit
+
 # Declared schemas of the tables the engine reads (no inference, no footer merge).
 CATALOG_SCHEMAS: dict[str, str] = {
     "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
@@ -65,12 +67,12 @@ def _pick(values: list[str], r) -> F.Column:
 def gen_revenue_summary(seed_frame: DataFrame, as_of: F.Column, seed: int = 42) -> DataFrame:
     """S3: one revenue row per input row (e.g. per order): unit, region, a
     period date within 365 days before as_of, budget 50k-5M and actual
-    40k-4.8M, 2 decimals. Randomness is a hash of the row id and the seed,
-    so reruns and recomputed partitions give the same rows."""
+    40k-4.8M, 2 decimals. Randomness is a fixed function of the row id and
+    the seed, so reruns and recomputed partitions give the same rows."""
     rid = F.col("record_id")
 
     def u(salt: int):
-        return (F.abs(F.xxhash64(rid, F.lit(seed), F.lit(salt))) % 1_000_000) / 1_000_000.0
+        return stable_unit(rid, seed, salt)
 
     return seed_frame.select(
         rid,
@@ -88,7 +90,7 @@ def gen_service_requests(seed_frame: DataFrame, as_of: F.Column, seed: int = 42)
     rid = F.col("request_id")
 
     def u(salt: int):
-        return (F.abs(F.xxhash64(rid, F.lit(seed), F.lit(salt))) % 1_000_000) / 1_000_000.0
+        return stable_unit(rid, seed, salt)
 
     return seed_frame.select(
         rid,

@@ -150,10 +150,11 @@ class Tables:
 
     @cached_property
     def feature_requests(self) -> DataFrame:
-        # One feature request per document (the whole table, no id subset).
+        # One feature request per document (the whole table, no id subset); the
+        # title is the whole text, so title search covers all of it.
         return self.raw("documents").select(
             F.col("doc_id").alias("request_id"),
-            F.substring("text", 1, 60).alias("title"),
+            F.col("text").alias("title"),
             F.col("lang").alias("status_src"),
             F.col("source").alias("requester"),
         )
