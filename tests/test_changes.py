@@ -49,3 +49,33 @@ def test_sequence_numbers_are_consecutive(spark):
     got = sequence_numbers(df, ["k"], "n").orderBy("k").collect()
     assert [r["n"] for r in got] == list(range(1, 5001))
     assert [r["k"] for r in got] == list(range(5000))
+
+
+def test_more_changes_are_idempotent(spark):
+    from stewardlake.operators import access as A
+    from stewardlake.plans.params import STEWARD_EMAIL
+
+    t = tables(spark, SF)
+    as_of = requests_as_of()
+    dec = A.decision_batch(t.access_requests, t.users, STEWARD_EMAIL)
+    once = CH.approve_requests(t.access_requests, t.users, t.data_products, dec, as_of).cache()
+    assert same(once, CH.approve_requests(once, t.users, t.data_products, dec, as_of))
+
+    rev = t.access_requests.filter(F.col("business_reason") == "1-URGENT").select("request_id", F.lit(None).cast("string").alias("reason"))
+    r1 = CH.revoke_requests(once, rev, as_of).cache()
+    assert same(r1, CH.revoke_requests(r1, rev, as_of))
+
+    p = t.data_products
+    dec_p = p.filter(F.col("status") == "Pending").select(
+        "product_ref", F.when(F.col("type") == "Dataset", "publish").otherwise("reject").alias("action"), as_of.alias("decided_at"))
+    p1 = CH.review_products(p, dec_p, as_of).cache()
+    assert same(p1, CH.review_products(p1, dec_p, as_of))
+
+    patches = p.filter(F.col("type") == "Report").select(
+        "product_ref", F.lit(True).alias("has_domain"), F.lower("domain").alias("domain"))
+    q1 = CH.patch_products(p, patches).cache()
+    assert same(q1, CH.patch_products(q1, patches))
+
+    inc = t.raw("customer").select(F.col("c_mktsegment").alias("group_name"), F.lit("analyst").alias("role")).distinct()
+    g1 = CH.upsert_groups(t.portal_groups, inc).cache()
+    assert same(g1, CH.upsert_groups(g1, inc))
