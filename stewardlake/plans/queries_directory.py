@@ -203,3 +203,16 @@ def q_write_table(spark, d):
     df = C.align_schema(tables(spark, d).data_products).select(
         "product_id", "product_ref", "display_name", "source_type", "status")
     return IO.write_table(df, checkpoint_subdir(spark, f"table-data_products-{uuid.uuid4().hex[:12]}"))
+
+
+# S5 with time layout: requests stored by request month, then one quarter read back (pruned).
+@register("requests_by_month", """
+SELECT request_id, product_id, requester_id, status, requested_at, strftime(requested_at, '%Y-%m') AS ym
+FROM access_requests WHERE strftime(requested_at, '%Y-%m') BETWEEN '1998-01' AND '1998-03'""")
+def q_requests_by_month(spark, d):
+    import uuid
+
+    req = tables(spark, d).access_requests.select("request_id", "product_id", "requester_id", "status", "requested_at")
+    path = checkpoint_subdir(spark, f"table-access_requests-{uuid.uuid4().hex[:12]}")
+    IO.write_by_month(req, path, "requested_at")
+    return IO.read_months(spark, path, "1998-01", "1998-03")

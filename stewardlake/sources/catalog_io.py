@@ -125,3 +125,20 @@ def all_tables_present(spark: SparkSession, expected: DataFrame, existing: DataF
         names = [t.name for t in spark.catalog.listTables()]
         existing = spark.createDataFrame([(n,) for n in names], T.StructType([T.StructField("table_name", T.StringType())]))
     return expected.select("table_name").subtract(existing.select("table_name"))
+
+
+# ---- time-partitioned storage -----------------------------------------------------------------
+def write_by_month(df: DataFrame, path: str, time_col: str) -> DataFrame:
+    """Store a fact table (requests, audit) partitioned by the month of
+    ``time_col`` (``ym=yyyy-MM``), one task writing each month's rows of its
+    partition; returns the stored table."""
+    ym = F.date_format(F.col(time_col), "yyyy-MM")
+    df.withColumn("ym", ym).write.mode("overwrite").partitionBy("ym").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def read_months(spark: SparkSession, path: str, first: str, last: str) -> DataFrame:
+    """Read the months first..last (``yyyy-MM``, inclusive) of a table stored
+    by ``write_by_month``: the predicate is on the partition column, so only
+    those folders are listed and scanned (partition pruning)."""
+    return spark.read.parquet(path).filter((F.col("ym") >= first) & (F.col("ym") <= last))

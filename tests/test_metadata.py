@@ -75,3 +75,15 @@ def test_catalog_page_offsets_and_total(spark):
     page = C.catalog_page(df, 3).collect()
     assert [r["product_id"] for r in page] == [13]
     assert page[0]["total_pages"] == 3
+
+
+def test_month_layout_prunes_partitions(spark, tmp_path):
+    from stewardlake.sources import catalog_io as IO
+
+    df = spark.createDataFrame([(1, dt.datetime(2001, 1, 5)), (2, dt.datetime(2001, 2, 5)), (3, dt.datetime(2001, 3, 5))],
+                               "id long, ts timestamp_ntz")
+    IO.write_by_month(df, str(tmp_path / "t"), "ts")
+    got = IO.read_months(spark, str(tmp_path / "t"), "2001-02", "2001-03")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(ym" in plan
+    assert sorted(r["id"] for r in got.collect()) == [2, 3]
