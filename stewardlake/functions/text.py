@@ -55,8 +55,11 @@ def parse_tags(tags_text: Column | str) -> Column:
 
 
 def tags_from_input(tags_text: Column | str) -> Column:
-    """Comma string to a trimmed array (empty entries are kept)."""
-    return F.transform(F.split(_c(tags_text), ","), lambda t: F.trim(t))
+    """Comma string to a trimmed array (inner empty entries are kept); an
+    absent or empty input gives an empty array."""
+    t = _c(tags_text)
+    return F.when(t.isNull() | (t == ""), F.array().cast("array<string>")).otherwise(
+        F.transform(F.split(t, ","), lambda x: F.trim(x)))
 
 
 def strip_markdown(text: Column | str) -> Column:

@@ -216,12 +216,13 @@ SELECT product_id, refresh_frequency, last_refreshed,
   WHEN age <= thr * 0.5 THEN 'Fresh' WHEN age <= thr THEN 'Recent' WHEN age <= thr * 2 THEN 'Stale' ELSE 'Outdated' END AS freshness
 FROM (SELECT product_id, refresh_frequency, last_refreshed,
   date_diff('microsecond', last_refreshed, TIMESTAMP '{FRESHNESS_AS_OF_TEXT}') / 86400000000.0 AS age,
-  CASE refresh_frequency WHEN 'Daily' THEN 1.5 WHEN 'Weekly' THEN 8.0 WHEN 'Monthly' THEN 32.0 WHEN 'Annual' THEN 370.0 ELSE 3.0 END AS thr
+  CASE COALESCE(refresh_frequency, 'Daily') WHEN 'Daily' THEN 1.5 WHEN 'Weekly' THEN 8.0 WHEN 'Monthly' THEN 32.0 WHEN 'Annual' THEN 370.0 ELSE 3.0 END AS thr
  FROM data_products)""")
 def q_freshness(spark, d):
     p = tables(spark, d).data_products
     return p.select("product_id", "refresh_frequency", "last_refreshed",
-                    freshness("last_refreshed", "refresh_frequency", freshness_as_of()).alias("freshness"))
+                    freshness("last_refreshed", F.coalesce("refresh_frequency", F.lit("Daily")), freshness_as_of())
+                    .alias("freshness"))
 
 
 @register("parse_tags", """
