@@ -126,6 +126,23 @@ def audit_daily_counts(spark: SparkSession, landing_glob: str, watermark: str, o
     return run
 
 
+def audit_daily_counts_append(spark: SparkSession, landing_glob: str, watermark: str, out: str, ckpt: str,
+                              max_files: int | None = 1) -> StreamRun:
+    """T2 in append mode: tumbling one-day event-time windows; a window is
+    emitted once, when the watermark passes its end, and its state is then
+    dropped (bounded state for an unbounded flow). Windows still open when
+    the input ends are not emitted yet; late rows behind the watermark are
+    dropped and counted."""
+    ev = _event_stream(spark, landing_glob, max_files).withWatermark("event_time", watermark)
+    counts = ev.groupBy(F.window("event_time", "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n_events"))
+    out_df = counts.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "event_type", "n_events")
+    q = (out_df.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
+         .outputMode("append").trigger(availableNow=True).start())
+    run = _run(q)
+    run.output, run.checkpoint = out, ckpt
+    return run
+
+
 def _status_expr(col):
     e = None
     for et, st in STATUS_BY_EVENT:

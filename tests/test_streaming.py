@@ -83,3 +83,21 @@ def test_request_state_changelog_folds_to_batch_twin(spark):
     want = keyed.groupBy("actor_id", "target_id").agg(F.max("e").alias("e")).select(
         "actor_id", "target_id", "e.status", "e.occurred_at", "e.log_id")
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_daily_counts_append_emits_closed_windows_only(spark):
+    """Append mode with a 1-day watermark, files in event-time order: every
+    window ending after max(ts) - 1 day is still open, the rest are final."""
+    src, out, ckpt = _landing(spark, "t-daily-append", reverse=False)
+    T.audit_daily_counts_append(spark, src, "1 day", out, ckpt, max_files=8)
+    got = spark.read.parquet(out)
+    ev = tables(spark, SF).raw("events")
+    max_ts = ev.select(F.max("ts")).first()[0]
+    import datetime as dt
+    horizon = max_ts - dt.timedelta(days=1)
+    want = (ev.withColumn("day", F.col("ts").cast("date").cast("timestamp_ntz"))
+            .filter(F.col("day") + F.expr("INTERVAL 1 DAY") <= F.lit(horizon))
+            .groupBy("day", "event_type").agg(F.count(F.lit(1)).alias("n_events")))
+    got_ntz = got.select(F.col("window_start").cast("timestamp_ntz").alias("day"), "event_type", "n_events")
+    assert got_ntz.exceptAll(want).count() == 0 and want.exceptAll(got_ntz).count() == 0
+    assert 0 < got.count() < 150
