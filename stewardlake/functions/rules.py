@@ -89,6 +89,22 @@ RECENT_WITHIN_DAYS = 7
 RECENT_LIMIT = 10
 RECENT_STATUSES = ["Approved", "Denied", "Revoked"]
 
+# --- product defaults, import texts and spend labels -----------------------------
+DEFAULT_SOURCE_TYPE = "Databricks"
+IMPORT_SOURCE_SYSTEM = "Unity Catalog"
+IMPORT_DESCRIPTION_PREFIX = "Imported from Unity Catalog: "
+DISCOVER_DESCRIPTION_PREFIX = "Auto-discovered from Unity Catalog: "
+IMPORT_OWNER_DEFAULT = "datasteward@example.org"
+# spend: resource label by SKU patterns, first match wins (after the app tag);
+# the row filter keeps the app tag and these patterns (not all label patterns)
+SPEND_TAG_LABEL = "Warehouse"
+SPEND_RESOURCE_RULES = [
+    ("Lakebase (Postgres)", ["%LAKEBASE%"]),
+    ("Ask AI (FMAPI)", ["%FOUNDATION_MODEL%", "%LLAMA%", "%PREMIUM_SERVING%"]),
+]
+SPEND_FILTER_PATTERNS = ["%LAKEBASE%", "%FOUNDATION_MODEL%", "%PREMIUM_SERVING%"]
+SPEND_OTHER_LABEL = "Other"
+
 # --- feature requests ----------------------------------------------------------
 FEATURE_STATUSES = ["open", "on_roadmap", "done", "declined"]
 

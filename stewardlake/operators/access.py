@@ -242,7 +242,7 @@ def my_status_counts(requests: DataFrame) -> DataFrame:
 
 def insight_stats(state: DataFrame, published: DataFrame, users: DataFrame) -> DataFrame:
     """Per user: published products accessible / available to request, and
-    the catalog-wide dashboards-and-Genie / everything-else counts.
+    the catalog-wide counts of dashboard-like types and of everything else.
 
     Computed from counts, never by pairing every user with every product:
     a non-admin can query exactly its granted products; an admin can query
@@ -266,7 +266,7 @@ def insight_stats(state: DataFrame, published: DataFrame, users: DataFrame) -> D
         F.col("requester_id").alias("user_id"),
         "accessible",
         (n_pub - F.col("accessible")).alias("requestable"),
-        n_dash.alias("dashboards_genie"),
+        n_dash.alias("dashboards"),
         (n_pub - n_dash).alias("other_products"),
     )
 

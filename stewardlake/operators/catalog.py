@@ -30,13 +30,13 @@ OPTIONAL_DEFAULTS = {
 
 def align_schema(products: DataFrame) -> DataFrame:
     """Add absent optional columns as typed NULLs, then the COALESCE
-    defaults: source_type <- source_system <- 'Databricks'; urls <- ''."""
+    defaults: source_type <- source_system <- the default source; urls <- ''."""
     df = products
     for name, typ in OPTIONAL_DEFAULTS.items():
         if name not in df.columns:
             df = df.withColumn(name, F.lit(None).cast(typ))
     return (
-        df.withColumn("source_type", F.coalesce("source_type", "source_system", F.lit("Databricks")))
+        df.withColumn("source_type", F.coalesce("source_type", "source_system", F.lit(rules.DEFAULT_SOURCE_TYPE)))
         .withColumn("product_url", F.coalesce("product_url", F.lit("")))
         .withColumn("report_url", F.coalesce("report_url", F.lit("")))
     )
@@ -98,7 +98,7 @@ def normalize_products(products: DataFrame) -> DataFrame:
         F.coalesce("owner_email", F.lit("-")).alias("owner"),
         "last_refreshed",
         "uc_full_name",
-        F.coalesce("source_type", F.lit("Databricks")).alias("source_type"),
+        F.coalesce("source_type", F.lit(rules.DEFAULT_SOURCE_TYPE)).alias("source_type"),
         F.coalesce("tags", F.array().cast("array<string>")).alias("tags"),
         _status().alias("status"),
     )
@@ -213,7 +213,7 @@ def top_domains(published: DataFrame, k: int = 5) -> DataFrame:
 
 def facets(norm: DataFrame) -> DataFrame:
     """(facet, value, ord) for categories, types (taxonomy order),
-    sources and tags (exploded, 'UC Import' dropped). Each facet is a
+    sources and tags (exploded, the import-method tag dropped). Each facet is a
     distinct aggregate: partial per partition, then one small shuffle."""
     cats = norm.filter(F.col("category") != "").select(F.lit("category").alias("facet"), F.col("category").alias("value"))
     srcs = norm.filter(F.col("source_type") != "").select(F.lit("source").alias("facet"), F.col("source_type").alias("value"))

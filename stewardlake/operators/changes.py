@@ -110,9 +110,9 @@ def delete_products(refs: DataFrame, products: DataFrame, requests: DataFrame, a
 
 
 def fill_defaults(products: DataFrame) -> DataFrame:
-    """Status NULL -> Published, source_system NULL -> Databricks."""
+    """Status NULL -> Published, source_system NULL -> the default source."""
     return products.withColumn("status", F.coalesce("status", F.lit("Published"))) \
-        .withColumn("source_system", F.coalesce("source_system", F.lit("Databricks")))
+        .withColumn("source_system", F.coalesce("source_system", F.lit(rules.DEFAULT_SOURCE_TYPE)))
 
 
 def reset_workflow(requests: DataFrame, audit: DataFrame, products: DataFrame, seed_refs: list[str]) -> dict[str, DataFrame]:

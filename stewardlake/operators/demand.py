@@ -71,16 +71,20 @@ def feature_ranking(with_votes: DataFrame) -> DataFrame:
 
 
 def spend_by_resource(usage: DataFrame, app_tag: str) -> DataFrame:
-    """DBUs by day, usage type and CASE-derived resource. As in the
-    reference, the LLAMA arm of the CASE is not part of the filter."""
+    """DBUs by day, usage type and a resource label derived from the app
+    tag and ordered SKU patterns. As in the reference, one pattern of the
+    label rules is not part of the row filter."""
     sku, tag = F.col("sku_name"), F.col("tag_app")
-    resource = (
-        F.when(tag == app_tag, "Warehouse")
-        .when(sku.like("%LAKEBASE%"), "Lakebase (Postgres)")
-        .when(sku.like("%FOUNDATION_MODEL%") | sku.like("%LLAMA%") | sku.like("%PREMIUM_SERVING%"), "Ask AI (FMAPI)")
-        .otherwise("Other")
-    )
-    keep = (tag == app_tag) | sku.like("%LAKEBASE%") | sku.like("%FOUNDATION_MODEL%") | sku.like("%PREMIUM_SERVING%")
+    resource = F.when(tag == app_tag, rules.SPEND_TAG_LABEL)
+    for label, patterns in rules.SPEND_RESOURCE_RULES:
+        hit = None
+        for p in patterns:
+            hit = sku.like(p) if hit is None else hit | sku.like(p)
+        resource = resource.when(hit, label)
+    resource = resource.otherwise(rules.SPEND_OTHER_LABEL)
+    keep = tag == app_tag
+    for p in rules.SPEND_FILTER_PATTERNS:
+        keep = keep | sku.like(p)
     return (
         usage.filter(F.coalesce(keep, F.lit(False)))
         .groupBy("usage_date", "usage_type", resource.alias("resource"))

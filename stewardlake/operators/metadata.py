@@ -218,13 +218,13 @@ def import_tables(selected: DataFrame, meta_columns: DataFrame, products: DataFr
     rows = s.select(
         "full_name",
         display_name(F.col("table_name")).alias("display_name"),
-        F.coalesce(F.nullif(comment, F.lit("")), F.concat(F.lit("Imported from Unity Catalog: "), F.col("full_name"))).alias("description"),
+        F.coalesce(F.nullif(comment, F.lit("")), F.concat(F.lit(rules.IMPORT_DESCRIPTION_PREFIX), F.col("full_name"))).alias("description"),
         F.lit("Dataset").alias("type"),
         dom.alias("domain"),
         build_tags(dom, has_pii, has_conf, F.col("table_tags")).alias("tags"),
-        F.lit("Unity Catalog").alias("source_system"),
+        F.lit(rules.IMPORT_SOURCE_SYSTEM).alias("source_system"),
         F.lit("Daily").alias("refresh_frequency"),
-        F.coalesce(F.nullif(owner, F.lit("")), F.lit("datasteward@example.org")).alias("owner_email"),
+        F.coalesce(F.nullif(owner, F.lit("")), F.lit(rules.IMPORT_OWNER_DEFAULT)).alias("owner_email"),
         F.lit("Internal").alias("classification"),
         F.col("full_name").alias("uc_full_name"),
         F.lit(True).alias("is_active"),
@@ -240,11 +240,11 @@ def discover_drafts(meta_tables: DataFrame, products: DataFrame, prefix: str, as
     rows = new.select(
         "full_name",
         display_name(F.col("table_name")).alias("display_name"),
-        F.concat(F.lit("Auto-discovered from Unity Catalog: "), F.col("full_name")).alias("description"),
+        F.concat(F.lit(rules.DISCOVER_DESCRIPTION_PREFIX), F.col("full_name")).alias("description"),
         F.lit("Dataset").alias("type"),
         F.lit("Other").alias("domain"),
         F.array().cast("array<string>").alias("tags"),
-        F.lit("Unity Catalog").alias("source_system"),
+        F.lit(rules.IMPORT_SOURCE_SYSTEM).alias("source_system"),
         F.lit("Daily").alias("refresh_frequency"),
         F.lit("").alias("owner_email"),
         F.lit("Internal").alias("classification"),

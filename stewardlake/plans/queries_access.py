@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import rules
 from ..operators import access as A
 from ..operators.catalog import catalog_published
 from ..sources.fixtures import tables
@@ -40,6 +41,7 @@ state AS (
  FROM best b LEFT JOIN admins a ON a.user_id = b.requester_id WHERE rn = 1)"""
 
 PUBLISHED_WHERE = "is_active AND COALESCE(status, 'Published') = 'Published'"
+DASH_TYPES_SQL = "(" + ", ".join(f"'{t}'" for t in rules.DASHBOARD_TYPES) + ")"
 
 
 @register("requests_detail", DETAIL_SQL)
@@ -175,12 +177,12 @@ pub AS (SELECT product_id, type FROM data_products WHERE {PUBLISHED_WHERE}),
 st AS (SELECT requester_id, count(*) FILTER (WHERE state = 'granted') AS n_granted,
         count(*) FILTER (WHERE state IN ('revoked','pending')) AS n_blocked
        FROM state WHERE product_id IN (SELECT product_id FROM pub) GROUP BY requester_id),
-k AS (SELECT count(*) AS n_pub, count(*) FILTER (WHERE type IN ('Dashboard','AI/BI Dashboard','Genie Space')) AS n_dash FROM pub),
+k AS (SELECT count(*) AS n_pub, count(*) FILTER (WHERE type IN {DASH_TYPES_SQL}) AS n_dash FROM pub),
 acc AS (
  SELECT u.user_id, CASE WHEN lower(trim(u.role)) IN {ADMIN_ALIASES_SQL} THEN k.n_pub - COALESCE(st.n_blocked, 0)
         ELSE COALESCE(st.n_granted, 0) END AS accessible, k.n_pub, k.n_dash
  FROM users u CROSS JOIN k LEFT JOIN st ON st.requester_id = u.user_id)
-SELECT user_id, accessible, n_pub - accessible AS requestable, n_dash AS dashboards_genie, n_pub - n_dash AS other_products FROM acc""")
+SELECT user_id, accessible, n_pub - accessible AS requestable, n_dash AS dashboards, n_pub - n_dash AS other_products FROM acc""")
 def q_insight_stats(spark, d):
     t = tables(spark, d)
     state = A.access_state(t.access_requests, t.users, requests_as_of())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import rules
 from ..functions.classify import freshness
 from ..functions.text import parse_tags, tags_from_input
 from ..operators import catalog as C
@@ -12,22 +13,24 @@ from ..sources.fixtures import tables
 from .params import FRESHNESS_AS_OF_TEXT, freshness_as_of
 from .registry import register
 
-ALIGNED = """aligned AS (
+DEFAULT_SOURCE = rules.DEFAULT_SOURCE_TYPE
+TYPES_SQL = "[" + ", ".join(f"'{t}'" for t in rules.PRODUCT_TYPES) + "]"
+ALIGNED = f"""aligned AS (
  SELECT product_id, product_ref, uc_full_name, display_name, description, type, domain, tags, source_system,
   refresh_frequency, CAST(NULL AS VARCHAR) AS owner_email, CAST(NULL AS VARCHAR) AS classification, is_active,
   COALESCE(status, 'Published') AS status, CAST(NULL AS TIMESTAMP) AS created_at, CAST(NULL AS TIMESTAMP) AS updated_at,
-  last_refreshed, COALESCE(source_system, 'Databricks') AS source_type, '' AS product_url, '' AS report_url
+  last_refreshed, COALESCE(source_system, '{DEFAULT_SOURCE}') AS source_type, '' AS product_url, '' AS report_url
  FROM data_products)"""
 LIST_COLS = ("product_id, product_ref, uc_full_name, display_name, description, type, domain, array_to_string(tags, '|') AS tags, "
              "source_system, refresh_frequency, owner_email, classification, is_active, status, created_at, updated_at, "
              "last_refreshed, source_type, product_url, report_url")
 PUBLISHED = "is_active AND status = 'Published'"
-NORM = """norm AS (
+NORM = f"""norm AS (
  SELECT product_id, product_ref, display_name AS name, COALESCE(domain, 'Other') AS category, COALESCE(type, 'Dashboard') AS type,
   COALESCE(source_system, '-') AS source, COALESCE(description, '') AS description, COALESCE(refresh_frequency, 'Daily') AS refresh_frequency,
-  COALESCE(owner_email, '-') AS owner, last_refreshed, uc_full_name, COALESCE(source_type, 'Databricks') AS source_type,
+  COALESCE(owner_email, '-') AS owner, last_refreshed, uc_full_name, COALESCE(source_type, '{DEFAULT_SOURCE}') AS source_type,
   COALESCE(tags, []) AS tags, status
- FROM aligned WHERE {where})"""
+ FROM aligned WHERE {{where}})"""
 NORM_COLS = ("product_id, product_ref, name, category, type, source, description, refresh_frequency, owner, last_refreshed, "
              "uc_full_name, source_type, array_to_string(tags, '|') AS tags, status")
 
@@ -173,9 +176,9 @@ def q_top_domains(spark, d):
 SELECT DISTINCT * FROM (
  SELECT 'category' AS facet, category AS value, CAST(NULL AS INTEGER) AS ord FROM norm WHERE category <> ''
  UNION ALL SELECT 'source', source_type, CAST(NULL AS INTEGER) FROM norm WHERE source_type <> ''
- UNION ALL SELECT 'tag', t, CAST(NULL AS INTEGER) FROM (SELECT unnest(tags) AS t FROM norm) WHERE t IS NOT NULL AND t <> '' AND t <> 'UC Import'
- UNION ALL SELECT 'type', type, CAST(list_position(['Dashboard','AI/BI Dashboard','Genie Space','Dataset','Report','App','ML Model','Power BI','Tableau'], type) AS INTEGER)
-  FROM norm WHERE type IN ('Dashboard','AI/BI Dashboard','Genie Space','Dataset','Report','App','ML Model','Power BI','Tableau'))""")
+ UNION ALL SELECT 'tag', t, CAST(NULL AS INTEGER) FROM (SELECT unnest(tags) AS t FROM norm) WHERE t IS NOT NULL AND t <> '' AND t <> '{rules.FACET_TAG_EXCLUDED}'
+ UNION ALL SELECT 'type', type, CAST(list_position({TYPES_SQL}, type) AS INTEGER)
+  FROM norm WHERE list_contains({TYPES_SQL}, type))""")
 def q_facets(spark, d):
     return C.facets(_norm_published(tables(spark, d)))
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import rules
 from ..operators import access as A
 from ..operators import changes as CH
 from ..operators.governance import user_group_role
@@ -266,7 +267,7 @@ def q_migrate_group_roles(spark, d):
     return CH.migrate_roles(t.users, t.portal_groups)["portal_groups"]
 
 
-@register("fill_defaults", "SELECT product_id, COALESCE(status, 'Published') AS status, COALESCE(source_system, 'Databricks') AS source_system FROM data_products")
+@register("fill_defaults", f"SELECT product_id, COALESCE(status, 'Published') AS status, COALESCE(source_system, '{rules.DEFAULT_SOURCE_TYPE}') AS source_system FROM data_products")
 def q_fill_defaults(spark, d):
     return CH.fill_defaults(tables(spark, d).data_products).select("product_id", "status", "source_system")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import rules
 from ..functions.sampling import stable_unit_sql
 from ..operators import access as A
 from ..operators import catalog as C
@@ -195,8 +196,8 @@ def q_gen_service_requests(spark, d):
 
 
 # The aligned catalog written as a table under the shared checkpoint folder and read back.
-@register("write_table", """
-SELECT product_id, product_ref, display_name, COALESCE(source_system, 'Databricks') AS source_type, status FROM data_products""")
+@register("write_table", f"""
+SELECT product_id, product_ref, display_name, COALESCE(source_system, '{rules.DEFAULT_SOURCE_TYPE}') AS source_type, status FROM data_products""")
 def q_write_table(spark, d):
     import uuid
 

@@ -132,8 +132,8 @@ def q_normalize_role(spark, d):
 
 def _grant_sql_sql(full, email, name):
     quoted = f"array_to_string(list_transform(string_split({full}, '.'), lambda p: '`' || replace(p, '`', '``') || '`'), '.')"
-    return (f"CASE WHEN {full} IS NULL OR {full} = '' THEN '-- No UC table linked for ' || COALESCE({name}, '') || "
-            f"' (set uc_full_name on the product to enable automatic grants)' "
+    head, tail = rules.NO_TABLE_GRANT_COMMENT.split("{name}")
+    return (f"CASE WHEN {full} IS NULL OR {full} = '' THEN '{head}' || COALESCE({name}, '') || '{tail}' "
             f"ELSE 'GRANT SELECT ON ' || {quoted} || ' TO `' || replace({email}, '`', '``') || '`;' END")
 
 
@@ -156,7 +156,7 @@ def q_grant_sql(spark, d):
 
 
 @register("revoke_sql", f"""WITH {GRANTS}
-SELECT request_id, CASE WHEN grant_sql IS NULL OR grant_sql = '' THEN '-- No UC table linked; manual revocation required'
+SELECT request_id, CASE WHEN grant_sql IS NULL OR grant_sql = '' THEN '{rules.NO_TABLE_REVOKE_COMMENT}'
  ELSE regexp_replace(regexp_replace(grant_sql, '^GRANT', 'REVOKE'), '^(.*?) TO ', '\\1 FROM ') END AS revoke_sql FROM g""")
 def q_revoke_sql(spark, d):
     g = _grants_frame(tables(spark, d))
@@ -284,14 +284,20 @@ def q_set_feature_status(spark, d):
 
 
 # ---- spend and finance --------------------------------------------------------------------
-@register("spend_by_resource", """
+def _spend_sql():
+    arms = " ".join(
+        f"WHEN {' OR '.join(f'sku_name LIKE {chr(39)}{p}{chr(39)}' for p in pats)} THEN '{label}'"
+        for label, pats in rules.SPEND_RESOURCE_RULES)
+    keep = " OR ".join(["tag_app = 'portal'"] + [f"sku_name LIKE '{p}'" for p in rules.SPEND_FILTER_PATTERNS])
+    return f"""
 SELECT usage_date, usage_type,
- CASE WHEN tag_app = 'portal' THEN 'Warehouse' WHEN sku_name LIKE '%LAKEBASE%' THEN 'Lakebase (Postgres)'
-  WHEN sku_name LIKE '%FOUNDATION_MODEL%' OR sku_name LIKE '%LLAMA%' OR sku_name LIKE '%PREMIUM_SERVING%' THEN 'Ask AI (FMAPI)'
-  ELSE 'Other' END AS resource, round(sum(usage_quantity), 4) AS dbus
-FROM billing_usage
-WHERE COALESCE(tag_app = 'portal' OR sku_name LIKE '%LAKEBASE%' OR sku_name LIKE '%FOUNDATION_MODEL%' OR sku_name LIKE '%PREMIUM_SERVING%', FALSE)
-GROUP BY 1, 2, 3""")
+ CASE WHEN tag_app = 'portal' THEN '{rules.SPEND_TAG_LABEL}' {arms} ELSE '{rules.SPEND_OTHER_LABEL}' END AS resource,
+ round(sum(usage_quantity), 4) AS dbus
+FROM billing_usage WHERE COALESCE({keep}, FALSE)
+GROUP BY 1, 2, 3"""
+
+
+@register("spend_by_resource", _spend_sql())
 def q_spend_by_resource(spark, d):
     return D.spend_by_resource(tables(spark, d).billing_usage, "portal")
 

@@ -56,8 +56,9 @@ PII_FLAGS = f"""pii AS (
  SELECT product_id, bool_or(regexp_matches(column_name, '{PII_RE}')) AS has_pii,
   NOT bool_or(regexp_matches(column_name, '{PII_RE}')) AND bool_or(regexp_matches(column_name, '{CONF_RE}')) AS has_confidential
  FROM meta_columns GROUP BY product_id)"""
+HIDDEN_CATALOGS_SQL = "(" + ", ".join(f"'{c}'" for c in rules.HIDDEN_CATALOGS) + ")"
 VISIBILITY = f"""vis AS (
- SELECT catalog_name, schema_name, NOT first(catalog_name IN ('system','__databricks_internal','hive_metastore')) AS can_list_schemas,
+ SELECT catalog_name, schema_name, NOT first(catalog_name IN {HIDDEN_CATALOGS_SQL}) AS can_list_schemas,
   NOT bool_or({INTERNAL}) AS tables_visible FROM meta_tables GROUP BY 1, 2),
 summary AS (
  SELECT catalog_name, bool_and(can_list_schemas) AS can_list_schemas, count(*) FILTER (WHERE NOT tables_visible) AS schemas_needing_grant
@@ -76,8 +77,8 @@ def q_registered_flag(spark, d):
     return M.registered_flag(t.meta_tables, t.data_products)
 
 
-@register("list_catalogs", """SELECT DISTINCT catalog_name, schema_name FROM meta_tables
-WHERE catalog_name NOT IN ('system','__databricks_internal','hive_metastore') AND schema_name <> 'information_schema'""")
+@register("list_catalogs", f"""SELECT DISTINCT catalog_name, schema_name FROM meta_tables
+WHERE catalog_name NOT IN {HIDDEN_CATALOGS_SQL} AND schema_name <> 'information_schema'""")
 def q_list_catalogs(spark, d):
     return M.list_catalogs(tables(spark, d).meta_tables)
 
@@ -218,9 +219,9 @@ def q_assign_refs(spark, d):
 
 @register("import_tables", f"""WITH {FLAGGED}, {PII_FLAGS}, {IMPORT_ROWS}
 SELECT printf('DP-%03d', mx.m + row_number() OVER (ORDER BY full_name)) AS product_ref,
- {display_name_sql('table_name')} AS display_name, 'Imported from Unity Catalog: ' || full_name AS description, 'Dataset' AS type, domain,
- CASE WHEN len(tl) = 0 THEN 'Dataset' ELSE array_to_string(tl, '|') END AS tags, 'Unity Catalog' AS source_system, 'Daily' AS refresh_frequency,
- 'datasteward@example.org' AS owner_email, 'Internal' AS classification, full_name AS uc_full_name, TRUE AS is_active, 'Published' AS status,
+ {display_name_sql('table_name')} AS display_name, '{rules.IMPORT_DESCRIPTION_PREFIX}' || full_name AS description, 'Dataset' AS type, domain,
+ CASE WHEN len(tl) = 0 THEN 'Dataset' ELSE array_to_string(tl, '|') END AS tags, '{rules.IMPORT_SOURCE_SYSTEM}' AS source_system, 'Daily' AS refresh_frequency,
+ '{rules.IMPORT_OWNER_DEFAULT}' AS owner_email, 'Internal' AS classification, full_name AS uc_full_name, TRUE AS is_active, 'Published' AS status,
  COALESCE(updated_at, {AS_OF}) AS last_refreshed
 FROM (SELECT *, list_filter([CASE WHEN domain <> 'Other' THEN domain END, CASE WHEN has_pii THEN 'Contains PII' END,
   CASE WHEN has_conf THEN 'Confidential' END], lambda x: x IS NOT NULL) AS tl FROM rows), mx""")
@@ -235,8 +236,8 @@ DISCOVER_PREFIX = "promo.brand_1"
 @register("discover_drafts", f"""
 SELECT printf('DP-%03d', (SELECT COALESCE(max(TRY_CAST(substring(product_ref, 4) AS INTEGER)), 0) FROM data_products)
   + row_number() OVER (ORDER BY full_name)) AS product_ref,
- {display_name_sql('table_name')} AS display_name, 'Auto-discovered from Unity Catalog: ' || full_name AS description, 'Dataset' AS type,
- 'Other' AS domain, '' AS tags, 'Unity Catalog' AS source_system, 'Daily' AS refresh_frequency, '' AS owner_email,
+ {display_name_sql('table_name')} AS display_name, '{rules.DISCOVER_DESCRIPTION_PREFIX}' || full_name AS description, 'Dataset' AS type,
+ 'Other' AS domain, '' AS tags, '{rules.IMPORT_SOURCE_SYSTEM}' AS source_system, 'Daily' AS refresh_frequency, '' AS owner_email,
  'Internal' AS classification, full_name AS uc_full_name, FALSE AS is_active, 'Draft' AS status, {AS_OF} AS last_refreshed
 FROM (SELECT *, {FULL} AS full_name FROM meta_tables WHERE catalog_name = 'promo' AND schema_name = 'brand_1') m
 WHERE lower(full_name) NOT IN (SELECT lower(uc_full_name) FROM data_products WHERE uc_full_name IS NOT NULL)""")

@@ -29,6 +29,9 @@ META_COLUMNS = [
     ("salary_band", "string", 8),
 ]
 PORTAL_GROUPS = [("AUTOMOBILE", "admin"), ("BUILDING", "steward"), ("MACHINERY", "analyst")]
+TYPE_BY_SIZE_MOD5 = ["Dashboard", "Dataset", "Report", "Genie Space", "ML Model"]
+SKU_BY_EVENT = [("view", "PREMIUM_SERVING"), ("click", "LAKEBASE_CU"), ("purchase", "FOUNDATION_MODEL_TOKENS")]
+SKU_OTHER = "SQL_COMPUTE"
 
 
 def ts_ntz(text: str) -> Column:
@@ -44,6 +47,13 @@ def hours(n: Column | int) -> Column:
     return F.make_dt_interval(hours=n if isinstance(n, Column) else F.lit(n))
 
 
+def _case(col: Column, pairs: list[tuple[str, str]], default: str) -> Column:
+    e = None
+    for k, v in pairs:
+        e = F.when(col == k, v) if e is None else e.when(col == k, v)
+    return e.otherwise(default)
+
+
 def _num(c: str) -> Column:
     return F.col(c).cast("string")
 
@@ -82,8 +92,7 @@ class Tables:
             F.when(k % 10 == 0, F.lit(None).cast("string")).otherwise(full_name).alias("uc_full_name"),
             F.concat_ws(" ", F.col("p_name"), _num("p_partkey")).alias("display_name"),
             F.concat(F.col("p_type"), F.lit(" "), F.col("p_name"), F.lit(" from "), F.col("p_brand")).alias("description"),
-            F.when(size_mod5 == 0, "Dashboard").when(size_mod5 == 1, "Dataset").when(size_mod5 == 2, "Report")
-            .when(size_mod5 == 3, "Genie Space").otherwise("ML Model").alias("type"),
+            _case(size_mod5, list(enumerate(TYPE_BY_SIZE_MOD5[:-1])), TYPE_BY_SIZE_MOD5[-1]).alias("type"),
             F.when(k % 37 == 0, F.lit(None).cast("string")).otherwise(F.col("p_type")).alias("domain"),
             tags_csv.alias("tags_csv"),
             F.split(tags_csv, ",").alias("tags"),
@@ -172,8 +181,7 @@ class Tables:
         et = F.col("event_type")
         return self.raw("events").select(
             F.col("ts").cast("date").alias("usage_date"),
-            F.when(et == "view", "PREMIUM_SERVING").when(et == "click", "LAKEBASE_CU")
-            .when(et == "purchase", "FOUNDATION_MODEL_TOKENS").otherwise("SQL_COMPUTE").alias("sku_name"),
+            _case(et, SKU_BY_EVENT, SKU_OTHER).alias("sku_name"),
             et.alias("usage_type"),
             F.when(F.col("user_id") % 3 == 0, "portal").otherwise(F.lit(None).cast("string")).alias("tag_app"),
             F.col("value").alias("usage_quantity"),
