@@ -80,7 +80,8 @@ def test_grant_and_revoke_text(spark):
     out = df.select(grant_sql("f", "e", "n").alias("g")).withColumn("r", revoke_sql("g")).collect()
     assert out[0]["g"] == "GRANT SELECT ON `cat`.`sch`.`t``x` TO `a@b.org`;"
     assert out[0]["r"] == "REVOKE SELECT ON `cat`.`sch`.`t``x` FROM `a@b.org`;"
-    assert out[1]["g"].startswith("-- No UC table linked for Prod")
+    from stewardlake.functions.rules import NO_TABLE_GRANT_COMMENT
+    assert out[1]["g"] == NO_TABLE_GRANT_COMMENT.format(name="Prod")
 
 
 REQ_SCHEMA = ("request_id string, product_id long, requester_id long, status string, requested_at timestamp_ntz, "
