@@ -36,24 +36,26 @@ def product_words(products: DataFrame) -> DataFrame:
 CONTEXT_SIZE = 60
 
 
-def match_questions(questions: DataFrame, context: DataFrame, k: int = 5) -> DataFrame:
-    """Per question the k best products of the ask context by shared
-    informative words.
+def match_questions(questions: DataFrame, context: DataFrame, k: int = 5, weighting: str = "count") -> DataFrame:
+    """Per question the k best products of the ask context by shared words.
 
     As in the reference, the candidates are the ask context (L6: the first
     60 published products by name), so the product-side word table is
     bounded by 60 products and is broadcast; the question side is exploded
-    and joined without any shuffle of the word table. Each shared word scores
-    its BM25 inverse document frequency over the context, clipped at zero:
-    idf = max(0, ln((N - df + 0.5) / (df + 0.5))); a product needs a positive
-    score to match. Scores are summed by a partial aggregate per (question,
-    product) and the top k per question are kept by a WindowGroupLimit
-    (score desc, product id asc)."""
+    and joined to it without shuffling the word table. ``weighting="count"``
+    scores the number of distinct shared words; ``"idf"`` weighs each shared
+    word by its BM25 inverse document frequency over the context, clipped at
+    zero (words in half or more of the context weigh nothing). Scores are
+    summed by a partial aggregate per (question, product) and the top k per
+    question are kept by a WindowGroupLimit (score desc, product id asc)."""
     pw = product_words(context)
-    n = context.select(F.count(F.lit(1)).cast("double")).scalar()
-    df = pw.groupBy("word").agg(F.count(F.lit(1)).cast("double").alias("df"))
-    weights = df.withColumn("w", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    table = pw.join(weights.filter(F.col("w") > 0).select("word", "w"), "word", "inner")
+    if weighting == "idf":
+        n = context.select(F.count(F.lit(1)).cast("double")).scalar()
+        df = pw.groupBy("word").agg(F.count(F.lit(1)).cast("double").alias("df"))
+        weights = df.withColumn("w", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+        table = pw.join(weights.filter(F.col("w") > 0).select("word", "w"), "word", "inner")
+    else:
+        table = pw.withColumn("w", F.lit(1.0))
     qw = questions.select("conv_id", "turn", F.explode(words(F.col("text"))).alias("word"))
     scored = (
         qw.join(F.broadcast(table), "word", "inner")

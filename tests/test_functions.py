@@ -163,7 +163,8 @@ def test_match_questions_against_brute_force(spark):
     pdf = spark.createDataFrame(prods, "product_id long, display_name string, domain string, tags array<string>, description string")
     qs = spark.createDataFrame([(1, 0, "show payroll by department"), (2, 0, "vehicle trips"), (3, 0, "nothing here")],
                                "conv_id long, turn long, text string")
-    got = {(r["conv_id"], r["rank"]): (r["product_id"], round(r["score"], 6)) for r in S.match_questions(qs, pdf, 5).collect()}
+    got = {(r["conv_id"], r["rank"]): (r["product_id"], round(r["score"], 6))
+           for r in S.match_questions(qs, pdf, 5, weighting="idf").collect()}
 
     import re
     def words(t):
@@ -203,3 +204,13 @@ def test_policy_rules_golden_cases(spark):
     assert [got[i] for i in range(len(cases))] == [c[2] for c in cases]
     from stewardlake.functions.rules import POLICY_RULES
     assert sum(1 for r in POLICY_RULES if r[2] == "public") == 3
+
+
+def test_match_questions_count_weighting(spark):
+    pdf = spark.createDataFrame([(1, "Payroll Dashboard", "Finance", ["HR"], "payroll by department"),
+                                 (2, "Budget Report", "Finance", ["Budget"], "budget by department"),
+                                 (3, "Fleet Trips", "Transport", ["Fleet"], "trips")],
+                                "product_id long, display_name string, domain string, tags array<string>, description string")
+    qs = spark.createDataFrame([(1, 0, "payroll by department please")], "conv_id long, turn long, text string")
+    got = [(r["rank"], r["product_id"], r["shared_words"]) for r in S.match_questions(qs, pdf, 5).orderBy("rank").collect()]
+    assert got == [(1, 1, 3), (2, 2, 2)]
