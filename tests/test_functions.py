@@ -214,3 +214,21 @@ def test_match_questions_count_weighting(spark):
     qs = spark.createDataFrame([(1, 0, "payroll by department please")], "conv_id long, turn long, text string")
     got = [(r["rank"], r["product_id"], r["shared_words"]) for r in S.match_questions(qs, pdf, 5).orderBy("rank").collect()]
     assert got == [(1, 1, 3), (2, 2, 2)]
+
+
+def test_intents_and_find_matches(spark):
+    from stewardlake.functions.text import classify_intent
+
+    texts = [(1, 0, "Anything waiting on me?"), (2, 0, "check my request"), (3, 0, "please nudge them"),
+             (4, 0, "what data can I access"), (5, 0, "who owns payroll"), (6, 0, "find budget data"),
+             (7, 0, "how do I request access"), (8, 0, "hello"), (9, 0, "zzz"), (10, 0, "Is there anything on fleet trips")]
+    qs = spark.createDataFrame(texts, "conv_id long, turn long, text string")
+    got = [r["i"] for r in qs.orderBy("conv_id").select(classify_intent("text").alias("i")).collect()]
+    assert got == ["approvals", "status", "nudge", "access", "owner", "find", "how_to", "greeting", "fallback", "find"]
+
+    norm = spark.createDataFrame([(1, "Budget Report 2024", "Finance"), (2, "Fleet Trips", "Transportation"),
+                                  (3, "Payroll", "HR")], "product_id long, name string, category string")
+    got = sorted((r["conv_id"], r["product_id"]) for r in S.find_matches(qs, norm).collect())
+    # q6: keywords 'budget' (in the name of 1) and 'data' (nowhere).
+    # q10: 'is there' and 'any' are stripped, leaving 'thing', 'fleet', 'trips'; the last two hit product 2.
+    assert got == [(6, 1), (10, 2)]
