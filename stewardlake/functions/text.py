@@ -14,6 +14,17 @@ def _c(x: Column | str) -> Column:
 
 WS = r"[ \t\n\x0B\f\r]"
 
+# The rule patterns use \b in the ASCII sense (as in the reference's engine
+# and in RE2); the JVM's \b also treats accented letters as word characters,
+# so for rlike it is spelled out as an ASCII boundary.
+_W = "[A-Za-z0-9_]"
+ASCII_BOUNDARY = f"(?:(?<={_W})(?!{_W})|(?<!{_W})(?={_W}))"
+
+
+def jvm_regex(pattern: str) -> str:
+    """A rule pattern for the JVM regex engine with ASCII word boundaries."""
+    return pattern.replace("\\b", ASCII_BOUNDARY)
+
 
 def js_trim(s: Column | str) -> Column:
     """Trim all ASCII white space from both ends (not only blanks)."""
@@ -37,7 +48,7 @@ def display_name(table_name: Column | str) -> Column:
     """``sales_gold_orders`` -> ``Sales Orders``: underscores to blanks, drop the
     first whole word 'gold' (case-insensitive), trim, capitalise words."""
     s = F.regexp_replace(_c(table_name), "_", " ")
-    s = F.regexp_replace(s, r"(?i)^(.*?)\bgold\b", "$1")
+    s = F.regexp_replace(s, jvm_regex(r"(?i)^(.*?)\bgold\b"), "$1")
     return word_caps(F.trim(s))
 
 
@@ -90,7 +101,8 @@ def is_question(q: Column | str) -> Column:
     n_words = F.size(F.filter(F.split(js_trim(q), rf"{WS}+"), lambda w: w != ""))
     return F.coalesce(
         (n_words >= 3)
-        & (js_trim(q).rlike("(?i)" + rules.QUESTION_START) | q.rlike("(?i)" + rules.QUESTION_PHRASE)),
+        & (js_trim(q).rlike(jvm_regex("(?i)" + rules.QUESTION_START))
+           | q.rlike(jvm_regex("(?i)" + rules.QUESTION_PHRASE))),
         F.lit(False),
     )
 

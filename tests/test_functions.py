@@ -232,3 +232,11 @@ def test_intents_and_find_matches(spark):
     # q6: keywords 'budget' (in the name of 1) and 'data' (nowhere).
     # q10: 'is there' and 'any' are stripped, leaving 'thing', 'fleet', 'trips'; the last two hit product 2.
     assert got == [(6, 1), (10, 2)]
+
+
+def test_word_boundaries_are_ascii(spark):
+    """'\\b' follows the ASCII rule (accented letters are not word characters)."""
+    df = spark.createDataFrame([("totalé spending by team",), ("x éby department y z",), ("goldé_x",)], "q string")
+    got = df.select(is_question("q").alias("q"), display_name("q").alias("d")).collect()
+    assert [r["q"] for r in got] == [True, True, False]
+    assert got[2]["d"] == "é X"  # "gold" is a whole ASCII word here, as in the reference
