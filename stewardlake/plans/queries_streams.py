@@ -35,6 +35,17 @@ def q_audit_daily_counts(spark, d):
     return T.latest_epoch(spark, out)
 
 
+# Append mode with a 1-day watermark over files in event-time order: exactly the
+# day windows that end at or before max(ts) - 1 day are final and emitted.
+@register("audit_daily_windows", """
+SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n_events FROM events
+WHERE date_trunc('day', ts) + INTERVAL '1' DAY <= (SELECT max(ts) FROM events) - INTERVAL '1' DAY GROUP BY 1, 2""")
+def q_audit_daily_windows(spark, d):
+    src, out, ckpt = _landing(spark, d, "windows")
+    T.audit_daily_counts_append(spark, src, "1 day", out, ckpt, max_files=5)
+    return spark.read.parquet(out)
+
+
 @register("request_state_stream", """
 SELECT actor_id, target_id, status, occurred_at, log_id FROM (
  SELECT actor_id, TRY_CAST(json_extract_string(metadata, '$.k') AS BIGINT) AS target_id,

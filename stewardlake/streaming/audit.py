@@ -3,7 +3,8 @@
 The source is a folder of parquet files with the ``events`` schema (the
 audit log's landing zone); the fixture's ``events`` table is sliced into
 per-day files to drive it. Watermarks need a ``timestamp`` column, so the
-``timestamp_ntz`` event time is cast first; the watermark delay must be
+``timestamp_ntz`` event time is turned into the instant with the same UTC
+wall clock (not a session-time-zone cast); the watermark delay must be
 longer than the disorder of the input, or late rows are dropped (the
 count is reported from the query progress).
 
@@ -65,11 +66,28 @@ def stage_landing(spark: SparkSession, slices: list[str], landing: str) -> None:
         spark.read.parquet(s).write.mode("overwrite").parquet(f"{landing}/part_{i:05d}")
 
 
+EPOCH_NTZ = "1970-01-01 00:00:00"
+
+
+def event_time(ts_ntz: str) -> F.Column:
+    """The watermark column: the instant whose UTC wall clock equals the
+    time-zone-free event time (independent of the session time zone, unlike
+    a plain cast)."""
+    micros = F.timestamp_diff("MICROSECOND", F.lit(EPOCH_NTZ).cast("timestamp_ntz"), F.col(ts_ntz))
+    return F.timestamp_micros(micros)
+
+
+def wall_clock(instant: F.Column) -> F.Column:
+    """Back from such an instant to the time-zone-free wall clock."""
+    secs = (F.unix_micros(instant) / F.lit(1_000_000)).cast("decimal(18,6)")
+    return F.lit(EPOCH_NTZ).cast("timestamp_ntz") + F.make_dt_interval(secs=secs)
+
+
 def _event_stream(spark: SparkSession, landing_glob: str, max_files: int | None) -> DataFrame:
     r = spark.readStream.schema(EVENTS_SCHEMA)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    return r.parquet(landing_glob).withColumn("event_time", F.col("ts").cast("timestamp"))
+    return r.parquet(landing_glob).withColumn("event_time", event_time("ts"))
 
 
 def _run(q) -> StreamRun:
@@ -87,7 +105,7 @@ def audit_stream_ingest(spark: SparkSession, landing_glob: str, watermark: str,
                         max_files: int | None = 1) -> StreamRun:
     """Append audit rows, dropping duplicate log ids within the watermark."""
     ev = _event_stream(spark, landing_glob, max_files)
-    audit = audit_log_from_events(ev).withColumn("event_time", F.col("occurred_at").cast("timestamp"))
+    audit = audit_log_from_events(ev).withColumn("event_time", event_time("occurred_at"))
     deduped = audit.withWatermark("event_time", watermark).dropDuplicatesWithinWatermark(["log_id"]).drop("event_time")
     q = (deduped.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
          .outputMode("append").trigger(availableNow=True).start())
@@ -135,7 +153,7 @@ def audit_daily_counts_append(spark: SparkSession, landing_glob: str, watermark:
     dropped and counted."""
     ev = _event_stream(spark, landing_glob, max_files).withWatermark("event_time", watermark)
     counts = ev.groupBy(F.window("event_time", "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n_events"))
-    out_df = counts.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "event_type", "n_events")
+    out_df = counts.select(wall_clock(F.col("w.start")).alias("day"), "event_type", "n_events")
     q = (out_df.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
          .outputMode("append").trigger(availableNow=True).start())
     run = _run(q)
@@ -229,7 +247,7 @@ def expiry_sweep_stream(spark: SparkSession, landing_glob: str, watermark: str,
     expiry, using event-time timers of ``applyInPandasWithState`` (the batch
     twin is U2). A later approval of the same key restarts its clock."""
     ev = _event_stream(spark, landing_glob, max_files)
-    audit = audit_log_from_events(ev).withColumn("event_time", F.col("occurred_at").cast("timestamp"))
+    audit = audit_log_from_events(ev).withColumn("event_time", event_time("occurred_at"))
     appr = audit.filter(F.col("event_type") == "REQUEST_APPROVED").select(
         "actor_id", F.get_json_object("metadata", "$.k").cast("bigint").alias("target_id"), "event_time",
         F.unix_millis("event_time").alias("event_ms")).withWatermark("event_time", watermark)

@@ -7,7 +7,7 @@ from tools.oracle_check import canon, duck
 
 SF = "/root/testdata/sf0.001"
 KEYS = ["freshness", "notifications", "access_state", "backfill_last_refreshed", "gen_revenue_summary",
-        "audit_daily_counts", "spend_by_resource", "sync_metadata"]
+        "audit_daily_counts", "audit_daily_windows", "spend_by_resource", "sync_metadata"]
 
 
 @pytest.mark.parametrize("key", KEYS)
