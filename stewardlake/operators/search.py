@@ -87,25 +87,56 @@ def question_flags(questions: DataFrame) -> DataFrame:
                             classify_intent("text").alias("intent"))
 
 
-def find_matches(questions: DataFrame, norm_products: DataFrame) -> DataFrame:
-    """for 'find' questions, products whose lower-case name or category
-    contains any keyword (stop phrases removed, words over 2 chars).
-
-    Substring containment is turned into an equi-join: every substring (of
-    length 3 or more) of a product's short name and category is indexed
-    once, so the join is on equality and never pairs every question with
-    every product."""
-    fq = questions.filter(classify_intent("text") == "find").select(
-        "conv_id", "turn", F.explode(F.array_distinct(find_keywords("text"))).alias("kw"))
-    fq = fq.filter(F.col("kw") != "")
-    fields = norm_products.select("product_id", F.explode(F.array(F.lower("name"), F.lower("category"))).alias("f")) \
+FIND_SHOWN = 4
+
+
+def substring_index(norm_products: DataFrame) -> DataFrame:
+    """(kw, product_id, name): every distinct substring of length 3 or more of
+    a product's lower-case name and category (short fields), so that
+    substring containment becomes equality on ``kw``."""
+    fields = norm_products.select("product_id", "name",
+                                  F.explode(F.array(F.lower("name"), F.lower("category"))).alias("f")) \
         .filter(F.length("f") >= 3)
     n = F.length("f")
     all_subs = F.flatten(F.transform(
         F.sequence(F.lit(3), n),
         lambda ln: F.transform(F.sequence(F.lit(1), n - ln + 1), lambda p: F.substr(F.col("f"), p, ln))))
-    subs = fields.select("product_id", F.explode(F.array_distinct(all_subs)).alias("kw")).distinct()
-    return fq.join(subs, "kw", "inner").select("conv_id", "turn", "product_id").distinct()
+    return fields.select("product_id", "name", F.explode(F.array_distinct(all_subs)).alias("kw")).distinct()
+
+
+def find_matches(questions: DataFrame, norm_products: DataFrame, shown: int = FIND_SHOWN) -> DataFrame:
+    """for each 'find' question, the number of products whose lower-case
+    name or category contains any keyword (stop phrases removed, words over
+    2 chars) and the first ``shown`` of them in catalog (name) order.
+
+    No (question, product) pair is ever formed:
+    * the shown products of a question are among the first ``shown`` products
+      of each of its keywords, so a per-keyword top-k (a WindowGroupLimit over
+      the substring index) is joined to the questions, never the whole index;
+    * the count is exact: per keyword, the matching product ids are folded
+      into bitmaps (one per bucket of 32,768 ids); a question ORs the bitmaps
+      of its keywords bucket by bucket and counts the set bits.
+    One output row per shown product, with the question's total count."""
+    fq = questions.filter(classify_intent("text") == "find").select(
+        "conv_id", "turn", F.explode(F.array_distinct(find_keywords("text"))).alias("kw")).filter(F.col("kw") != "")
+    idx = substring_index(norm_products)
+
+    by_name = Window.partitionBy("kw").orderBy("name", "product_id")
+    first_per_kw = idx.withColumn("r", F.row_number().over(by_name)).filter(F.col("r") <= shown).drop("r")
+    cand = fq.join(first_per_kw, "kw", "inner").select("conv_id", "turn", "product_id", "name").distinct()
+    by_q = Window.partitionBy("conv_id", "turn").orderBy("name", "product_id")
+    top = cand.withColumn("rank", F.row_number().over(by_q)).filter(F.col("rank") <= shown) \
+        .withColumn("rank", F.col("rank").cast("long"))
+
+    bitmaps = idx.groupBy("kw", F.bitmap_bucket_number("product_id").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("product_id")).alias("bits"))
+    counts = (
+        fq.join(bitmaps, "kw", "inner")
+        .groupBy("conv_id", "turn", "bucket").agg(F.bitmap_count(F.bitmap_or_agg("bits")).alias("n"))
+        .groupBy("conv_id", "turn").agg(F.sum("n").alias("n_matches"))
+    )
+    return top.join(counts, ["conv_id", "turn"], "inner").select(
+        "conv_id", "turn", "n_matches", "rank", "product_id", "name")
 
 
 def stripped_documents(documents: DataFrame) -> DataFrame:

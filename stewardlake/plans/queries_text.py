@@ -71,8 +71,11 @@ def q_classify_intent(spark, d):
 fq AS (SELECT * FROM q WHERE {intent_sql('text')} = 'find'),
 kw AS (SELECT DISTINCT conv_id, turn, unnest(list_filter(regexp_split_to_array(
   {js_trim_sql(f"regexp_replace(lower(text), '{rules.FIND_STOP_PHRASES}', '', 'g')")}, '{WS}+'), lambda w: length(w) >= 3)) AS kw FROM fq),
-np AS (SELECT product_id, lower(display_name) AS name, lower(COALESCE(domain, 'Other')) AS category FROM pub)
-SELECT DISTINCT conv_id, turn, product_id FROM kw JOIN np ON contains(np.name, kw.kw) OR contains(np.category, kw.kw)""")
+np AS (SELECT product_id, display_name AS name, lower(display_name) AS lname, lower(COALESCE(domain, 'Other')) AS category FROM pub),
+m AS (SELECT DISTINCT conv_id, turn, product_id, name FROM kw JOIN np ON contains(np.lname, kw.kw) OR contains(np.category, kw.kw)),
+r AS (SELECT *, count(*) OVER (PARTITION BY conv_id, turn) AS n_matches,
+       row_number() OVER (PARTITION BY conv_id, turn ORDER BY name, product_id) AS rank FROM m)
+SELECT conv_id, turn, n_matches, rank, product_id, name FROM r WHERE rank <= 4""")
 def q_find_keywords(spark, d):
     t = tables(spark, d)
     norm = C.normalize_products(C.catalog_published(t.data_products))
