@@ -122,11 +122,12 @@ def _overwrite_sink(path: str):
 
 
 def latest_epoch(spark: SparkSession, path: str) -> DataFrame:
-    """Read the newest version written by an overwrite sink."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = sorted(s.getPath().getName() for s in fs.listStatus(jvm_path) if s.getPath().getName().startswith("epoch="))
-    return spark.read.parquet(f"{path}/{names[-1]}")
+    """Read the newest version written by an overwrite sink: the epoch
+    folders are a partition column, so the newest one is selected by a scalar
+    max and only its files are scanned."""
+    versions = spark.read.parquet(path)
+    newest = versions.select(F.max("epoch")).scalar()
+    return versions.filter(F.col("epoch") == newest).drop("epoch")
 
 
 def audit_daily_counts(spark: SparkSession, landing_glob: str, watermark: str, out: str, ckpt: str,
@@ -172,8 +173,7 @@ def _changelog_sink(path: str):
     """foreachBatch sink appending the batch's changed rows under its epoch;
     rewriting the same epoch folder on a retry keeps it exactly-once."""
     def write(batch: DataFrame, epoch_id: int) -> None:
-        batch.withColumn("epoch", F.lit(epoch_id).cast("long")).write.mode("overwrite") \
-            .parquet(f"{path}/epoch={epoch_id:09d}")
+        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch_id:09d}")
     return write
 
 
