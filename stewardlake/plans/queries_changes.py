@@ -328,8 +328,9 @@ def q_edit_users(spark, d):
 # Demo seed rows; DP-001 already exists and is skipped.
 @register("seed_if_absent", """
 SELECT product_ref, display_name FROM data_products
-UNION ALL SELECT * FROM (VALUES ('DP-9001', 'Budget Expenditure Report'), ('DP-9002', 'Payroll Dashboard')) v(product_ref, display_name)
-UNION ALL SELECT 'DP-001', 'Budget Expenditure Report' WHERE 'DP-001' NOT IN (SELECT product_ref FROM data_products)""")
+UNION ALL SELECT * FROM (VALUES ('DP-001', 'Budget Expenditure Report'), ('DP-9001', 'Budget Expenditure Report'),
+  ('DP-9002', 'Payroll Dashboard')) v(product_ref, display_name)
+ WHERE v.product_ref NOT IN (SELECT product_ref FROM data_products)""")
 def q_seed_if_absent(spark, d):
     t = tables(spark, d)
     seeds = spark.createDataFrame(
