@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..session import checkpoint_subdir
+from ..session import checkpoint_subdir, use_rocksdb_state
 from ..sources.fixtures import audit_log_from_events
 
 EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -84,6 +84,7 @@ def wall_clock(instant: F.Column) -> F.Column:
 
 
 def _event_stream(spark: SparkSession, landing_glob: str, max_files: int | None) -> DataFrame:
+    use_rocksdb_state(spark)
     r = spark.readStream.schema(EVENTS_SCHEMA)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
