@@ -25,7 +25,6 @@ from ..functions import rules
 from ..functions.classify import normalize_role
 from ..sources.fixtures import days
 
-STATE_ORDER = ["granted", "revoked", "pending", "admin", "none"]
 
 
 def _products_dim(products: DataFrame) -> DataFrame:

@@ -3,7 +3,6 @@ the conversation log (user turns as questions) and documents."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.text import prompt_line
