@@ -26,7 +26,6 @@ from ..functions.classify import normalize_role
 from ..sources.fixtures import days
 
 
-
 def _products_dim(products: DataFrame) -> DataFrame:
     return products.select(
         "product_id", "product_ref", F.col("display_name").alias("product_name"), "domain",
