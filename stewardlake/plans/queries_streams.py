@@ -61,10 +61,23 @@ def q_request_state_stream(spark, d):
 
 
 # Approvals here are valid 20 days so warnings and expiries fire inside the 30-day flow.
-@register("expiry_sweep_stream")
+# Oracle: per key, approvals in time order; a timer fires when it falls before the
+# key's next approval, or for the last approval before the final watermark
+# (latest approval time - 1 day), all in epoch milliseconds.
+@register("expiry_sweep_stream", """
+WITH appr AS (
+ SELECT DISTINCT actor_id, TRY_CAST(json_extract_string(metadata, '$.k') AS BIGINT) AS target_id, epoch_us(occurred_at) // 1000 AS a
+ FROM audit_log WHERE event_type = 'REQUEST_APPROVED'),
+wm AS (SELECT max(a) - 86400000 AS w FROM appr),
+h AS (SELECT actor_id, target_id, a,
+       COALESCE(lead(a) OVER (PARTITION BY actor_id, target_id ORDER BY a), (SELECT w FROM wm)) AS horizon FROM appr)
+SELECT actor_id, target_id, 'Expiring' AS kind, epoch_ms(a) AS approved_at, epoch_ms(a + 6 * 86400000) AS fire_at
+FROM h WHERE a + 6 * 86400000 < horizon
+UNION ALL
+SELECT actor_id, target_id, 'Expired', epoch_ms(a), epoch_ms(a + 20 * 86400000) FROM h WHERE a + 20 * 86400000 < horizon""")
 def q_expiry_sweep_stream(spark, d):
     src, out, ckpt = _landing(spark, d, "expiry")
     T.expiry_sweep_stream(spark, src, "1 day", out, ckpt, valid_days=20, warn_days=14, max_files=5)
     return spark.read.parquet(out).select(
-        "actor_id", "target_id", "kind", F.timestamp_millis("approved_ms").alias("approved_at"),
-        F.timestamp_millis("fire_ms").alias("fire_at"))
+        "actor_id", "target_id", "kind", T.ms_to_wall_clock(F.col("approved_ms")).alias("approved_at"),
+        T.ms_to_wall_clock(F.col("fire_ms")).alias("fire_at"))

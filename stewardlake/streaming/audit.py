@@ -77,6 +77,11 @@ def event_time(ts_ntz: str) -> F.Column:
     return F.timestamp_micros(micros)
 
 
+def ms_to_wall_clock(ms: F.Column) -> F.Column:
+    """Epoch milliseconds to the time-zone-free wall clock."""
+    return F.lit(EPOCH_NTZ).cast("timestamp_ntz") + F.make_dt_interval(secs=(ms / F.lit(1000)).cast("decimal(18,6)"))
+
+
 def wall_clock(instant: F.Column) -> F.Column:
     """Back from such an instant to the time-zone-free wall clock."""
     secs = (F.unix_micros(instant) / F.lit(1_000_000)).cast("decimal(18,6)")
@@ -211,33 +216,53 @@ def current_request_state(spark: SparkSession, changelog: str) -> DataFrame:
 
 EXPIRY_OUT = "actor_id bigint, target_id bigint, kind string, approved_ms bigint, fire_ms bigint"
 EXPIRY_STATE = "approved_ms bigint, expires_ms bigint, warned boolean"
+_EXPIRY_COLS = ["actor_id", "target_id", "kind", "approved_ms", "fire_ms"]
 
 
 def _expiry_fn(warn_before_ms: int, valid_ms: int):
-    """State per key: approval time and expiry in epoch ms (time-zone free)."""
+    """Per (actor, target): the current approval and its expiry in epoch ms.
+
+    Approvals of a key are applied in event-time order, and before a newer
+    approval restarts the clock, the older one's timers that fall before it
+    fire. Timers otherwise fire when the watermark passes them; both timers
+    fire in one call when both are due. The output therefore depends only on
+    the data and the final watermark, not on micro-batch boundaries. The
+    key's rows arrive as a stream of Arrow batches and only their times are
+    kept."""
+
+    def due(approved, expires, warned, before, out, key):
+        # fire the timers of one approval that fall strictly before `before`
+        if not warned and expires - warn_before_ms < before:
+            out.append((*key, "Expiring", approved, expires - warn_before_ms))
+            warned = True
+        if warned and expires < before:
+            out.append((*key, "Expired", approved, expires))
+            return None
+        return approved, expires, warned
+
     def fn(key, pdfs, state: GroupState):
-        actor_id, target_id = key
+        out: list = []
+        cur = state.get if state.exists else None
         if state.hasTimedOut:
-            approved_ms, expires_ms, warned = state.get
-            if not warned:
-                state.update((approved_ms, expires_ms, True))
-                state.setTimeoutTimestamp(int(expires_ms))
-                yield pd.DataFrame([(actor_id, target_id, "Expiring", approved_ms, expires_ms - warn_before_ms)],
-                                   columns=["actor_id", "target_id", "kind", "approved_ms", "fire_ms"])
-            else:
-                state.remove()
-                yield pd.DataFrame([(actor_id, target_id, "Expired", approved_ms, expires_ms)],
-                                   columns=["actor_id", "target_id", "kind", "approved_ms", "fire_ms"])
-            return
-        latest = None
-        for pdf in pdfs:
-            m = int(pdf["event_ms"].max())
-            latest = m if latest is None or m > latest else latest
-        if latest is not None:
-            if state.exists and state.get[0] >= latest:
-                return
-            state.update((latest, latest + valid_ms, False))
-            state.setTimeoutTimestamp(int(latest + valid_ms - warn_before_ms))
+            cur = due(*cur, state.getCurrentWatermarkMs(), out, key)
+        else:
+            times = sorted({int(t) for pdf in pdfs for t in pdf["event_ms"]})
+            for t in times:
+                if cur is not None:
+                    if t <= cur[0]:
+                        continue
+                    due(*cur, t, out, key)
+                cur = (t, t + valid_ms, False)
+            if cur is not None:  # timers the watermark has already passed
+                cur = due(*cur, state.getCurrentWatermarkMs(), out, key)
+        if cur is None:
+            state.remove()
+        else:
+            state.update(cur)
+            state.setTimeoutTimestamp(int(cur[1] if cur[2] else cur[1] - warn_before_ms))
+        if out:
+            yield pd.DataFrame(out, columns=_EXPIRY_COLS)
+
     return fn
 
 

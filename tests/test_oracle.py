@@ -15,10 +15,8 @@ def con():
     return duck(SF)
 
 
-def test_every_query_has_oracle_or_is_rows_only():
-    rows_only = set(QUERIES) - set(ORACLE)
-    # Only the stream with event-time timers (its firing depends on micro-batch boundaries).
-    assert rows_only == {"expiry_sweep_stream"}
+def test_every_query_has_an_oracle():
+    assert set(QUERIES) == set(ORACLE)
 
 
 @pytest.mark.parametrize("key", sorted(ORACLE))
