@@ -93,7 +93,7 @@ def q_strip_markdown(spark, d):
 ctx AS (SELECT * FROM pub ORDER BY display_name, product_id LIMIT 60),
 pw AS (SELECT DISTINCT product_id, unnest({words_sql("concat_ws(' ', display_name, COALESCE(domain, ''), array_to_string(tags, ' '), COALESCE(description, ''))")}) AS word FROM ctx),
 qw AS (SELECT DISTINCT conv_id, turn, unnest({words_sql('text')}) AS word FROM q),
-sc AS (SELECT conv_id, turn, product_id, round(sum(1.0), 9) AS score, count(*) AS shared_words
+sc AS (SELECT conv_id, turn, product_id, round(sum(CAST(1.0 AS DOUBLE)), 9) AS score, count(*) AS shared_words
        FROM qw JOIN pw USING (word) GROUP BY conv_id, turn, product_id)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, product_id) AS rank FROM sc) WHERE rank <= 5""")
 def q_match_questions(spark, d):
