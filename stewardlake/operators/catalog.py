@@ -202,12 +202,16 @@ def real_products(products: DataFrame) -> DataFrame:
 
 
 def top_domains(published: DataFrame, k: int = 5) -> DataFrame:
-    """A1: products per COALESCE(domain,'Other'), the k largest (ties by name)."""
+    """A1: products per COALESCE(domain,'Other'), the k largest. Ties keep the
+    order in which the page first meets each domain in its name-sorted list
+    (its stable sort over insertion order), i.e. by the domain's first
+    display name."""
     return (
         published.groupBy(F.coalesce("domain", F.lit("Other")).alias("domain"))
-        .agg(F.count(F.lit(1)).alias("n_products"))
-        .orderBy(F.desc("n_products"), F.asc("domain"))
+        .agg(F.count(F.lit(1)).alias("n_products"), F.min("display_name").alias("_first"))
+        .orderBy(F.desc("n_products"), F.asc("_first"), F.asc("domain"))
         .limit(k)
+        .drop("_first")
     )
 
 

@@ -166,8 +166,9 @@ def q_normalize_insights(spark, d):
 
 
 @register("top_domains", f"""WITH {ALIGNED}
-SELECT COALESCE(domain, 'Other') AS domain, count(*) AS n_products FROM aligned WHERE {PUBLISHED}
-GROUP BY 1 ORDER BY n_products DESC, domain LIMIT 5""")
+SELECT domain, n_products FROM (
+ SELECT COALESCE(domain, 'Other') AS domain, count(*) AS n_products, min(display_name) AS first_name FROM aligned WHERE {PUBLISHED}
+ GROUP BY 1 ORDER BY n_products DESC, first_name, domain LIMIT 5)""")
 def q_top_domains(spark, d):
     return C.top_domains(C.catalog_published(tables(spark, d).data_products), 5)
 

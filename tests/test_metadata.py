@@ -87,3 +87,10 @@ def test_month_layout_prunes_partitions(spark, tmp_path):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(ym" in plan
     assert sorted(r["id"] for r in got.collect()) == [2, 3]
+
+
+def test_top_domains_ties_follow_first_appearance(spark):
+    df = spark.createDataFrame([("Zeta", "b"), ("Zeta", "c"), ("Alpha", "d"), ("Alpha", "e"), (None, "a")],
+                               "domain string, display_name string")
+    got = [r["domain"] for r in C.top_domains(df, 3).collect()]
+    assert got == ["Zeta", "Alpha", "Other"]
