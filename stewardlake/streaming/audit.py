@@ -268,10 +268,12 @@ def _expiry_fn(warn_before_ms: int, valid_ms: int):
 
 def expiry_sweep_stream(spark: SparkSession, landing_glob: str, watermark: str, out: str, ckpt: str,
                         valid_days: int = 90, warn_days: int = 14, max_files: int | None = 1) -> StreamRun:
-    """T4: per approved (actor, target), an 'Expiring' event when the
-    watermark passes expiry minus ``warn_days`` and an 'Expired' event at
-    expiry, using event-time timers of ``applyInPandasWithState`` (the batch
-    twin is U2). A later approval of the same key restarts its clock."""
+    """T4: per approved (actor, target), an 'Expiring' event ``warn_days``
+    before expiry and an 'Expired' event at expiry, using event-time timers
+    of ``applyInPandasWithState`` (the batch twin is U2). A later approval of
+    the same key restarts its clock; the older approval's timers that fall
+    before it still fire. State is removed once the approval has expired, so
+    it is bounded by the approvals still running."""
     ev = _event_stream(spark, landing_glob, max_files)
     audit = audit_log_from_events(ev).withColumn("event_time", event_time("occurred_at"))
     appr = audit.filter(F.col("event_type") == "REQUEST_APPROVED").select(
