@@ -175,13 +175,16 @@ def user_library(requests: DataFrame, library: DataFrame, products: DataFrame, u
     return approved.unionByName(pinned).join(prod, "product_id", "inner").join(known, "user_id", "left_semi")
 
 
-def notifications(requests: DataFrame, products: DataFrame, as_of: Column) -> DataFrame:
+def notifications(requests: DataFrame, products: DataFrame, as_of: Column, only_future: bool = False) -> DataFrame:
     """Per user, the 5 soonest-expiring approvals (expires_at < as_of +
-    14 days, no lower bound, as the reference) and the 10 newest resolutions
-    within the last 7 days."""
+    14 days; no lower bound, as the reference, unless ``only_future`` keeps
+    only approvals not yet expired) and the 10 newest resolutions within the
+    last 7 days."""
     prod = products.select("product_id", "product_ref", F.col("display_name").alias("product_name"))
     expiring = requests.filter(
         (F.col("status") == "Approved") & (F.col("expires_at") < as_of + days(rules.EXPIRING_WITHIN_DAYS)))
+    if only_future:
+        expiring = expiring.filter(F.col("expires_at") >= as_of)
     w_exp = Window.partitionBy("requester_id").orderBy(F.asc("expires_at"), F.asc("request_id"))
     expiring = (
         expiring.withColumn("rank", F.row_number().over(w_exp)).filter(F.col("rank") <= rules.EXPIRING_LIMIT)

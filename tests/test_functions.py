@@ -261,3 +261,18 @@ def test_find_matches_against_brute_force(spark):
     for v in got.values():
         v[1].sort()
     assert got == want and len(want) > 10
+
+
+def test_notifications_lower_bound_option(spark):
+    d = dt.datetime
+    req = spark.createDataFrame([
+        ("old", 1, 1, "Approved", d(2000, 1, 1), d(2000, 1, 2), d(2000, 4, 1)),     # long expired: listed by parity
+        ("soon", 2, 1, "Approved", d(2001, 5, 1), d(2001, 5, 5), d(2001, 8, 10)),   # expires in 9 days
+        ("late", 3, 1, "Approved", d(2001, 6, 1), d(2001, 6, 5), d(2001, 12, 1))],  # not within 14 days
+        REQ_SCHEMA)
+    prods = spark.createDataFrame([(1, "DP-001", "a"), (2, "DP-002", "b"), (3, "DP-003", "c")],
+                                  "product_id long, product_ref string, display_name string")
+    as_of = ts_ntz("2001-08-01 00:00:00")
+    parity = {r["request_id"] for r in A.notifications(req, prods, as_of).filter("kind = 'Expiring'").collect()}
+    future = {r["request_id"] for r in A.notifications(req, prods, as_of, only_future=True).filter("kind = 'Expiring'").collect()}
+    assert parity == {"old", "soon"} and future == {"soon"}
