@@ -19,6 +19,7 @@ Builder = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Builder] = {}
 _SQL: dict[str, str] = {}
+_BUILDERS: dict[str, Builder] = {}
 
 
 def flat(df: DataFrame) -> DataFrame:
@@ -43,6 +44,7 @@ def register(key: str, sql: str | None = None):
         if key in _QUERIES:
             raise ValueError(f"duplicate query key {key}")
         _QUERIES[key] = lambda spark, sf_dir, _fn=fn: flat(_fn(spark, sf_dir))
+        _BUILDERS[key] = fn
         if sql is not None:
             _SQL[key] = with_tables(sql)
         return fn
@@ -59,6 +61,12 @@ def queries() -> dict[str, Builder]:
     return dict(_QUERIES)
 
 
+def builders() -> dict[str, Builder]:
+    """The undecorated builders (for reports)."""
+    queries()
+    return dict(_BUILDERS)
+
+
 def oracle_sql() -> dict[str, str]:
     queries()
     return dict(_SQL)
