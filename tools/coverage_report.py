@@ -28,6 +28,11 @@ def survey_rows():
 
 def calls(fn) -> str:
     src = inspect.getsource(fn)
+    mod = sys.modules[fn.__module__]
+    for helper in re.findall(r"\b(_[a-z_]+)\(", src):  # follow the module's own helpers one level
+        h = getattr(mod, helper, None)
+        if callable(h) and inspect.isfunction(h):
+            src += inspect.getsource(h)
     found = re.findall(r"\b(A|C|CH|D|DIR|G|IO|M|S|T)\.([a-z_]+)\(", src)
     mods = {"A": "access", "C": "catalog", "CH": "changes", "D": "demand", "DIR": "directory", "G": "governance",
             "IO": "catalog_io", "M": "metadata", "S": "search", "T": "streaming.audit"}
