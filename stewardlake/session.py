@@ -60,10 +60,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
     On a cluster ``spark.checkpoint.dir`` points at shared storage and is used
-    as is. Only when it is unset (local tests) do we pick a scratch folder.
+    as is (and must be set). Only a local-mode session without one (tests)
+    gets a scratch folder.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        master = spark.conf.get("spark.master", "") or ""
+        if not master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster "
+                               "(checkpoints and stream state must survive lost executors)")
         current = tempfile.mkdtemp(prefix="stewardlake-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", current)
     try:  # classic sessions also keep it on the SparkContext (Connect sessions have none)
