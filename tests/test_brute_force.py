@@ -73,3 +73,52 @@ def test_vote_toggles_match_sequential_replay(spark):
     counts = {r["request_id"]: r["upvotes"] for r in out["upvotes"].collect()}
     assert counts == {i: sum(1 for v in state if v[0] == i) for i in range(1, 11)}
     assert out["upvotes"].filter(F.col("upvotes") < 0).count() == 0
+
+
+def test_notifications_match_per_user_lists(spark):
+    rnd = random.Random(3)
+    base = dt.datetime(2001, 6, 1)
+    rows = []
+    for i in range(2500):
+        req = base + dt.timedelta(minutes=rnd.randint(0, 80_000))
+        status = rnd.choice(["Approved", "Pending", "Denied", "Revoked"])
+        res = None if status == "Pending" else req + dt.timedelta(minutes=rnd.randint(0, 10_000))
+        exp = res + dt.timedelta(minutes=rnd.randint(0, 120_000)) if status == "Approved" else None
+        rows.append((f"r{i:05d}", rnd.randint(1, 5), rnd.randint(1, 30), status, req, res, exp))
+    prods = spark.createDataFrame([(p, f"DP-{p:03d}", f"P{p}") for p in range(1, 6)],
+                                  "product_id long, product_ref string, display_name string")
+    got = {(r["requester_id"], r["kind"], r["rank"]): r["request_id"]
+           for r in A.notifications(spark.createDataFrame(rows, REQ_SCHEMA), prods, ts_ntz("2001-08-01 00:00:00")).collect()}
+    want = {}
+    for u in {r[2] for r in rows}:
+        mine = [r for r in rows if r[2] == u]
+        exp = sorted((r for r in mine if r[3] == "Approved" and r[6] < AS_OF + dt.timedelta(days=14)),
+                     key=lambda r: (r[6], r[0]))[:5]
+        rec = sorted((r for r in mine if r[3] in ("Approved", "Denied", "Revoked") and r[5] > AS_OF - dt.timedelta(days=7)),
+                     key=lambda r: (-r[5].timestamp(), r[0]))[:10]
+        for i, r in enumerate(exp, 1):
+            want[(u, "Expiring", i)] = r[0]
+        for i, r in enumerate(rec, 1):
+            want[(u, r[3], i)] = r[0]
+    assert got == want and len(want) > 100
+
+
+def test_all_words_search_matches_page_filter(spark):
+    from stewardlake.operators import catalog as C
+
+    rnd = random.Random(9)
+    vocab = ["budget", "payroll", "fleet", "tax", "census", "report", "daily", "hr", "geo", "x"]
+    rows = []
+    for i in range(400):
+        rows.append((i, " ".join(rnd.sample(vocab, 2)).title(), rnd.choice(vocab + [None]), rnd.choice(vocab),
+                     " ".join(rnd.sample(vocab, 3)), [rnd.choice(vocab).upper() for _ in range(rnd.randint(0, 2))]))
+    norm = spark.createDataFrame(rows, "product_id long, name string, description string, category string, "
+                                 "source string, tags array<string>") \
+        .withColumn("description", F.coalesce("description", F.lit("")))
+    for q in ["budget", "Tax  Report", "hr geo x", "nothing"]:
+        got = {r["product_id"] for r in C.catalog_all_words(norm, q).collect()}
+        words = q.lower().split()
+        want = {r[0] for r in rows if all(
+            w in r[1].lower() or w in (r[2] or "").lower() or w in r[3].lower() or w in r[4].lower()
+            or any(w in t.lower() for t in r[5]) for w in words)}
+        assert got == want, q
