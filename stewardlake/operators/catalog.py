@@ -216,24 +216,26 @@ def top_domains(published: DataFrame, k: int = 5) -> DataFrame:
 
 
 def facets(norm: DataFrame) -> DataFrame:
-    """(facet, value, ord) for categories, types (taxonomy order),
-    sources and tags (exploded, the import-method tag dropped). Each facet is a
-    distinct aggregate: partial per partition, then one small shuffle."""
-    cats = norm.filter(F.col("category") != "").select(F.lit("category").alias("facet"), F.col("category").alias("value"))
-    srcs = norm.filter(F.col("source_type") != "").select(F.lit("source").alias("facet"), F.col("source_type").alias("value"))
-    tags = (
-        norm.select(F.explode("tags").alias("value"))
-        .filter(F.col("value").isNotNull() & (F.col("value") != "") & (F.col("value") != rules.FACET_TAG_EXCLUDED))
-        .select(F.lit("tag").alias("facet"), "value")
+    """(facet, value, ord) for categories, types (in taxonomy order, with
+    their position), sources and tags (exploded, the import-method tag
+    dropped). One scan: every product emits its (facet, value) pairs, which
+    one distinct aggregate (partial per partition) reduces."""
+    pair = lambda f, v: F.struct(F.lit(f).alias("facet"), v.alias("value"))
+    pairs = F.concat(
+        F.array(pair("category", F.col("category")), pair("source", F.col("source_type")), pair("type", F.col("type"))),
+        F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda t: pair("tag", t)),
     )
-    rank = F.array_position(F.array(*[F.lit(t) for t in rules.PRODUCT_TYPES]), F.col("value")).cast("int")
-    types = (
-        norm.select(F.lit("type").alias("facet"), F.col("type").alias("value"))
-        .filter(F.col("value").isin(*rules.PRODUCT_TYPES))
+    v, f = F.col("value"), F.col("facet")
+    keep = (
+        v.isNotNull() & (v != "")
+        & ((f != "tag") | (v != rules.FACET_TAG_EXCLUDED))
+        & ((f != "type") | v.isin(*rules.PRODUCT_TYPES))
+    )
+    rank = F.array_position(F.array(*[F.lit(t) for t in rules.PRODUCT_TYPES]), v).cast("int")
+    return (
+        norm.select(F.inline(pairs)).filter(keep).distinct()
+        .withColumn("ord", F.when(f == "type", rank).otherwise(F.lit(None).cast("int")))
     )
-    named = cats.unionByName(srcs).unionByName(tags).distinct().withColumn("ord", F.lit(None).cast("int"))
-    typed = types.distinct().withColumn("ord", rank)
-    return named.unionByName(typed)
 
 
 def draft_count(products: DataFrame) -> DataFrame:
