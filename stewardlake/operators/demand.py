@@ -119,10 +119,10 @@ def vendor_flags(lineitem: DataFrame, suppliers: DataFrame) -> DataFrame:
         F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("paid"),
         F.count(F.lit(1)).alias("n_lines"))
     per = suppliers.select("s_suppkey", "s_name").join(per, "s_suppkey", "left").fillna(0, ["paid", "n_lines"])
-    mean = per.select(F.avg("paid")).scalar()
-    sd = per.select(F.stddev_samp("paid")).scalar()
+    stats = per.select(F.struct(F.avg("paid").alias("mean"), F.stddev_samp("paid").alias("sd"))).scalar()
+    per = per.withColumn("_s", stats)
     flag = (
-        F.when(F.col("paid") > mean + 2 * F.coalesce(sd, F.lit(0.0)), "review")
+        F.when(F.col("paid") > F.col("_s.mean") + 2 * F.coalesce(F.col("_s.sd"), F.lit(0.0)), "review")
         .when(F.col("n_lines") < 10, "low_activity").otherwise("ok"))
     return per.select("s_suppkey", "s_name", F.round("paid", 2).alias("paid"), "n_lines", flag.alias("flag"))
 
