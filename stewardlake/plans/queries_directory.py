@@ -17,6 +17,7 @@ from ..session import checkpoint_subdir
 from ..sources import catalog_io as IO
 from ..sources.fixtures import tables
 from .params import REQUESTS_AS_OF_TEXT, requests_as_of
+from .queries_changes import UPSERT_INC, q_upsert_users as _signup_upsert
 from .queries_metadata import CLASSIFIED, ELEV_RE, PII_RE
 from .registry import register
 
@@ -61,15 +62,28 @@ def q_groups_sorted(spark, d):
     return DIR.groups_sorted(tables(spark, d).portal_groups)
 
 
-# The listed (demo) accounts are the users without a stored role.
-@register("idle_demo_users", """
-SELECT * FROM users u WHERE role IS NULL
- AND NOT EXISTS (SELECT 1 FROM access_requests r WHERE r.requester_id = u.user_id)
- AND NOT EXISTS (SELECT 1 FROM user_library l WHERE l.user_id = u.user_id)""")
+# The listed accounts are those without a stored role, taken after the signup
+# upsert (M10 batch), whose new accounts have no request and no library row yet.
+@register("idle_demo_users", f"""WITH {UPSERT_INC},
+after AS (
+ SELECT u.user_id, u.email, CASE WHEN i.k IS NOT NULL THEN i.display_name ELSE u.display_name END AS display_name,
+  CASE WHEN i.k IS NOT NULL THEN i.role ELSE u.role END AS role,
+  CASE WHEN i.k IS NOT NULL THEN i.department ELSE u.department END AS department
+ FROM users u LEFT JOIN inc i ON i.k = lower(trim(u.email))
+ UNION ALL
+ SELECT (SELECT max(user_id) FROM users) + row_number() OVER (ORDER BY k), k, display_name, COALESCE(role, 'analyst'),
+  COALESCE(department, 'General')
+ FROM inc WHERE k NOT IN (SELECT lower(trim(email)) FROM users))
+SELECT * FROM after a
+WHERE (a.role IS NULL OR a.user_id > (SELECT max(user_id) FROM users))
+ AND NOT EXISTS (SELECT 1 FROM access_requests r WHERE r.requester_id = a.user_id)
+ AND NOT EXISTS (SELECT 1 FROM user_library l WHERE l.user_id = a.user_id)""")
 def q_idle_demo_users(spark, d):
     t = tables(spark, d)
-    listed = t.users.filter(F.col("role").isNull()).select("user_id")
-    return A.idle_users(t.users, listed, t.access_requests, t.user_library)
+    after = _signup_upsert(spark, d)
+    max_id = t.users.select(F.max("user_id")).scalar()
+    listed = after.filter(F.col("role").isNull() | (F.col("user_id") > max_id)).select("user_id")
+    return A.idle_users(after, listed, t.access_requests, t.user_library)
 
 
 @register("requests_of_placeholders", """
