@@ -94,3 +94,18 @@ def test_top_domains_ties_follow_first_appearance(spark):
                                "domain string, display_name string")
     got = [r["domain"] for r in C.top_domains(df, 3).collect()]
     assert got == ["Zeta", "Alpha", "Other"]
+
+
+def test_requests_of_placeholders_and_idle_users(spark):
+    from stewardlake.operators import access as A
+
+    prods = spark.createDataFrame([(1, "your_catalog.your_schema.t1"), (2, "main.sales.orders"), (3, None)],
+                                  "product_id long, uc_full_name string")
+    reqs = spark.createDataFrame([("r1", 1, 10), ("r2", 2, 11), ("r3", 3, 12), ("r4", 1, 13)],
+                                 "request_id string, product_id long, requester_id long")
+    got = sorted(r["request_id"] for r in A.requests_of_placeholders(reqs, prods, "your_catalog.your_schema.%").collect())
+    assert got == ["r1", "r4"]
+    users = spark.createDataFrame([(10,), (14,), (15,), (None,)], "user_id long")
+    library = spark.createDataFrame([(15, 2)], "user_id long, product_id long")
+    idle = sorted(r["user_id"] for r in A.idle_users(users, users, reqs, library).collect())
+    assert idle == [14]
