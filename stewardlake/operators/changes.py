@@ -315,3 +315,17 @@ def edit_users(users: DataFrame, edits: DataFrame) -> DataFrame:
 def delete_groups(groups: DataFrame, names: DataFrame) -> DataFrame:
     """Drop groups by name."""
     return groups.join(names.select("group_name"), "group_name", "left_anti")
+
+
+def decision_outcomes(requests: DataFrame, decisions: DataFrame, action: str) -> DataFrame:
+    """Deny and revoke accept a request in any state (as the reference); this
+    report states, per decision, the status it replaced and a note when that
+    status is not the one the action expects (Pending for deny, Approved for
+    revoke)."""
+    expected = {"deny": "Pending", "revoke": "Approved"}[action]
+    dec = decisions.select("request_id").distinct()
+    prior = requests.select("request_id", F.col("status").alias("prior_status"))
+    return dec.join(prior, "request_id", "inner").select(
+        "request_id", "prior_status", F.lit(action).alias("action"),
+        F.when(F.col("prior_status") != expected, F.concat(F.lit("was_"), F.lower("prior_status"))).alias("note")
+    ).distinct()

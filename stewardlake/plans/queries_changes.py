@@ -337,3 +337,15 @@ def q_seed_if_absent(spark, d):
         [("DP-001", "Budget Expenditure Report"), ("DP-9001", "Budget Expenditure Report"), ("DP-9002", "Payroll Dashboard")],
         "product_ref string, display_name string")
     return IO.seed_if_absent(t.data_products.select("product_ref", "display_name"), seeds, ["product_ref"])
+
+
+# Outcome report for a deny batch that covers every low-priority request, whatever its state.
+@register("decision_outcomes", """
+SELECT DISTINCT d.request_id, r.status AS prior_status, 'deny' AS action,
+ CASE WHEN r.status <> 'Pending' THEN 'was_' || lower(r.status) END AS note
+FROM (SELECT DISTINCT request_id FROM access_requests WHERE business_reason = '5-LOW') d
+JOIN access_requests r ON r.request_id = d.request_id""")
+def q_decision_outcomes(spark, d):
+    t = tables(spark, d)
+    dec = t.access_requests.filter(F.col("business_reason") == "5-LOW").select("request_id")
+    return CH.decision_outcomes(t.access_requests, dec, "deny")
