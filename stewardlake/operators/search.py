@@ -90,16 +90,20 @@ def question_flags(questions: DataFrame) -> DataFrame:
 FIND_SHOWN = 4
 
 
-def substring_index(norm_products: DataFrame) -> DataFrame:
-    """(kw, product_id, name): every distinct substring of length 3 or more of
-    a product's lower-case name and category (short fields), so that
-    substring containment becomes equality on ``kw``."""
+def substring_index(norm_products: DataFrame, max_len: Column | None = None) -> DataFrame:
+    """(kw, product_id, name): every distinct substring of length 3 or more
+    (and at most ``max_len``, the longest keyword asked for) of a product's
+    lower-case name and category (short fields), so that substring
+    containment becomes equality on ``kw``."""
     fields = norm_products.select("product_id", "name",
                                   F.explode(F.array(F.lower("name"), F.lower("category"))).alias("f")) \
         .filter(F.length("f") >= 3)
     n = F.length("f")
+    if max_len is not None:  # attach the bound as a column (no subquery inside the lambda)
+        fields = fields.withColumn("_max", max_len).filter(F.col("_max") >= 3)
+    top = n if max_len is None else F.least(n, F.col("_max"))
     all_subs = F.flatten(F.transform(
-        F.sequence(F.lit(3), n),
+        F.sequence(F.lit(3), top),
         lambda ln: F.transform(F.sequence(F.lit(1), n - ln + 1), lambda p: F.substr(F.col("f"), p, ln))))
     return fields.select("product_id", "name", F.explode(F.array_distinct(all_subs)).alias("kw")).distinct()
 
@@ -119,7 +123,9 @@ def find_matches(questions: DataFrame, norm_products: DataFrame, shown: int = FI
     One output row per shown product, with the question's total count."""
     fq = questions.filter(classify_intent("text") == "find").select(
         "conv_id", "turn", F.explode(F.array_distinct(find_keywords("text"))).alias("kw")).filter(F.col("kw") != "")
-    idx = substring_index(norm_products)
+    # Substrings longer than the longest keyword can never match: a scalar
+    # subquery bounds the index by it.
+    idx = substring_index(norm_products, fq.select(F.max(F.length("kw"))).scalar())
 
     by_name = Window.partitionBy("kw").orderBy("name", "product_id")
     first_per_kw = idx.withColumn("r", F.row_number().over(by_name)).filter(F.col("r") <= shown).drop("r")
