@@ -3,7 +3,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,6 +77,19 @@ def gated_preview(state: DataFrame, product_id: int | Column, product_rows: Data
     return viewers.select("viewer_id", F.inline(rows))
 
 
+def gated_previews(state: DataFrame, rows: DataFrame, product_col: str, key: list[str], n: int = 5) -> DataFrame:
+    """G2 for every product at once: the first n rows of each product's data
+    (a per-product top-n, planned as a WindowGroupLimit so a product with a
+    third of all rows ships at most n per task) joined to the (viewer,
+    product) pairs that may query it: at most n rows per pair."""
+    w = Window.partitionBy(product_col).orderBy(*key)
+    preview = (rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+               .withColumn("rank", F.col("rank").cast("long")))
+    viewers = state.filter(F.col("can_query")).select(F.col("requester_id").alias("viewer_id"),
+                                                      F.col("product_id").alias(product_col))
+    return viewers.join(preview, product_col, "inner")
+
+
 def user_group_role(users: DataFrame, groups: DataFrame) -> DataFrame:
     """Per user, the best role among its groups (admin > steward > rest).
     Group membership is the department here; several groups per user are

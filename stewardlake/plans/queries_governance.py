@@ -68,6 +68,21 @@ def q_gated_preview(spark, d):
     return G.gated_preview(state, pid, rows, ["l_orderkey", "l_linenumber", "l_suppkey"])
 
 
+# G2 for all products: every viewer's first 5 line items of each product they may query.
+@register("gated_previews", f"""WITH {STATE_CTES},
+prev AS (SELECT l_partkey, l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice,
+  row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice) AS rank
+ FROM lineitem)
+SELECT s.requester_id AS viewer_id, p.* FROM state s JOIN prev p ON p.l_partkey = s.product_id
+WHERE s.can_query AND p.rank <= 5""")
+def q_gated_previews(spark, d):
+    t = tables(spark, d)
+    state = A.access_state(t.access_requests, t.users, requests_as_of())
+    rows = t.raw("lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice")
+    return G.gated_previews(state, rows, "l_partkey",
+                            ["l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice"], 5)
+
+
 @register("user_group_role", """
 SELECT user_id, group_name, role AS group_role FROM (
  SELECT u.user_id, g.group_name, g.role, row_number() OVER (PARTITION BY u.user_id ORDER BY
