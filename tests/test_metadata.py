@@ -109,3 +109,15 @@ def test_requests_of_placeholders_and_idle_users(spark):
     library = spark.createDataFrame([(15, 2)], "user_id long, product_id long")
     idle = sorted(r["user_id"] for r in A.idle_users(users, users, reqs, library).collect())
     assert idle == [14]
+
+
+def test_all_tables_present_uses_catalog_listing(spark):
+    from stewardlake.sources import catalog_io as IO
+
+    expected = spark.createDataFrame([("sl_present_view",), ("sl_missing_table",)], "table_name string")
+    spark.range(1).createOrReplaceTempView("sl_present_view")
+    try:
+        got = {r["table_name"] for r in IO.all_tables_present(spark, expected).collect()}
+    finally:
+        spark.catalog.dropTempView("sl_present_view")
+    assert got == {"sl_missing_table"}
