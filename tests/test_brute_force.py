@@ -122,3 +122,28 @@ def test_all_words_search_matches_page_filter(spark):
             w in r[1].lower() or w in (r[2] or "").lower() or w in r[3].lower() or w in r[4].lower()
             or any(w in t.lower() for t in r[5]) for w in words)}
         assert got == want, q
+
+
+def test_display_names_match_ascii_rules(spark):
+    import re
+
+    from stewardlake.functions.text import display_name, name_from_email
+
+    rnd = random.Random(17)
+    alphabet = ["a", "b", "g", "o", "l", "d", "x", "_", " ", "é", "1", "-", "G", "O", "L", "D", "."]
+    names = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 14))) for _ in range(400)]
+    names += ["sales_gold_orders", "gold_gold", "goldé_x", "x_golden_gold", "GOLD"]
+
+    def py_display(s):
+        s = s.replace("_", " ")
+        s = re.sub(r"\bgold\b", "", s, count=1, flags=re.I | re.A).strip(" ")
+        return re.sub(r"\b\w", lambda m: m.group(0).upper(), s, flags=re.A)
+
+    def py_name(email):
+        local = email.split("@")[0]
+        return re.sub(r"\b\w", lambda m: m.group(0).upper(), re.sub(r"[._]", " ", local), flags=re.A)
+
+    df = spark.createDataFrame([(i, n, n + "@x.org") for i, n in enumerate(names)], "i long, n string, e string")
+    got = {r["i"]: (r["d"], r["m"]) for r in df.select("i", display_name("n").alias("d"), name_from_email("e").alias("m")).collect()}
+    for i, n in enumerate(names):
+        assert got[i] == (py_display(n), py_name(n + "@x.org")), n
