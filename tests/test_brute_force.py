@@ -147,3 +147,30 @@ def test_display_names_match_ascii_rules(spark):
     got = {r["i"]: (r["d"], r["m"]) for r in df.select("i", display_name("n").alias("d"), name_from_email("e").alias("m")).collect()}
     for i, n in enumerate(names):
         assert got[i] == (py_display(n), py_name(n + "@x.org")), n
+
+
+def test_question_rules_match_on_the_conversation_log(spark):
+    """is_question / classify_intent over every conversation turn (sf0.01)
+    against Python regexes with the reference's ASCII word semantics."""
+    import re
+
+    from stewardlake.functions import rules
+    from stewardlake.functions.text import classify_intent, is_question
+
+    conv = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    got = {(r["conv_id"], r["turn"]): (r["q"], r["i"]) for r in conv.select(
+        "conv_id", "turn", is_question("text").alias("q"), classify_intent("text").alias("i")).collect()}
+    start = re.compile(rules.QUESTION_START, re.I | re.A)
+    phrase = re.compile(rules.QUESTION_PHRASE, re.I | re.A)
+    intents = [(n, re.compile(p, re.A)) for n, p in rules.INTENT_RULES]
+    ws = " \t\n\x0b\f\r"
+    n_checked = 0
+    for r in conv.select("conv_id", "turn", "text").collect():
+        t = r["text"] or ""
+        tt = t.strip(ws)
+        q = len([w for w in re.split(f"[{ws}]+", tt) if w]) >= 3 and bool(start.search(tt) or phrase.search(t))
+        low = t.lower()
+        intent = next((n for n, p in intents if p.search(low)), rules.INTENT_DEFAULT)
+        assert got[(r["conv_id"], r["turn"])] == (q, intent), t[:80]
+        n_checked += 1
+    assert n_checked > 400
