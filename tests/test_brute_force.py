@@ -174,3 +174,26 @@ def test_question_rules_match_on_the_conversation_log(spark):
         assert got[(r["conv_id"], r["turn"])] == (q, intent), t[:80]
         n_checked += 1
     assert n_checked > 400
+
+
+def test_strip_markdown_matches_reference_regexes_on_documents(spark):
+    """strip_markdown over every document (sf0.01, whole texts) against the
+    reference's regexes run with Python's engine ('.' stops at line breaks)."""
+    import re
+
+    from stewardlake.functions.text import strip_markdown
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r["doc_id"]: r["t"] for r in docs.select("doc_id", strip_markdown("text").alias("t")).collect()}
+    dot = "[^\n\r  ]"
+
+    def ref(t):
+        t = re.sub(rf"\*\*({dot}+?)\*\*", r"\1", t)
+        t = re.sub(rf"\*({dot}+?)\*", r"\1", t)
+        t = re.sub(r"^#+\s+", "", t, flags=re.M)
+        t = re.sub(r"^[*\-]\s+", "• ", t, flags=re.M)
+        return t.strip()
+
+    rows = [(r["doc_id"], r["text"] or "") for r in docs.select("doc_id", "text").collect()]
+    assert sum(1 for _, t in rows if "*" in t or "#" in t) > 10
+    assert all(got[k] == ref(t) for k, t in rows)
