@@ -41,8 +41,9 @@ def register(key: str, sql: str | None = None):
     """Decorator: register a builder under ``key`` with its oracle SQL."""
 
     def deco(fn: Builder) -> Builder:
-        if key in _QUERIES:
-            raise ValueError(f"duplicate query key {key}")
+        prev = _BUILDERS.get(key)
+        if prev is not None and (prev.__module__, prev.__qualname__) != (fn.__module__, fn.__qualname__):
+            raise ValueError(f"duplicate query key {key}")  # a module reload re-registers the same builder
         _QUERIES[key] = lambda spark, sf_dir, _fn=fn: flat(_fn(spark, sf_dir))
         _BUILDERS[key] = fn
         if sql is not None:
