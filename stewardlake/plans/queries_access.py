@@ -185,8 +185,11 @@ acc AS (
 SELECT user_id, accessible, n_pub - accessible AS requestable, n_dash AS dashboards, n_pub - n_dash AS other_products FROM acc""")
 def q_insight_stats(spark, d):
     t = tables(spark, d)
-    state = A.access_state(t.access_requests, t.users, requests_as_of())
-    return A.insight_stats(state, catalog_published(t.data_products), t.users)
+    published = catalog_published(t.data_products)
+    # Only published products count: drop the other requests before the per-pair aggregate.
+    reqs = t.access_requests.join(published.select("product_id"), "product_id", "left_semi")
+    state = A.access_state(reqs, t.users, requests_as_of())
+    return A.insight_stats(state, published, t.users)
 
 
 # One user's view (the page is per persona); user 1 has role 'Admin'.
