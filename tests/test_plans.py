@@ -21,3 +21,13 @@ def test_top_k_per_group_uses_group_limits(spark):
     for key in ["notifications", "recently_accessed", "match_questions", "gated_previews", "find_keywords"]:
         plan = E.queries()[key](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "WindowGroupLimit" in plan, key
+
+
+def test_scans_read_only_needed_columns(spark):
+    import re
+
+    plan = E.queries()["policy_audit"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    schemas = re.findall(r"ReadSchema: struct<([^>]*)>", plan)
+    assert schemas == ["event_id:bigint,user_id:bigint,event_type:string"]
+    plan = E.queries()["table_has_pii"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"ReadSchema: struct<([^>]*)>", plan) == ["p_partkey:bigint"]
