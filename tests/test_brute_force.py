@@ -197,3 +197,45 @@ def test_strip_markdown_matches_reference_regexes_on_documents(spark):
     rows = [(r["doc_id"], r["text"] or "") for r in docs.select("doc_id", "text").collect()]
     assert sum(1 for _, t in rows if "*" in t or "#" in t) > 10
     assert all(got[k] == ref(t) for k, t in rows)
+
+
+def test_policy_levels_over_the_access_log(spark):
+    """Every logged call of the sf0.01 access log against a first-match scan of
+    the rule table with Python regexes."""
+    import re
+
+    from stewardlake.functions import rules
+    from stewardlake.operators import governance as G
+    from stewardlake.sources.fixtures import tables
+
+    log = tables(spark, "/root/testdata/sf0.01").access_log
+    got = {r["log_id"]: (r["level"], r["rule_index"]) for r in G.policy_audit(log).collect()}
+    compiled = [(m, re.compile(p), lvl) for m, p, lvl in rules.POLICY_RULES]
+
+    def level(method, path):
+        for i, (m, p, lvl) in enumerate(compiled):
+            if (m == "*" or m == method) and p.search(path):
+                return lvl, i
+        return rules.POLICY_DEFAULT_LEVEL, None
+
+    rows = log.select("log_id", "method", "path").collect()
+    assert all(got[r["log_id"]] == level(r["method"], r["path"]) for r in rows)
+    assert {v[0] for v in got.values()} == {"public", "user", "admin"}
+
+
+def test_group_roles_match_best_of_groups(spark):
+    from stewardlake.operators import governance as G
+
+    rnd = random.Random(21)
+    groups = [(f"G{i}", rnd.choice(["admin", "steward", "analyst", "Admin", "viewer"])) for i in range(12)]
+    users = [(u, rnd.choice([g[0] for g in groups] + ["NONE"])) for u in range(300)]
+    got = {r["user_id"]: (r["group_name"], r["group_role"]) for r in G.user_group_role(
+        spark.createDataFrame(users, "user_id long, department string"),
+        spark.createDataFrame(groups, "group_name string, role string")).collect()}
+    prio = lambda role: 0 if role.lower() == "admin" else 1 if role.lower() == "steward" else 2
+    want = {}
+    for u, dept in users:
+        cands = sorted((prio(r), g, r) for g, r in groups if g == dept)
+        if cands:
+            want[u] = (cands[0][1], cands[0][2])
+    assert got == want
