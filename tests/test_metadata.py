@@ -121,3 +121,27 @@ def test_all_tables_present_uses_catalog_listing(spark):
     finally:
         spark.catalog.dropTempView("sl_present_view")
     assert got == {"sl_missing_table"}
+
+
+def test_catalog_access_summary_three_outcomes(spark):
+    t = dt.datetime(2001, 7, 1)
+    meta = spark.createDataFrame([
+        ("system", "billing", "usage", "MANAGED", 1, t),                  # cannot list schemas
+        ("main", "sales", "orders", "MANAGED", 2, t),
+        ("main", "etl", "__dlt_stage", "MANAGED", 3, t),                   # needs a grant
+        ("lake", "gold", "facts", "MANAGED", 4, t)], META)                 # accessible
+    summary = M.catalog_access_summary(M.schema_visibility(meta))
+    got = {r["catalog_name"]: r["access"] for r in summary.collect()}
+    assert got == {"system": "no_access", "main": "needs_grant", "lake": "accessible"}
+    lines = [r["grant_sql"] for r in M.catalog_grant_sql(summary, "sp-1").orderBy("line_no").collect()]
+    assert lines == ["GRANT USE CATALOG ON CATALOG `main` TO `sp-1`;", "GRANT USE SCHEMA ON CATALOG `main` TO `sp-1`;",
+                     "GRANT SELECT ON CATALOG `main` TO `sp-1`;"]
+
+
+def test_column_tag_map_keeps_one_value_per_name(spark):
+    cols = spark.createDataFrame([(1, "a", "string", 1), (1, "b", "string", 2)],
+                                 "product_id long, column_name string, data_type string, ordinal_position int")
+    tags = spark.createDataFrame([(1, "a", "sensitivity", "PII"), (1, "a", "sensitivity", "Internal"),
+                                  (1, "a", "owner", "x")], "product_id long, column_name string, tag_name string, tag_value string")
+    got = {r["column_name"]: r["tags"] for r in M.columns_with_tags(cols, tags).collect()}
+    assert got["a"] == {"sensitivity": "PII", "owner": "x"} and got["b"] is None
