@@ -79,3 +79,13 @@ def test_more_changes_are_idempotent(spark):
     inc = t.raw("customer").select(F.col("c_mktsegment").alias("group_name"), F.lit("analyst").alias("role")).distinct()
     g1 = CH.upsert_groups(t.portal_groups, inc).cache()
     assert same(g1, CH.upsert_groups(g1, inc))
+
+
+def test_decision_outcomes_note_unexpected_states(spark):
+    req = spark.createDataFrame([("a", "Pending"), ("b", "Approved"), ("c", "Denied"), ("d", "Approved")],
+                                "request_id string, status string")
+    dec = spark.createDataFrame([("a",), ("b",), ("c",), ("a",)], "request_id string")
+    deny = {r["request_id"]: r["note"] for r in CH.decision_outcomes(req, dec, "deny").collect()}
+    assert deny == {"a": None, "b": "was_approved", "c": "was_denied"}
+    revoke = {r["request_id"]: r["note"] for r in CH.decision_outcomes(req, dec, "revoke").collect()}
+    assert revoke == {"a": "was_pending", "b": None, "c": "was_denied"}
