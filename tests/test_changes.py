@@ -89,3 +89,19 @@ def test_decision_outcomes_note_unexpected_states(spark):
     assert deny == {"a": None, "b": "was_approved", "c": "was_denied"}
     revoke = {r["request_id"]: r["note"] for r in CH.decision_outcomes(req, dec, "revoke").collect()}
     assert revoke == {"a": "was_pending", "b": None, "c": "was_denied"}
+
+
+def test_latest_per_key_folds_a_batch(spark):
+    from stewardlake.operators.common import latest_per_key
+
+    df = spark.createDataFrame([("k1", 1, "a"), ("k1", 3, "c"), ("k1", 2, "b"), ("k2", 5, "z")],
+                               "key string, seq long, value string")
+    got = {r["key"]: r["value"] for r in latest_per_key(df, ["key"], [F.col("seq")], ["value"]).collect()}
+    assert got == {"k1": "c", "k2": "z"}
+    edits = spark.createDataFrame([(1, "", "HR", "", 1), (1, "admin", "", "", 2)],
+                                  "user_id long, role string, department string, display_name string, edit_seq long")
+    users = spark.createDataFrame([(1, "a@x", "Ann", "analyst", "Sales")],
+                                  "user_id long, email string, display_name string, role string, department string")
+    row = CH.edit_users(users, edits).first()
+    # the last edit wins as a whole; its empty fields leave the stored values
+    assert (row["role"], row["department"], row["display_name"]) == ("admin", "Sales", "Ann")
