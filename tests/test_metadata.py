@@ -145,3 +145,14 @@ def test_column_tag_map_keeps_one_value_per_name(spark):
                                   (1, "a", "owner", "x")], "product_id long, column_name string, tag_name string, tag_value string")
     got = {r["column_name"]: r["tags"] for r in M.columns_with_tags(cols, tags).collect()}
     assert got["a"] == {"sensitivity": "PII", "owner": "x"} and got["b"] is None
+
+
+def test_write_table_overwrites_and_partitions(spark, tmp_path):
+    from stewardlake.sources import catalog_io as IO
+
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "id long, grp string")
+    out = str(tmp_path / "t")
+    first = IO.write_table(df, out, partition_by=["grp"])
+    assert first.count() == 3 and set(first.columns) == {"id", "grp"}
+    again = IO.write_table(df.filter("id < 3"), out, partition_by=["grp"])
+    assert sorted(r["id"] for r in again.collect()) == [1, 2]
