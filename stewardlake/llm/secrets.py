@@ -169,8 +169,11 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: flo
     assign = F.filter(spans(text, ASSIGN), lambda s: F.char_length(F.regexp_extract(s["found"], ASSIGN, 1)) >= ASSIGN_LEAST)
     table = df.select(F.col(id_col).alias("doc_id"), assign.alias("s0"), spans(text, ACCESS).alias("s1"),
                       spans(text, HEX).alias("s2"), spans(text, RUN).alias("s3"))
-    base = F.concat(*[F.transform(f"s{k}", lambda s, k=k: F.struct(s["start"].alias("start"), F.lit(k).alias("kind"), s["end"].alias("end"), s["found"].alias("found")))
-                      for k in range(3)])
+    def of_kind(k):
+        return F.transform(f"s{k}", lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("kind"),
+                                                       s["end"].alias("end"), s["found"].alias("found")))
+
+    base = F.concat(*[of_kind(k) for k in range(3)])
     table = table.select("doc_id", base.alias("base"), "s3")
     free = F.filter("s3", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     tested = F.transform(free, lambda s: F.struct(
