@@ -160,8 +160,9 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: flo
     """One row per row of ``df``: (doc_id, spans), spans being an array of
     (start, kind, end, found) by start, then kind (0 to 3 as in ``KINDS``).
 
-    Positions are code points, ends exclusive. Random runs that a pattern has
-    matched already, in part or whole, are not reported again. Null and empty
+    Positions are code points, ends exclusive. All runs are tested,
+    also where a pattern matches: such a run is reported under both kinds, as
+    the battery confirms the match. Null and empty
     texts have no spans; rows that repeat an id are scanned one by one. An empty
     table gives no rows; other columns are not looked at.
     """
@@ -175,8 +176,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: flo
 
     base = F.concat(*[of_kind(k) for k in range(3)])
     table = table.select("doc_id", base.alias("base"), "s3")
-    free = F.filter("s3", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    tested = F.transform(free, lambda s: F.struct(
+    tested = F.transform("s3", lambda s: F.struct(
         s["start"].alias("start"), F.lit(3).alias("kind"), s["end"].alias("end"), s["found"].alias("found"),
         size_of(p_value(s["found"])).alias("step"), length_class(F.char_length(s["found"])).alias("cls")))
     table = cut_lineage(table.select("doc_id", "base", tested.alias("tested")))
