@@ -63,6 +63,13 @@ def same_key(left: DataFrame, right: DataFrame, *names: str) -> Column:
     return cond
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def running_totals(df: DataFrame, groups: list[str], order: list[str], value: str, name: str) -> DataFrame:
     """Adds ``name``: the sum of ``value`` over the rows of the same group up
     to and including this one in ``order``, without one task per group.

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship_package
+from .common import fresh, ship_package
 
 ORDER = 3
 DIM = 1 << 15
@@ -213,5 +213,6 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", lang_name: str
 def keep_known(df: DataFrame, model: Model, text_col: str = "text", least: float = LEAST_SCORE) -> DataFrame:
     """The rows of ``df`` in a learned language, with their columns: a text without letters goes, and one
     whose best score is under ``least``."""
-    marked = predict(df, model, text_col, "_lang_pred", "_lang_score")
-    return marked.where((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") >= least)).drop("_lang_pred", "_lang_score")
+    lang, score = fresh(df, "_lang_pred"), fresh(df, "_lang_score")
+    marked = predict(df, model, text_col, lang, score)
+    return marked.where((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).drop(lang, score)

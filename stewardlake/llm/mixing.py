@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACES, cut_lineage, running_totals, same_key, text_or_empty
+from .common import NOT_SPACES, cut_lineage, fresh, running_totals, same_key, text_or_empty
 
 #: Weights dealt to the sources in code-point order, over and over.
 WEIGHTS = (5, 2, 1)
@@ -105,6 +105,7 @@ def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """The documents of the mix: each row of ``df`` as often as the mix takes it."""
     taken = (mix(df, id_col, text_col, source_col).where("copies > 0").groupBy("doc_id")
              .agg(F.max("copies").cast("int").alias("_copies")).withColumnRenamed("doc_id", "_id"))
-    return (df.join(taken, df[id_col].eqNullSafe(taken["_id"]), "inner")
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-            .select(*[df[c] for c in df.columns]))
+    nth = fresh(df, "_copy")
+    both = df.join(taken, df[id_col].eqNullSafe(taken["_id"]), "inner")
+    return both.select(*[df[c] for c in df.columns],
+                       F.explode(F.sequence(F.lit(1), taken["_copies"])).alias(nth)).drop(nth)
