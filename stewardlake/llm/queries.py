@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fingerprint, langid, licenses, mixing, secrets, sharding, simhash
+from . import bpe, exact_dedup, fingerprint, langid, licenses, mixing, quality, secrets, sharding, simhash
 from .common import read_documents
 
 N_SHARDS = 16
@@ -61,6 +61,10 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read_documents(spark, sf_dir)).select(
         "doc_id", "license", "containment", "first_word", "n_words")
@@ -90,7 +94,7 @@ def op10_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_byte_bpe, op2_secret_scan, op3_language_id, op4_simhash_dedup, op5_source_mix, op7_license_scan,
+        op1_byte_bpe, op2_secret_scan, op3_language_id, op4_simhash_dedup, op5_source_mix, op6_quality, op7_license_scan,
         op8_exact_dedup,
         op9_fingerprints, op10_hash_ring)}
 
