@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import shutil
 import tempfile
@@ -55,6 +56,11 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text_or_empty(text), SPACES), lambda w: w != "")
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often (or deep inside lambdas) it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def same_key(left: DataFrame, right: DataFrame, *names: str) -> Column:
     """Equality of key columns in which two nulls are equal."""
     cond = F.lit(True)
@@ -63,6 +69,13 @@ def same_key(left: DataFrame, right: DataFrame, *names: str) -> Column:
     return cond
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of a few fixed rows, as one literal of the plan (no Python on the executors)."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{schema.replace(' ', ': ').replace(',:', ',')}>>")))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have."""
     while name in df.columns:

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import bound, small_table, text_or_empty
 
 SHINGLE = 5
 BANDS = 64
@@ -65,29 +65,35 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text_or_empty(text)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def shingles(w: Column) -> Column:
+def shingles(text_words: Column) -> Column:
     """The word shingles of an array of words, as texts (fewer words than a shingle: one of all; none: none)."""
-    n = F.size(w)
-    made = F.transform(F.sequence(F.lit(1), F.greatest(n - (SHINGLE - 1), F.lit(1))),
-                       lambda i: F.array_join(F.slice(w, i, F.least(n, F.lit(SHINGLE))), " "))
-    return F.when(n > 0, made).otherwise(F.array().cast("array<string>"))
+    def of(w):
+        n = F.size(w)
+        made = F.transform(F.sequence(F.lit(1), F.greatest(n - (SHINGLE - 1), F.lit(1))),
+                           lambda i: F.array_join(F.slice(w, i, F.least(n, F.lit(SHINGLE))), " "))
+        return F.when(n > 0, made).otherwise(F.array().cast("array<string>"))
 
+    return bound(text_words, of)
 
-def bands(hashes: Column) -> Column:
-    """The MinHash value of each band of an array of shingle hashes."""
-    def least(band):
-        return F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, F.lit(band))))
 
-    return F.array(*[least(i) for i in range(BANDS)])
+def hashed(texts: Column) -> Column:
+    return F.transform(texts, lambda s: F.xxhash64(s))
+
+
+def bands(all_hashes: Column) -> Column:
+    """The MinHash value of each band of an array of shingle hashes."""
+    return bound(all_hashes, lambda hashes: F.transform(
+        F.sequence(F.lit(0), F.lit(BANDS - 1)),
+        lambda band: F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, band)))))
 
 
 def template_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
     """(template, license, cls, shingles, n, values): one row per template, a table as long as the list."""
     rows = [(i, name, text) for i, (name, text) in enumerate(templates)]
-    made = spark.createDataFrame(rows, "template int, license string, notice string")
+    made = small_table(spark, rows, "template int, license string, notice string")
     made = made.select("template", "license", F.array_distinct(shingles(words(F.col("notice")))).alias("shingles"))
     return (made.withColumn("n", F.size("shingles")).withColumn("cls", F.ceil(F.log2("n")).cast("int"))
-            .withColumn("values", bands(F.transform("shingles", lambda s: F.xxhash64(s)))))
+            .withColumn("values", bands(hashed(F.col("shingles")))))
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES) -> DataFrame:
@@ -103,12 +109,14 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", template
     known = template_table(spark, templates)
     # Both as long as the template list.
     classes = sorted(r["cls"] for r in known.select("cls").distinct().collect())
-    own = [r["h"] for r in known.select(F.explode(F.transform("shingles", lambda s: F.xxhash64(s))).alias("h")).distinct().collect()]
+    own = [r["h"] for r in known.select(F.explode(hashed(F.col("shingles"))).alias("h")).distinct().collect()]
 
     base = df.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w"))
-    hits = F.element_at(F.transform(F.array(F.transform(shingles(F.col("w")), lambda s: F.xxhash64(s))), lambda h: F.filter(
-        F.transform(h, lambda x, i: F.when(x.isin(own), i).otherwise(-1)), lambda i: i >= 0)), 1)
-    near = base.withColumn("hits", hits).where(F.size("hits") > 0)
+    def positions(h):
+        return F.filter(F.transform(h, lambda x, i: F.when(x.isin(own), i).otherwise(-1)), lambda i: i >= 0)
+
+    hits = bound(hashed(shingles(F.col("w"))), positions)
+    near = base.withColumn("hits", hits)  # a text without hits has no windows below
 
     def windows(cls):
         step, size = 1 << cls, 1 << (cls + 1)
@@ -120,7 +128,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", template
 
     cut = near.select("doc_id", F.explode(F.concat(*[windows(c) for c in classes])).alias("x")).select("doc_id", "x.*")
     signed = cut.withColumn("own", shingles(F.col("words"))).withColumn(
-        "value", F.explode(F.array_distinct(F.transform(bands(F.transform("own", lambda s: F.xxhash64(s))),
+        "value", F.explode(F.array_distinct(F.transform(bands(hashed(F.col("own"))),
                                                         lambda v, i: F.struct(i.alias("band"), v.alias("v"))))))
     table = F.broadcast(known.select("template", "cls", F.posexplode("values").alias("band", "v")))
     retrieved = (signed.select("doc_id", "cls", "first_word", "words", "own", "value.band", "value.v")
