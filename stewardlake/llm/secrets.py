@@ -3,8 +3,8 @@
 Patterns: assignments of passwords and keys, access keys, long hex runs.
 
 Battery: every run of at least ``MIN_RUN`` letters, digits and ``+ / - _`` is a
-candidate. Its encoding is inferred from its characters (hex, base 26, 32, 36
-or 64) and its symbols go through three tests, each of the hypothesis "written
+candidate. Its encoding is inferred from its characters (hex, base 26, 32,
+36, 62 or 64) and its symbols go through three tests, each of the hypothesis "written
 like language" against "drawn at random":
 
 * chi-squared uniformity of the alphabet: language uses few symbols often, so
@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, text_or_empty
+from .common import bound, cut_lineage, text_or_empty
 
 #: Fixed patterns; a match of a kind counts if its measured part has the least length.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -70,9 +70,11 @@ def spans(text: Column, pattern: str) -> Column:
         zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,found:string>>").alias("out"))
         return F.aggregate(F.sequence(F.lit(1), F.size(found)), zero, step, lambda acc: acc["out"])
 
-    none = F.array().cast("array<struct<start:int,end:int,found:string>>")
-    return F.element_at(F.transform(F.array(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))), lambda m: F.when(
-        F.size(m) > 0, place(m, F.split(text, pattern, -1))).otherwise(none)), 1)
+    def matches(m):
+        return F.when(F.size(m) > 0, bound(F.split(text, pattern, -1), lambda between: place(m, between))).otherwise(
+            F.array().cast("array<struct<start:int,end:int,found:string>>"))
+
+    return bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), matches)
 
 
 def normal_tail(z: Column) -> Column:
@@ -90,6 +92,7 @@ def alphabet_size(found: Column) -> Column:
             .when(found.rlike("^([a-z]+|[A-Z]+)$"), 26)
             .when(found.rlike("^[A-Z2-7]+$"), 32)
             .when(found.rlike("^([a-z0-9]+|[A-Z0-9]+)$"), 36)
+            .when(found.rlike("^[A-Za-z0-9]+$"), 62)
             .otherwise(64))
 
 
@@ -97,38 +100,48 @@ def p_value(found: Column) -> Column:
     """The battery's p-value of one candidate, 1 if it is like language or like neither."""
     chars = F.split(found, "")
     codes = F.transform(chars, lambda c: F.instr(F.lit(SYMBOLS), c).cast("double"))
-    kind = F.transform(codes, lambda c: F.when(c <= 26, 1).when(c <= 52, 2).when(c <= 62, 3).otherwise(4))
+    kinds = F.transform(codes, lambda c: F.when(c <= 26, 1).when(c <= 52, 2).when(c <= 62, 3).otherwise(4))
 
-    def battery(x):
-        n, k = F.size(x["code"]).cast("double"), x["k"].cast("double")
-        # Uniformity.
+    def neighbours(values, measure):
+        """Sum of a measure over neighbouring values."""
+        last = F.size(values) - 1
+        return F.aggregate(F.zip_with(F.slice(values, 1, last), F.slice(values, 2, last), measure), F.lit(0.0),
+                           lambda a, b: a + b)
+
+    def uniformity(x):
         squares = F.aggregate(F.array_distinct(x["chars"]), F.lit(0.0), lambda acc, c: acc + F.pow(
             F.char_length(found) - F.char_length(F.replace(found, c, F.lit(""))), F.lit(2.0)))
-        chi = k * squares / n - n
+        return x["k"] * squares / x["n"] - x["n"]
+
+    def moments(x):
+        mean = F.aggregate(x["codes"], F.lit(0.0), lambda a, b: a + b) / x["n"]
+        return bound(mean, lambda m: F.struct(
+            F.aggregate(x["codes"], F.lit(0.0), lambda a, b: a + (b - m) * (b - m)).alias("var"),
+            neighbours(x["codes"], lambda a, b: (a - m) * (b - m)).alias("lag")))
+
+    def combined(y):
+        n, k, chi = y["n"], y["k"], y["chi"]
         shift = n * (k * F.greatest(F.lit(REPEAT), 2.2 / k) - 1)
         uniform = normal_tail((chi - (k - 1 + shift)) / F.sqrt(2 * (k - 1 + 2 * shift)))
-        too_even = F.abs(chi - (k - 1)) / F.sqrt(2 * (k - 1))
-        # Changes of class between neighbours.
-        last = F.size(x["kind"]) - 1
-        changes = F.aggregate(F.zip_with(F.slice(x["kind"], 1, last), F.slice(x["kind"], 2, last),
-                                         lambda a, b: (a != b).cast("double")), F.lit(0.0), lambda a, b: a + b)
-        q = changes / (n - 1)
+        q = y["changes"] / (n - 1)
         part = F.when(q > 0, q * F.log(q / CHANGE)).otherwise(0.0)
         rest = F.when(q < 1, (1 - q) * F.log((1 - q) / (1 - CHANGE))).otherwise(0.0)
         runs = F.when(q > CHANGE, F.exp(-(n - 1) * (part + rest))).otherwise(1.0)
-        # Correlation of neighbours.
-        mean = F.aggregate(x["code"], F.lit(0.0), lambda a, b: a + b) / n
-        var = F.aggregate(x["code"], F.lit(0.0), lambda a, b: a + (b - mean) * (b - mean))
-        lag = F.aggregate(F.zip_with(F.slice(x["code"], 1, last), F.slice(x["code"], 2, last),
-                                     lambda a, b: (a - mean) * (b - mean)), F.lit(0.0), lambda a, b: a + b)
-        r = F.when(var > 0, F.greatest(F.lit(-0.999), F.least(F.lit(0.999), lag / var))).otherwise(0.999)
+        r = F.when(y["m"]["var"] > 0, F.greatest(F.lit(-0.999), F.least(F.lit(0.999), y["m"]["lag"] / y["m"]["var"]))
+                   ).otherwise(0.999)
         serial = normal_tail((F.atanh(r) - F.atanh(F.lit(SERIAL))) * F.sqrt(n - 3))
-        drawn = (too_even < SIGMAS) & (F.abs(r + 1 / n) * F.sqrt(n) < SIGMAS)
+        drawn = (F.abs(chi - (k - 1)) / F.sqrt(2 * (k - 1)) < SIGMAS) & (F.abs(r + 1 / n) * F.sqrt(n) < SIGMAS)
         second = F.element_at(F.array_sort(F.array(uniform, runs, serial)), 2)
         return F.when(drawn, F.least(F.lit(1.0), 2 * second)).otherwise(1.0)
 
-    one = F.array(F.struct(chars.alias("chars"), codes.alias("code"), kind.alias("kind"), alphabet_size(found).alias("k")))
-    return F.element_at(F.transform(one, battery), 1)
+    def battery(x):
+        return bound(F.struct(
+            x["n"].alias("n"), x["k"].alias("k"), uniformity(x).alias("chi"), moments(x).alias("m"),
+            neighbours(x["kinds"], lambda a, b: (a != b).cast("double")).alias("changes")), combined)
+
+    return bound(F.struct(chars.alias("chars"), codes.alias("codes"), kinds.alias("kinds"),
+                          F.char_length(found).cast("double").alias("n"), alphabet_size(found).cast("double").alias("k")),
+                 battery)
 
 
 def size_of(p: Column) -> Column:
