@@ -41,7 +41,7 @@ START, END = "\x02", "\x03"
 
 
 def _normal(text: str | None) -> str:
-    return re.sub(r"[\s\x02\x03]+", " ", text or "")
+    return re.sub(r"[\s\x02\x03]+", " ", text or "").strip()
 
 
 def _parts(texts) -> Iterator[tuple[list[int], str, np.ndarray, np.ndarray]]:

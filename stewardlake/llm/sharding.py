@@ -26,7 +26,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import small_table, text_or_empty
 
 SLOT_BITS = 14
 SLOTS = 1 << SLOT_BITS
@@ -47,14 +47,13 @@ def ring(n_shards: int, vnodes: int = VNODES) -> list[tuple[int, int]]:
     return sorted(taken.items())
 
 
-def arc_of_slot(nodes: list[tuple[int, int]]) -> list[int]:
-    """For each slot the index of the first node at it or clockwise of it."""
-    out, k = [], 0
-    for slot in range(SLOTS):
-        while k < len(nodes) and nodes[k][0] < slot:
-            k += 1
-        out.append(k % len(nodes))
-    return out
+def arc_slots(nodes: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
+    """(arc, home shard, first slot, last slot): the slots that lead to each node, the first node's in two rows."""
+    out, first = [], 0
+    for arc, (slot, shard) in enumerate(nodes):
+        out.append((arc, shard, first, slot))
+        first = slot + 1
+    return out + ([(0, nodes[0][1], first, SLOTS - 1)] if first < SLOTS else [])
 
 
 def capacities(n: int, n_shards: int, load_factor: float = 1.0) -> list[int]:
@@ -102,15 +101,15 @@ def assign_shards(df: DataFrame, n_shards: int, id_col: str = "doc_id", text_col
     nodes = ring(n_shards, vnodes)
     spark = df.sparkSession
     # Two tables of the ring, bounded by its parameters: the arc of each slot, the segments of each arc.
-    arcs = F.broadcast(spark.createDataFrame(
-        [(slot, arc, nodes[arc][1]) for slot, arc in enumerate(arc_of_slot(nodes))], "ring_slot int, arc int, home int"))
+    arcs = F.broadcast(small_table(spark, arc_slots(nodes), "arc int, home int, first int, last int").select(
+        F.explode(F.sequence("first", "last")).alias("ring_slot"), "arc", "home"))
     at = F.xxhash64(F.col(id_col).cast("string"))
     ring_slot = F.shiftrightunsigned(at, 64 - SLOT_BITS).cast("int")
     found = {r["arc"]: r["n"] for r in df.select(ring_slot.alias("ring_slot")).join(arcs, "ring_slot")
              .groupBy("arc").agg(F.count(F.lit(1)).alias("n")).collect()}
     counts = [found.get(a, 0) for a in range(len(nodes))]
     parts = segments(nodes, counts, capacities(sum(counts), n_shards, load_factor))
-    plan = F.broadcast(spark.createDataFrame(parts, "arc int, first long, end long, shard int, base long"))
+    plan = F.broadcast(small_table(spark, parts, "arc int, first bigint, end bigint, shard int, base bigint"))
     text = text_or_empty(F.col(text_col))
     placed = df.select(
         F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"),
