@@ -1,8 +1,7 @@
 """Reproducible pseudo-random fractions for sample generators and backfills.
 
-A fraction is computed from an integer key with two rounds of modular
-arithmetic over a prime modulus. Every intermediate value stays far below
-2^63, so any SQL engine with 64-bit integers computes the same fraction:
+A fraction is the first 48 bits of the MD5 of key, seed and salt, so it does not
+repeat with the key, and any SQL engine with MD5 computes the same fraction:
 reruns, recomputed partitions and the SQL oracle all agree.
 """
 
@@ -11,25 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-PRIME = 1_000_003
-MULTIPLIER = 7_919
-
-
-def _offsets(seed: int, salt: int) -> tuple[int, int]:
-    return (seed * 131 + salt * 977) % PRIME, (seed + salt * 7) % PRIME
+BITS = 48
 
 
 def stable_unit(key: Column, seed: int, salt: int) -> Column:
-    """A fraction in [0, 1) from a non-negative integer key, seed and salt."""
-    a, b = _offsets(seed, salt)
-    k = F.pmod(key.cast("long"), F.lit(PRIME))
-    x1 = F.pmod(k * MULTIPLIER + a, F.lit(PRIME))
-    x2 = F.pmod(x1 * x1 + b, F.lit(PRIME))
-    return x2 / float(PRIME)
+    """A fraction in [0, 1) from an integer key, seed and salt: the first 48 bits of their MD5."""
+    text = F.concat_ws("|", key.cast("long").cast("string"), F.lit(str(seed)), F.lit(str(salt)))
+    return F.conv(F.substring(F.md5(text), 1, BITS // 4), 16, 10).cast("long") / float(1 << BITS)
 
 
 def stable_unit_sql(key: str, seed: int, salt: int) -> str:
     """The same fraction as SQL text (for the oracle)."""
-    a, b = _offsets(seed, salt)
-    x1 = f"((({key}) % {PRIME}) * {MULTIPLIER} + {a}) % {PRIME}"
-    return f"((({x1}) * ({x1}) + {b}) % {PRIME}) / {float(PRIME)}"
+    text = f"CAST(CAST({key} AS BIGINT) AS VARCHAR) || '|{seed}|{salt}'"
+    return f"(CAST('0x' || substr(md5({text}), 1, {BITS // 4}) AS BIGINT) / {float(1 << BITS)!r})"

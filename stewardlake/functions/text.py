@@ -76,11 +76,12 @@ def tags_from_input(tags_text: Column | str) -> Column:
 def strip_markdown(text: Column | str) -> Column:
     """Bold, italic, headings and bullets to plain text (whole text, multi-line)."""
     s = F.coalesce(_c(text), F.lit(""))
-    s = F.regexp_replace(s, r"\*\*(.+?)\*\*", "$1")
-    s = F.regexp_replace(s, r"\*(.+?)\*", "$1")
-    s = F.regexp_replace(s, rf"(?m)^#+{WS}+", "")
-    s = F.regexp_replace(s, rf"(?m)^[*\-]{WS}+", "• ")
-    return js_trim(s)
+    marked = F.regexp_replace(s, r"\*\*(.+?)\*\*", "$1")
+    marked = F.regexp_replace(marked, r"\*(.+?)\*", "$1")
+    marked = F.regexp_replace(marked, rf"(?m)^#+{WS}+", "")
+    marked = F.regexp_replace(marked, rf"(?m)^[*\-]{WS}+", "• ")
+    # Each pass needs one of three signs, which few texts have.
+    return js_trim(F.when(s.contains("*") | s.contains("#") | s.contains("-"), marked).otherwise(s))
 
 
 def prompt_line(ref, name, domain, type_, description, tags) -> Column:

@@ -273,7 +273,7 @@ def sorted_catalog(norm: DataFrame, sort_by: str = "Most Recent") -> DataFrame:
 
 def next_product_ref(products: DataFrame) -> DataFrame:
     """MAX of the integer after 'DP-', plus one (0 when none)."""
-    num = F.substring("product_ref", 4, 1 << 20).try_cast("int")
+    num = F.substring("product_ref", 4, 1 << 20).try_cast("bigint")
     return products.agg(F.max(num).alias("max_id")).select(
         "max_id",
         F.format_string("DP-%03d", F.coalesce(F.col("max_id"), F.lit(0)) + 1).alias("next_ref"),

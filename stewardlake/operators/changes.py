@@ -5,12 +5,14 @@ Parquet has no UPDATE / DELETE / MERGE, so each change is a pure function
 unions, which the caller writes as a new table version. With a transactional
 table format the same plan is one MERGE.
 
-* Several changes to one key in a batch are folded to the latest first
-  (``latest_per_key``: a partial aggregate, skew-safe).
+* Batches carry a time or sequence column. Several changes to one key are
+  folded to the latest (per field where a change is partial) before they are
+  applied (partial aggregates, skew-safe); a guard is applied before the fold.
 * New ids come from the business key (md5 text ids) or continue after the
   current maximum (``sequence_numbers``), never from ``uuid()``, so a retried
   job produces the same rows.
-* Applying the same batch twice changes nothing the second time.
+* Applying the same batch twice changes nothing the second time, except for
+  registrations, which have no business key (each one is a new product).
 """
 
 from __future__ import annotations
@@ -78,33 +80,62 @@ def review_products(products: DataFrame, decisions: DataFrame, as_of: Column) ->
         .drop("action")
 
 
-PATCHABLE = ["display_name", "description", "type", "domain", "refresh_frequency", "source_system"]
-
-
-def patch_products(products: DataFrame, patches: DataFrame) -> DataFrame:
-    """M3: update only supplied fields. ``patches`` has product_ref and, per
-    field f, ``f`` and a presence flag ``has_f`` (an explicit NULL is a
-    value). The reference's ``source_type`` field writes ``source_system``."""
-    p = patches.withColumnsRenamed({c: f"_p_{c}" for c in patches.columns if c != "product_ref"})
-    j = products.join(p, "product_ref", "left")
-    for f in PATCHABLE:
-        src = "source_type" if f == "source_system" else f
-        flag, val = f"_p_has_{src}", f"_p_{src}"
-        if flag in j.columns:
-            j = j.withColumn(f, F.when(F.coalesce(F.col(flag), F.lit(False)), F.col(val)).otherwise(F.col(f)))
-    return j.select(*products.columns)
+#: Patchable fields: product column and the name of the field in a patch.
+PATCHABLE = {
+    "display_name": "display_name", "description": "description", "uc_full_name": "uc_full_name",
+    "source_system": "source_type", "refresh_frequency": "refresh_frequency", "report_url": "report_url",
+    "domain": "domain", "owner_email": "owner_email", "classification": "data_classification", "tags": "tags",
+}
+
+
+def _sequence(df: DataFrame, name: str) -> Column:
+    """The batch's order column, or a constant where a batch has one change per key."""
+    return F.col(name) if name in df.columns else F.lit(0)
+
+
+def patch_products(products: DataFrame, patches: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """M3: update only supplied fields. ``patches`` has product_ref, patch_seq
+    and, per field f, ``f`` and a presence flag ``has_f`` (an explicit NULL is a
+    value). Of several patches of a product the latest that supplies a field
+    sets it. ``as_of`` becomes updated_at of patched products."""
+    fields = {c: f for c, f in PATCHABLE.items() if f"has_{f}" in patches.columns}
+    for c in fields:
+        if c not in products.columns:
+            products = products.withColumn(c, F.lit(None).cast(patches.schema[fields[c]].dataType))
+    seq = _sequence(patches, "patch_seq").alias("s")
+    folded = patches.groupBy("product_ref").agg(F.lit(True).alias("_hit"), *[
+        F.max(F.when(F.coalesce(F.col(f"has_{f}"), F.lit(False)), F.struct(seq, F.col(f).alias("v")))).alias(f"_p_{c}")
+        for c, f in fields.items()])
+    if as_of is not None and "updated_at" not in products.columns:
+        products = products.withColumn("updated_at", F.lit(None).cast("timestamp_ntz"))
+    j = products.join(folded, "product_ref", "left")
+    touched = F.lit(False)
+    for c in fields:
+        touched = touched | F.col(f"_p_{c}").isNotNull()
+    new = {c: F.when(F.col(f"_p_{c}").isNotNull(), F.col(f"_p_{c}.v")).otherwise(F.col(c)) for c in fields}
+    if as_of is not None:
+        new["updated_at"] = F.when(touched, as_of).otherwise(F.col("updated_at"))
+    return j.select(*[new.get(c, F.col(c)).alias(c) for c in products.columns])
 
 
 def delete_products(refs: DataFrame, products: DataFrame, requests: DataFrame, audit: DataFrame,
                     library: DataFrame) -> dict[str, DataFrame]:
     """M4: drop the products, their requests, their audit rows and (unlike the
-    reference, which the foreign key would reject) their library rows."""
+    reference, which the foreign key would reject) their library rows. An
+    audit row is about a product by its target name or by the reference or
+    product key in its metadata."""
     gone = products.join(refs.select("product_ref").distinct(), "product_ref", "left_semi").select("product_id")
-    about = F.get_json_object("metadata", "$.k").cast("bigint")
+    about = F.get_json_object("metadata", "$.k").try_cast("bigint")
+    named = [F.col("target_name")] if "target_name" in audit.columns else []
+    ref = F.coalesce(*named, F.get_json_object("metadata", "$.productRef"), F.get_json_object("metadata", "$.ref"))
+    gone_ids = gone.withColumnRenamed("product_id", "_pid")
+    gone_refs = refs.select(F.col("product_ref").alias("_ref")).distinct()
+    kept = audit.withColumn("_pid", about).withColumn("_ref", ref).join(gone_ids, "_pid", "left_anti").join(
+        gone_refs, "_ref", "left_anti")
     return {
         "data_products": products.join(gone, "product_id", "left_anti"),
         "access_requests": requests.join(gone, "product_id", "left_anti"),
-        "audit_log": audit.withColumn("_pid", about).join(gone.withColumnRenamed("product_id", "_pid"), "_pid", "left_anti").drop("_pid"),
+        "audit_log": kept.select(*audit.columns),
         "user_library": library.join(gone, "product_id", "left_anti"),
     }
 
@@ -176,76 +207,135 @@ def _with_resolution_cols(requests: DataFrame) -> DataFrame:
 
 
 def one_decision_per_request(decisions: DataFrame, cols: list[str]) -> DataFrame:
-    """Fold a batch to one decision per request id (deterministically the
-    largest ``cols`` tuple), so a repeated decision cannot multiply rows."""
-    return latest_per_key(decisions, ["request_id"], [F.col(c) for c in cols], cols)
+    """Fold a batch to the latest decision per request id (by ``decided_at``,
+    ties to the largest ``cols`` tuple), so a repeated decision cannot multiply rows."""
+    return latest_per_key(decisions, ["request_id"], [_sequence(decisions, "decided_at"), *[F.col(c) for c in cols]], cols)
 
 
 def _approver_ids(decisions: DataFrame, users: DataFrame) -> DataFrame:
-    u = users.select(F.lower("email").alias("_ae"), F.col("user_id").alias("_approver_id"))
-    return decisions.join(u, F.lower(decisions.approver_email) == u._ae, "left").drop("_ae")
+    """Adds ``_approver_id``: the user with exactly the approver's e-mail. The
+    few different approvers are resolved first, so that one steward who decides
+    everything is one row of the join with users."""
+    asked = decisions.select(F.col("approver_email").alias("_ae")).distinct()
+    found = asked.join(users, asked._ae == users.email, "inner").groupBy("_ae").agg(F.min("user_id").alias("_approver_id"))
+    return decisions.join(found, decisions.approver_email == found._ae, "left").drop("_ae")
 
 
-def approve_requests(requests: DataFrame, users: DataFrame, products: DataFrame, decisions: DataFrame,
-                     as_of: Column) -> DataFrame:
+def _decision_audit(event: str, decided: DataFrame, metadata: Column, as_of: Column) -> DataFrame:
+    """One audit row per decided request (request_id, _actor)."""
+    return decided.select(F.lit(event).alias("event_type"), F.col("_actor").alias("actor_email"),
+                          F.col("request_id").alias("target_name"), metadata.alias("metadata"), as_of.alias("occurred_at"))
+
+
+def _updated(req: DataFrame, joined: DataFrame, hit: Column, new: dict[str, Column]) -> DataFrame:
+    return joined.select(*[F.when(hit, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in req.columns])
+
+
+def approvals(requests: DataFrame, users: DataFrame, products: DataFrame, decisions: DataFrame,
+              as_of: Column) -> dict[str, DataFrame]:
     """M6: approvals that pass the G3 guard (approver is not the requester,
     case-insensitive; request still Pending) set Approved, resolved_at /
     updated_at = as_of, resolved_by (approver's user id or NULL), the grant
     text, grant issued, and expires_at = as_of + 90 days. Failed guards change
-    nothing. One pass over the requests: the (folded) decisions and the
-    dimension columns are joined to each request row once."""
-    dec = _approver_ids(one_decision_per_request(decisions, ["approver_email"]), users).select(
-        "request_id", F.col("approver_email").alias("_approver"), "_approver_id")
+    nothing: the guard is applied first, then the earliest valid decision of a
+    request (by ``decided_at``) counts. One REQUEST_APPROVED audit row each."""
     req = _with_resolution_cols(requests)
-    j = (
-        req.join(dec, "request_id", "left")
-        .join(users.select(F.col("user_id").alias("requester_id"), F.col("email").alias("_remail")), "requester_id", "left")
-        .join(products.select("product_id", F.col("uc_full_name").alias("_full"), F.col("display_name").alias("_pname")),
-              "product_id", "left")
-    )
-    self_approval = F.coalesce(F.lower("_remail") == F.lower("_approver"), F.lit(False))
     pending = F.col("status").isNull() | (F.col("status") == "Pending")
-    hit = F.col("_approver").isNotNull() & ~self_approval & pending
-    upd = {"status": F.lit("Approved"), "resolved_at": as_of, "resolved_by": F.col("_approver_id"),
-           "uc_grant_issued": F.lit(True), "uc_grant_sql": grant_sql("_full", "_remail", "_pname"), "updated_at": as_of,
-           "expires_at": as_of + days(rules.APPROVAL_VALID_DAYS)}
-    return j.select(*[F.when(hit, upd[c]).otherwise(F.col(c)).alias(c) if c in upd else F.col(c) for c in req.columns])
+    open_ = req.where(pending).select("request_id", "requester_id", "product_id").join(
+        users.select(F.col("user_id").alias("requester_id"), F.col("email").alias("_remail")), "requester_id", "left")
+    valid = decisions.where(F.col("approver_email").isNotNull()).join(open_, "request_id", "inner").where(
+        ~F.coalesce(F.lower("_remail") == F.lower("approver_email"), F.lit(False)))
+    first = valid.groupBy("request_id").agg(F.min(F.struct(
+        _sequence(decisions, "decided_at").alias("at"), "approver_email", "product_id", "_remail")).alias("d"))
+    named = _approver_ids(first.select("request_id", "d.approver_email", "d.product_id", "d._remail"), users).join(
+        products.select("product_id", F.col("uc_full_name").alias("_full"), F.col("display_name").alias("_pname")),
+        "product_id", "left")
+    granted = named.select("request_id", F.col("approver_email").alias("_actor"), "_approver_id",
+                           grant_sql("_full", "_remail", "_pname").alias("_grant"), F.lit(True).alias("_hit"))
+    out = _updated(req, req.join(granted, "request_id", "left"), F.coalesce("_hit", F.lit(False)), {
+        "status": F.lit("Approved"), "resolved_at": as_of, "resolved_by": F.col("_approver_id"),
+        "uc_grant_issued": F.lit(True), "uc_grant_sql": F.col("_grant"), "updated_at": as_of,
+        "expires_at": as_of + days(rules.APPROVAL_VALID_DAYS)})
+    audit = _decision_audit("REQUEST_APPROVED", granted, audit_metadata(ucGrantSql=F.col("_grant")), as_of)
+    return {"access_requests": out, "audit": audit}
 
 
-def deny_requests(requests: DataFrame, users: DataFrame, decisions: DataFrame, as_of: Column) -> DataFrame:
-    """M7: Denied with reason, resolver and time; no Pending guard (parity)."""
-    decisions = one_decision_per_request(decisions, ["approver_email", "reason"])
-    d = _approver_ids(decisions, users).select("request_id", "_approver_id", F.coalesce("reason", F.lit("")).alias("_reason"),
-                                               F.lit(True).alias("_hit"))
+def approve_requests(requests: DataFrame, users: DataFrame, products: DataFrame, decisions: DataFrame,
+                     as_of: Column) -> DataFrame:
+    """M6: the new request table (see ``approvals``)."""
+    return approvals(requests, users, products, decisions, as_of)["access_requests"]
+
+
+def denials(requests: DataFrame, users: DataFrame, decisions: DataFrame, as_of: Column) -> dict[str, DataFrame]:
+    """M7: Denied with reason, resolver and time; no Pending guard (parity).
+    The latest decision of a request counts. One REQUEST_DENIED audit row each."""
     req = _with_resolution_cols(requests)
-    j = req.join(d, "request_id", "left")
-    hit = F.coalesce("_hit", F.lit(False))
-    upd = {"status": F.lit("Denied"), "resolved_at": as_of, "resolved_by": F.col("_approver_id"),
-           "denial_reason": F.col("_reason"), "updated_at": as_of}
-    return j.select(*[F.when(hit, upd[c]).otherwise(F.col(c)).alias(c) if c in upd else F.col(c) for c in req.columns])
+    last = one_decision_per_request(decisions, ["approver_email", "reason"]).join(
+        req.select("request_id"), "request_id", "left_semi")
+    d = _approver_ids(last, users).select("request_id", "_approver_id", F.col("approver_email").alias("_actor"),
+                                          F.coalesce("reason", F.lit("")).alias("_reason"), F.lit(True).alias("_hit"))
+    out = _updated(req, req.join(d, "request_id", "left"), F.coalesce("_hit", F.lit(False)), {
+        "status": F.lit("Denied"), "resolved_at": as_of, "resolved_by": F.col("_approver_id"),
+        "denial_reason": F.col("_reason"), "updated_at": as_of})
+    return {"access_requests": out,
+            "audit": _decision_audit("REQUEST_DENIED", d, audit_metadata(reason=F.col("_reason")), as_of)}
 
 
-def revoke_requests(requests: DataFrame, decisions: DataFrame, as_of: Column) -> DataFrame:
+def deny_requests(requests: DataFrame, users: DataFrame, decisions: DataFrame, as_of: Column) -> DataFrame:
+    """M7: the new request table (see ``denials``)."""
+    return denials(requests, users, decisions, as_of)["access_requests"]
+
+
+def revocations(requests: DataFrame, decisions: DataFrame, as_of: Column) -> dict[str, DataFrame]:
     """M8: Revoked with reason (default text), resolved_at, the REVOKE text
-    derived from the grant text; expires_at is kept."""
-    decisions = one_decision_per_request(decisions, ["reason"])
-    d = decisions.select("request_id", F.coalesce(_nz("reason"), F.lit(rules.DEFAULT_REVOKE_REASON)).alias("_reason"),
-                         F.lit(True).alias("_hit"))
+    derived from the grant text; expires_at is kept. The latest decision of a
+    request counts. One ACCESS_REVOKED audit row each."""
     req = _with_resolution_cols(requests)
-    j = req.join(d, "request_id", "left")
-    hit = F.coalesce("_hit", F.lit(False))
-    upd = {"status": F.lit("Revoked"), "resolved_at": as_of, "denial_reason": F.col("_reason"),
-           "uc_grant_sql": revoke_sql("uc_grant_sql"), "updated_at": as_of}
-    return j.select(*[F.when(hit, upd[c]).otherwise(F.col(c)).alias(c) if c in upd else F.col(c) for c in req.columns])
+    if "approver_email" not in decisions.columns:
+        decisions = decisions.withColumn("approver_email", F.lit(None).cast("string"))
+    last = one_decision_per_request(decisions, ["reason", "approver_email"])
+    d = last.select("request_id", F.coalesce(_nz("reason"), F.lit(rules.DEFAULT_REVOKE_REASON)).alias("_reason"),
+                    F.col("approver_email").alias("_actor"), F.lit(True).alias("_hit"))
+    d = d.join(req.select("request_id", revoke_sql("uc_grant_sql").alias("_revoke")), "request_id", "inner")
+    out = _updated(req, req.join(d, "request_id", "left"), F.coalesce("_hit", F.lit(False)), {
+        "status": F.lit("Revoked"), "resolved_at": as_of, "denial_reason": F.col("_reason"),
+        "uc_grant_sql": F.col("_revoke"), "updated_at": as_of})
+    return {"access_requests": out, "audit": _decision_audit(
+        "ACCESS_REVOKED", d, audit_metadata(reason=F.col("_reason"), revokeSql=F.col("_revoke")), as_of)}
+
+
+def revoke_requests(requests: DataFrame, decisions: DataFrame, as_of: Column) -> DataFrame:
+    """M8: the new request table (see ``revocations``)."""
+    return revocations(requests, decisions, as_of)["access_requests"]
+
+
+def review_audit(products: DataFrame, decisions: DataFrame, as_of: Column) -> DataFrame:
+    """M2: one PRODUCT_PUBLISHED / PRODUCT_REJECTED audit row per reviewed
+    product (the latest decision per ref)."""
+    for c in ("reviewer_email", "reason"):
+        if c not in decisions.columns:
+            decisions = decisions.withColumn(c, F.lit(None).cast("string"))
+    dec = latest_per_key(decisions, ["product_ref"], [F.col("decided_at")], ["action", "reviewer_email", "reason"])
+    j = dec.join(products.select("product_ref", "display_name"), "product_ref", "inner")
+    publish = F.col("action") == "publish"
+    return j.where(F.col("action").isin("publish", "reject")).select(
+        F.when(publish, "PRODUCT_PUBLISHED").otherwise("PRODUCT_REJECTED").alias("event_type"),
+        F.coalesce("reviewer_email", F.lit("admin")).alias("actor_email"), F.col("product_ref").alias("target_name"),
+        F.when(publish, audit_metadata(ref=F.col("product_ref"), name=F.col("display_name")))
+        .otherwise(audit_metadata(ref=F.col("product_ref"), reason=F.col("reason"))).alias("metadata"),
+        as_of.alias("occurred_at"))
 
 
 # ---- users and groups ---------------------------------------------------------------------------
 def upsert_users(users: DataFrame, incoming: DataFrame, mode: str = "overwrite") -> DataFrame:
-    """key = lower(trim(email)). ``overwrite`` replaces name, role and
-    department of existing users; ``insert_if_absent`` only adds new ones.
-    New users get ids after the current maximum, in e-mail order."""
-    inc = incoming.withColumn("_k", F.lower(F.trim("email")))
-    inc = latest_per_key(inc, ["_k"], [F.col("email")], ["display_name", "role", "department"])
+    """key = lower(trim(email)). ``overwrite`` replaces name, normalized
+    role and department of existing users (absent name or department: empty);
+    ``insert_if_absent`` only adds new ones. Of several rows of one e-mail the
+    latest by ``upsert_seq`` counts. New users get ids after the current
+    maximum, in e-mail order."""
+    inc = incoming.withColumn("_k", F.lower(F.trim("email"))).withColumn("role", normalize_role("role"))
+    inc = inc.withColumns({c: F.coalesce(c, F.lit("")) for c in ("display_name", "department")})
+    inc = latest_per_key(inc, ["_k"], [_sequence(inc, "upsert_seq"), F.col("email")], ["display_name", "role", "department"])
     cur = users.withColumn("_k", F.lower(F.trim("email")))
     if mode == "overwrite":
         hit = inc.select(*[F.col(c).alias(f"_n_{c}") for c in ["_k", "display_name", "role", "department"]])
@@ -257,21 +347,20 @@ def upsert_users(users: DataFrame, incoming: DataFrame, mode: str = "overwrite")
     new = inc.join(cur.select("_k"), "_k", "left_anti")
     base = users.select(F.coalesce(F.max("user_id"), F.lit(0)).alias("m")).scalar()
     new = sequence_numbers(new, ["_k"], "_seq").select(
-        (base + F.col("_seq")).alias("user_id"), F.col("_k").alias("email"), "display_name",
-        F.coalesce("role", F.lit("analyst")).alias("role"), F.coalesce("department", F.lit("General")).alias("department"))
+        (base + F.col("_seq")).alias("user_id"), F.col("_k").alias("email"), "display_name", "role", "department")
     return cur.drop("_k").unionByName(new, allowMissingColumns=True)
 
 
 def upsert_groups(groups: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Insert or overwrite group rows by group name."""
-    inc = latest_per_key(incoming, ["group_name"], [F.col("role")], ["role"])
+    """Insert or overwrite group rows by group name (the latest by ``upsert_seq``)."""
+    inc = latest_per_key(incoming, ["group_name"], [_sequence(incoming, "upsert_seq"), F.col("role")], ["role"])
     kept = groups.join(inc.select("group_name"), "group_name", "left_anti")
     return kept.unionByName(inc.select(*groups.columns))
 
 
 def upsert_settings(settings: DataFrame, incoming: DataFrame, as_of: Column) -> DataFrame:
-    """Key-value upsert with updated_at."""
-    inc = latest_per_key(incoming, ["key"], [F.col("value")], ["value"]).withColumn("updated_at", as_of)
+    """Key-value upsert with updated_at (the latest by ``upsert_seq``)."""
+    inc = latest_per_key(incoming, ["key"], [_sequence(incoming, "upsert_seq"), F.col("value")], ["value"]).withColumn("updated_at", as_of)
     return settings.join(inc.select("key"), "key", "left_anti").unionByName(inc.select(*settings.columns))
 
 
@@ -303,13 +392,15 @@ def resolve_roles(users: DataFrame, admin_emails: DataFrame, group_roles: DataFr
 
 
 def edit_users(users: DataFrame, edits: DataFrame) -> DataFrame:
-    """Partial edit of role, department and name by user_id; empty
-    values are ignored. Several edits of one user: the last by edit_seq."""
-    e = latest_per_key(edits, ["user_id"], [F.col("edit_seq")], ["role", "department", "display_name"])
-    e = e.select("user_id", *[_nz(c).alias(f"_e_{c}") for c in ["role", "department", "display_name"]])
+    """Partial edit of role (normalized), department and name by user_id;
+    empty values are ignored. Of several edits of one user the latest by
+    edit_seq that supplies a field sets it."""
+    fields = ("role", "department", "display_name")
+    e = edits.withColumns({c: _nz(c) for c in fields}).withColumn(
+        "role", F.when(F.col("role").isNotNull(), normalize_role("role")))
+    e = e.groupBy("user_id").agg(*[F.max(F.when(F.col(c).isNotNull(), F.struct("edit_seq", c)))[c].alias(f"_e_{c}") for c in fields])
     j = users.join(e, "user_id", "left")
-    return j.select(*[F.coalesce(F.col(f"_e_{c}"), F.col(c)).alias(c) if c in ("role", "department", "display_name")
-                      else F.col(c) for c in users.columns])
+    return j.select(*[F.coalesce(F.col(f"_e_{c}"), F.col(c)).alias(c) if c in fields else F.col(c) for c in users.columns])
 
 
 def delete_groups(groups: DataFrame, names: DataFrame) -> DataFrame:

@@ -169,12 +169,10 @@ def submit_features(requests: DataFrame, submissions: DataFrame) -> dict[str, Da
 
 
 def set_feature_status(requests: DataFrame, changes: DataFrame) -> DataFrame:
-    """M16 status: apply (request_id, status) changes whose status is allowed."""
-    ok = changes.filter(F.col("status").isin(*rules.FEATURE_STATUSES)).select(
-        "request_id", F.col("status").alias("_new"))
+    """M16 status: of a request's (request_id, status, changed_seq) rows with an
+    allowed status the latest sets its status."""
+    seq = F.col("changed_seq") if "changed_seq" in changes.columns else F.lit(0)
+    ok = changes.filter(F.col("status").isin(*rules.FEATURE_STATUSES)).groupBy("request_id").agg(
+        F.max(F.struct(seq.alias("s"), "status"))["status"].alias("_new"))
     return requests.join(ok, "request_id", "left").withColumn(
         "status", F.coalesce("_new", F.col("status"))).drop("_new")
-
-
-def as_column(x) -> Column:
-    return x if isinstance(x, Column) else F.lit(x)

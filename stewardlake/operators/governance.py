@@ -104,18 +104,30 @@ def user_group_role(users: DataFrame, groups: DataFrame) -> DataFrame:
 def policy_level(method: Column, path: Column) -> tuple[Column, Column]:
     """J13 rule table as one expression: (level, rule index); first match wins;
     unmatched -> admin with index NULL. No join with the rule table at all."""
-    level, idx = None, None
-    for i, (m, pattern, lvl) in enumerate(rules.POLICY_RULES):
+    idx = policy_rule(method, path)
+    return policy_level_of(idx), idx
+
+
+def policy_rule(method: Column, path: Column) -> Column:
+    """Index of the first rule that matches a call (none: NULL)."""
+    idx = None
+    for i, (m, pattern, _) in enumerate(rules.POLICY_RULES):
         cond = path.rlike(pattern) if m == "*" else (method == m) & path.rlike(pattern)
-        level = F.when(cond, lvl) if level is None else level.when(cond, lvl)
         idx = F.when(cond, i) if idx is None else idx.when(cond, i)
-    return level.otherwise(rules.POLICY_DEFAULT_LEVEL), idx.otherwise(F.lit(None).cast("int"))
+    return idx.otherwise(F.lit(None).cast("int"))
+
+
+def policy_level_of(rule_index: Column) -> Column:
+    """Level of a rule by its index (no rule: the default level)."""
+    levels = F.array(*[F.lit(lvl) for _, _, lvl in rules.POLICY_RULES])
+    return F.coalesce(F.get(levels, rule_index), F.lit(rules.POLICY_DEFAULT_LEVEL))
 
 
 def policy_audit(access_log: DataFrame) -> DataFrame:
     """The access level each logged call required, and the rule that decided."""
-    level, idx = policy_level(F.col("method"), F.col("path"))
-    return access_log.select("log_id", "method", "path", "user_id", level.alias("level"), idx.alias("rule_index"))
+    ruled = access_log.select("log_id", "method", "path", "user_id", policy_rule(F.col("method"), F.col("path")).alias("rule_index"))
+    # Two projections: the regexes run once per call, the level is looked up by their result.
+    return ruled.select("log_id", "method", "path", "user_id", policy_level_of(F.col("rule_index")).alias("level"), "rule_index")
 
 
 def audit_recent(audit: DataFrame, n: int = 50) -> DataFrame:
@@ -138,11 +150,12 @@ def nudge_events(requests: DataFrame, users: DataFrame, as_of: Column, older_tha
 
 
 def audit_append(audit: DataFrame, new_events: DataFrame) -> DataFrame:
-    """M9: append event rows. Events already present (same type, actor and
-    metadata) are skipped, so rerunning a batch appends nothing; new log ids
+    """M9: append event rows. An event is the same as another only if type,
+    actor, metadata and time agree; such repeats, in the batch or already
+    present, are skipped, so rerunning a batch appends nothing. New log ids
     continue after the current maximum in (occurred_at, metadata) order."""
-    key = ["event_type", "actor_id", "metadata"]
-    fresh = new_events.join(audit.select(*key), key, "left_anti")
+    key = ["event_type", "actor_id", "metadata", "occurred_at"]
+    fresh = new_events.dropDuplicates(key).join(audit.select(*key), key, "left_anti")
     base = audit.select(F.coalesce(F.max("log_id"), F.lit(0)).alias("m")).scalar()
     numbered = sequence_numbers(fresh.withColumn("_k", F.concat_ws("|", F.col("occurred_at").cast("string"), "metadata")),
                                 ["_k"], "_seq")

@@ -188,7 +188,7 @@ def build_tags(domain: Column, has_pii: Column, has_conf: Column, source_tags: C
 
 def assign_refs(new_rows: DataFrame, products: DataFrame, order_col: str = "full_name", base: int = 0) -> DataFrame:
     """Sequential refs max + position (padded to 3), in ``order_col`` order."""
-    num = F.substring("product_ref", 4, 1 << 20).try_cast("int")
+    num = F.substring("product_ref", 4, 1 << 20).try_cast("bigint")
     max_id = products.select(F.coalesce(F.max(num), F.lit(base)).alias("m")).scalar()
     seq = sequence_numbers(new_rows, [order_col], "pos")
     return seq.withColumn("product_ref", F.format_string("DP-%03d", max_id + F.col("pos"))).drop("pos")

@@ -1,6 +1,7 @@
 """Text and search jobs over the catalog and a question log
 (F14-F18, X1, X2). The reference asks an LLM with a prompt of 60 products;
-here matching is a distributed word join and prompts are built as data.
+here matching is a distributed word join over all products and prompts of
+60 products are built as data.
 """
 
 from __future__ import annotations
@@ -10,14 +11,12 @@ from pyspark.sql import functions as F
 
 from ..functions.text import classify_intent, find_keywords, is_question, prompt_line, strip_markdown
 
-WORD_RE = r"[a-z0-9]+"
-MIN_WORD_LEN = 2
+WORD_RE = r"[\p{L}\p{N}]+"
 
 
 def words(text: Column) -> Column:
-    """Distinct lower-case ASCII alphanumeric words of a whole text."""
-    return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit(WORD_RE), 0),
-                                     lambda w: F.length(w) >= MIN_WORD_LEN))
+    """Distinct lower-case words (runs of letters and digits of any script) of a whole text."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD_RE), 0))
 
 
 def question_turns(conversations: DataFrame) -> DataFrame:
@@ -33,38 +32,42 @@ def product_words(products: DataFrame) -> DataFrame:
     return products.select("product_id", F.explode(words(text)).alias("word"))
 
 
+#: Products of the ask prompt (L6, X2): the limit is that prompt's feature.
 CONTEXT_SIZE = 60
 
 
-def match_questions(questions: DataFrame, context: DataFrame, k: int = 5, weighting: str = "count") -> DataFrame:
-    """Per question the k best products of the ask context by shared words.
+def match_questions(questions: DataFrame, products: DataFrame, k: int = 5, weighting: str = "count") -> DataFrame:
+    """Per question the k best of the given products by shared words.
 
-    As in the reference, the candidates are the ask context (L6: the first
-    60 published products by name), so the product-side word table is
-    bounded by 60 products and is broadcast; the question side is exploded
-    and joined to it without shuffling the word table. ``weighting="count"``
-    scores the number of distinct shared words; ``"idf"`` weighs each shared
-    word by its BM25 inverse document frequency over the context, clipped at
-    zero (words in half or more of the context weigh nothing). Scores are
-    summed by a partial aggregate per (question, product) and the top k per
-    question are kept by a WindowGroupLimit (score desc, product id asc)."""
-    pw = product_words(context)
+    ``weighting="count"`` scores the number of distinct shared words; ``"idf"``
+    weighs each shared word by its BM25 inverse document frequency over the
+    products, clipped at zero (words in half or more of them weigh nothing).
+
+    Question words that no product has are dropped first, and questions that
+    then have the same words are one word set, scored once. The word join is an
+    ordinary one (adaptive execution splits words that very many products
+    have); scores are summed by a partial aggregate per (word set, product),
+    and the top k per set are kept by a WindowGroupLimit (score desc, product
+    id asc) before they go back to the questions."""
+    pw = product_words(products)
+    df = pw.groupBy("word").agg(F.count(F.lit(1)).cast("double").alias("df"))
     if weighting == "idf":
-        n = context.select(F.count(F.lit(1)).cast("double")).scalar()
-        df = pw.groupBy("word").agg(F.count(F.lit(1)).cast("double").alias("df"))
-        weights = df.withColumn("w", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-        table = pw.join(weights.filter(F.col("w") > 0).select("word", "w"), "word", "inner")
+        n = products.select(F.count(F.lit(1)).cast("double")).scalar()
+        known = df.withColumn("w", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5))).filter(F.col("w") > 0)
     else:
-        table = pw.withColumn("w", F.lit(1.0))
+        known = df.withColumn("w", F.lit(1.0))
+    known = known.select("word", "w")
     qw = questions.select("conv_id", "turn", F.explode(words(F.col("text"))).alias("word"))
-    scored = (
-        qw.join(F.broadcast(table), "word", "inner")
-        .groupBy("conv_id", "turn", "product_id")
-        .agg(F.round(F.sum("w"), 9).alias("score"), F.count(F.lit(1)).alias("shared_words"))
-    )
-    win = Window.partitionBy("conv_id", "turn").orderBy(F.desc("score"), F.asc("product_id"))
-    return (scored.withColumn("rank", F.row_number().over(win)).filter(F.col("rank") <= k)
-            .withColumn("rank", F.col("rank").cast("long")))
+    sets = (qw.join(known, "word", "inner").groupBy("conv_id", "turn")
+            .agg(F.array_sort(F.collect_list(F.struct("word", "w"))).alias("words"))
+            .withColumn("set_id", F.sha2(F.to_json("words"), 256)))
+    asked = sets.groupBy("set_id").agg(F.first("words").alias("words")).select("set_id", F.inline("words"))
+    scored = (asked.join(pw, "word", "inner").groupBy("set_id", "product_id")
+              .agg(F.round(F.sum("w"), 9).alias("score"), F.count(F.lit(1)).alias("shared_words")))
+    win = Window.partitionBy("set_id").orderBy(F.desc("score"), F.asc("product_id"))
+    best = scored.withColumn("rank", F.row_number().over(win)).filter(F.col("rank") <= k)
+    return sets.select("conv_id", "turn", "set_id").join(best, "set_id", "inner").select(
+        "conv_id", "turn", "product_id", "score", "shared_words", F.col("rank").cast("long").alias("rank"))
 
 
 def ask_prompt_table(questions: DataFrame, context: DataFrame) -> DataFrame:

@@ -61,7 +61,9 @@ SELECT product_id, column_name, CASE WHEN product_id % 2 = 0 THEN 'sensitivity_l
  CASE WHEN product_id % 4 = 0 THEN 'pii' ELSE 'Confidential' END AS tag_value
  FROM meta_columns WHERE column_name = 'region' AND product_id % 5 = 0""",
     "portal_groups": """
-SELECT * FROM (VALUES ('AUTOMOBILE','admin'),('BUILDING','steward'),('MACHINERY','analyst')) AS g(group_name, role)""",
+SELECT c_mktsegment AS group_name, CASE count(*) % 3 WHEN 0 THEN 'admin' WHEN 1 THEN 'steward' ELSE 'analyst' END AS role
+FROM customer GROUP BY c_mktsegment
+""",
     "access_log": """
 SELECT event_id AS log_id, CASE event_type WHEN 'view' THEN 'GET' WHEN 'click' THEN 'POST' WHEN 'purchase' THEN 'PUT' WHEN 'error' THEN 'DELETE' ELSE 'GET' END AS method,
  CASE user_id % 5 WHEN 0 THEN '/api/portal/products/DP-001' WHEN 1 THEN '/api/portal/products' WHEN 2 THEN '/api/portal/requests/REQ-001/approve' WHEN 3 THEN '/api/health' ELSE '/api/portal/something-new' END AS path, user_id FROM events""",

@@ -14,7 +14,7 @@ from ..operators import access as A
 from ..operators import changes as CH
 from ..operators.governance import user_group_role
 from ..sources import catalog_io as IO
-from ..sources.fixtures import tables
+from ..sources.fixtures import days, tables
 from .params import REQUESTS_AS_OF_TEXT, STEWARD_EMAIL, requests_as_of
 from .queries_governance import _grant_sql_sql
 from .queries_metadata import word_caps_sql
@@ -26,7 +26,7 @@ MAX_REF = "(SELECT COALESCE(max(TRY_CAST(substring(product_ref, 4) AS INTEGER)),
 
 # M1 batch: each user turn of a conversation submits a product (whole text as description).
 @register("register_products", f"""
-WITH sub AS (SELECT conv_id * 1000 + turn AS submission_id, 'Request ' || CAST(conv_id AS VARCHAR) || '.' || CAST(turn AS VARCHAR) AS name,
+WITH sub AS (SELECT (conv_id, turn) AS submission_id, 'Request ' || CAST(conv_id AS VARCHAR) || '.' || CAST(turn AS VARCHAR) AS name,
   text AS description, 'user' || CAST(conv_id AS VARCHAR) || '@example.org' AS submitted_by FROM conversations WHERE role = 'user'),
 ok AS (SELECT * FROM sub WHERE NULLIF(trim(name), '') IS NOT NULL AND NULLIF(trim(description), '') IS NOT NULL)
 SELECT name AS display_name, description, 'Dashboard' AS type, 'Other' AS source_system, 'user' AS tags, 'Daily' AS refresh_frequency,
@@ -36,7 +36,7 @@ FROM ok""")
 def q_register_products(spark, d):
     t = tables(spark, d)
     sub = t.conversations.filter(F.col("role") == "user").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("submission_id"),
+        F.format_string("%020d-%020d", "conv_id", "turn").alias("submission_id"),
         F.concat(F.lit("Request "), F.col("conv_id").cast("string"), F.lit("."), F.col("turn").cast("string")).alias("name"),
         F.col("text").alias("description"), F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("source"),
         F.lit("user").alias("tags"), F.lit(None).cast("string").alias("refresh_frequency"),
@@ -60,25 +60,48 @@ def q_publish_products(spark, d):
     return out.select("product_id", "product_ref", "is_active", "status", "updated_at")
 
 
-# M3 batch: every Report lower-cases its domain; weekly Reports also set source_type; annual Reports set
-# description to NULL (an explicit NULL).
-@register("patch_products", """
+# M3 batch: two patches of every Report. The first sets a domain and an owner, the second lower-cases the
+# domain, sets source_type of weekly Reports and the description of annual ones to NULL (an explicit NULL):
+# the later domain counts, the earlier owner stays.
+@register("patch_products", f"""
 SELECT product_id, product_ref, display_name,
  CASE WHEN type = 'Report' AND refresh_frequency = 'Annual' THEN NULL ELSE description END AS description, type,
  CASE WHEN type = 'Report' THEN lower(domain) ELSE domain END AS domain, refresh_frequency,
- CASE WHEN type = 'Report' AND refresh_frequency = 'Weekly' THEN 'Snowflake' ELSE source_system END AS source_system
+ CASE WHEN type = 'Report' AND refresh_frequency = 'Weekly' THEN 'Snowflake' ELSE source_system END AS source_system,
+ CASE WHEN type = 'Report' THEN 'patched@example.org' END AS owner_email,
+ CASE WHEN type = 'Report' THEN {AS_OF} END AS updated_at
 FROM data_products""")
 def q_patch_products(spark, d):
     t = tables(spark, d)
     p = t.data_products
-    patches = p.filter(F.col("type") == "Report").select(
-        "product_ref",
+    reports = p.filter(F.col("type") == "Report")
+    second = reports.select(
+        "product_ref", F.lit(2).alias("patch_seq"),
         F.lit(True).alias("has_domain"), F.lower("domain").alias("domain"),
         (F.col("refresh_frequency") == "Weekly").alias("has_source_type"), F.lit("Snowflake").alias("source_type"),
-        (F.col("refresh_frequency") == "Annual").alias("has_description"), F.lit(None).cast("string").alias("description"))
-    out = CH.patch_products(p, patches)
+        (F.col("refresh_frequency") == "Annual").alias("has_description"), F.lit(None).cast("string").alias("description"),
+        F.lit(False).alias("has_owner_email"), F.lit("zzz@example.org").alias("owner_email"))
+    first = reports.select(
+        "product_ref", F.lit(1).alias("patch_seq"), F.lit(True).alias("has_domain"), F.lit("zzz").alias("domain"),
+        F.lit(True).alias("has_owner_email"), F.lit("patched@example.org").alias("owner_email"))
+    out = CH.patch_products(p, second.unionByName(first, allowMissingColumns=True), requests_as_of())
     return out.select("product_id", "product_ref", "display_name", "description", "type", "domain", "refresh_frequency",
-                      "source_system")
+                      "source_system", "owner_email", "updated_at")
+
+
+# M2 audit: one row per reviewed product of the publish / reject batch.
+@register("review_audit", f"""
+SELECT CASE WHEN type = 'Dataset' THEN 'PRODUCT_PUBLISHED' ELSE 'PRODUCT_REJECTED' END AS event_type, 'admin' AS actor_email,
+ product_ref AS target_name, {AS_OF} AS occurred_at FROM data_products WHERE status = 'Pending'""")
+def q_review_audit(spark, d):
+    p = tables(spark, d).data_products
+    pending = p.filter(F.col("status") == "Pending")
+    dec = pending.select("product_ref", F.when(F.col("type") == "Dataset", "publish").otherwise("reject").alias("action"),
+                         requests_as_of().alias("decided_at"))
+    older = pending.select("product_ref", F.when(F.col("type") == "Dataset", "reject").otherwise("publish").alias("action"),
+                           (requests_as_of() - days(1)).alias("decided_at"))
+    return CH.review_audit(p, dec.unionByName(older), requests_as_of()).select(
+        "event_type", "actor_email", "target_name", "occurred_at")
 
 
 # M4 batch: every Pending product is deleted.
@@ -152,17 +175,31 @@ def q_upsert_users_on_submit(spark, d):
         "user_id", "email", "display_name", "role", "department")
 
 
+# M6 batch: the requester decides first (in capitals; the guard refuses it), then the steward, then another
+# person whose name sorts last. The first decision that passes the guard counts.
 DECISIONS = f"""dec AS (
- SELECT ar.request_id, CASE WHEN u.department = 'BUILDING' THEN upper(u.email) ELSE '{STEWARD_EMAIL}' END AS approver_email
- FROM access_requests ar JOIN users u ON u.user_id = ar.requester_id),
-ok AS (
- SELECT d.request_id, d.approver_email FROM dec d JOIN access_requests r ON r.request_id = d.request_id
+ SELECT ar.request_id, x.seq, CASE x.seq WHEN 1 THEN upper(u.email) WHEN 2 THEN '{STEWARD_EMAIL}' ELSE 'zz@example.org' END AS approver_email
+ FROM access_requests ar JOIN users u ON u.user_id = ar.requester_id, (VALUES (1), (2), (3)) x(seq)
+ WHERE NOT (x.seq = 2 AND u.department = 'BUILDING')),
+valid AS (
+ SELECT d.* FROM dec d JOIN access_requests r ON r.request_id = d.request_id
  LEFT JOIN users u ON u.user_id = r.requester_id
- WHERE NOT COALESCE(lower(u.email) = lower(d.approver_email), FALSE) AND NOT (r.status IS NOT NULL AND r.status <> 'Pending'))"""
+ WHERE NOT COALESCE(lower(u.email) = lower(d.approver_email), FALSE) AND NOT (r.status IS NOT NULL AND r.status <> 'Pending')),
+ok AS (SELECT request_id, arg_min(approver_email, seq) AS approver_email FROM valid GROUP BY request_id)"""
+
+
+def _decisions(t):
+    who = t.access_requests.join(t.users.withColumnRenamed("user_id", "requester_id"), "requester_id")
+    seq = F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("decided_at")
+    dec = who.select("request_id", "department", F.upper("email").alias("own"), seq)
+    return dec.filter(~((F.col("decided_at") == 2) & (F.col("department") == "BUILDING"))).select(
+        "request_id", "decided_at",
+        F.when(F.col("decided_at") == 1, F.col("own")).when(F.col("decided_at") == 2, STEWARD_EMAIL)
+        .otherwise("zz@example.org").alias("approver_email"))
 
 
 @register("approve_requests", f"""WITH {DECISIONS},
-g AS (SELECT DISTINCT ok.request_id, (SELECT user_id FROM users WHERE lower(email) = lower(ok.approver_email) LIMIT 1) AS approver_id,
+g AS (SELECT DISTINCT ok.request_id, (SELECT min(user_id) FROM users WHERE email = ok.approver_email) AS approver_id,
        {_grant_sql_sql('dp.uc_full_name', 'u.email', 'dp.display_name')} AS grant_sql
       FROM ok JOIN access_requests ar ON ar.request_id = ok.request_id JOIN data_products dp ON dp.product_id = ar.product_id
       JOIN users u ON u.user_id = ar.requester_id)
@@ -176,26 +213,52 @@ SELECT ar.request_id, CASE WHEN g.request_id IS NOT NULL THEN 'Approved' ELSE ar
 FROM access_requests ar LEFT JOIN g ON g.request_id = ar.request_id""")
 def q_approve_requests(spark, d):
     t = tables(spark, d)
-    dec = A.decision_batch(t.access_requests, t.users, STEWARD_EMAIL)
-    out = CH.approve_requests(t.access_requests, t.users, t.data_products, dec, requests_as_of())
+    out = CH.approve_requests(t.access_requests, t.users, t.data_products, _decisions(t), requests_as_of())
     return out.select("request_id", "status", "resolved_at", "resolved_by", "uc_grant_sql", "uc_grant_issued", "expires_at",
                       "updated_at")
 
 
-# M7 batch: pending low-priority requests are denied as stale by the steward.
+# M6-M8 audit: one row per decided request, all three kinds.
+@register("decision_audit", f"""WITH {DECISIONS}
+SELECT 'REQUEST_APPROVED' AS event_type, approver_email AS actor_email, request_id AS target_name, {AS_OF} AS occurred_at FROM ok
+UNION ALL SELECT 'REQUEST_DENIED', '{STEWARD_EMAIL}', request_id, {AS_OF} FROM access_requests
+ WHERE status = 'Pending' AND business_reason = '5-LOW'
+UNION ALL SELECT 'ACCESS_REVOKED', '{STEWARD_EMAIL}', request_id, {AS_OF} FROM access_requests
+ WHERE status = 'Approved' AND business_reason = '1-URGENT'""")
+def q_decision_audit(spark, d):
+    t = tables(spark, d)
+    out = CH.approvals(t.access_requests, t.users, t.data_products, _decisions(t), requests_as_of())["audit"]
+    out = out.unionByName(CH.denials(t.access_requests, t.users, _denials(t), requests_as_of())["audit"])
+    out = out.unionByName(CH.revocations(t.access_requests, _revocations(t), requests_as_of())["audit"])
+    return out.select("event_type", "actor_email", "target_name", "occurred_at")
+
+
+# M7 batch: pending low-priority requests are denied by the steward, first for one reason, then as stale.
+def _denials(t):
+    low = t.access_requests.filter((F.col("status") == "Pending") & (F.col("business_reason") == "5-LOW"))
+    return low.select("request_id", F.lit(STEWARD_EMAIL).alias("approver_email"), F.inline(F.array(
+        F.struct(F.lit(1).alias("decided_at"), F.lit("zz first reason").alias("reason")),
+        F.struct(F.lit(2).alias("decided_at"), F.lit("stale").alias("reason")))))
+
+
 @register("deny_requests", f"""
 SELECT request_id, CASE WHEN hit THEN 'Denied' ELSE status END AS status, CASE WHEN hit THEN {AS_OF} ELSE resolved_at END AS resolved_at,
  CAST(NULL AS BIGINT) AS resolved_by, CASE WHEN hit THEN 'stale' END AS denial_reason, CASE WHEN hit THEN {AS_OF} END AS updated_at
 FROM (SELECT *, status = 'Pending' AND business_reason = '5-LOW' AS hit FROM access_requests)""")
 def q_deny_requests(spark, d):
     t = tables(spark, d)
-    dec = t.access_requests.filter((F.col("status") == "Pending") & (F.col("business_reason") == "5-LOW")).select(
-        "request_id", F.lit(STEWARD_EMAIL).alias("approver_email"), F.lit("stale").alias("reason"))
-    out = CH.deny_requests(t.access_requests, t.users, dec, requests_as_of())
+    out = CH.deny_requests(t.access_requests, t.users, _denials(t), requests_as_of())
     return out.select("request_id", "status", "resolved_at", "resolved_by", "denial_reason", "updated_at")
 
 
-# M8 batch: approved urgent requests are revoked with the default reason.
+# M8 batch: approved urgent requests are revoked, first with a reason, then with the default one.
+def _revocations(t):
+    urgent = t.access_requests.filter((F.col("status") == "Approved") & (F.col("business_reason") == "1-URGENT"))
+    return urgent.select("request_id", F.lit(STEWARD_EMAIL).alias("approver_email"), F.inline(F.array(
+        F.struct(F.lit(1).alias("decided_at"), F.lit("zz first reason").alias("reason")),
+        F.struct(F.lit(2).alias("decided_at"), F.lit(None).cast("string").alias("reason")))))
+
+
 @register("revoke_requests", f"""
 SELECT request_id, CASE WHEN hit THEN 'Revoked' ELSE status END AS status, CASE WHEN hit THEN {AS_OF} ELSE resolved_at END AS resolved_at,
  CASE WHEN hit THEN 'Access revoked by administrator' END AS denial_reason,
@@ -204,14 +267,12 @@ SELECT request_id, CASE WHEN hit THEN 'Revoked' ELSE status END AS status, CASE
 FROM (SELECT *, status = 'Approved' AND business_reason = '1-URGENT' AS hit FROM access_requests)""")
 def q_revoke_requests(spark, d):
     t = tables(spark, d)
-    dec = t.access_requests.filter((F.col("status") == "Approved") & (F.col("business_reason") == "1-URGENT")).select(
-        "request_id", F.lit(None).cast("string").alias("reason"))
-    out = CH.revoke_requests(t.access_requests, dec, requests_as_of())
+    out = CH.revoke_requests(t.access_requests, _revocations(t), requests_as_of())
     return out.select("request_id", "status", "resolved_at", "denial_reason", "uc_grant_sql", "expires_at", "updated_at")
 
 
 # M10 batch: each 'signup' event upserts a profile: existing customers become stewards of 'SIGNUP',
-# plus a new user per signing-up id (overwrite mode).
+# plus a new user per signing-up id (overwrite mode). An earlier row of each has a name that sorts last.
 UPSERT_INC = """inc AS (
  SELECT DISTINCT k, display_name, role, department FROM (
   SELECT lower(trim('customer.' || lpad(CAST(user_id AS VARCHAR), 9, '0') || '@example.org')) AS k,
@@ -223,10 +284,10 @@ UPSERT_INC = """inc AS (
 
 @register("upsert_users", f"""WITH {UPSERT_INC}
 SELECT u.user_id, u.email, CASE WHEN i.k IS NOT NULL THEN i.display_name ELSE u.display_name END AS display_name,
- CASE WHEN i.k IS NOT NULL THEN i.role ELSE u.role END AS role, CASE WHEN i.k IS NOT NULL THEN i.department ELSE u.department END AS department
+ CASE WHEN i.k IS NOT NULL THEN 'admin' ELSE u.role END AS role, CASE WHEN i.k IS NOT NULL THEN i.department ELSE u.department END AS department
 FROM users u LEFT JOIN inc i ON i.k = lower(trim(u.email))
 UNION ALL
-SELECT (SELECT max(user_id) FROM users) + row_number() OVER (ORDER BY k), k, display_name, COALESCE(role, 'analyst'), COALESCE(department, 'General')
+SELECT (SELECT max(user_id) FROM users) + row_number() OVER (ORDER BY k), k, display_name, COALESCE(role, 'analyst'), COALESCE(department, '')
 FROM inc WHERE k NOT IN (SELECT lower(trim(email)) FROM users)""")
 def q_upsert_users(spark, d):
     t = tables(spark, d)
@@ -238,7 +299,10 @@ def q_upsert_users(spark, d):
         F.lit("SIGNUP").alias("department")).unionByName(ev.select(
             F.concat(F.lit("new"), uid, F.lit("@example.org")).alias("email"), F.concat(F.lit("New "), uid).alias("display_name"),
             F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("department"))).distinct()
-    return CH.upsert_users(t.users, inc, mode="overwrite").select("user_id", "email", "display_name", "role", "department")
+    inc = inc.withColumn("upsert_seq", F.lit(2))
+    older = inc.select("email", F.lit("zz older name").alias("display_name"), F.lit("viewer").alias("role"),
+                       F.lit("ZZ").alias("department"), F.lit(1).alias("upsert_seq"))
+    return CH.upsert_users(t.users, inc.unionByName(older), mode="overwrite").select("user_id", "email", "display_name", "role", "department")
 
 
 # M11 batch: every customer segment is upserted as an analyst group.
@@ -248,7 +312,8 @@ UNION ALL SELECT DISTINCT c_mktsegment, 'analyst' FROM customer""")
 def q_upsert_groups(spark, d):
     t = tables(spark, d)
     inc = t.raw("customer").select(F.col("c_mktsegment").alias("group_name"), F.lit("analyst").alias("role")).distinct()
-    return CH.upsert_groups(t.portal_groups, inc)
+    older = inc.select("group_name", F.lit("steward").alias("role"), F.lit(1).alias("upsert_seq"))
+    return CH.upsert_groups(t.portal_groups, inc.withColumn("upsert_seq", F.lit(2)).unionByName(older))
 
 
 @register("migrate_roles", """
@@ -309,13 +374,12 @@ def q_resolve_roles(spark, d):
 
 
 # M21 batch: each 'error' event edits its user: role admin when value > 50 (else empty = unchanged),
-# a new display name; the last edit (largest event id) wins.
+# a new display name; of each field the last edit (largest event id) that supplies it wins.
 @register("edit_users", """
-WITH e AS (SELECT user_id, role, display_name FROM (
-  SELECT user_id, CASE WHEN value > 50 THEN 'admin' ELSE '' END AS role, 'Edited ' || CAST(event_id AS VARCHAR) AS display_name,
-   row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events WHERE event_type = 'error') WHERE rn = 1)
-SELECT u.user_id, u.email, COALESCE(NULLIF(trim(e.display_name), ''), u.display_name) AS display_name,
- COALESCE(NULLIF(trim(e.role), ''), u.role) AS role, u.department
+WITH e AS (
+  SELECT user_id, CASE WHEN bool_or(value > 50) THEN 'admin' END AS role,
+   'Edited ' || CAST(max(event_id) AS VARCHAR) AS display_name FROM events WHERE event_type = 'error' GROUP BY user_id)
+SELECT u.user_id, u.email, COALESCE(e.display_name, u.display_name) AS display_name, COALESCE(e.role, u.role) AS role, u.department
 FROM users u LEFT JOIN e ON e.user_id = u.user_id""")
 def q_edit_users(spark, d):
     t = tables(spark, d)

@@ -67,12 +67,12 @@ def q_groups_sorted(spark, d):
 @register("idle_demo_users", f"""WITH {UPSERT_INC},
 after AS (
  SELECT u.user_id, u.email, CASE WHEN i.k IS NOT NULL THEN i.display_name ELSE u.display_name END AS display_name,
-  CASE WHEN i.k IS NOT NULL THEN i.role ELSE u.role END AS role,
+  CASE WHEN i.k IS NOT NULL THEN 'admin' ELSE u.role END AS role,
   CASE WHEN i.k IS NOT NULL THEN i.department ELSE u.department END AS department
  FROM users u LEFT JOIN inc i ON i.k = lower(trim(u.email))
  UNION ALL
  SELECT (SELECT max(user_id) FROM users) + row_number() OVER (ORDER BY k), k, display_name, COALESCE(role, 'analyst'),
-  COALESCE(department, 'General')
+  COALESCE(department, '')
  FROM inc WHERE k NOT IN (SELECT lower(trim(email)) FROM users))
 SELECT * FROM after a
 WHERE (a.role IS NULL OR a.user_id > (SELECT max(user_id) FROM users))

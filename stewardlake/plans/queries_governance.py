@@ -118,17 +118,18 @@ NUDGE_META = "'{\"request_id\":\"' || request_id || '\",\"message\":\"Requester
 
 @register("audit_append", f"""
 WITH ev AS (
- SELECT 'NUDGE_SENT' AS event_type, requester_id AS actor_id, {NUDGE_META} AS metadata, {AS_OF} AS occurred_at
+ SELECT DISTINCT 'NUDGE_SENT' AS event_type, requester_id AS actor_id, {NUDGE_META} AS metadata, {AS_OF} AS occurred_at
  FROM access_requests WHERE status = 'Pending' AND requested_at < {AS_OF} - INTERVAL '30' DAY
   AND requester_id IN (SELECT user_id FROM users)),
-fresh AS (SELECT * FROM ev WHERE (event_type, actor_id, metadata) NOT IN (SELECT event_type, actor_id, metadata FROM audit_log))
+fresh AS (SELECT * FROM ev WHERE (event_type, actor_id, metadata, occurred_at) NOT IN (SELECT event_type, actor_id, metadata, occurred_at FROM audit_log))
 SELECT log_id, event_type, actor_id, metadata, occurred_at FROM audit_log
 UNION ALL
 SELECT (SELECT COALESCE(max(log_id), 0) FROM audit_log) + row_number() OVER (ORDER BY CAST(occurred_at AS VARCHAR) || '|' || metadata),
  event_type, actor_id, metadata, occurred_at FROM fresh""")
 def q_audit_append(spark, d):
     t = tables(spark, d)
-    return G.audit_append(t.audit_log, G.nudge_events(t.access_requests, t.users, requests_as_of()))
+    ev = G.nudge_events(t.access_requests, t.users, requests_as_of())
+    return G.audit_append(t.audit_log, ev.unionByName(ev))  # a batch that was delivered twice
 
 
 @register("name_from_email", f"""SELECT user_id, email,
@@ -269,7 +270,7 @@ def q_toggle_votes(spark, d):
 
 # Submissions: the user turns of conversations (whole text as the title).
 @register("submit_features", f"""WITH {FR},
-sub AS (SELECT conv_id * 1000 + turn AS submission_id, trim(text) AS title, 'user' || CAST(conv_id AS VARCHAR) || '@example.org' AS requester_email
+sub AS (SELECT (conv_id, turn) AS submission_id, trim(text) AS title, 'user' || CAST(conv_id AS VARCHAR) || '@example.org' AS requester_email
         FROM conversations WHERE role = 'user'),
 ok AS (SELECT * FROM sub WHERE title IS NOT NULL AND title <> '')
 SELECT request_id, title, status, requester_email FROM fr
@@ -278,13 +279,13 @@ SELECT (SELECT COALESCE(max(request_id), 0) FROM fr) + row_number() OVER (ORDER
 def q_submit_features(spark, d):
     t = tables(spark, d)
     sub = t.conversations.filter(F.col("role") == "user").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("submission_id"), F.col("text").alias("title"),
+        F.format_string("%020d-%020d", "conv_id", "turn").alias("submission_id"), F.col("text").alias("title"),
         F.concat(F.lit("user"), F.col("conv_id").cast("string"), F.lit("@example.org")).alias("requester_email"),
         F.col("conv_id").alias("submitter_id"))
     return D.submit_features(D.feature_requests_model(t.feature_requests), sub)["feature_requests"]
 
 
-# Status changes from labels: quality -> done, toxic -> declined, else an invalid status (ignored).
+# Two status changes of each label, the first (open) sorting last: quality -> done, toxic -> declined, else an invalid status (ignored).
 @register("set_feature_status", f"""WITH {FR},
 ch AS (SELECT doc_id AS request_id, CASE WHEN toxic = 1 THEN 'declined' WHEN quality = 1 THEN 'done' ELSE 'bogus' END AS status FROM labels),
 ok AS (SELECT * FROM ch WHERE status IN ('open','on_roadmap','done','declined'))
@@ -294,7 +295,10 @@ def q_set_feature_status(spark, d):
     t = tables(spark, d)
     ch = t.raw("labels").select(
         F.col("doc_id").alias("request_id"),
-        F.when(F.col("toxic") == 1, "declined").when(F.col("quality") == 1, "done").otherwise("bogus").alias("status"))
+        F.when(F.col("toxic") == 1, "declined").when(F.col("quality") == 1, "done").otherwise("bogus").alias("status"),
+        F.lit(2).alias("changed_seq"))
+    first = ch.filter(F.col("status") != "bogus").select("request_id", F.lit("open").alias("status"), F.lit(1).alias("changed_seq"))
+    ch = ch.unionByName(first)
     return D.set_feature_status(D.feature_requests_model(t.feature_requests), ch)
 
 

@@ -21,7 +21,7 @@ def js_trim_sql(x: str) -> str:
 
 
 def words_sql(x: str) -> str:
-    return f"list_distinct(list_filter(regexp_extract_all(lower({x}), '[a-z0-9]+'), lambda w: length(w) >= 2))"
+    return f"list_distinct(regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}]+'))"
 
 
 def intent_sql(x: str) -> str:
@@ -90,13 +90,11 @@ def q_strip_markdown(spark, d):
 
 
 @register("match_questions", f"""WITH {PUB}, {QUESTIONS},
-ctx AS (SELECT * FROM pub ORDER BY display_name, product_id LIMIT 60),
-pw AS (SELECT DISTINCT product_id, unnest({words_sql("concat_ws(' ', display_name, COALESCE(domain, ''), array_to_string(tags, ' '), COALESCE(description, ''))")}) AS word FROM ctx),
+pw AS (SELECT DISTINCT product_id, unnest({words_sql("concat_ws(' ', display_name, COALESCE(domain, ''), array_to_string(tags, ' '), COALESCE(description, ''))")}) AS word FROM pub),
 qw AS (SELECT DISTINCT conv_id, turn, unnest({words_sql('text')}) AS word FROM q),
 sc AS (SELECT conv_id, turn, product_id, round(sum(CAST(1.0 AS DOUBLE)), 9) AS score, count(*) AS shared_words
        FROM qw JOIN pw USING (word) GROUP BY conv_id, turn, product_id)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, product_id) AS rank FROM sc) WHERE rank <= 5""")
 def q_match_questions(spark, d):
     t = tables(spark, d)
-    ctx = C.ask_context(C.catalog_published(t.data_products), S.CONTEXT_SIZE)
-    return S.match_questions(S.question_turns(t.conversations), ctx, 5)
+    return S.match_questions(S.question_turns(t.conversations), C.catalog_published(t.data_products), 5)

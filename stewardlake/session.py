@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -66,7 +67,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         master = spark.conf.get("spark.master", "") or ""
-        if not master.startswith("local"):
+        if not re.match(r"local(\[|$)", master):  # local-cluster has executors of its own
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster "
                                "(checkpoints and stream state must survive lost executors)")
         current = tempfile.mkdtemp(prefix="stewardlake-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))

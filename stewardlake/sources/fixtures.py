@@ -28,7 +28,6 @@ META_COLUMNS = [
     ("my_email", "string", 7),
     ("salary_band", "string", 8),
 ]
-PORTAL_GROUPS = [("AUTOMOBILE", "admin"), ("BUILDING", "steward"), ("MACHINERY", "analyst")]
 TYPE_BY_SIZE_MOD5 = ["Dashboard", "Dataset", "Report", "Genie Space", "ML Model"]
 SKU_BY_EVENT = [("view", "PREMIUM_SERVING"), ("click", "LAKEBASE_CU"), ("purchase", "FOUNDATION_MODEL_TOKENS")]
 SKU_OTHER = "SQL_COMPUTE"
@@ -121,7 +120,10 @@ class Tables:
 
     @cached_property
     def portal_groups(self) -> DataFrame:
-        return self.spark.createDataFrame(PORTAL_GROUPS, "group_name string, role string")
+        """One group per customer segment; its role follows from the number of its customers."""
+        n = F.count(F.lit(1)) % 3
+        return self.raw("customer").groupBy(F.col("c_mktsegment").alias("group_name")).agg(
+            F.when(n == 0, "admin").when(n == 1, "steward").otherwise("analyst").alias("role"))
 
     # ---- requests --------------------------------------------------------
     @cached_property

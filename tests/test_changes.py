@@ -103,5 +103,5 @@ def test_latest_per_key_folds_a_batch(spark):
     users = spark.createDataFrame([(1, "a@x", "Ann", "analyst", "Sales")],
                                   "user_id long, email string, display_name string, role string, department string")
     row = CH.edit_users(users, edits).first()
-    # the last edit wins as a whole; its empty fields leave the stored values
-    assert (row["role"], row["department"], row["display_name"]) == ("admin", "Sales", "Ann")
+    # each field comes from the last edit that supplies it; empty fields change nothing
+    assert (row["role"], row["department"], row["display_name"]) == ("admin", "HR", "Ann")
