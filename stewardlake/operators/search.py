@@ -93,22 +93,33 @@ def question_flags(questions: DataFrame) -> DataFrame:
 FIND_SHOWN = 4
 
 
-def substring_index(norm_products: DataFrame, max_len: Column | None = None) -> DataFrame:
-    """(kw, product_id, name): every distinct substring of length 3 or more
-    (and at most ``max_len``, the longest keyword asked for) of a product's
-    lower-case name and category (short fields), so that substring
-    containment becomes equality on ``kw``."""
-    fields = norm_products.select("product_id", "name",
-                                  F.explode(F.array(F.lower("name"), F.lower("category"))).alias("f")) \
-        .filter(F.length("f") >= 3)
-    n = F.length("f")
-    if max_len is not None:  # attach the bound as a column (no subquery inside the lambda)
-        fields = fields.withColumn("_max", max_len).filter(F.col("_max") >= 3)
-    top = n if max_len is None else F.least(n, F.col("_max"))
-    all_subs = F.flatten(F.transform(
-        F.sequence(F.lit(3), top),
-        lambda ln: F.transform(F.sequence(F.lit(1), n - ln + 1), lambda p: F.substr(F.col("f"), p, ln))))
-    return fields.select("product_id", "name", F.explode(F.array_distinct(all_subs)).alias("kw")).distinct()
+GRAM = 3
+
+
+def trigrams(text: Column) -> Column:
+    """The different three-character substrings of a text."""
+    return F.when(F.length(text) >= GRAM, F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.length(text) - (GRAM - 1)), lambda i: F.substr(text, i, F.lit(GRAM))))).otherwise(
+            F.array().cast("array<string>"))
+
+
+def keyword_matches(keywords: DataFrame, norm_products: DataFrame) -> DataFrame:
+    """(kw, product_id, name): products whose lower-case name or category contains the keyword.
+
+    Each different keyword looks only at the products that have its rarest
+    trigram (the trigram index is linear in the length of names), and each of
+    these is verified by ``contains``."""
+    fields = norm_products.select("product_id", "name", F.lower("name").alias("lname"), F.lower("category").alias("category"))
+    index = fields.select("product_id", "name", "lname", "category", F.explode(F.array_union(
+        trigrams(F.col("lname")), trigrams(F.col("category")))).alias("gram"))
+    sizes = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    grams = keywords.select("kw").distinct().select("kw", F.explode(trigrams(F.col("kw"))).alias("gram"))
+    n_grams = F.size(trigrams(F.col("kw")))
+    rarest = (grams.join(sizes, "gram", "inner").groupBy("kw")
+              .agg(F.min(F.struct("n", "gram")).alias("g"), F.count(F.lit(1)).alias("found"))
+              .filter(F.col("found") == n_grams).select("kw", "g.gram"))  # a trigram no product has: no match
+    return rarest.join(index, "gram", "inner").filter(
+        F.col("lname").contains(F.col("kw")) | F.col("category").contains(F.col("kw"))).select("kw", "product_id", "name")
 
 
 def find_matches(questions: DataFrame, norm_products: DataFrame, shown: int = FIND_SHOWN) -> DataFrame:
@@ -117,35 +128,35 @@ def find_matches(questions: DataFrame, norm_products: DataFrame, shown: int = FI
     2 chars) and the first ``shown`` of them in catalog (name) order.
 
     No (question, product) pair is ever formed:
+    * only keywords that are asked are looked up, each once;
     * the shown products of a question are among the first ``shown`` products
-      of each of its keywords, so a per-keyword top-k (a WindowGroupLimit over
-      the substring index) is joined to the questions, never the whole index;
+      of each of its keywords, so a per-keyword top-k (a WindowGroupLimit) is
+      joined to the questions;
     * the count is exact: per keyword, the matching product ids are folded
       into bitmaps (one per bucket of 32,768 ids); a question ORs the bitmaps
       of its keywords bucket by bucket and counts the set bits.
-    One output row per shown product, with the question's total count."""
-    fq = questions.filter(classify_intent("text") == "find").select(
-        "conv_id", "turn", F.explode(F.array_distinct(find_keywords("text"))).alias("kw")).filter(F.col("kw") != "")
-    # Substrings longer than the longest keyword can never match: a scalar
-    # subquery bounds the index by it.
-    idx = substring_index(norm_products, fq.select(F.max(F.length("kw"))).scalar())
+    One output row per shown product, with the question's total count; a
+    question without any match has one row with count 0 and no product."""
+    found = questions.filter(classify_intent("text") == "find")
+    fq = found.select("conv_id", "turn", F.explode(F.array_distinct(find_keywords("text"))).alias("kw")).filter(F.col("kw") != "")
+    matches = keyword_matches(fq, norm_products)
 
     by_name = Window.partitionBy("kw").orderBy("name", "product_id")
-    first_per_kw = idx.withColumn("r", F.row_number().over(by_name)).filter(F.col("r") <= shown).drop("r")
+    first_per_kw = matches.withColumn("r", F.row_number().over(by_name)).filter(F.col("r") <= shown).drop("r")
     cand = fq.join(first_per_kw, "kw", "inner").select("conv_id", "turn", "product_id", "name").distinct()
     by_q = Window.partitionBy("conv_id", "turn").orderBy("name", "product_id")
     top = cand.withColumn("rank", F.row_number().over(by_q)).filter(F.col("rank") <= shown) \
         .withColumn("rank", F.col("rank").cast("long"))
 
-    bitmaps = idx.groupBy("kw", F.bitmap_bucket_number("product_id").alias("bucket")).agg(
+    bitmaps = matches.groupBy("kw", F.bitmap_bucket_number("product_id").alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("product_id")).alias("bits"))
     counts = (
         fq.join(bitmaps, "kw", "inner")
         .groupBy("conv_id", "turn", "bucket").agg(F.bitmap_count(F.bitmap_or_agg("bits")).alias("n"))
         .groupBy("conv_id", "turn").agg(F.sum("n").alias("n_matches"))
     )
-    return top.join(counts, ["conv_id", "turn"], "inner").select(
-        "conv_id", "turn", "n_matches", "rank", "product_id", "name")
+    return found.select("conv_id", "turn").join(counts, ["conv_id", "turn"], "left").join(top, ["conv_id", "turn"], "left").select(
+        "conv_id", "turn", F.coalesce("n_matches", F.lit(0)).alias("n_matches"), "rank", "product_id", "name")
 
 
 def stripped_documents(documents: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ the conversation log (user turns as questions) and documents."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.text import prompt_line
@@ -66,19 +67,38 @@ def q_classify_intent(spark, d):
     return S.question_flags(S.question_turns(tables(spark, d).conversations)).select("conv_id", "turn", "intent")
 
 
-@register("find_keywords", f"""WITH {PUB}, {QUESTIONS},
+# Questions: the user turns, each user turn as a "find" question, and "find" with the name of every published product
+# (conv_id = its id, turn -1) and with every category (turn -2).
+@register("find_keywords", f"""WITH {PUB},
+q AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'
+  UNION ALL SELECT conv_id, turn + 1000000000, 'find ' || text FROM conversations WHERE role = 'user'
+  UNION ALL SELECT product_id, -1, 'find ' || display_name FROM pub
+  UNION ALL SELECT min(product_id), -2, 'find ' || COALESCE(domain, 'Other') FROM pub GROUP BY COALESCE(domain, 'Other')),
 fq AS (SELECT * FROM q WHERE {intent_sql('text')} = 'find'),
 kw AS (SELECT DISTINCT conv_id, turn, unnest(list_filter(regexp_split_to_array(
   {js_trim_sql(f"regexp_replace(lower(text), '{rules.FIND_STOP_PHRASES}', '', 'g')")}, '{WS}+'), lambda w: length(w) >= 3)) AS kw FROM fq),
 np AS (SELECT product_id, display_name AS name, lower(display_name) AS lname, lower(COALESCE(domain, 'Other')) AS category FROM pub),
-m AS (SELECT DISTINCT conv_id, turn, product_id, name FROM kw JOIN np ON contains(np.lname, kw.kw) OR contains(np.category, kw.kw)),
+k AS (SELECT DISTINCT kw FROM kw),
+km AS (SELECT k.kw, product_id, name FROM k JOIN np ON contains(np.lname, k.kw) OR contains(np.category, k.kw)),
+m AS (SELECT DISTINCT conv_id, turn, product_id, name FROM kw JOIN km USING (kw)),
 r AS (SELECT *, count(*) OVER (PARTITION BY conv_id, turn) AS n_matches,
        row_number() OVER (PARTITION BY conv_id, turn ORDER BY name, product_id) AS rank FROM m)
-SELECT conv_id, turn, n_matches, rank, product_id, name FROM r WHERE rank <= 4""")
+SELECT fq.conv_id, fq.turn, COALESCE(n_matches, 0) AS n_matches, rank, product_id, name
+FROM fq LEFT JOIN (SELECT * FROM r WHERE rank <= 4) r ON r.conv_id = fq.conv_id AND r.turn = fq.turn""")
 def q_find_keywords(spark, d):
     t = tables(spark, d)
-    norm = C.normalize_products(C.catalog_published(t.data_products))
-    return S.find_matches(S.question_turns(t.conversations), norm)
+    pub = C.catalog_published(t.data_products)
+    turns = S.question_turns(t.conversations).select("conv_id", F.col("turn").cast("long").alias("turn"), "text")
+
+    def find(*cols):
+        return cols[0], cols[1].cast("long").alias("turn"), F.concat(F.lit("find "), cols[2]).alias("text")
+
+    domain = F.coalesce("domain", F.lit("Other"))
+    asked = turns.unionByName(turns.select(*find(F.col("conv_id"), F.col("turn") + 1_000_000_000, F.col("text")))) \
+        .unionByName(pub.select(*find(F.col("product_id").alias("conv_id"), F.lit(-1), F.col("display_name")))) \
+        .unionByName(pub.groupBy(domain.alias("d")).agg(F.min("product_id").alias("conv_id"))
+                     .select(*find(F.col("conv_id"), F.lit(-2), F.col("d"))))
+    return S.find_matches(asked, C.normalize_products(pub))
 
 
 @register("strip_markdown", f"""
