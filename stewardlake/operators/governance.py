@@ -18,7 +18,8 @@ MASK_TEXT = "****"
 
 
 def column_classes(df: DataFrame, tags: DataFrame | None = None) -> dict[str, tuple[str, bool]]:
-    """Sensitivity and elevated flag for each column of ``df``'s schema.
+    """Sensitivity and elevated flag for each column of ``df``'s schema;
+    ``tags`` are the column tags of this table.
 
     The result is schema metadata (one entry per column of one table), so its
     size is bounded by the column count; it is needed on the driver because
@@ -27,7 +28,9 @@ def column_classes(df: DataFrame, tags: DataFrame | None = None) -> dict[str, tu
     spark = df.sparkSession
     names = spark.createDataFrame([(c,) for c in df.columns], "column_name string")
     if tags is not None:
-        tagmap = tags.groupBy("column_name").agg(
+        # Repeated tag names of a column: the largest value, as in J9.
+        one = tags.groupBy("column_name", "tag_name").agg(F.max("tag_value").alias("tag_value"))
+        tagmap = one.groupBy("column_name").agg(
             F.map_from_entries(F.collect_list(F.struct("tag_name", "tag_value"))).alias("tags"))
         names = names.join(tagmap, "column_name", "left")
         sens = classify_sensitivity("column_name", F.coalesce("tags", F.create_map().cast("map<string,string>")))
@@ -68,26 +71,49 @@ def gated_preview(state: DataFrame, product_id: int | Column, product_rows: Data
     """The first n rows of a product's data, returned only to users who
     may query it (the same n rows for each such user). The preview is folded
     into one array of at most n rows by a scalar subquery and exploded per
-    viewer, so there is no join and nothing grows beyond n per viewer."""
+    viewer, so there is no join and nothing grows beyond n per viewer. Columns
+    are masked by the viewer's access level (G1)."""
     pid = product_id if isinstance(product_id, Column) else F.lit(product_id)
     viewers = state.filter((F.col("product_id") == pid) & F.col("can_query")).select(
-        F.col("requester_id").alias("viewer_id"))
+        F.col("requester_id").alias("viewer_id"), viewer_access(F.col("state")).alias("_access"))
     preview = product_rows.orderBy(*key).limit(n)
     rows = preview.select(F.collect_list(F.struct(*preview.columns)).alias("rows")).scalar()
-    return viewers.select("viewer_id", F.inline(rows))
+    shown = viewers.select("viewer_id", "_access", F.inline(rows))
+    return masked_for(shown, column_classes(product_rows), "_access").drop("_access")
 
 
-def gated_previews(state: DataFrame, rows: DataFrame, product_col: str, key: list[str], n: int = 5) -> DataFrame:
+def viewer_access(state: Column) -> Column:
+    """Access level that a viewer's state gives: admins see everything, granted viewers have standard access."""
+    return F.when(state == "admin", "admin").when(state == "granted", "standard").otherwise("none")
+
+
+def masked_for(df: DataFrame, classes: dict[str, tuple[str, bool]], access: str) -> DataFrame:
+    """G1 with the viewer's access level in a column: elevated PII stays hidden
+    under standard access, PII and confidential columns without any."""
+    cols = []
+    for c in df.columns:
+        sens, elevated = classes.get(c, (None, False))
+        hidden = [lvl for lvl, hide in (("none", sens in ("PII", "CONFIDENTIAL")), ("standard", elevated)) if hide]
+        cols.append(F.when(F.col(access).isin(hidden), _mask(df, c)).otherwise(F.col(c)).alias(c) if hidden else F.col(c))
+    return df.select(*cols)
+
+
+def gated_previews(state: DataFrame, rows: DataFrame, product_col: str, key: list[str], n: int = 5,
+                   classes: dict[str, tuple[str, bool]] | None = None) -> DataFrame:
     """G2 for every product at once: the first n rows of each product's data
     (a per-product top-n, planned as a WindowGroupLimit so a product with a
     third of all rows ships at most n per task) joined to the (viewer,
-    product) pairs that may query it: at most n rows per pair."""
+    product) pairs that may query it: at most n rows per pair. Columns are
+    masked by each viewer's access level (G1); ``classes`` defaults to the
+    classes that the column names give."""
+    classes = column_classes(rows) if classes is None else classes
     w = Window.partitionBy(product_col).orderBy(*key)
     preview = (rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
                .withColumn("rank", F.col("rank").cast("long")))
     viewers = state.filter(F.col("can_query")).select(F.col("requester_id").alias("viewer_id"),
-                                                      F.col("product_id").alias(product_col))
-    return viewers.join(preview, product_col, "inner")
+                                                      F.col("product_id").alias(product_col),
+                                                      viewer_access(F.col("state")).alias("_access"))
+    return masked_for(viewers.join(preview, product_col, "inner"), classes, "_access").drop("_access")
 
 
 def user_group_role(users: DataFrame, groups: DataFrame) -> DataFrame:

@@ -68,6 +68,22 @@ def q_gated_preview(spark, d):
     return G.gated_preview(state, pid, rows, ["l_orderkey", "l_linenumber", "l_suppkey"])
 
 
+# G2 over a table with sensitive columns: the data of a product are the profiles of the customers who asked for it;
+# granted viewers do not see elevated PII, admins see everything.
+@register("gated_previews_masked", f"""WITH {STATE_CTES},
+data AS (SELECT DISTINCT ar.product_id, p.* FROM access_requests ar JOIN customer_profile p ON p.customer_id = ar.requester_id),
+prev AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY customer_id) AS rank FROM data)
+SELECT s.requester_id AS viewer_id, p.product_id, p.customer_id, CASE WHEN s.state = 'admin' OR p.ssn_last4 IS NULL THEN p.ssn_last4 ELSE '****' END AS ssn_last4,
+ p.email_address, p.budget_code, p.amount, CASE WHEN s.state = 'admin' THEN p.birth_date END AS birth_date, p.region, p.rank
+FROM state s JOIN prev p ON p.product_id = s.product_id WHERE s.can_query AND p.rank <= 5""")
+def q_gated_previews_masked(spark, d):
+    t = tables(spark, d)
+    state = A.access_state(t.access_requests, t.users, requests_as_of())
+    asked = t.access_requests.select("product_id", F.col("requester_id").alias("customer_id")).distinct()
+    rows = asked.join(t.customer_profile, "customer_id")
+    return G.gated_previews(state, rows, "product_id", ["customer_id"], 5)
+
+
 # G2 for all products: every viewer's first 5 line items of each product they may query.
 @register("gated_previews", f"""WITH {STATE_CTES},
 prev AS (SELECT l_partkey, l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice,

@@ -62,7 +62,7 @@ def q_request_state_stream(spark, d):
 
 # Approvals here are valid 20 days so warnings and expiries fire inside the 30-day flow.
 # Oracle: per key, approvals in time order; a timer fires when it falls before the
-# key's next approval, or for the last approval before the final watermark
+# key's next approval and before the final watermark
 # (latest approval time - 1 day), all in epoch milliseconds.
 @register("expiry_sweep_stream", """
 WITH appr AS (
@@ -70,7 +70,7 @@ WITH appr AS (
  FROM audit_log WHERE event_type = 'REQUEST_APPROVED'),
 wm AS (SELECT max(a) - 86400000 AS w FROM appr),
 h AS (SELECT actor_id, target_id, a,
-       COALESCE(lead(a) OVER (PARTITION BY actor_id, target_id ORDER BY a), (SELECT w FROM wm)) AS horizon FROM appr)
+       LEAST(COALESCE(lead(a) OVER (PARTITION BY actor_id, target_id ORDER BY a), (SELECT w FROM wm)), (SELECT w FROM wm)) AS horizon FROM appr)
 SELECT actor_id, target_id, 'Expiring' AS kind, epoch_ms(a) AS approved_at, epoch_ms(a + 6 * 86400000) AS fire_at
 FROM h WHERE a + 6 * 86400000 < horizon
 UNION ALL

@@ -215,20 +215,22 @@ def current_request_state(spark: SparkSession, changelog: str) -> DataFrame:
 
 
 EXPIRY_OUT = "actor_id bigint, target_id bigint, kind string, approved_ms bigint, fire_ms bigint"
-EXPIRY_STATE = "approved_ms bigint, expires_ms bigint, warned boolean"
+EXPIRY_STATE = "approved_ms bigint, expires_ms bigint, warned boolean, later array<bigint>"
 _EXPIRY_COLS = ["actor_id", "target_id", "kind", "approved_ms", "fire_ms"]
 
 
 def _expiry_fn(warn_before_ms: int, valid_ms: int):
-    """Per (actor, target): the current approval and its expiry in epoch ms.
-
-    Approvals of a key are applied in event-time order, and before a newer
-    approval restarts the clock, the older one's timers that fall before it
-    fire. Timers otherwise fire when the watermark passes them; both timers
-    fire in one call when both are due. The output therefore depends only on
-    the data and the final watermark, not on micro-batch boundaries. The
-    key's rows arrive as a stream of Arrow batches and only their times are
-    kept."""
+    """Per (actor, target): the current approval with its expiry, and the times
+    of approvals that the watermark has not passed, all in epoch ms.
+
+    An approval takes effect when the watermark has passed it: no earlier one
+    can then still arrive, so approvals take effect in event-time order however
+    they arrive. Before an approval restarts the clock, the older one's timers
+    that fall before it fire; other timers fire when the watermark has passed
+    them; both timers fire in one call when both are due. So the output depends
+    only on the data and the final watermark, not on arrival order inside the
+    watermark's delay or on micro-batch boundaries. The key's rows arrive as a
+    stream of Arrow batches and only their times are kept."""
 
     def due(approved, expires, warned, before, out, key):
         # fire the timers of one approval that fall strictly before `before`
@@ -242,24 +244,29 @@ def _expiry_fn(warn_before_ms: int, valid_ms: int):
 
     def fn(key, pdfs, state: GroupState):
         out: list = []
-        cur = state.get if state.exists else None
-        if state.hasTimedOut:
-            cur = due(*cur, state.getCurrentWatermarkMs(), out, key)
-        else:
-            times = sorted({int(t) for pdf in pdfs for t in pdf["event_ms"]})
-            for t in times:
-                if cur is not None:
-                    if t <= cur[0]:
-                        continue
-                    due(*cur, t, out, key)
-                cur = (t, t + valid_ms, False)
-            if cur is not None:  # timers the watermark has already passed
-                cur = due(*cur, state.getCurrentWatermarkMs(), out, key)
-        if cur is None:
+        cur, later = None, set()
+        if state.exists:
+            approved, expires, warned, waiting = state.get
+            cur = (approved, expires, warned) if approved is not None else None
+            later.update(int(t) for t in waiting)
+        if not state.hasTimedOut:
+            later.update(int(t) for pdf in pdfs for t in pdf["event_ms"])
+        passed = state.getCurrentWatermarkMs()
+        for t in sorted(t for t in later if t <= passed):
+            if cur is not None:
+                if t <= cur[0]:
+                    continue
+                due(*cur, t, out, key)
+            cur = (t, t + valid_ms, False)
+        later = sorted(t for t in later if t > passed)
+        if cur is not None:
+            cur = due(*cur, passed, out, key)
+        if cur is None and not later:
             state.remove()
         else:
-            state.update(cur)
-            state.setTimeoutTimestamp(int(cur[1] if cur[2] else cur[1] - warn_before_ms))
+            state.update((*(cur or (None, None, None)), later))
+            next_timer = (cur[1] if cur[2] else cur[1] - warn_before_ms) if cur else later[0] + valid_ms - warn_before_ms
+            state.setTimeoutTimestamp(max(int(next_timer), passed + 1))
         if out:
             yield pd.DataFrame(out, columns=_EXPIRY_COLS)
 

@@ -118,3 +118,57 @@ def test_expiry_output_does_not_depend_on_batching(spark):
             "actor_id", "target_id", "kind", T.ms_to_wall_clock(F.col("approved_ms")).alias("approved_at"),
             T.ms_to_wall_clock(F.col("fire_ms")).alias("fire_at"))
         assert canon(got.columns, [tuple(r) for r in got.collect()]) == want, max_files
+
+
+class _State:
+    """Group state of one key, as the stream gives it to the function."""
+
+    def __init__(self):
+        self.value, self.timeout, self.hasTimedOut, self.watermark = None, None, False, 0
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def getCurrentWatermarkMs(self):
+        return self.watermark
+
+    def update(self, value):
+        self.value = value
+
+    def remove(self):
+        self.value = self.timeout = None
+
+    def setTimeoutTimestamp(self, ms):
+        assert ms > self.watermark
+        self.timeout = ms
+
+
+def _expiries(batches, end, delay=1.0, valid=20, warn=14):
+    """Fired timers (kind, approved day, fire day) of one key's approvals (days) in micro-batches."""
+    import pandas as pd
+
+    day = 86_400_000
+    fn, state, out = T._expiry_fn(warn * day, valid * day), _State(), []
+    most = 0.0
+    for times in [*batches, *[[]] * 3]:
+        if times:
+            state.hasTimedOut = False
+            out += [r for pdf in fn((1, 2), iter([pd.DataFrame({"event_ms": [round(t * day) for t in times]})]), state)
+                    for r in pdf.itertuples(index=False)]
+        most = max([most, *times]) if times else max(most, end)
+        state.watermark = max(state.watermark, round((most - delay) * day))
+        if state.timeout is not None and state.timeout < state.watermark:
+            state.hasTimedOut = True
+            out += [r for pdf in fn((1, 2), iter([]), state) for r in pdf.itertuples(index=False)]
+    return sorted((r.kind, r.approved_ms / day, r.fire_ms / day) for r in out)
+
+
+def test_late_approvals_inside_the_watermark_restart_the_clock():
+    """Approvals on days 1, 6.9 and 7.1: in time order 6.9 restarts the clock of day 1 before its warning on day 7."""
+    flows = [[[1.0, 6.9, 7.1]], [[1.0], [6.9], [7.1]], [[1.0], [7.1], [6.9]], [[7.1, 1.0, 6.9]], [[1.0], [7.1, 6.9]]]
+    want = sorted([("Expiring", 7.1, 13.1), ("Expired", 7.1, 27.1)])
+    for flow in flows:
+        assert _expiries(flow, 40.0) == want, flow
+    # a gap in which the warning of day 1 is due before the next approval
+    assert _expiries([[1.0], [8.2], [7.5]], 10.0) == [("Expiring", 1.0, 7.0)]
+    assert _expiries([[1.0, 1.0], [1.0]], 30.0) == sorted([("Expiring", 1.0, 7.0), ("Expired", 1.0, 21.0)])
