@@ -1,13 +1,14 @@
-"""Every registered query against its DuckDB oracle (order-insensitive)."""
+"""Every registered catalog query against its DuckDB oracle (order-insensitive)."""
 
 import pytest
 
 import __spark_entry__ as E
+from stewardlake.plans import registry
 from tools.oracle_check import canon, duck
 
 SF = "/root/testdata/sf0.001"
-QUERIES = E.queries()
-ORACLE = E.oracle_sql()
+QUERIES = registry.queries()
+ORACLE = registry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
