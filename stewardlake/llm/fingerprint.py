@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, running_totals, text_or_empty, words_of
+from .common import bound, cut_lineage, running_totals, text_or_empty, words_of
 
 SHINGLE = 5
 SCALE = 8
@@ -32,9 +32,7 @@ def hashes(text: Column, shingle: int = SHINGLE) -> Column:
         return F.transform(F.sequence(F.lit(1), F.greatest(n - (shingle - 1), F.lit(1))),
                            lambda i: F.xxhash64(F.array_join(F.slice(words, i, F.least(n, F.lit(shingle))), " ")))
 
-    # One-element transform: the words are made once and named inside it.
-    return F.element_at(F.transform(F.array(w), lambda x: F.when(F.size(x) > 0, of(x)).otherwise(
-        F.array().cast("array<bigint>"))), 1)
+    return bound(w, lambda x: F.when(F.size(x) > 0, of(x)).otherwise(F.array().cast("array<bigint>")))
 
 
 def kept(all_hashes: Column) -> Column:
@@ -44,7 +42,7 @@ def kept(all_hashes: Column) -> Column:
         return F.when(F.size(low) > 0, F.array_sort(F.array_distinct(low))).when(
             F.size(h) > 0, F.array(F.array_min(h))).otherwise(h)
 
-    return F.element_at(F.transform(F.array(all_hashes), of), 1)
+    return bound(all_hashes, of)
 
 
 def sketch(text: Column) -> Column:
@@ -79,7 +77,7 @@ def as_text(s: Column) -> Column:
 
 
 def edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every document beside its edited text: (doc_id, text, edited, own, changed, next_own).
+    """Every document beside its edited text: (doc_id, next_id, text, edited, own, changed, next_own).
 
     The edited text has the last quarter of its code points (rounded down)
     replaced by as many from the start of the next document, or all of it if
@@ -92,21 +90,24 @@ def edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
     Ranks come from a range sort of rows without texts. The texts are shuffled
     once, by key; each then sends its start and sketch to its predecessor's key.
+    (Both readers of that shuffle need the same columns, so Spark reuses it.)
     """
     base = df.select(F.col(id_col).alias("doc_id"), text_or_empty(F.col(text_col)).alias("text"))
     mark = F.xxhash64("text")
     key = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), mark.cast("string"))
     slim = cut_lineage(base.select("doc_id", mark.alias("mark"), key.alias("key"), F.char_length("text").alias("n"))
                        .distinct().withColumn("one", F.lit(1)))
-    count = slim.count()
+    count, repeats = slim.count(), base.count()
     ranked = running_totals(slim, [], ["doc_id", "mark"], "one", "rank").select("key", "n", "rank")
     before = ranked.select(F.col("key").alias("prev_key"), F.floor(F.col("n") / 4).cast("int").alias("need"),
                            (F.col("rank") % max(count, 1) + 1).alias("rank"))
     places = cut_lineage(ranked.join(before, "rank").select("key", "prev_key", "need"))
     texts = base.select("doc_id", "text", key.alias("key")).withColumn("own", sketch(F.col("text")))
     full = texts.repartition("key").join(places.hint("merge"), "key")
-    heads = full.select(F.col("prev_key").alias("key"), F.expr("left(text, need)").alias("head"),
-                        F.col("own").alias("next_own")).dropDuplicates(["key"])
+    heads = full.select(F.col("prev_key").alias("key"), F.col("doc_id").alias("next_id"),
+                        F.expr("left(text, need)").alias("head"), F.col("own").alias("next_own"))
+    if repeats > count:
+        heads = heads.dropDuplicates(["key"])
     both = full.join(heads.hint("merge"), "key")
     return (both.withColumn("edited", F.concat(F.expr("left(text, char_length(text) - cast(floor(char_length(text) / 4) as int))"), "head"))
-            .select("doc_id", "text", "edited", "own", sketch(F.col("edited")).alias("changed"), "next_own"))
+            .select("doc_id", "next_id", "text", "edited", "own", sketch(F.col("edited")).alias("changed"), "next_own"))

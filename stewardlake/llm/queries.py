@@ -83,7 +83,7 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
                     fingerprint.as_text(changed).alias("edited_fingerprint"),
                     fingerprint.likeness(own, changed).alias("near_edited"),
                     fingerprint.likeness(own, following).alias("near_next"),
-                    fingerprint.resemblance(own, changed).alias("jaccard_edited"))
+                    fingerprint.resemblance(own, changed).alias("jaccard_edited"), "next_id")
 
 
 def op10_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
