@@ -296,12 +296,13 @@ def revocations(requests: DataFrame, decisions: DataFrame, as_of: Column) -> dic
     last = one_decision_per_request(decisions, ["reason", "approver_email"])
     d = last.select("request_id", F.coalesce(_nz("reason"), F.lit(rules.DEFAULT_REVOKE_REASON)).alias("_reason"),
                     F.col("approver_email").alias("_actor"), F.lit(True).alias("_hit"))
-    d = d.join(req.select("request_id", revoke_sql("uc_grant_sql").alias("_revoke")), "request_id", "inner")
     out = _updated(req, req.join(d, "request_id", "left"), F.coalesce("_hit", F.lit(False)), {
         "status": F.lit("Revoked"), "resolved_at": as_of, "denial_reason": F.col("_reason"),
-        "uc_grant_sql": F.col("_revoke"), "updated_at": as_of})
+        "uc_grant_sql": revoke_sql("uc_grant_sql"), "updated_at": as_of})
+    grants = req.groupBy("request_id").agg(F.max(F.struct("uc_grant_sql"))["uc_grant_sql"].alias("uc_grant_sql"))
+    told = d.join(grants, "request_id", "inner").withColumn("_revoke", revoke_sql("uc_grant_sql"))
     return {"access_requests": out, "audit": _decision_audit(
-        "ACCESS_REVOKED", d, audit_metadata(reason=F.col("_reason"), revokeSql=F.col("_revoke")), as_of)}
+        "ACCESS_REVOKED", told, audit_metadata(reason=F.col("_reason"), revokeSql=F.col("_revoke")), as_of)}
 
 
 def revoke_requests(requests: DataFrame, decisions: DataFrame, as_of: Column) -> DataFrame:

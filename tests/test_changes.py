@@ -1,5 +1,7 @@
 """Mutations: applying the same batch twice changes nothing the second time."""
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from stewardlake.operators import changes as CH
@@ -105,3 +107,57 @@ def test_latest_per_key_folds_a_batch(spark):
     row = CH.edit_users(users, edits).first()
     # each field comes from the last edit that supplies it; empty fields change nothing
     assert (row["role"], row["department"], row["display_name"]) == ("admin", "HR", "Ann")
+
+
+def test_batches_fold_by_time_and_guards_come_first(spark):
+    """Several changes of one key, the older one textually larger."""
+    as_of = F.lit("2024-05-01 00:00:00").cast("timestamp_ntz")
+    users = spark.createDataFrame([(1, "zed@x", "Zed", "viewer", "S"), (2, "adm@x", "Adm", "admin", "S"), (3, "ADM@x", "Other", "admin", "S")],
+                                  "user_id long, email string, display_name string, role string, department string")
+    req = spark.createDataFrame([("r1", 7, 1, "Pending"), ("r2", 7, 1, "Approved")],
+                                "request_id string, product_id long, requester_id long, status string").withColumns(
+        {c: F.lit(None).cast("timestamp_ntz") for c in ("resolved_at", "expires_at")})
+    products = spark.createDataFrame([(7, "DP-001", "Name", "c.s.t", "z")],
+                                     "product_id long, product_ref string, display_name string, uc_full_name string, domain string")
+    dec = spark.createDataFrame([("r1", "zed@x", 1), ("r1", "adm@x", 2), ("r1", "zz@x", 3)],
+                                "request_id string, approver_email string, decided_at int")
+    out = CH.approvals(req, users, products, dec, as_of)
+    rows = {r["request_id"]: r for r in out["access_requests"].collect()}
+    assert (rows["r1"]["status"], rows["r1"]["resolved_by"]) == ("Approved", 2) and len(rows) == 2
+    assert [(r["event_type"], r["actor_email"], r["target_name"]) for r in out["audit"].collect()] == [("REQUEST_APPROVED", "adm@x", "r1")]
+
+    deny = spark.createDataFrame([("r1", "adm@x", "zz", 1), ("r1", "adm@x", "aa", 2)],
+                                 "request_id string, approver_email string, reason string, decided_at int")
+    denied = CH.denials(req, users, deny, as_of)
+    assert [(r["status"], r["denial_reason"]) for r in denied["access_requests"].where("request_id = 'r1'").collect()] == [("Denied", "aa")]
+    assert denied["audit"].count() == 1
+
+    inc = spark.createDataFrame([("zed@x", "zz old", "viewer", "A", 1), ("Zed@x ", "New", "Data Steward", None, 2)],
+                                "email string, display_name string, role string, department string, upsert_seq int")
+    got = {r["user_id"]: r for r in CH.upsert_users(users, inc).collect()}
+    assert (got[1]["display_name"], got[1]["role"], got[1]["department"]) == ("New", "admin", "")
+
+    patches = spark.createDataFrame([("DP-001", 1, True, "zz", True, "Old"), ("DP-001", 2, True, "aa", False, None)],
+                                    "product_ref string, patch_seq int, has_domain boolean, domain string, has_display_name boolean, display_name string")
+    p = CH.patch_products(products, patches, as_of).collect()
+    assert [(r["domain"], r["display_name"]) for r in p] == [("aa", "Old")] and p[0]["updated_at"] is not None
+
+
+def test_audit_append_keeps_later_events_and_skips_repeats(spark):
+    from stewardlake.operators.governance import audit_append
+
+    schema = "log_id long, event_type string, actor_id long, metadata string, occurred_at timestamp_ntz"
+    jan, feb = dt.datetime(2024, 1, 1), dt.datetime(2024, 2, 1)
+    audit = spark.createDataFrame([(5, "NUDGE_SENT", 1, "{}", jan)], schema)
+    new = spark.createDataFrame([("NUDGE_SENT", 1, "{}", feb), ("NUDGE_SENT", 1, "{}", feb), ("NUDGE_SENT", 1, "{}", jan)],
+                                schema.replace("log_id long, ", ""))
+    assert sorted((r["log_id"], r["occurred_at"]) for r in audit_append(audit, new).collect()) == [(5, jan), (6, feb)]
+
+
+def test_product_words_past_the_sixtieth_name_match(spark):
+    from stewardlake.operators.search import match_questions
+
+    products = spark.createDataFrame([(i, f"name {i:03d}", "Other", ["x"], "straße éclair" if i == 99 else "") for i in range(100)],
+                                     "product_id long, display_name string, domain string, tags array<string>, description string")
+    qs = spark.createDataFrame([(1, 0, "Where is the ÉCLAIR of the Straße?"), (2, 0, "nothing here")], "conv_id long, turn int, text string")
+    assert [(r["conv_id"], r["product_id"], r["shared_words"]) for r in match_questions(qs, products).collect()] == [(1, 99, 2)]
