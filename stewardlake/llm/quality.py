@@ -24,6 +24,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,9 +33,11 @@ from pyspark.sql import types as T
 from .common import cut_lineage, ship_package
 
 ORDER = 5
-BLOCK_DOCS = 8192
+BLOCK_DOCS = 16384
 QUANTILE = 0.99
 HELD_OUT = 5
+#: Trusted ids are broadcast up to this many (about 16 MB), and joined by a shuffle beyond.
+BROADCAST_IDS = 1_000_000
 #: Characters counted or scored at once.
 PART = 1 << 21
 START, END = "\x02", "\x03"
@@ -80,8 +83,10 @@ def _types(joined: str, starts: np.ndarray) -> tuple[list[str], np.ndarray, np.n
     for k in range(ORDER):
         key = (key ^ codes[starts + k]) * np.uint64(0x9E3779B97F4A7C15)
         key ^= key >> np.uint64(31)
-    _, first, which, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-    return [joined[s:s + ORDER] for s in starts[first].tolist()], which, n
+    which, types = pd.factorize(key)
+    first = np.zeros(len(types), dtype=np.int64)
+    first[which[::-1]] = starts[::-1]
+    return [joined[s:s + ORDER] for s in first.tolist()], which, np.bincount(which, minlength=len(types))
 
 
 def gram_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
@@ -203,14 +208,18 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     are null and nothing is called low quality but blank texts.
     """
     good = labels.where("quality = 1").select(F.col("doc_id").alias("good_id")).distinct()
-    rows = docs.select("doc_id", "lang", "text").join(good, F.col("doc_id") == good["good_id"], "left")
-    rows = rows.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"), F.col("good_id").isNotNull().alias("trusted"))
+    good = cut_lineage(good.where("good_id is not null"))
+    if good.count() <= BROADCAST_IDS:
+        good = F.broadcast(good)
+    rows = docs.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
     unseen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % HELD_OUT == 0
-    model = fit(gram_counts(rows.where(F.col("trusted") & ~unseen)))
+    taught = rows.where(~unseen).join(good, F.col("doc_id") == good["good_id"], "left_semi")
+    model = fit(gram_counts(taught))
     n_blocks = max(1, -(-docs.count() // BLOCK_DOCS))
-    marked = cut_lineage(log_likelihood(rows, model, n_blocks))
-    taught = not model.isEmpty()
-    ppl = F.when((F.col("n") > 1) & F.lit(taught), F.exp(-F.col("logp") / F.col("n")))
+    scored = log_likelihood(rows, model, n_blocks)
+    marked = cut_lineage(scored.join(good, F.col("doc_id") == good["good_id"], "left")
+                         .withColumn("trusted", F.col("good_id").isNotNull()).drop("good_id"))
+    ppl = F.when((F.col("n") > 1) & F.lit(not model.isEmpty()), F.exp(-F.col("logp") / F.col("n")))
     marked = marked.withColumn("perplexity", ppl)
     held = marked.where(F.col("trusted") & unseen & F.col("perplexity").isNotNull())
     cut = F.expr(f"percentile_approx(perplexity, {quantile}, 10000)")
