@@ -176,15 +176,15 @@ def _rows(keys: np.ndarray, rot: np.ndarray, forest: _Forest) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(fps[linked]), pa.array(fps[forest.label[linked]])], names=["a", "b"])
 
 
-def _whole_groups(batches, columns):
-    """Arrays of the columns, cut so that rows with equal first columns (all but the last) stay together."""
+def _whole_groups(batches, n_keys: int):
+    """Arrays of the columns, cut so that rows with equal first ``n_keys`` columns stay together."""
     held = None
     for b in batches:
-        new = [b.column(i).to_numpy(zero_copy_only=False) for i in range(len(columns))]
+        new = [c.to_numpy(zero_copy_only=False) for c in b.columns]
         held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
         if len(held[0]) < CHUNK:
             continue
-        last = np.logical_or.reduce([x != x[-1] for x in held[:-1]])
+        last = np.logical_or.reduce([x != x[-1] for x in held[:n_keys]])
         cut = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0
         if cut:
             yield [x[:cut] for x in held]
@@ -203,7 +203,7 @@ def _bounds(*columns: np.ndarray) -> np.ndarray:
 
 def _join_subtries(batches):
     """Self-join of every subtrie; rows (rot, top, rest) sorted, ``rest`` being the key."""
-    for rot, top, rest in _whole_groups(batches, ("rot", "top", "key")):
+    for rot, top, rest in _whole_groups(batches, 2):
         keys = rest.view(np.uint64)
         at = _bounds(rot, top)
         a, b = at[:-1], at[1:]
@@ -215,7 +215,7 @@ def _join_subtries(batches):
 
 def _join_pairs(batches):
     """Joins the two nodes of each pair; rows (rot, depth, bits, pair, side, key) sorted."""
-    for rot, depth, bits, pair, side, key in _whole_groups(batches, ("rot", "depth", "bits", "pair", "side", "key")):
+    for rot, depth, bits, pair, side, key in _whole_groups(batches, 4):  # both sides of a pair
         keys = key.view(np.uint64)
         forest = _Forest(len(keys))
         at = _bounds(rot, depth, bits, pair, side)

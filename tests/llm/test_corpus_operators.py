@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,6 +124,25 @@ def test_trie_join_finds_every_component(spark, block):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, plain.values()))
 
 
+def test_sides_of_a_pair_stay_in_one_chunk(monkeypatch):
+    """Pairs of two nodes one bit apart, in batches that end between the sides, with chunks smaller than a pair."""
+    rng = random.Random(5)
+    rows, want = [], 0
+    for pair in range(40):
+        low = sorted(rng.getrandbits(40) for _ in range(rng.randint(1, 4)))
+        rows += [(0, 24, 1, pair, 0, (pair << 48) | k) for k in low] + [(0, 24, 1, pair, 1, (pair << 48) | 1 << 40 | k) for k in low]
+        want += len(low)
+    schema = pa.schema([("rot", pa.int32()), ("depth", pa.int32()), ("bits", pa.int32()), ("pair", pa.int64()),
+                        ("side", pa.int32()), ("key", pa.int64())])
+    for chunk in (1, 2, 5, 16, 1 << 16):
+        monkeypatch.setattr(simhash, "CHUNK", chunk)
+        for size in (1, 3, 7, 1000):
+            batches = [pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i:i + size]), schema)], schema=schema)
+                       for i in range(0, len(rows), size)]
+            got = [(a, b) for out in simhash._join_pairs(batches) for a, b in zip(out["a"].to_pylist(), out["b"].to_pylist())]
+            assert len(got) == want and all(a ^ b == 1 << 40 for a, b in got), (chunk, size)
+
+
 def test_trie_budget_meets_every_link():
     """Every way to spread up to 3 differing bits over the quarters passes the budgets of some rotation."""
     for e in ((a, b, c, d) for a in range(4) for b in range(4) for c in range(4) for d in range(4) if a + b + c + d <= 3):
