@@ -17,12 +17,19 @@ presence of n-grams tells nothing about a text that is long enough to have them
 all. The windows of a batch are one presence matrix; kernel, Nystroem map and
 regression are linear in it, so their product is formed once and scoring is one
 matrix product per batch. A text's score is the mean of its windows' by size.
+
+The scores of a text sum to one over the languages, so they say which language
+is nearest, not whether any is near. That is told by the share of its letter
+triples (space at the ends) that occur in the sample, numbered by a 24-bit hash.
+The bound is set for each language on the sample, never on held-out rows:
+``PART`` of the share that all but ``LEAST_WORDS`` of its single words reach
+when the window they are from is left out.
 """
 
 from __future__ import annotations
 
 import functools
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -42,9 +49,14 @@ RIDGE = 1.0
 #: Windows scored at once.
 BATCH = 128
 UNKNOWN = "und"
-#: A text whose best score is less is in no learned language: all regressions are nearer to their
-#: "not this language" (score 0) than to undecided (0.5). Very short texts of a known language score from 0.28.
-LEAST_SCORE = 0.25
+#: No bar on the score: the best of scores that sum to one is never under 1 / languages, whatever the text.
+LEAST_SCORE = 0.0
+TRIPLES = 1 << 24
+#: A text is in a learned language from this part of the known share of that language's single words, ...
+PART = 0.6
+#: ... taken where this share of them has less, over the first ``WORDS`` words of each sampled window.
+LEAST_WORDS = 0.01
+WORDS = 16
 
 
 @functools.lru_cache(maxsize=1)
@@ -74,13 +86,31 @@ def features(codes: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
 
 
-def windows(text: str | None) -> list[np.ndarray]:
-    """Feature numbers of each window of a text (no letters: none)."""
+def pieces(text: str | None) -> list[np.ndarray]:
+    """Symbols of each window of a text (no letters: none)."""
     codes = symbols(text or "")
     if not (codes != 32).any():
         return []
-    parts = max(1, round(len(codes) / WINDOW))
-    return [features(p) for p in np.array_split(codes, parts)]
+    return np.array_split(codes, max(1, round(len(codes) / WINDOW)))
+
+
+def windows(text: str | None) -> list[np.ndarray]:
+    """Feature numbers of each window of a text (no letters: none)."""
+    return [features(p) for p in pieces(text)]
+
+
+def triples(codes: np.ndarray) -> np.ndarray:
+    """Numbers of all three-symbol runs, repeats included, with a space before and after the symbols."""
+    space = np.full(1, 32, dtype=np.uint64)
+    c = np.concatenate((space[:int(codes[0] != 32)], codes, space[:int(codes[-1] != 32)]))
+    gram = (c[:-2] * np.uint64(0x100000001B3) + c[1:-1]) * np.uint64(0x100000001B3) + c[2:]
+    return (((gram ^ (gram >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(40)).astype(np.int64)
+
+
+def first_words(codes: np.ndarray) -> list[np.ndarray]:
+    """Triples of each of the first ``WORDS`` words of a symbol array."""
+    words = np.split(codes, np.flatnonzero(codes == 32))
+    return [triples(w) for w in (x[x != 32] for x in words) if len(w)][:WORDS]
 
 
 def presence(rows: list[np.ndarray]) -> np.ndarray:
@@ -96,6 +126,9 @@ class Model:
     languages: tuple[str, ...]
     weights: np.ndarray
     bias: np.ndarray
+    #: Triples of the sample, and the least share of them by language (none: every text is in a learned language).
+    known: np.ndarray | None = None
+    least: np.ndarray | None = None
 
     def scores(self, rows: list[np.ndarray]) -> np.ndarray:
         x = presence(rows)
@@ -123,6 +156,18 @@ def fit(samples: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS, ridge
     return Model(languages, (z.T @ (root @ w)).astype(np.float32), (middle - center @ w).astype(np.float32))
 
 
+def bounds(languages: tuple[str, ...], samples: list[tuple[str, np.ndarray, list[np.ndarray]]]) -> tuple[np.ndarray, np.ndarray]:
+    """Known triples and the least share by language, from rows (language, a window's different triples, its words')."""
+    known, seen = np.unique(np.concatenate([w for _, w, _ in samples]), return_counts=True)
+    elsewhere = np.zeros(TRIPLES, dtype=bool)
+    elsewhere[known[seen > 1]] = True
+    shares = {lang: [] for lang in languages}
+    for lang, _, words in samples:
+        shares[lang] += [elsewhere[w].mean() for w in words]
+    least = [PART * np.quantile(shares[lang], LEAST_WORDS, method="lower") if shares[lang] else 0.0 for lang in languages]
+    return known.astype("<u4"), np.array(least)
+
+
 def held_out(id_col: Column) -> Column:
     """Rows never learned from: CRC-32 of the id as text leaves 2 modulo 4 (null ids: not held out)."""
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -144,43 +189,64 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     if not chosen:
         return fit([])
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("o", T.LongType()),
-                           T.StructField("grams", T.BinaryType())])
+                           T.StructField("grams", T.BinaryType()), T.StructField("triples", T.BinaryType()),
+                           T.StructField("words", T.ArrayType(T.BinaryType()))])
 
     def sample(batches):
         for b in batches:
-            lang, key, grams = [], [], []
+            lang, key, grams, runs, words = [], [], [], [], []
             for name, o, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                parts = windows(text.as_py())
+                parts = pieces(text.as_py())
                 if parts:
+                    part = parts[o % len(parts)]
                     lang.append(name)
                     key.append(o)
-                    grams.append(np.unique(parts[o % len(parts)]).astype("<u4").tobytes())
+                    grams.append(np.unique(features(part)).astype("<u4").tobytes())
+                    runs.append(np.unique(triples(part)).astype("<u4").tobytes())
+                    words.append([w.astype("<u4").tobytes() for w in first_words(part)])
             yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(key, pa.int64()),
-                                              pa.array(grams, pa.binary())], names=["lang", "o", "grams"])
+                                              pa.array(grams, pa.binary()), pa.array(runs, pa.binary()),
+                                              pa.array(words, pa.list_(pa.binary()))], names=schema.names)
 
     ship_package(df.sparkSession)
     rows = (known.where(F.col(id_col).isin(chosen)).select(F.col(lang_col), order.alias("o"), F.col(text_col))
             .mapInArrow(sample, schema).collect())  # one window of at most 3 WINDOW numbers for each chosen row
     rows.sort(key=lambda r: (r["lang"], r["o"], bytes(r["grams"])))
-    return fit([(r["lang"], np.frombuffer(r["grams"], dtype="<u4").astype(np.int64)) for r in rows if r["lang"] in most])
+    rows = [r for r in rows if r["lang"] in most]
+
+    def numbers(b):
+        return np.frombuffer(b, dtype="<u4").astype(np.int64)
+
+    model = fit([(r["lang"], numbers(r["grams"])) for r in rows])
+    if not rows:
+        return model
+    known, least = bounds(model.languages, [(r["lang"], numbers(r["triples"]), [numbers(w) for w in r["words"]]) for r in rows])
+    return replace(model, known=known, least=least)
 
 
 def predict(df: DataFrame, model: Model, text_col: str = "text", lang_name: str = "lang_pred",
-            score_name: str = "score") -> DataFrame:
-    """``df`` with the predicted language and its score, 0 to 1 (0.5: the regression's decision bound).
+            score_name: str = "score", learned_name: str | None = None) -> DataFrame:
+    """``df`` with the predicted language and its score, 0 to 1 (0.5: the regression's decision bound), and, if
+    ``learned_name`` is given, whether the text's share of known triples reaches the predicted language's bound.
 
     Null texts and those without a letter are ``und`` with score 0, and so is
     every text if nothing could be learned. Columns of these names are replaced;
     every row is predicted for itself, from its text alone.
     """
-    keep = [c for c in df.columns if c not in (lang_name, score_name)]
+    keep = [c for c in df.columns if c not in (lang_name, score_name, learned_name)]
     at = df.columns.index(text_col)
     index = [df.columns.index(c) for c in keep]
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(lang_name, T.StringType()),
-                                                          T.StructField(score_name, T.DoubleType())])
+                                                          T.StructField(score_name, T.DoubleType())]
+                          + [T.StructField(c, T.BooleanType()) for c in (learned_name,) if c])
 
     def run(batches):
+        known = None
+        if learned_name and model.known is not None:
+            known = np.zeros(TRIPLES, dtype=bool)
+            known[model.known] = True
         for b in batches:
+            hits, runs = np.zeros(b.num_rows), np.zeros(b.num_rows)
             total, size = np.zeros((b.num_rows, len(model.languages))), np.zeros(b.num_rows)
             rows, owner = [], []
 
@@ -192,28 +258,33 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", lang_name: str
                 owner.clear()
 
             for i, text in enumerate(b.column(at)):
-                for part in windows(text.as_py()) if model.languages else ():
-                    rows.append(part)
+                for part in pieces(text.as_py()) if model.languages else ():
+                    if known is not None:
+                        found = known[triples(part)]
+                        hits[i] += found.sum()
+                        runs[i] += len(found)
+                    rows.append(features(part))
                     owner.append(i)
                     if len(rows) == BATCH:
                         flush()
             if rows:
                 flush()
-            lang, score = [UNKNOWN] * b.num_rows, np.zeros(b.num_rows)
+            lang, score, learned = [UNKNOWN] * b.num_rows, np.zeros(b.num_rows), np.zeros(b.num_rows, dtype=bool)
             for i in np.flatnonzero(size):
                 mean = total[i] / size[i]
                 best = int(mean.argmax())
                 lang[i], score[i] = model.languages[best], min(1.0, max(0.0, (mean[best] + 1) / 2))
-            yield pa.RecordBatch.from_arrays([b.column(i) for i in index] + [pa.array(lang, pa.string()), pa.array(score)],
-                                             names=keep + [lang_name, score_name])
+                learned[i] = known is None or hits[i] >= model.least[best] * runs[i]
+            made = [pa.array(lang, pa.string()), pa.array(score)] + [pa.array(learned)] * bool(learned_name)
+            yield pa.RecordBatch.from_arrays([b.column(i) for i in index] + made, names=schema.names)
 
     ship_package(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
 def keep_known(df: DataFrame, model: Model, text_col: str = "text", least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of ``df`` in a learned language, with their columns: a text without letters goes, and one
-    whose best score is under ``least``."""
-    lang, score = fresh(df, "_lang_pred"), fresh(df, "_lang_score")
-    marked = predict(df, model, text_col, lang, score)
-    return marked.where((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).drop(lang, score)
+    """The rows of ``df`` in a learned language, with their columns: a text without letters goes, one with too
+    few known triples, and one whose best score is under ``least``."""
+    lang, score, learned = fresh(df, "_lang_pred"), fresh(df, "_lang_score"), fresh(df, "_lang_learned")
+    marked = predict(df, model, text_col, lang, score, learned)
+    return marked.where((F.col(lang) != UNKNOWN) & F.col(learned) & (F.col(score) >= least)).drop(lang, score, learned)

@@ -117,6 +117,26 @@ def test_language_id_on_held_out_documents(spark, sf_small):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_texts_in_no_learned_language_go_and_short_clean_ones_stay(spark):
+    import random
+
+    rng = random.Random(8)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.train(docs)
+    noise = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(6, 12))) for _ in range(400)]
+    odd = ["漢字仮名交じり文", "這是一段中文文字。" * 40, "Привет, как дела?", "मैं ठीक हूँ", "123 !!"]
+    odd += [" ".join(noise[k:k + n]) for n in (5, 20, 100) for k in (0, 100, 200)]
+    held = [r["text"] for r in docs.where(langid.held_out(F.col("doc_id"))).select("text").collect()]
+    words = sorted({t.split()[0] for t in held if t.split()[0].strip("0123456789.,!")})
+    clean = held + [w for w in words if w.strip(".,!").isalpha()]
+    df = spark.createDataFrame([(t, True) for t in clean] + [(t, False) for t in odd], "text string, clean boolean")
+    got = langid.keep_known(df, model).collect()
+    assert [r["text"] for r in got if not r["clean"]] == []
+    assert len(clean) > 400 and len(got) >= 0.995 * len(clean)
+    short = ["This.", "Avec.", "Die", "and", "tion", "A."]
+    assert langid.keep_known(spark.createDataFrame([(t,) for t in short], "text string"), model).count() == len(short)
+
+
 def test_language_model_equals_the_kernel_written_out():
     """Linear form against kernel values between single windows (presence kernel, Nystroem, ridge)."""
     texts = [("en", "the thing and other things of the nation"), ("de", "der schein und die einheit der sachen"),
