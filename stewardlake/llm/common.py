@@ -83,6 +83,31 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def with_marks(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``df`` with two hashes (128 bits) of each row's columns, and their names: only equal rows share them."""
+    names = [fresh(df, "_mark_a"), fresh(df, "_mark_b")]
+    return df.withColumns({n: F.xxhash64(F.lit(k), *[F.col(f"`{c}`") for c in df.columns]) for k, n in enumerate(names)}), names
+
+
+def one_of_each_group(df: DataFrame, marks: list[str], judged: DataFrame, groups: list[str], first: str) -> DataFrame:
+    """One row of ``df`` (which has the ``marks``) for each group, without the marks.
+
+    ``judged`` has a row for each row of ``df``: its marks, its group and
+    whether it may stay (``first``). Of those the one with the least marks
+    stays. Equal rows have equal marks; if they win, one of them stays, and
+    only then the texts of these rows are shuffled once more.
+    """
+    alike = cut_lineage(judged.groupBy(*groups, *marks).agg(F.count(F.lit(1)).alias("_n"), F.max(first).alias("_first")))
+    best = (alike.where("_first").groupBy(*groups).agg(F.min(F.struct(*marks, "_n")).alias("_best"))
+            .select(*[F.col(f"_best.{m}").alias(m) for m in marks], F.col("_best._n").alias("_best_n")))
+    lost = cut_lineage(alike.select(*marks).join(best, marks, "left").where("_best_n IS NULL OR _best_n > 1"))
+    out = df.join(lost.select(*marks), marks, "left_anti").select(*df.columns)
+    repeated = lost.where("_best_n > 1").select(*marks)
+    if not repeated.isEmpty():
+        out = out.unionByName(df.join(repeated, marks, "left_semi").select(*df.columns).dropDuplicates(marks))
+    return out.drop(*marks)
+
+
 def running_totals(df: DataFrame, groups: list[str], order: list[str], value: str, name: str) -> DataFrame:
     """Adds ``name``: the sum of ``value`` over the rows of the same group up
     to and including this one in ``order``, without one task per group.

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, cut_lineage, text_or_empty
+from .common import SPACES, cut_lineage, one_of_each_group, text_or_empty, with_marks
 
 #: Counters of the Misra-Gries summary and digests taken from it at most.
 TRACKED = 4096
@@ -35,9 +35,9 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(text_or_empty(text), SPACES, " ")
 
 
-def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text_sha256): the only pass over the texts."""
-    return df.select(F.col(id_col), F.sha2(normalised(F.col(text_col)), 256).alias("text_sha256"))
+def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
+    """(id, more columns, text_sha256): the only pass over the texts."""
+    return df.select(F.col(id_col), *more, F.sha2(normalised(F.col(text_col)), 256).alias("text_sha256"))
 
 
 def heavy_groups(table: DataFrame, id_col: str) -> DataFrame:
@@ -59,22 +59,31 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     are kept only in a group without any other id. An empty table gives no
     rows; other columns of ``df`` are not looked at.
     """
-    table = cut_lineage(digests(df, id_col, text_col))
+    return _groups(cut_lineage(digests(df, id_col, text_col)), id_col)
+
+
+def _groups(table: DataFrame, id_col: str, *more: str) -> DataFrame:
     heavy = F.broadcast(heavy_groups(table, id_col))
     marked = table.join(heavy, "text_sha256", "left")
     own = Window.partitionBy("text_sha256")
     rest = (table.join(heavy, "text_sha256", "left_anti")
             .withColumn("keep_id", F.min(id_col).over(own))
             .withColumn("group_size", F.count(F.lit(1)).over(own)))
-    cols = [id_col, "keep_id", "group_size", "text_sha256"]
+    cols = [id_col, *more, "keep_id", "group_size", "text_sha256"]
     both = marked.where(F.col("group_size").isNotNull()).select(*cols).unionByName(rest.select(*cols))
-    return both.select(id_col, "keep_id", "group_size",
+    return both.select(id_col, *more, "keep_id", "group_size",
                        F.col(id_col).eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that ``exact_groups`` keeps, with their columns."""
-    gone = exact_groups(df, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("_gone"))
-    return df.join(gone, df[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    """One row of ``df`` for each group of equal texts, with its columns.
+
+    It has the group's smallest id (see ``exact_groups``); of several such rows
+    any one, the same in every run. Rows are told apart by id and text, so that
+    repeated and null ids of other texts are not touched.
+    """
+    marked, marks = with_marks(df)
+    judged = _groups(cut_lineage(digests(marked, id_col, text_col, *marks)), id_col, *marks)
+    return one_of_each_group(marked, marks, judged, ["text_sha256"], "kept")
 
 

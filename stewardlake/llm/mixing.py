@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACES, cut_lineage, fresh, running_totals, same_key, text_or_empty
+from .common import NOT_SPACES, cut_lineage, fresh, running_totals, same_key, text_or_empty, with_marks
 
 #: Weights dealt to the sources in code-point order, over and over.
 WEIGHTS = (5, 2, 1)
@@ -69,12 +69,17 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     the queue and take nothing. Rows that repeat an id and size are queued one
     after the other. A table without words takes nothing.
     """
+    return _mix(df, id_col, text_col, source_col, weights, budget, repeats, seed, [])
+
+
+def _mix(df: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], budget: float,
+         repeats: int, seed: str, more: list[str]) -> DataFrame:
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     slim = cut_lineage(df.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
+        *more, F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
         F.md5(F.concat(F.lit(seed + "|"), key)).alias("turn")))
     targets = cut_lineage(source_targets(slim.select("source", "size"), weights, budget, repeats))
-    queued = running_totals(slim, ["source"], ["turn", "doc_id"], "size", "served")
+    queued = running_totals(slim, ["source"], ["turn", "doc_id", *more], "size", "served")
     timed = (queued.join(targets, same_key(queued, targets, "source"), "left")
              .drop(targets["source"]).where(F.col("srank").isNotNull()))
     timed = cut_lineage(timed)
@@ -96,16 +101,27 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
             at = F.struct(((F.col("served") + F.col("source_size") * i) / F.col("target")).alias("finish"),
                           "srank", "turn", "doc_id", F.lit(i).alias("copy"))
             count = count + F.when((F.col("target") > 0) & (at <= end), 1).otherwise(0)
-    return timed.select("doc_id", "source", "size", "source_size", "target", count.cast("long").alias("copies"),
+    return timed.select(*more, "doc_id", "source", "size", "source_size", "target", count.cast("long").alias("copies"),
                         (F.col("size") * count).cast("long").alias("taken"))
 
 
 def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     source_col: str = "source") -> DataFrame:
-    """The documents of the mix: each row of ``df`` as often as the mix takes it."""
-    taken = (mix(df, id_col, text_col, source_col).where("copies > 0").groupBy("doc_id")
-             .agg(F.max("copies").cast("int").alias("_copies")).withColumnRenamed("doc_id", "_id"))
-    nth = fresh(df, "_copy")
-    both = df.join(taken, df[id_col].eqNullSafe(taken["_id"]), "inner")
-    return both.select(*[df[c] for c in df.columns],
-                       F.explode(F.sequence(F.lit(1), taken["_copies"])).alias(nth)).drop(nth)
+    """The documents of the mix: each row of ``df`` as often as the mix takes it.
+
+    Rows are told apart by all their columns, so those that repeat an id (or
+    have none) come as often as the mix takes each. Equal rows together come
+    as often as it takes them together.
+    """
+    marked, marks = with_marks(df)
+    nth, n = fresh(df, "_copy"), fresh(df, "_copies_each")
+    mixed = _mix(marked, id_col, text_col, source_col, WEIGHTS, BUDGET, REPEATS, SEED, marks)
+    taken = cut_lineage(mixed.groupBy(*marks).agg(F.sum("copies").alias("all"), F.count(F.lit(1)).alias("rows")).where("all > 0"))
+    # What equal rows get is dealt evenly; what is over comes from one of them.
+    each = taken.select(*marks, F.expr("cast(all div rows as int)").alias(n)).where(F.col(n) > 0)
+    over = taken.select(*marks, (F.col("all") % F.col("rows")).cast("int").alias(n)).where(F.col(n) > 0)
+    out = marked.join(each, marks).select(*marked.columns, n)
+    if not over.isEmpty():
+        one = marked.join(over, marks, "left_semi").select(*marked.columns).dropDuplicates(marks)
+        out = out.unionByName(one.join(over, marks).select(*marked.columns, n))
+    return out.select(*df.columns, F.explode(F.sequence(F.lit(1), F.col(n))).alias(nth)).drop(nth)

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut_lineage, ship_package
+from .common import cut_lineage, one_of_each_group, ship_package, with_marks
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -69,17 +69,18 @@ def fingerprint(text: str | None, n_words: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > len(starts), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): one row per row, ``fp`` as a signed 64-bit number."""
-    schema = T.StructType([T.StructField("doc_id", df.schema[id_col].dataType), T.StructField("fp", T.LongType())])
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
+    """(doc_id, more columns, fp): one row per row, ``fp`` as a signed 64-bit number."""
+    schema = T.StructType([T.StructField("doc_id", df.schema[id_col].dataType), *[df.schema[c] for c in more],
+                           T.StructField("fp", T.LongType())])
 
     def run(batches):
         for b in batches:
             made = np.array([fingerprint(t.as_py()) for t in b.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(made)], names=schema.names)
 
     ship_package(df.sparkSession)
-    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    return df.select(F.col(id_col), F.col(text_col), *more).mapInArrow(run, schema)
 
 
 def hex_fingerprint(fp: Column) -> Column:
@@ -326,18 +327,26 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     an id are separate rows of the same id; null ids count only where a group
     has no other. An empty table gives no rows; other columns are not looked at.
     """
-    table = cut_lineage(fingerprints(df, id_col, text_col))
+    return _groups(cut_lineage(fingerprints(df, id_col, text_col)), block).select("doc_id", "fp", "component_id")
+
+
+def _groups(table: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``table`` with ``root`` (one for each group) and ``component_id``."""
     classes = cut_lineage(table.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     found = components(trie_links(classes.select("fp"), block))
     rooted = (classes.join(found.withColumnRenamed("node", "fp"), "fp", "left")
               .select("fp", "first_id", F.coalesce("root", "fp").alias("root")))
     groups = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(groups, "root").select("fp", "component_id")
-    return table.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = rooted.join(groups, "root").select("fp", "root", "component_id")
+    return table.join(named, "fp")
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` with the smallest id of their group, with their columns."""
-    gone = near_groups(df, id_col, text_col).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    gone = gone.select(F.col("doc_id").alias("_gone"))
-    return df.join(gone, df[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    """One row of ``df`` for each group, with its columns: one with the group's smallest id, the same in every run.
+
+    Rows of other groups that repeat its id, or have none either, are not touched.
+    """
+    marked, marks = with_marks(df)
+    judged = _groups(cut_lineage(fingerprints(marked, id_col, text_col, *marks)))
+    judged = judged.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return one_of_each_group(marked, marks, judged, ["root"], "kept")

@@ -281,6 +281,35 @@ def test_hash_ring(spark, docs, edge, nothing):
     assert sum(before[r["doc_id"]] != r["shard"] for r in same[1]) < 0.25 * 5000  # limited movement
 
 
+def test_stages_judge_rows_and_not_ids(spark):
+    """Null and repeated ids: one row of each group stays, and no row outside of it goes."""
+    schema = "doc_id long, text string, source string"
+    far = [f"{w} alone with words that no other text has, {w * 2}, {w * 3} and {w * 5}" for w in ("ab", "cde", "fg", "hij")]
+    rows = [(None, "same  text here", "a")] * 40 + [(None, "same text here", "b"), (7, "same text here", "c")]
+    rows += [(None, far[0], "a"), (None, far[1], "b"), (None, far[1], "b")]
+    rows += [(3, "copied text of three", "a"), (5, "copied text of three", "a"), (5, far[2], "a"), (5, far[3], "b"), (5, far[3], "c")]
+    df = spark.createDataFrame(rows, schema).repartition(4)
+    for drop in (exact_dedup.drop_exact_copies, simhash.drop_near_copies):
+        got = drop(df).collect()
+        assert Counter((r["doc_id"], " ".join(r["text"].split())) for r in got) == Counter(
+            [(7, "same text here"), (3, "copied text of three"), *((None, t) for t in far[:2]), *((5, t) for t in far[2:])])
+        assert sorted(map(str, got)) == sorted(map(str, drop(df.repartition(7)).collect()))
+        lone = spark.createDataFrame([(None, "one text", "a")] * 30 + [(None, "one\ttext", "a")] * 30, schema).repartition(3)
+        assert drop(lone).count() == 1
+
+
+def test_mix_takes_rows_and_not_ids(spark):
+    rng = random.Random(4)
+    rows = [(None if i % 2 else i % 40, f"w{i % 900} " * rng.randint(1, 30), "abc"[i % 7 % 3]) for i in range(1200)]
+    rows += [(None, "equal rows of five words", "a")] * 300
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    want = mixing.mix(df).agg(F.sum("taken")).first()[0]
+    out = mixing.mixed_documents(df).collect()
+    assert out and max(Counter((r["doc_id"], r["text"], r["source"]) for r in out).values()) <= 2 * 300
+    assert not Counter(map(tuple, out)) - Counter({k: 2 * v for k, v in Counter(rows).items()})
+    assert abs(sum(len(r["text"].split()) for r in out) - want) <= 60
+
+
 def test_pipeline_against_plain_stages(spark, tmp_path):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
