@@ -7,10 +7,12 @@ N-grams are numbered by a hash into ``DIM`` features.
 
 Training: kernel ridge regression, one language against the rest, on Nystroem
 features: with landmarks Z the kernel is replaced by K_xz K_zz^-1 K_zx, so only
-landmark-sized matrices are solved. It learns from a bounded sample,
-``PER_LANGUAGE`` windows of labelled rows for each of at most ``LANGUAGES``
-languages (the most frequent), chosen by a hash of the id; of these,
-``LANDMARKS`` for each language are landmarks.
+landmark-sized matrices are solved. It learns every language that labelled
+rows have, from a bounded sample: ``PER_LANGUAGE`` windows of each, chosen by a
+hash of the id; of these, ``LANDMARKS`` for each language are landmarks. Beyond
+``LANGUAGES`` languages both shrink, so that all together have no more than
+``LANGUAGES`` languages had; when that leaves less than ``LEAST_SAMPLE``
+windows each, training fails rather than leave a language out.
 
 Prediction reads whole texts in windows of ``WINDOW`` characters, since the
 presence of n-grams tells nothing about a text that is long enough to have them
@@ -33,7 +35,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,6 +47,9 @@ WINDOW = 2000
 PER_LANGUAGE = 400
 LANDMARKS = 120
 LANGUAGES = 64
+LEAST_SAMPLE = 5
+#: Windows made into kernel values at once in training.
+ROWS = 2048
 RIDGE = 1.0
 #: Windows scored at once.
 BATCH = 128
@@ -140,15 +145,20 @@ def fit(samples: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS, ridge
     languages = tuple(sorted({lang for lang, _ in samples}))
     if not languages:
         return Model((), np.zeros((DIM, 0), np.float32), np.zeros(0, np.float32))
-    label = np.array([languages.index(lang) for lang, _ in samples])
-    x = presence([s for _, s in samples])
-    x /= np.sqrt(x.sum(axis=1, keepdims=True))
+    number = {lang: k for k, lang in enumerate(languages)}
+    label = np.array([number[lang] for lang, _ in samples])
+
+    def scaled(at):
+        x = presence([samples[i][1] for i in at])
+        x /= np.sqrt(x.sum(axis=1, keepdims=True))
+        return x
+
     marks = np.concatenate([np.flatnonzero(label == k)[:landmarks] for k in range(len(languages))])
-    z = x[marks]
+    z = scaled(marks)
     values, vectors = np.linalg.eigh((z @ z.T).astype(np.float64))
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
-    phi = (x @ z.T) @ root
+    phi = np.concatenate([(scaled(range(i, min(i + ROWS, len(samples)))) @ z.T) @ root for i in range(0, len(samples), ROWS)])
     y = np.where(label[:, None] == np.arange(len(languages)), 1.0, -1.0)
     center, middle = phi.mean(axis=0), y.mean(axis=0)
     own = phi - center
@@ -174,18 +184,21 @@ def held_out(id_col: Column) -> Column:
 
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-          per_language: int = PER_LANGUAGE, max_languages: int = LANGUAGES) -> Model:
-    """Learns from the labelled rows that are not held out."""
+          per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> Model:
+    """Learns every language of the labelled rows that are not held out."""
     known = df.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()
                      & ~held_out(F.col(id_col)))
     order = F.xxhash64(F.col(id_col).cast("string"))
-    most = [r["lang"] for r in known.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
-            .orderBy(F.desc("n"), "lang").limit(max_languages).collect()]
+    most = sorted(r["lang"] for r in known.select(F.col(lang_col).alias("lang")).distinct().collect())
+    # Beyond ``languages`` they share what that many have.
+    share = min(1.0, languages / max(1, len(most)))
+    per_language, landmarks = int(per_language * share), max(1, int(LANDMARKS * share))
+    if share < 1 and per_language < LEAST_SAMPLE:
+        raise ValueError(f"{len(most)} languages are too many to learn: {per_language} rows of each fit the sample")
     # Ids first, by the smallest hashes of each language, kept in each task already; then the texts of these rows.
-    chosen = []
-    for lang in most:
-        top = known.where(F.col(lang_col) == lang).select(F.col(id_col).alias("i"), order.alias("o"))
-        chosen += [r["i"] for r in top.orderBy("o").limit(per_language).collect()]
+    place = Window.partitionBy("lang").orderBy("o", "i")
+    chosen = [r["i"] for r in known.select(F.col(lang_col).alias("lang"), order.alias("o"), F.col(id_col).alias("i"))
+              .withColumn("place", F.row_number().over(place)).where(F.col("place") <= per_language).select("i").collect()]
     if not chosen:
         return fit([])
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("o", T.LongType()),
@@ -212,12 +225,11 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     rows = (known.where(F.col(id_col).isin(chosen)).select(F.col(lang_col), order.alias("o"), F.col(text_col))
             .mapInArrow(sample, schema).collect())  # one window of at most 3 WINDOW numbers for each chosen row
     rows.sort(key=lambda r: (r["lang"], r["o"], bytes(r["grams"])))
-    rows = [r for r in rows if r["lang"] in most]
 
     def numbers(b):
         return np.frombuffer(b, dtype="<u4").astype(np.int64)
 
-    model = fit([(r["lang"], numbers(r["grams"])) for r in rows])
+    model = fit([(r["lang"], numbers(r["grams"])) for r in rows], landmarks)
     if not rows:
         return model
     known, least = bounds(model.languages, [(r["lang"], numbers(r["triples"]), [numbers(w) for w in r["words"]]) for r in rows])

@@ -137,6 +137,23 @@ def test_texts_in_no_learned_language_go_and_short_clean_ones_stay(spark):
     assert langid.keep_known(spark.createDataFrame([(t,) for t in short], "text string"), model).count() == len(short)
 
 
+def test_every_language_is_learned(spark):
+    """70 languages, each with letters of its own; the sample shrinks beyond a number of languages, no language goes."""
+    def words(k, i):
+        return " ".join("".join(chr(0x4E00 + 40 * k + (i * 7 + j * 3 + c) % 20) for c in range(3)) for j in range(12))
+
+    rows = [(k * 100 + i, words(k, i), f"l{k:02}") for k in range(70) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for languages, per_language in ((64, 400), (16, 40)):
+        model = langid.train(df, per_language=per_language, languages=languages)
+        assert model.languages == tuple(f"l{k:02}" for k in range(70))
+        got = langid.predict(df, model).collect()
+        assert sum(r["lang_pred"] == r["lang"] for r in got) >= 0.99 * len(got)
+        assert langid.keep_known(df, model).count() == len(rows)
+    with pytest.raises(ValueError):
+        langid.train(df, per_language=20, languages=10)
+
+
 def test_language_model_equals_the_kernel_written_out():
     """Linear form against kernel values between single windows (presence kernel, Nystroem, ridge)."""
     texts = [("en", "the thing and other things of the nation"), ("de", "der schein und die einheit der sachen"),
