@@ -9,7 +9,7 @@ Training: kernel ridge regression, one language against the rest, on Nystroem
 features: with landmarks Z the kernel is replaced by K_xz K_zz^-1 K_zx, so only
 landmark-sized matrices are solved. It learns every language that labelled
 rows have, from a bounded sample: ``PER_LANGUAGE`` windows of each, chosen by a
-hash of the id; of these, ``LANDMARKS`` for each language are landmarks. Beyond
+hash of the id (one row for each id); of these, ``LANDMARKS`` for each language are landmarks. Beyond
 ``LANGUAGES`` languages both shrink, so that all together have no more than
 ``LANGUAGES`` languages had; when that leaves less than ``LEAST_SAMPLE``
 windows each, training fails rather than leave a language out.
@@ -195,10 +195,10 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     per_language, landmarks = int(per_language * share), max(1, int(LANDMARKS * share))
     if share < 1 and per_language < LEAST_SAMPLE:
         raise ValueError(f"{len(most)} languages are too many to learn: {per_language} rows of each fit the sample")
-    # Ids first, by the smallest hashes of each language, kept in each task already; then the texts of these rows.
-    place = Window.partitionBy("lang").orderBy("o", "i")
-    chosen = [r["i"] for r in known.select(F.col(lang_col).alias("lang"), order.alias("o"), F.col(id_col).alias("i"))
-              .withColumn("place", F.row_number().over(place)).where(F.col("place") <= per_language).select("i").collect()]
+    # Ids first, by the smallest hashes of each language, kept in each task already; then one text of each.
+    place = Window.partitionBy("lang").orderBy("o")
+    chosen = {(r["lang"], r["o"]) for r in known.select(F.col(lang_col).alias("lang"), order.alias("o")).distinct()
+              .withColumn("place", F.row_number().over(place)).where(F.col("place") <= per_language).collect()}
     if not chosen:
         return fit([])
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("o", T.LongType()),
@@ -209,7 +209,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         for b in batches:
             lang, key, grams, runs, words = [], [], [], [], []
             for name, o, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                parts = pieces(text.as_py())
+                parts = pieces(text.as_py()) if (name, o) in chosen else []
                 if parts:
                     part = parts[o % len(parts)]
                     lang.append(name)
@@ -222,8 +222,10 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                                               pa.array(words, pa.list_(pa.binary()))], names=schema.names)
 
     ship_package(df.sparkSession)
-    rows = (known.where(F.col(id_col).isin(chosen)).select(F.col(lang_col), order.alias("o"), F.col(text_col))
-            .mapInArrow(sample, schema).collect())  # one window of at most 3 WINDOW numbers for each chosen row
+    texts = (known.select(F.col(lang_col).alias("lang"), order.alias("o"), F.col(text_col).alias("text"))
+             .where(F.col("o").isin([o for _, o in chosen])).groupBy("lang", "o")
+             .agg(F.min(F.struct(F.xxhash64("text").alias("t"), "text")).alias("x")).select("lang", "o", "x.text"))
+    rows = texts.mapInArrow(sample, schema).collect()  # one window of at most 3 WINDOW numbers for each chosen id
     rows.sort(key=lambda r: (r["lang"], r["o"], bytes(r["grams"])))
 
     def numbers(b):

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -154,6 +155,18 @@ def test_every_language_is_learned(spark):
         langid.train(df, per_language=20, languages=10)
 
 
+def test_the_sample_has_one_row_of_an_id(spark, monkeypatch):
+    """An id on a third of all rows takes one place of its language's sample, and one of its texts is collected."""
+    hot = next(i for i in range(10_000, 20_000) if zlib.crc32(str(i).encode()) % 4 != 2)
+    rows = [(i, f"the thing number {'x' * (i % 40)} of all", "en") for i in range(200)]
+    rows += [(hot, f"the hot text {'y' * (i % 9)} again", "en") for i in range(100)]
+    seen = []
+    monkeypatch.setattr(langid, "fit", lambda samples, landmarks: seen.append(samples) or langid.Model(("en",), None, None))
+    known = sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(200))
+    langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4))
+    assert len(seen[0]) == known + 1
+
+
 def test_language_model_equals_the_kernel_written_out():
     """Linear form against kernel values between single windows (presence kernel, Nystroem, ridge)."""
     texts = [("en", "the thing and other things of the nation"), ("de", "der schein und die einheit der sachen"),
