@@ -47,6 +47,11 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``df``, to be broadcast if it has no more than so many (narrow) rows; counts it."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def text_or_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fingerprint, langid, licenses, mixing, quality, secrets, sharding, simhash
+from . import bpe, exact_dedup, fingerprint, langid, licenses, merkle, mixing, quality, secrets, sharding, simhash
 from .common import read_documents
 
 N_SHARDS = 16
@@ -92,13 +93,33 @@ def op10_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir)
+    columns = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    leaves = docs.select("doc_id", "lang", merkle.leaf(*columns, F.col("text")).alias("leaf"),
+                         F.when(chosen, merkle.leaf(*columns, lower)).alias("tampered"))
+    found = merkle.manifest(leaves, "lang", ["doc_id"])
+    folded = merkle.fold(F.coalesce("tampered", "leaf"), F.col("witness"))
+    return (found.withColumn("folded_root", folded)
+            .select("doc_id", "leaf", "subroot", "root", merkle.digest(merkle.siblings(F.col("witness"))).alias("proof_sha256"),
+                    "folded_root", (F.col("folded_root") == F.col("root")).alias("verified")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_byte_bpe, op2_secret_scan, op3_language_id, op4_simhash_dedup, op5_source_mix, op6_quality, op7_license_scan,
         op8_exact_dedup,
-        op9_fingerprints, op10_hash_ring)}
+        op9_fingerprints, op10_hash_ring, op12_merkle_manifest)}
 
 
+#: The unsigned CRC-32 of doc_id in decimal digits (DuckDB has no such function): eight shifts for each byte.
+CRC32 = """xor(list_reduce(
+  list_prepend(4294967295::bigint, list_transform(string_split(cast(doc_id AS varchar), ''), lambda c: ascii(c)::bigint)),
+  lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]),
+    lambda v, bit: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295)"""
+
 SQL = {
     "op5_source_mix": r"""
 WITH RECURSIVE d AS (
@@ -141,5 +162,67 @@ WINDOW g AS (PARTITION BY text_sha256)
 }
 
 
+SQL["op12_merkle_manifest"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, text, concat(
+    coalesce(strlen(cast(doc_id AS varchar)) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+    coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(cast(n_chars AS varchar)) || ':' || n_chars, '-')) AS head
+  FROM documents),
+e AS (
+  SELECT doc_id, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    sha256(head || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) AS lowered
+  FROM d),
+f AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+    count(*) OVER (PARTITION BY lang) AS n
+  FROM e),
+t AS (
+  SELECT 0 AS level, lang, pos, n, leaf AS node FROM f
+  UNION ALL
+  SELECT level + 1, lang, pos // 8, (any_value(n) + 7) // 8, sha256(string_agg(node, '' ORDER BY pos))
+  FROM t WHERE n > 1 GROUP BY level, lang, pos // 8),
+s AS (
+  SELECT lang, node AS subroot, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS pos, count(*) OVER () AS n
+  FROM t WHERE n = 1),
+u AS (
+  SELECT 0 AS level, pos, n, subroot AS node FROM s
+  UNION ALL
+  SELECT level + 1, pos // 8, (any_value(n) + 7) // 8, sha256(string_agg(node, '' ORDER BY pos))
+  FROM u WHERE n > 1 GROUP BY level, pos // 8),
+w AS (
+  SELECT level, lang, pos,
+    coalesce(string_agg(node, '') OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+    coalesce(string_agg(node, '') OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+  FROM t WHERE n > 1 WINDOW run AS (PARTITION BY level, lang, pos // 8 ORDER BY pos)),
+x AS (
+  SELECT level, pos,
+    coalesce(string_agg(node, '') OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+    coalesce(string_agg(node, '') OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+  FROM u WHERE n > 1 WINDOW run AS (PARTITION BY level, pos // 8 ORDER BY pos)),
+y AS (
+  SELECT s.lang, list(x.before || ':' || x.after ORDER BY x.level) AS steps
+  FROM s JOIN x ON x.pos = s.pos // cast(8 ** x.level AS bigint) GROUP BY s.lang),
+z AS (
+  SELECT f.lang, f.pos, list(w.before || ':' || w.after ORDER BY w.level) AS steps
+  FROM f JOIN w ON w.lang IS NOT DISTINCT FROM f.lang AND w.pos = f.pos // cast(8 ** w.level AS bigint)
+  GROUP BY f.lang, f.pos),
+p AS (
+  SELECT f.doc_id, f.leaf, s.subroot, (SELECT node FROM u WHERE n = 1) AS root,
+    list_concat(coalesce(z.steps, []), coalesce(y.steps, [])) AS steps,
+    crc.chosen, f.lowered
+  FROM f JOIN s ON s.lang IS NOT DISTINCT FROM f.lang
+    LEFT JOIN y ON y.lang IS NOT DISTINCT FROM f.lang
+    LEFT JOIN z ON z.lang IS NOT DISTINCT FROM f.lang AND z.pos = f.pos
+    LEFT JOIN (SELECT DISTINCT doc_id, {crc32} % 3 = 0 AS chosen FROM documents) crc ON crc.doc_id = f.doc_id),
+r AS (
+  SELECT *, list_reduce(list_prepend(CASE WHEN chosen THEN lowered ELSE leaf END, steps),
+    lambda node, step: sha256(split_part(step, ':', 1) || node || split_part(step, ':', 2))) AS folded_root
+  FROM p)
+SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(steps, ''), ':', '')) AS proof_sha256, folded_root,
+  folded_root = root AS verified
+FROM r
+""".replace("{crc32}", CRC32)
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
