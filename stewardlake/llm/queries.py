@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fingerprint, langid, licenses, merkle, mixing, quality, secrets, sharding, simhash
+from . import bpe, exact_dedup, fingerprint, langid, licenses, merkle, mixing, quality, secrets, sharding, simhash, urls
 from .common import read_documents
 
 N_SHARDS = 16
@@ -93,6 +93,11 @@ def op10_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return urls.judge(pages).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_documents(spark, sf_dir)
     columns = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
@@ -111,7 +116,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_byte_bpe, op2_secret_scan, op3_language_id, op4_simhash_dedup, op5_source_mix, op6_quality, op7_license_scan,
         op8_exact_dedup,
-        op9_fingerprints, op10_hash_ring, op12_merkle_manifest)}
+        op9_fingerprints, op10_hash_ring, op11_url_filter, op12_merkle_manifest)}
 
 
 #: The unsigned CRC-32 of doc_id in decimal digits (DuckDB has no such function): eight shifts for each byte.
@@ -162,6 +167,45 @@ WINDOW g AS (PARTITION BY text_sha256)
 }
 
 
+SQL["op11_url_filter"] = r"""
+WITH RECURSIVE rules AS (
+  SELECT * FROM (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+    ('net', '/es/', 'block'), ('net', '/fr/', 'block')) v(name, start, verdict)),
+u AS (SELECT page_id, html, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+p AS (
+  SELECT page_id, html, coalesce(translate(regexp_extract(rest, '^[^/?#]*'),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
+  FROM u),
+d AS (
+  SELECT *, (SELECT max({'size': length(name || start), 'name': name, 'rule': name || start, 'verdict': verdict}) FROM rules
+             WHERE (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start)) AS won
+  FROM p),
+s AS (
+  SELECT host, count(*) FILTER (won.verdict = 'allow') / count(*) AS trust,
+    count(*) FILTER (won.verdict = 'block') / count(*) AS distrust
+  FROM d WHERE host != '' GROUP BY host),
+l AS (
+  SELECT host AS src, translate(dst, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst
+  FROM (SELECT host, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*?\bhref\s*=\s*["'']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^"''\s>/?#]+)', 1)) AS dst
+        FROM p)),
+e AS (SELECT src, dst, count(*) AS n FROM l WHERE src != dst AND src != '' GROUP BY src, dst),
+b AS (SELECT 0 AS field, src, dst, n FROM e UNION ALL SELECT 1, dst, src, n FROM e),
+w AS (SELECT field, src, dst, 0.85::double * n / sum(n) OVER (PARTITION BY field, src) AS share FROM b),
+y AS (
+  SELECT * FROM (SELECT 0 AS step, 0 AS field, host, trust AS mass FROM s UNION ALL SELECT 0, 1, host, distrust FROM s)
+  WHERE mass > 0
+  UNION ALL
+  SELECT y.step + 1, y.field, w.dst, sum(y.mass * w.share) FROM y JOIN w ON w.field = y.field AND w.src = y.host
+  WHERE y.step < 57 GROUP BY y.step, y.field, w.dst),
+x AS (
+  SELECT host, coalesce(sum(mass) FILTER (field = 0), 0) AS trust, coalesce(sum(mass) FILTER (field = 1), 0) AS distrust
+  FROM y GROUP BY host)
+SELECT page_id, d.host, path, won.rule AS rule,
+  coalesce(won.verdict, CASE WHEN round(distrust, 9) > 0.5 AND round(distrust, 9) > round(trust, 9) THEN 'block' ELSE 'allow' END) AS verdict
+FROM d LEFT JOIN x ON x.host = d.host
+"""
+
 SQL["op12_merkle_manifest"] = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, lang, text, concat(
