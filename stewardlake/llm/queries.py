@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fingerprint, langid, licenses, merkle, mixing, quality, secrets, sharding, simhash, urls
+from . import bpe, exact_dedup, fingerprint, langid, licenses, merkle, mixing, negatives, quality, secrets, sharding, simhash, urls
 from .common import read_documents
 
 N_SHARDS = 16
@@ -112,11 +112,19 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "folded_root", (F.col("folded_root") == F.col("root")).alias("verified")))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    found = negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 50 == 0)
+    return found.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_byte_bpe, op2_secret_scan, op3_language_id, op4_simhash_dedup, op5_source_mix, op6_quality, op7_license_scan,
         op8_exact_dedup,
-        op9_fingerprints, op10_hash_ring, op11_url_filter, op12_merkle_manifest)}
+        op9_fingerprints, op10_hash_ring, op11_url_filter, op12_merkle_manifest,
+        op13_hard_negatives)}
 
 
 #: The unsigned CRC-32 of doc_id in decimal digits (DuckDB has no such function): eight shifts for each byte.
@@ -268,5 +276,25 @@ FROM r
 """.replace("{crc32}", CRC32)
 
 
+SQL["op13_hard_negatives"] = r"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id AS id, a.label = r.label AS alike, cast(list_inner_product(a.q, r.q) AS bigint) AS score
+  FROM v a JOIN v r ON a.vec_id % 50 = 0 AND a.vec_id != r.vec_id),
+p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, positive_id, cast(row_number() OVER w AS integer) AS rank, s.id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.alike AND 100 * s.score BETWEEN 50 * positive_score AND 95 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id)
+QUALIFY row_number() OVER w <= 3
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
