@@ -14,12 +14,12 @@ already as its left part, and adds itself to the right part of those. When a
 run is complete the parts are final, go to the leaves below, and the run's hash
 is appended one level up.
 
-Spark deals aligned blocks of ``BLOCK`` leaves, a power of ``FAN``, so a block
-is a subtree of its own and streams through one task. The roots of blocks are
-leaves of a further append, and so on until each language has one root: a
-language with a third of all rows is many blocks, and a level has one
-``BLOCK``-th of the rows of the level below. Texts are hashed where they are
-read; only digests are shuffled.
+Spark deals aligned blocks of ``FAN ** HEIGHT`` leaves, so a block is a subtree
+of its own and streams through one task. The roots of blocks are leaves of a
+further append, and so on until each language has one root: a language with a
+third of all rows is many blocks, and every level has 512 times fewer rows than
+the level below. Texts are hashed where they are read; only digests are
+shuffled.
 """
 
 from __future__ import annotations
@@ -34,9 +34,8 @@ from pyspark.sql import types as T
 from .common import broadcast_if_small, cut_lineage, ship_package
 
 FAN = 8
-#: Levels of a block, and its leaves.
+#: Levels of a block.
 HEIGHT = 3
-BLOCK = FAN ** HEIGHT
 
 WITNESS = T.ArrayType(T.StructType([T.StructField("left", T.StringType()), T.StructField("right", T.StringType())]))
 
@@ -109,37 +108,43 @@ class Witnesses:
         return self.root
 
 
-def _grown(table: pa.Table) -> tuple[pa.Table, Witnesses]:
+def _grown(table: pa.Table, height: int) -> tuple[pa.Table, Witnesses]:
     """The nodes of one block in their order, and their witnesses."""
     table = table.sort_by("pos")
-    tree = Witnesses()
+    tree = Witnesses(height)
     for node in table.column("node").to_pylist():
         tree.append(node)
-    tree.finish(alone=table.column("n")[0].as_py() <= BLOCK)
+    tree.finish(alone=table.column("n")[0].as_py() <= FAN ** height)
     return table, tree
 
 
-def _block_root(table: pa.Table) -> pa.Table:
-    table, tree = _grown(table)
-    n = table.column("n")[0].as_py()
-    return pa.table({"grp": table.column("grp")[:1], "pos": table.column("block")[:1], "n": pa.array([-(-n // BLOCK)]),
-                     "node": pa.array([tree.root])})
+def _block_root(height: int):
+    def run(table: pa.Table) -> pa.Table:
+        table, tree = _grown(table, height)
+        blocks = -(-table.column("n")[0].as_py() // FAN ** height)
+        return pa.table({"grp": table.column("grp")[:1], "pos": table.column("block")[:1], "n": pa.array([blocks]),
+                         "node": pa.array([tree.root])})
 
+    return run
 
-def _with_witness(table: pa.Table, above: pa.Table) -> pa.Table:
-    """Nodes of a block with their witnesses up to the root; ``above`` is the row of the block's root."""
-    table, tree = _grown(table)
-    rest = [(s["left"], s["right"]) for s in above.column("witness")[0].as_py()]
-    steps = [own + rest for own in tree.of]
-    at = [0]
-    for s in steps:
-        at.append(at[-1] + len(s))
-    parts = pa.StructArray.from_arrays([pa.array([x[k] for s in steps for x in s], pa.string()) for k in (0, 1)],
-                                       names=["left", "right"])
-    out = table.append_column("witness", pa.ListArray.from_arrays(pa.array(at, pa.int32()), parts))
-    for c in ("subroot", "root"):
-        out = out.append_column(c, pa.array(above.column(c).to_pylist() * len(table), pa.string()))
-    return out
+
+def _with_witness(height: int):
+    def run(table: pa.Table, above: pa.Table) -> pa.Table:
+        """Nodes of a block with their witnesses up to the root; ``above`` is the row of the block's root."""
+        table, tree = _grown(table, height)
+        rest = [(s["left"], s["right"]) for s in above.column("witness")[0].as_py()]
+        steps = [own + rest for own in tree.of]
+        at = [0]
+        for s in steps:
+            at.append(at[-1] + len(s))
+        parts = pa.StructArray.from_arrays([pa.array([x[k] for s in steps for x in s], pa.string()) for k in (0, 1)],
+                                           names=["left", "right"])
+        out = table.append_column("witness", pa.ListArray.from_arrays(pa.array(at, pa.int32()), parts))
+        for c in ("subroot", "root"):
+            out = out.append_column(c, pa.array(above.column(c).to_pylist() * len(table), pa.string()))
+        return out
+
+    return run
 
 
 def numbered(rows: DataFrame, groups: list[str], order: list[str]) -> DataFrame:
@@ -165,11 +170,7 @@ def numbered(rows: DataFrame, groups: list[str], order: list[str]) -> DataFrame:
     return staged.join(broadcast_if_small(starts), alike).select(*rows.columns, (F.col("_at") + F.col("_shift")).alias("pos"), "n")
 
 
-def _by_block(nodes: DataFrame) -> DataFrame:
-    return nodes.withColumn("block", F.expr(f"pos div {BLOCK}"))
-
-
-def witnesses(nodes: DataFrame, above=None) -> DataFrame:
+def witnesses(nodes: DataFrame, above=None, height: int = HEIGHT) -> DataFrame:
     """Adds ``witness``, ``subroot`` and ``root`` to nodes (grp, pos, n, node, ...), a tree for each ``grp``.
 
     ``above`` makes (grp, witness, root) of the groups' subroots (grp, node); without it a group's subroot is its root.
@@ -177,14 +178,15 @@ def witnesses(nodes: DataFrame, above=None) -> DataFrame:
     ship_package(nodes.sparkSession)
     kept = [T.StructField("grp", T.StringType()), T.StructField("pos", T.LongType()), T.StructField("n", T.LongType()),
             T.StructField("node", T.StringType())]
-    levels = [_by_block(nodes)]
+    block = F.expr(f"pos div {FAN ** height}")
+    levels = [nodes.withColumn("block", block)]
     while True:
         most = levels[-1].agg(F.max("n")).first()[0] or 0
         slim = levels[-1].select("grp", "block", "pos", "n", "node")
-        roots = cut_lineage(slim.groupBy("grp", "block").applyInArrow(_block_root, T.StructType(kept)))
-        if most <= BLOCK:
+        roots = cut_lineage(slim.groupBy("grp", "block").applyInArrow(_block_root(height), T.StructType(kept)))
+        if most <= FAN ** height:
             break
-        levels.append(_by_block(roots))
+        levels.append(roots.withColumn("block", block))
     tops = roots.select("grp", F.col("node").alias("subroot"))
     if above is None:
         upper = tops.withColumns({"witness": F.array().cast(WITNESS), "root": F.col("subroot")})
@@ -196,7 +198,7 @@ def witnesses(nodes: DataFrame, above=None) -> DataFrame:
         schema = T.StructType([*level.schema, T.StructField("witness", WITNESS), T.StructField("subroot", T.StringType()),
                                T.StructField("root", T.StringType())])
         done = level.groupBy("grp", "block").cogroup(upper.select("grp", "block", "witness", "subroot", "root").groupBy("grp", "block"))
-        out = done.applyInArrow(_with_witness, schema)
+        out = done.applyInArrow(_with_witness(height), schema)
         if k:
             upper = cut_lineage(out.select("grp", F.col("pos").alias("block"), "witness", "subroot", "root"))
     return out.drop("block")
@@ -207,7 +209,7 @@ def group_key(group: Column) -> Column:
     return F.coalesce(F.concat(F.lit("1"), group.cast("string")), F.lit("0"))
 
 
-def manifest(leaves: DataFrame, group: str, order: list[str]) -> DataFrame:
+def manifest(leaves: DataFrame, group: str, order: list[str], height: int = HEIGHT) -> DataFrame:
     """Adds ``witness`` (array of left and right siblings), ``subroot`` and ``root`` to the rows of ``leaves``.
 
     ``leaves`` has a digest ``leaf``. Rows of a group are ordered by ``order``
@@ -226,9 +228,9 @@ def manifest(leaves: DataFrame, group: str, order: list[str]) -> DataFrame:
 
     def last_tree(subroots: DataFrame) -> DataFrame:
         whole = numbered(subroots.withColumn("name", F.col("grp")), [], ["name"]).withColumn("grp", F.lit(""))
-        return witnesses(whole).select(F.col("name").alias("grp"), "witness", "root")
+        return witnesses(whole, height=height).select(F.col("name").alias("grp"), "witness", "root")
 
-    out = witnesses(cut_lineage(placed), last_tree)
+    out = witnesses(cut_lineage(placed), last_tree, height)
     return out.select(*[F.col(f"o{k}").alias(c) for k, c in enumerate(order)], F.col("g").alias(group),
                       F.col("node").alias("leaf"), *[F.col(f"c{k}").alias(c) for k, c in enumerate(rest)],
                       "witness", "subroot", "root")

@@ -54,7 +54,8 @@ LONG = 2**63 - 1
 
 
 def usable(vector: Column) -> Column:
-    return vector.isNotNull() & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    """No null component, none that is not finite (or too large to be squared and summed)."""
+    return vector.isNotNull() & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) > 1e140))
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dim: int = 0) -> np.ndarray:
@@ -224,7 +225,8 @@ def _place(centroids: np.ndarray):
             angles = _angles(unit, centroids)
             home = angles.argmin(axis=1)
             yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(home.astype(np.int32)), pa.array(angles[np.arange(len(home)), home]), pa.array(norm)],
+                [*b.columns, pa.array(home.astype(np.int32)), pa.array(np.where(norm > 0, angles[np.arange(len(home)), home], 0.0)),
+                 pa.array(norm)],
                 names=[*b.schema.names, "home", "theta", "norm"])
 
     return run
@@ -290,7 +292,8 @@ class _Search:
         self.centroids = centroids
         counts = {r["home"]: r["n"] for r in placed.groupBy("home").agg(F.count(F.lit(1)).alias("n")).collect()}
         segments = {h: -(-n // SEGMENT) for h, n in counts.items()}
-        parts = F.element_at(F.create_map(*[F.lit(x).cast("long") for h in segments for x in (h, segments[h])]), F.col("home").cast("long")) if segments else F.lit(1)
+        of_home = F.create_map(*[F.lit(x).cast("long") for h in segments for x in (h, segments[h])])
+        parts = F.element_at(of_home, F.col("home").cast("long")) if segments else F.lit(1)
         segment = (F.col("home") * (1 << 32) + F.pmod(F.xxhash64("rid"), parts)).cast("long").alias("segment")
         guests = anchors.select("rid")
         n = guests.count()
@@ -336,7 +339,7 @@ def mine(rows: DataFrame, anchor: Column, id_col: str = "vec_id", vector: str =
     """(anchor_id, positive_id, rank, negative_id, positive_score, negative_score, positive_rank).
 
     ``anchor`` says of a row whether it is an anchor. Rows with a null id, label
-    or vector, or with a null or non-finite component, take no part. Vectors of
+    or vector, or with a null or non-finite component (or one over 1e140), take no part. Vectors of
     different lengths are compared as if filled up with zeros; an empty one
     scores 0 with every row. Rows that share an id are rows of their own: each
     can be anchor, positive and negative, an anchor is only never its own
