@@ -1,8 +1,8 @@
 """Structured Streaming jobs over the audit-event flow.
 
 The source is a folder of parquet files with the ``events`` schema (the
-audit log's landing zone); the fixture's ``events`` table is sliced into
-per-day files to drive it. Watermarks need a ``timestamp`` column, so the
+audit log's landing zone); the fixture's ``events`` table is written by day to
+drive it. Watermarks need a ``timestamp`` column, so the
 ``timestamp_ntz`` event time is turned into the instant with the same UTC
 wall clock (not a session-time-zone cast); the watermark delay must be
 longer than the disorder of the input, or late rows are dropped (the
@@ -15,19 +15,23 @@ are written idempotently per epoch.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..session import checkpoint_subdir, use_rocksdb_state
 from ..sources.fixtures import audit_log_from_events
+from . import changelog, expiry
 
 EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
+#: The table of ``audit_keyed_ingest``.
+KEYED_SCHEMA = ("log_id bigint, event_type string, actor_id bigint, metadata string, occurred_at timestamp_ntz, "
+                "day date, epoch string")
+
 # Event type -> request status (the event flow's meaning for a request).
 STATUS_BY_EVENT = [
     ("REQUEST_SUBMITTED", "Pending"),
@@ -43,27 +47,24 @@ class StreamRun:
     checkpoint: str
     rows_dropped_by_watermark: int = 0
     batches: int = 0
-    progress: list = field(default_factory=list)
-
-
-def slice_events_by_day(events: DataFrame, folder: str, reverse: bool = False) -> list[str]:
-    """Write the events as one parquet folder per day (a landing zone whose
-    files arrive in time order, or reversed for the late-data test).
-    Returns the slice folders in arrival order."""
-    day = F.date_format("ts", "yyyyMMdd")
-    events.withColumn("day", day).write.mode("overwrite").partitionBy("day").parquet(folder)
-    days = sorted(r["day"] for r in events.select(day.alias("day")).distinct().collect())
-    if reverse:
-        days = days[::-1]
-    return [f"{folder}/day={d}" for d in days]
-
-
-def stage_landing(spark: SparkSession, slices: list[str], landing: str) -> None:
-    """Copy slices into one landing folder in arrival order: file names carry
-    the arrival rank so the file source (sorted by modification time, then
-    name) sees them in that order."""
-    for i, s in enumerate(slices):
-        spark.read.parquet(s).write.mode("overwrite").parquet(f"{landing}/part_{i:05d}")
+    state_rows: list[int] = field(default_factory=list)  # after each batch
+
+
+def land_by_day(events: DataFrame, folder: str, reverse: bool = False) -> str:
+    """Writes the events as a landing zone with one folder per day of arrival, in one job, and returns the pattern of
+    these folders. ``arrival`` (a date) is a row's day of arrival, the day of ``ts`` if there is no such column. Files
+    get modification times in the order of days (or the reverse, for late data): that is the order of the stream."""
+    spark = events.sparkSession
+    day = F.col("arrival") if "arrival" in events.columns else F.col("ts").cast("date")
+    (events.withColumn("day", F.date_format(day, "yyyyMMdd")).drop("arrival")
+     .write.mode("overwrite").partitionBy("day").parquet(folder))
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    days = sorted((s.getPath() for s in fs.listStatus(path(folder)) if s.isDirectory()), key=lambda p: p.getName(), reverse=reverse)
+    for rank, p in enumerate(days):
+        for f in fs.listStatus(p):
+            fs.setTimes(f.getPath(), 1_000_000_000_000 + 1000 * rank, -1)
+    return f"{folder}/day=*"
 
 
 EPOCH_NTZ = "1970-01-01 00:00:00"
@@ -96,14 +97,18 @@ def _event_stream(spark: SparkSession, landing_glob: str, max_files: int | None)
     return r.parquet(landing_glob).withColumn("event_time", event_time("ts"))
 
 
+def _field(progress, name: str):
+    return progress.get(name) if isinstance(progress, dict) else getattr(progress, name)
+
+
 def _run(q) -> StreamRun:
     q.awaitTermination()
     run = StreamRun(output="", checkpoint="")
     for p in q.recentProgress:
         run.batches += 1
-        for op in p.get("stateOperators", []) if isinstance(p, dict) else (p.stateOperators or []):
-            n = op.get("numRowsDroppedByWatermark", 0) if isinstance(op, dict) else op.numRowsDroppedByWatermark
-            run.rows_dropped_by_watermark += int(n or 0)
+        run.state_rows.append(sum(_field(op, "numRowsTotal") for op in _field(p, "stateOperators") or []))
+        for op in _field(p, "stateOperators") or []:
+            run.rows_dropped_by_watermark += int(_field(op, "numRowsDroppedByWatermark") or 0)
     return run
 
 
@@ -120,37 +125,79 @@ def audit_stream_ingest(spark: SparkSession, landing_glob: str, watermark: str,
     return run
 
 
-def _overwrite_sink(path: str):
-    """foreachBatch sink writing the batch as the table's new version."""
-    def write(batch: DataFrame, epoch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch_id:09d}")
-    return write
+def audit_keyed_ingest(spark: SparkSession, landing_glob: str, out: str, ckpt: str, max_files: int | None = 1) -> StreamRun:
+    """T1 without a horizon: every log id once, however late a row or its repeat arrives, and no state.
+
+    The table is kept by day and epoch (of this checkpoint). Each micro-batch is
+    reduced to one row per log id and anti-joined with the days it touches, but
+    for its own epoch; a repeat has its event's time, so its first delivery is
+    among these. A retried epoch replaces its own partitions, so a restart adds
+    nothing, nor does the whole flow read again with a new checkpoint.
+    ``ingested_audit`` reads the table."""
+    audit = audit_log_from_events(_event_stream(spark, landing_glob, max_files)).withColumn("day", F.to_date("occurred_at"))
+
+    stream = hashlib.md5(ckpt.encode()).hexdigest()[:8]
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        own = batch.sparkSession
+        first = batch.dropDuplicates(["log_id"])
+        days = [r["day"] for r in batch.select("day").distinct().collect()]
+        if not days:
+            return
+        known = _table_or_none(own, out)
+        if known is not None:
+            there = known.where(F.col("day").isin(days) & (F.col("epoch") != f"{stream}-{epoch}")).select("day", "log_id")
+            first = first.join(there, ["day", "log_id"], "left_anti")
+        (first.withColumn("epoch", F.lit(f"{stream}-{epoch}")).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("day", "epoch").parquet(out))
+
+    q = audit.writeStream.foreachBatch(write).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
+    run = _run(q)
+    run.output, run.checkpoint = out, ckpt
+    return run
+
 
+def _table_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return None
+    return spark.read.schema(KEYED_SCHEMA).parquet(path)
 
-def latest_epoch(spark: SparkSession, path: str) -> DataFrame:
-    """Read the newest version written by an overwrite sink: the epoch
-    folders are a partition column, so the newest one is selected by a scalar
-    max and only its files are scanned."""
-    versions = spark.read.parquet(path)
-    newest = versions.select(F.max("epoch")).scalar()
-    return versions.filter(F.col("epoch") == newest).drop("epoch")
+
+def ingested_audit(spark: SparkSession, out: str) -> DataFrame:
+    """The table that ``audit_keyed_ingest`` keeps."""
+    return spark.read.schema(KEYED_SCHEMA).parquet(out).drop("day", "epoch")
 
 
 def audit_daily_counts(spark: SparkSession, landing_glob: str, watermark: str, out: str, ckpt: str,
                        max_files: int | None = 1) -> StreamRun:
     """Events per type per day. The day is taken from the time-zone-free
-    event time; the result is maintained in complete mode (state is one row
-    per day and type), so the final version equals the batch twin."""
+    event time. Update mode: a trigger writes only the counts that it changed,
+    as an epoch of a changelog; ``current_daily_counts`` takes the last one of
+    each day and type, ``compact_daily_counts`` folds the log. The state is one
+    row per day and type."""
     ev = _event_stream(spark, landing_glob, max_files).withWatermark("event_time", watermark)
     audit = ev.select(F.col("ts").cast("date").cast("timestamp_ntz").alias("day"), F.col("event_type"))
     counts = audit.groupBy("day", "event_type").agg(F.count(F.lit(1)).alias("n_events"))
-    q = (counts.writeStream.foreachBatch(_overwrite_sink(out)).option("checkpointLocation", ckpt)
-         .outputMode("complete").trigger(availableNow=True).start())
+    q = (counts.writeStream.foreachBatch(changelog.append_epochs(out)).option("checkpointLocation", ckpt)
+         .outputMode("update").trigger(availableNow=True).start())
     run = _run(q)
     run.output, run.checkpoint = out, ckpt
     return run
 
 
+def _last_counts(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("day", "event_type").agg(F.max_by("n_events", "epoch").alias("n_events"))
+
+
+def current_daily_counts(spark: SparkSession, out: str) -> DataFrame:
+    return _last_counts(changelog.changes(spark, out))
+
+
+def compact_daily_counts(spark: SparkSession, out: str) -> int | None:
+    return changelog.compact(spark, out, _last_counts)
+
+
 def audit_daily_counts_append(spark: SparkSession, landing_glob: str, watermark: str, out: str, ckpt: str,
                               max_files: int | None = 1) -> StreamRun:
     """T2 in append mode: tumbling one-day event-time windows; a window is
@@ -175,120 +222,58 @@ def _status_expr(col):
     return e
 
 
-def _changelog_sink(path: str):
-    """foreachBatch sink appending the batch's changed rows under its epoch;
-    rewriting the same epoch folder on a retry keeps it exactly-once."""
-    def write(batch: DataFrame, epoch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch_id:09d}")
-    return write
-
-
-def request_state_stream(spark: SparkSession, landing_glob: str, out: str, ckpt: str,
-                         max_files: int | None = 1) -> StreamRun:
+def request_state_stream(spark: SparkSession, landing_glob: str, watermark: str, out: str, ckpt: str,
+                         max_files: int | None = 1, ttl: str = "7 days") -> StreamRun:
     """The latest status per (actor, target) from the event flow.
 
-    A streaming aggregate keeps max(occurred_at, log_id, status) per key in
-    the state store; update mode emits only the keys a micro-batch changed,
-    and the sink appends them as a changelog (one folder per epoch), so each
-    trigger writes work proportional to the batch, not to all keys.
-    ``current_request_state`` folds the changelog to the current table."""
+    A streaming aggregate keeps max(occurred_at, log_id, status) per key and
+    ``ttl`` period; once the watermark has passed a period's end its rows leave
+    the state, so the state is bounded by the keys of the last periods, not by
+    all keys ever seen. Update mode emits only the keys a micro-batch changed,
+    and the sink appends them as an epoch of a changelog, so each trigger writes
+    work proportional to the batch. ``current_request_state`` folds base and log
+    to the current table (the largest time wins, whatever period it is from) and
+    ``compact_request_state`` folds the log into a new base."""
     ev = _event_stream(spark, landing_glob, max_files)
-    audit = audit_log_from_events(ev)
+    audit = audit_log_from_events(ev).withColumn("event_time", event_time("occurred_at")).withWatermark("event_time", watermark)
     keyed = audit.select(
-        "actor_id", F.get_json_object("metadata", "$.k").cast("bigint").alias("target_id"),
+        "actor_id", F.get_json_object("metadata", "$.k").cast("bigint").alias("target_id"), "event_time",
         F.struct(F.col("occurred_at"), F.col("log_id"), _status_expr(F.col("event_type")).alias("status")).alias("e"),
     ).filter(F.col("e.status").isNotNull())
-    latest = keyed.groupBy("actor_id", "target_id").agg(F.max("e").alias("e"))
-    q = (latest.writeStream.foreachBatch(_changelog_sink(out)).option("checkpointLocation", ckpt)
+    latest = keyed.groupBy(F.window("event_time", ttl), "actor_id", "target_id").agg(F.max("e").alias("e")).drop("window")
+    q = (latest.writeStream.foreachBatch(changelog.append_epochs(out)).option("checkpointLocation", ckpt)
          .outputMode("update").trigger(availableNow=True).start())
     run = _run(q)
     run.output, run.checkpoint = out, ckpt
     return run
 
 
-def current_request_state(spark: SparkSession, changelog: str) -> DataFrame:
-    """Fold the T3 changelog: per key the largest (time, log id, status)."""
-    log = spark.read.parquet(changelog)
-    best = log.groupBy("actor_id", "target_id").agg(F.max("e").alias("e"))
-    return best.select("actor_id", "target_id", F.col("e.status").alias("status"),
-                       F.col("e.occurred_at").alias("occurred_at"), F.col("e.log_id").alias("log_id"))
-
-
-EXPIRY_OUT = "actor_id bigint, target_id bigint, kind string, approved_ms bigint, fire_ms bigint"
-EXPIRY_STATE = "approved_ms bigint, expires_ms bigint, warned boolean, later array<bigint>"
-_EXPIRY_COLS = ["actor_id", "target_id", "kind", "approved_ms", "fire_ms"]
-
-
-def _expiry_fn(warn_before_ms: int, valid_ms: int):
-    """Per (actor, target): the current approval with its expiry, and the times
-    of approvals that the watermark has not passed, all in epoch ms.
-
-    An approval takes effect when the watermark has passed it: no earlier one
-    can then still arrive, so approvals take effect in event-time order however
-    they arrive. Before an approval restarts the clock, the older one's timers
-    that fall before it fire; other timers fire when the watermark has passed
-    them; both timers fire in one call when both are due. So the output depends
-    only on the data and the final watermark, not on arrival order inside the
-    watermark's delay or on micro-batch boundaries. The key's rows arrive as a
-    stream of Arrow batches and only their times are kept."""
-
-    def due(approved, expires, warned, before, out, key):
-        # fire the timers of one approval that fall strictly before `before`
-        if not warned and expires - warn_before_ms < before:
-            out.append((*key, "Expiring", approved, expires - warn_before_ms))
-            warned = True
-        if warned and expires < before:
-            out.append((*key, "Expired", approved, expires))
-            return None
-        return approved, expires, warned
-
-    def fn(key, pdfs, state: GroupState):
-        out: list = []
-        cur, later = None, set()
-        if state.exists:
-            approved, expires, warned, waiting = state.get
-            cur = (approved, expires, warned) if approved is not None else None
-            later.update(int(t) for t in waiting)
-        if not state.hasTimedOut:
-            later.update(int(t) for pdf in pdfs for t in pdf["event_ms"])
-        passed = state.getCurrentWatermarkMs()
-        for t in sorted(t for t in later if t <= passed):
-            if cur is not None:
-                if t <= cur[0]:
-                    continue
-                due(*cur, t, out, key)
-            cur = (t, t + valid_ms, False)
-        later = sorted(t for t in later if t > passed)
-        if cur is not None:
-            cur = due(*cur, passed, out, key)
-        if cur is None and not later:
-            state.remove()
-        else:
-            state.update((*(cur or (None, None, None)), later))
-            next_timer = (cur[1] if cur[2] else cur[1] - warn_before_ms) if cur else later[0] + valid_ms - warn_before_ms
-            state.setTimeoutTimestamp(max(int(next_timer), passed + 1))
-        if out:
-            yield pd.DataFrame(out, columns=_EXPIRY_COLS)
-
-    return fn
+def _latest_state(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("actor_id", "target_id").agg(F.max("e").alias("e"))
+
+
+def compact_request_state(spark: SparkSession, out: str) -> int | None:
+    return changelog.compact(spark, out, _latest_state)
+
+
+def current_request_state(spark: SparkSession, out: str) -> DataFrame:
+    """Per key the largest (time, log id, status) of the base and the epochs after it."""
+    return _latest_state(changelog.changes(spark, out)).select(
+        "actor_id", "target_id", F.col("e.status").alias("status"),
+        F.col("e.occurred_at").alias("occurred_at"), F.col("e.log_id").alias("log_id"))
 
 
 def expiry_sweep_stream(spark: SparkSession, landing_glob: str, watermark: str, out: str, ckpt: str,
                         valid_days: int = 90, warn_days: int = 14, max_files: int | None = 1) -> StreamRun:
-    """T4: per approved (actor, target), an 'Expiring' event ``warn_days``
-    before expiry and an 'Expired' event at expiry, using event-time timers
-    of ``applyInPandasWithState`` (the batch twin is U2). A later approval of
-    the same key restarts its clock; the older approval's timers that fall
-    before it still fire. State is removed once the approval has expired, so
-    it is bounded by the approvals still running."""
+    """T4: per approved (actor, target), an 'Expiring' event ``warn_days`` before expiry and an 'Expired' event at
+    expiry (see ``expiry``; the batch twin is U2). A later approval of the same key restarts its clock; the older
+    approval's timers that fall before it still fire."""
     ev = _event_stream(spark, landing_glob, max_files)
     audit = audit_log_from_events(ev).withColumn("event_time", event_time("occurred_at"))
     appr = audit.filter(F.col("event_type") == "REQUEST_APPROVED").select(
         "actor_id", F.get_json_object("metadata", "$.k").cast("bigint").alias("target_id"), "event_time",
         F.unix_millis("event_time").alias("event_ms")).withWatermark("event_time", watermark)
-    fn = _expiry_fn(warn_days * 86_400_000, valid_days * 86_400_000)
-    fired = appr.groupBy("actor_id", "target_id").applyInPandasWithState(
-        fn, EXPIRY_OUT, EXPIRY_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    fired = expiry.expiry_events(appr, warn_days * 86_400_000, valid_days * 86_400_000)
     q = (fired.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
          .outputMode("append").trigger(availableNow=True).start())
     run = _run(q)
@@ -300,3 +285,10 @@ def new_run_dirs(spark: SparkSession, name: str) -> tuple[str, str, str]:
     """Fresh (landing, output, checkpoint) folders under the shared checkpoint dir."""
     base = checkpoint_subdir(spark, f"stream-{name}-{uuid.uuid4().hex[:12]}")
     return f"{base}/landing", f"{base}/out", f"{base}/ckpt"
+
+
+def discard(spark: SparkSession, *folders: str) -> None:
+    """Removes run folders that nothing reads any more."""
+    for folder in folders:
+        p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -2,7 +2,7 @@
 
 from stewardlake.plans import registry
 
-STREAMS = {"audit_stream_ingest", "audit_daily_counts", "audit_daily_windows", "request_state_stream",
+STREAMS = {"audit_stream_ingest", "audit_ingest_repeats", "audit_daily_counts", "audit_daily_windows", "request_state_stream",
            "expiry_sweep_stream"}
 
 

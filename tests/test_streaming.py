@@ -4,15 +4,45 @@ from pyspark.sql import functions as F
 
 from stewardlake.sources.fixtures import tables
 from stewardlake.streaming import audit as T
+from stewardlake.streaming import changelog
 
 SF = "/root/testdata/sf0.001"
 
 
-def _landing(spark, name, reverse):
+def _landing(spark, name, reverse, events=None):
     landing, out, ckpt = T.new_run_dirs(spark, name)
-    slices = T.slice_events_by_day(tables(spark, SF).raw("events"), f"{landing}_slices", reverse=reverse)
-    T.stage_landing(spark, slices, landing)
-    return f"{landing}/part_*", out, ckpt
+    events = tables(spark, SF).raw("events") if events is None else events
+    return T.land_by_day(events, landing, reverse=reverse), out, ckpt
+
+
+def _same(a, b):
+    return a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_landing_files_come_in_the_order_of_days(spark):
+    src, out, _ = _landing(spark, "t-order", reverse=False)
+    seen = []
+    q = (spark.readStream.schema(T.EVENTS_SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
+         .writeStream.foreachBatch(lambda b, _: seen.append(b.agg(F.min("ts"), F.max("ts")).first()))
+         .option("checkpointLocation", out).trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert len(seen) == 30 and all(x[1] < y[0] for x, y in zip(seen, seen[1:]))
+
+
+def test_repeats_in_the_delay_and_long_after_come_once(spark):
+    ev = tables(spark, SF).raw("events").withColumn("arrival", F.col("ts").cast("date"))
+    late = ev.where("event_id % 4 = 0").withColumn("arrival", F.date_add("arrival", 12))  # first delivery after 12 days
+    flow = (ev.where("event_id % 4 != 0").unionByName(late).unionByName(ev.where("event_id % 3 = 0"))
+            .unionByName(ev.where("event_id % 6 = 0").withColumn("arrival", F.date_add("arrival", 1)))
+            .unionByName(ev.where("event_id % 5 = 0").withColumn("arrival", F.date_add("arrival", 20))))
+    src, out, ckpt = _landing(spark, "t-keyed", False, flow)
+    run = T.audit_keyed_ingest(spark, src, out, ckpt, max_files=7)
+    assert run.batches > 5
+    assert _same(T.ingested_audit(spark, out), tables(spark, SF).audit_log)
+    # the same checkpoint again: nothing new; the whole flow once more from the start: repeats only
+    T.audit_keyed_ingest(spark, src, out, ckpt, max_files=7)
+    T.audit_keyed_ingest(spark, src, out, ckpt + "-2", max_files=50)
+    assert _same(T.ingested_audit(spark, out), tables(spark, SF).audit_log)
 
 
 def test_ingest_in_order_keeps_every_row(spark):
@@ -44,11 +74,13 @@ def test_ingest_reversed_long_watermark_equals_batch(spark):
 def test_daily_counts_equal_batch_twin_even_reversed(spark):
     src, out, ckpt = _landing(spark, "t-daily", reverse=True)
     T.audit_daily_counts(spark, src, "1 day", out, ckpt, max_files=8)
-    got = T.latest_epoch(spark, out)
+    got = T.current_daily_counts(spark, out)
     ev = tables(spark, SF).raw("events")
     want = ev.groupBy(F.col("ts").cast("date").cast("timestamp_ntz").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n_events"))
     assert got.count() == 150
-    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    assert _same(got, want)
+    T.compact_daily_counts(spark, out)
+    assert _same(T.current_daily_counts(spark, out), want)
 
 
 def test_expiry_timers_fire_in_order(spark):
@@ -70,19 +102,50 @@ def test_expiry_timers_fire_in_order(spark):
     assert max(r["fire_ms"] for r in rows) <= max_ms - day
 
 
-def test_request_state_changelog_folds_to_batch_twin(spark):
-    src, out, ckpt = _landing(spark, "t-state", reverse=True)
-    run = T.request_state_stream(spark, src, out, ckpt, max_files=8)
-    log = spark.read.parquet(out)
-    assert run.batches > 1 and log.select("epoch").distinct().count() > 1
-    got = T.current_request_state(spark, out)
-    audit = tables(spark, SF).audit_log
+def _batch_state(audit):
     status = T._status_expr(F.col("event_type"))
     keyed = audit.select("actor_id", F.get_json_object("metadata", "$.k").cast("bigint").alias("target_id"),
                          F.struct("occurred_at", "log_id", status.alias("status")).alias("e")).filter("e.status IS NOT NULL")
-    want = keyed.groupBy("actor_id", "target_id").agg(F.max("e").alias("e")).select(
+    return keyed.groupBy("actor_id", "target_id").agg(F.max("e").alias("e")).select(
         "actor_id", "target_id", "e.status", "e.occurred_at", "e.log_id")
-    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_request_state_leaves_the_state_and_stays_in_the_table(spark):
+    src, out, ckpt = _landing(spark, "t-state", reverse=False)
+    run = T.request_state_stream(spark, src, "1 day", out, ckpt, max_files=2, ttl="4 days")
+    assert run.batches > 10 and run.rows_dropped_by_watermark == 0
+    assert max(run.state_rows) > 2 * min(run.state_rows[8:])  # closed periods are gone
+    assert any(b < a for a, b in zip(run.state_rows, run.state_rows[1:]))
+    assert _same(T.current_request_state(spark, out), _batch_state(tables(spark, SF).audit_log))
+
+
+def test_compaction_switches_the_version_and_later_epochs_follow(spark):
+    ev = tables(spark, SF).raw("events")
+    half = ev.select(F.date_add(F.min("ts").cast("date"), 15)).first()[0]
+    src, out, ckpt = _landing(spark, "t-compact", False, ev.where(F.col("ts") < F.lit(half)))
+    T.request_state_stream(spark, src, "1 day", out, ckpt, max_files=3)
+    first = _batch_state(tables(spark, SF).audit_log.where(F.col("occurred_at") < F.lit(half)))
+    assert changelog.versions(spark, out)[0] is None and len(changelog.versions(spark, out)[1]) > 3
+    through = T.compact_request_state(spark, out)
+    assert changelog.versions(spark, out) == (through, [])
+    assert _same(T.current_request_state(spark, out), first)
+    assert T.compact_request_state(spark, out) is None  # nothing to fold
+    # more days for the same stream: the reader opens the base and the epochs after it
+    ev.where(F.col("ts") >= F.lit(half)).coalesce(1).write.parquet(src[:-1] + "99991231")
+    T.request_state_stream(spark, src, "1 day", out, ckpt, max_files=1)
+    base, epochs = changelog.versions(spark, out)
+    assert base == through and epochs and min(epochs) > through
+    whole = _batch_state(tables(spark, SF).audit_log)
+    assert _same(T.current_request_state(spark, out), whole)
+    # a base whose job did not end has no _SUCCESS and is not seen; old epochs go with the second compaction after them
+    T.current_request_state(spark, out).limit(1).write.parquet(f"{out}/base/through=000000999")
+    T.discard(spark, f"{out}/base/through=000000999/_SUCCESS")
+    assert changelog.versions(spark, out)[0] == through
+    T.discard(spark, f"{out}/base/through=000000999")
+    last = T.compact_request_state(spark, out)
+    assert changelog._numbers(spark, f"{out}/base", "through") == [through, last]
+    assert all(e > through for e in changelog._numbers(spark, f"{out}/log", "epoch"))
+    assert _same(T.current_request_state(spark, out), whole)
 
 
 def test_daily_counts_append_emits_closed_windows_only(spark):
@@ -120,55 +183,70 @@ def test_expiry_output_does_not_depend_on_batching(spark):
         assert canon(got.columns, [tuple(r) for r in got.collect()]) == want, max_files
 
 
-class _State:
-    """Group state of one key, as the stream gives it to the function."""
-
-    def __init__(self):
-        self.value, self.timeout, self.hasTimedOut, self.watermark = None, None, False, 0
-
-    exists = property(lambda self: self.value is not None)
-    get = property(lambda self: self.value)
-
-    def getCurrentWatermarkMs(self):
-        return self.watermark
-
-    def update(self, value):
-        self.value = value
-
-    def remove(self):
-        self.value = self.timeout = None
-
-    def setTimeoutTimestamp(self, ms):
-        assert ms > self.watermark
-        self.timeout = ms
-
-
-def _expiries(batches, end, delay=1.0, valid=20, warn=14):
-    """Fired timers (kind, approved day, fire day) of one key's approvals (days) in micro-batches."""
-    import pandas as pd
-
-    day = 86_400_000
-    fn, state, out = T._expiry_fn(warn * day, valid * day), _State(), []
-    most = 0.0
-    for times in [*batches, *[[]] * 3]:
-        if times:
-            state.hasTimedOut = False
-            out += [r for pdf in fn((1, 2), iter([pd.DataFrame({"event_ms": [round(t * day) for t in times]})]), state)
-                    for r in pdf.itertuples(index=False)]
-        most = max([most, *times]) if times else max(most, end)
-        state.watermark = max(state.watermark, round((most - delay) * day))
-        if state.timeout is not None and state.timeout < state.watermark:
-            state.hasTimedOut = True
-            out += [r for pdf in fn((1, 2), iter([]), state) for r in pdf.itertuples(index=False)]
-    return sorted((r.kind, r.approved_ms / day, r.fire_ms / day) for r in out)
-
-
-def test_late_approvals_inside_the_watermark_restart_the_clock():
-    """Approvals on days 1, 6.9 and 7.1: in time order 6.9 restarts the clock of day 1 before its warning on day 7."""
-    flows = [[[1.0, 6.9, 7.1]], [[1.0], [6.9], [7.1]], [[1.0], [7.1], [6.9]], [[7.1, 1.0, 6.9]], [[1.0], [7.1, 6.9]]]
-    want = sorted([("Expiring", 7.1, 13.1), ("Expired", 7.1, 27.1)])
-    for flow in flows:
-        assert _expiries(flow, 40.0) == want, flow
+FLOWS = [
+    # the same three approvals in all orders and batches: 6.9 restarts the clock of day 1 before its warning on day 7
+    [[1.0, 6.9, 7.1]], [[1.0], [6.9], [7.1]], [[1.0], [7.1], [6.9]], [[7.1, 1.0, 6.9]], [[1.0], [7.1, 6.9]],
     # a gap in which the warning of day 1 is due before the next approval
-    assert _expiries([[1.0], [8.2], [7.5]], 10.0) == [("Expiring", 1.0, 7.0)]
-    assert _expiries([[1.0, 1.0], [1.0]], 30.0) == sorted([("Expiring", 1.0, 7.0), ("Expired", 1.0, 21.0)])
+    [[1.0], [7.5], [8.0]],
+    # an approval waits while the earlier one is already warned: both timers of each, but the first one's end
+    [[1.0], [], [7.8, 10.0]], [[1.0, 1.0], [7.8], [10.0], [10.0]], [[10.0, 1.0, 7.8]],
+    # repeats
+    [[1.0, 1.0], [1.0]],
+]
+PACE = [1.5, 7.2, 8.1, 12.0, 14.0, 16.0, 18.5, 40.0]  # approvals of another key that move the watermark
+
+
+def _timers(times, end, warn=6.0, valid=20.0):
+    """What the approvals of a key fire before ``end``: a timer is silent if a later approval came up to its time."""
+    times = sorted(set(times))
+    out = []
+    for a, b in zip(times, [*times[1:], None]):
+        out += [(kind, a, a + after) for kind, after in (("Expiring", warn), ("Expired", valid))
+                if a + after < end and (b is None or a + after < b)]
+    return sorted(out)
+
+
+def _run_flows(spark, name, max_files):
+    import datetime as dt
+
+    start = dt.datetime(2024, 3, 1)
+    rows = [(start + dt.timedelta(days=t), k, start.date() + dt.timedelta(days=i))
+            for k, flow in enumerate(FLOWS) for i, batch in enumerate(flow) for t in batch]
+    rows += [(start + dt.timedelta(days=t), 1000 + i, start.date() + dt.timedelta(days=i)) for i, t in enumerate(PACE)]
+    events = spark.createDataFrame([(n, t, u, "purchase", 0.0, '{"k": 2}', day) for n, (t, u, day) in enumerate(rows)],
+                                   T.EVENTS_SCHEMA + ", arrival date").coalesce(1)
+    src, out, ckpt = _landing(spark, name, False, events)
+    T.expiry_sweep_stream(spark, src, "7 days", out, ckpt, valid_days=20, warn_days=14, max_files=max_files)
+    zero = (start - dt.datetime(1970, 1, 1)) // dt.timedelta(milliseconds=1)
+    found = {}
+    for r in spark.read.parquet(out).collect():
+        day = [round((r[c] - zero) / 86_400_000, 4) for c in ("approved_ms", "fire_ms")]
+        found.setdefault(r["actor_id"], []).append((r["kind"], *day))
+    return found
+
+
+def test_timers_of_waiting_approvals_in_all_orders_and_batches(spark):
+    """Every approval has its own timers, whatever waits and however the rows are dealt out."""
+    for max_files in (1, 3, 100):
+        found = _run_flows(spark, f"t-timers-{max_files}", max_files)
+        for k, flow in enumerate(FLOWS):
+            want = _timers([t for batch in flow for t in batch], 33.0)
+            assert sorted(found.get(k, [])) == want, (max_files, flow)
+
+
+def test_a_timer_is_decided_from_the_list():
+    """Approvals on days 1 and 10: the warning of day 7 and of day 16, no end on day 21, an end on day 30."""
+    from stewardlake.streaming.expiry import fired
+
+    assert fired([1, 10], 7, 14, 20) == [("Expiring", 1)]
+    assert fired([10, 1], 16, 14, 20) == [("Expiring", 10)]
+    assert fired([1, 10], 21, 14, 20) == [] and fired([1, 10], 30, 14, 20) == [("Expired", 10)]
+    assert fired([1, 7], 7, 14, 20) == []  # an approval at the time of the warning restarts the clock
+    assert fired([1, 15], 21, 14, 20) == [("Expiring", 15)]  # the end of day 1 falls on the same time, and is silent
+    assert fired([], 21, 14, 20) == []
+
+
+def test_late_rows_of_counts_are_reported(spark):
+    src, out, ckpt = _landing(spark, "t-state-late", reverse=True)
+    run = T.request_state_stream(spark, src, "1 day", out, ckpt, max_files=8, ttl="2 days")
+    assert run.rows_dropped_by_watermark > 0
