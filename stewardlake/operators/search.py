@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import classify_intent, find_keywords, is_question, prompt_line, strip_markdown
+from . import topk
 
 WORD_RE = r"[\p{L}\p{N}]+"
 
@@ -36,38 +37,48 @@ def product_words(products: DataFrame) -> DataFrame:
 CONTEXT_SIZE = 60
 
 
-def match_questions(questions: DataFrame, products: DataFrame, k: int = 5, weighting: str = "count") -> DataFrame:
+#: (word set, product) pairs up to which one join and one sum are cheaper than a search in rounds.
+DIRECT_PAIRS = 5_000_000
+
+
+def match_questions(questions: DataFrame, products: DataFrame, k: int = 5, weighting: str = "count",
+                    direct_pairs: int = DIRECT_PAIRS) -> DataFrame:
     """Per question the k best of the given products by shared words.
 
     ``weighting="count"`` scores the number of distinct shared words; ``"idf"``
     weighs each shared word by its BM25 inverse document frequency over the
-    products, clipped at zero (words in half or more of them weigh nothing).
+    products (nine decimals), clipped at zero (words in half or more of them
+    weigh nothing).
 
     Question words that no product has are dropped first, and questions that
-    then have the same words are one word set, scored once. The word join is an
-    ordinary one (adaptive execution splits words that very many products
-    have); scores are summed by a partial aggregate per (word set, product),
-    and the top k per set are kept by a WindowGroupLimit (score desc, product
-    id asc) before they go back to the questions."""
+    then have the same words are one word set, scored once. What the word join
+    would pair is known from the words' frequencies. Up to ``direct_pairs`` it
+    is one join, a partial aggregate per (word set, product) and the top k of
+    each set by a WindowGroupLimit (score desc, product id asc); beyond, the
+    same rows come from the bounded search of ``topk``, which pairs a set with
+    few more products than it returns, however many have its words."""
     pw = product_words(products)
     df = pw.groupBy("word").agg(F.count(F.lit(1)).cast("double").alias("df"))
     if weighting == "idf":
         n = products.select(F.count(F.lit(1)).cast("double")).scalar()
-        known = df.withColumn("w", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5))).filter(F.col("w") > 0)
+        known = df.withColumn("w", F.round(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), 9).cast(topk.WEIGHT)).filter(F.col("w") > 0)
     else:
-        known = df.withColumn("w", F.lit(1.0))
-    known = known.select("word", "w")
+        known = df.withColumn("w", F.lit(1).cast(topk.WEIGHT))
     qw = questions.select("conv_id", "turn", F.explode(words(F.col("text"))).alias("word"))
     sets = (qw.join(known, "word", "inner").groupBy("conv_id", "turn")
-            .agg(F.array_sort(F.collect_list(F.struct("word", "w"))).alias("words"))
+            .agg(F.array_sort(F.collect_list(F.struct("word", "w"))).alias("words"), F.sum("df").alias("pairs"))
             .withColumn("set_id", F.sha2(F.to_json("words"), 256)))
-    asked = sets.groupBy("set_id").agg(F.first("words").alias("words")).select("set_id", F.inline("words"))
-    scored = (asked.join(pw, "word", "inner").groupBy("set_id", "product_id")
-              .agg(F.round(F.sum("w"), 9).alias("score"), F.count(F.lit(1)).alias("shared_words")))
-    win = Window.partitionBy("set_id").orderBy(F.desc("score"), F.asc("product_id"))
-    best = scored.withColumn("rank", F.row_number().over(win)).filter(F.col("rank") <= k)
+    asked = sets.groupBy("set_id").agg(F.first("words").alias("words"), F.first("pairs").alias("pairs"))
+    if (asked.agg(F.sum("pairs")).first()[0] or 0) > direct_pairs:
+        best = topk.top_products(asked.select("set_id", F.inline("words")), topk.Postings(pw), k)
+    else:
+        scored = (asked.select("set_id", F.inline("words")).join(pw, "word", "inner").groupBy("set_id", "product_id")
+                  .agg(F.sum("w").alias("score"), F.count(F.lit(1)).alias("shared_words")))
+        win = Window.partitionBy("set_id").orderBy(F.desc("score"), F.asc("product_id"))
+        best = scored.withColumn("rank", F.row_number().over(win)).filter(F.col("rank") <= k)
     return sets.select("conv_id", "turn", "set_id").join(best, "set_id", "inner").select(
-        "conv_id", "turn", "product_id", "score", "shared_words", F.col("rank").cast("long").alias("rank"))
+        "conv_id", "turn", "product_id", F.col("score").cast("double").alias("score"), "shared_words",
+        F.col("rank").cast("long").alias("rank"))
 
 
 def ask_prompt_table(questions: DataFrame, context: DataFrame) -> DataFrame:
