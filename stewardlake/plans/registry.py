@@ -56,7 +56,7 @@ def register(key: str, sql: str | None = None):
 def queries() -> dict[str, Builder]:
     from . import (  # noqa: F401
         queries_access, queries_catalog, queries_changes, queries_directory, queries_governance, queries_metadata,
-        queries_streams,
+        queries_search, queries_streams,
         queries_text)
 
     return dict(_QUERIES)
