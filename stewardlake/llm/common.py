@@ -9,6 +9,7 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
 
@@ -88,10 +89,28 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def hashable(value: Column, kind: T.DataType) -> Column:
+    """``value`` in a form that hashes to the same number only if it is the same, nulls and their places included.
+
+    Hash functions of Spark skip nulls, and refuse maps: maps become the sorted hashes of their entries."""
+    if isinstance(kind, T.MapType):
+        entries = F.transform(F.map_entries(value), lambda e: F.xxhash64(
+            hashable(e["key"], kind.keyType), hashable(e["value"], kind.valueType)))
+        return F.struct(value.isNull(), F.array_sort(entries))
+    if isinstance(kind, T.ArrayType):
+        return F.struct(value.isNull(), F.size(value), F.transform(value, lambda x: hashable(x, kind.elementType)))
+    if isinstance(kind, T.StructType):
+        return F.struct(value.isNull(), *[hashable(value[f.name], f.dataType) for f in kind.fields])
+    if isinstance(kind, T.VariantType):
+        return F.struct(value.isNull(), F.to_json(value))
+    return F.struct(value.isNull(), value)
+
+
 def with_marks(df: DataFrame) -> tuple[DataFrame, list[str]]:
     """``df`` with two hashes (128 bits) of each row's columns, and their names: only equal rows share them."""
     names = [fresh(df, "_mark_a"), fresh(df, "_mark_b")]
-    return df.withColumns({n: F.xxhash64(F.lit(k), *[F.col(f"`{c}`") for c in df.columns]) for k, n in enumerate(names)}), names
+    values = [hashable(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields]
+    return df.withColumns({n: F.xxhash64(F.lit(k), *values) for k, n in enumerate(names)}), names
 
 
 def one_of_each_group(df: DataFrame, marks: list[str], judged: DataFrame, groups: list[str], first: str) -> DataFrame:

@@ -11,8 +11,11 @@ landmark-sized matrices are solved. It learns every language that labelled
 rows have, from a bounded sample: ``PER_LANGUAGE`` windows of each, chosen by a
 hash of the id (one row for each id); of these, ``LANDMARKS`` for each language are landmarks. Beyond
 ``LANGUAGES`` languages both shrink, so that all together have no more than
-``LANGUAGES`` languages had; when that leaves less than ``LEAST_SAMPLE``
-windows each, training fails rather than leave a language out.
+``LANGUAGES`` languages had, but ``LEAST_SAMPLE`` windows and one landmark are
+left to each: no language is left out. One regression against the rest needs
+of all others only sums that the languages share, so they are solved together
+from sums over blocks of windows; the driver holds the landmarks, one block and
+matrices of landmarks by landmarks and by languages.
 
 Prediction reads whole texts in windows of ``WINDOW`` characters, since the
 presence of n-grams tells nothing about a text that is long enough to have them
@@ -39,14 +42,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, ship_package
+from .common import cut_lineage, fresh, ship_package
 
 ORDER = 3
 DIM = 1 << 15
 WINDOW = 2000
 PER_LANGUAGE = 400
 LANDMARKS = 120
-LANGUAGES = 64
+LANGUAGES = 12
 LEAST_SAMPLE = 5
 #: Windows made into kernel values at once in training.
 ROWS = 2048
@@ -126,10 +129,10 @@ def presence(rows: list[np.ndarray]) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """``weights`` maps presence rows, divided by the root of their size, to scores of the languages."""
+    """The product of ``weights`` maps presence rows, divided by the root of their size, to scores of the languages."""
 
     languages: tuple[str, ...]
-    weights: np.ndarray
+    weights: tuple[np.ndarray, ...]
     bias: np.ndarray
     #: Triples of the sample, and the least share of them by language (none: every text is in a learned language).
     known: np.ndarray | None = None
@@ -137,14 +140,17 @@ class Model:
 
     def scores(self, rows: list[np.ndarray]) -> np.ndarray:
         x = presence(rows)
-        return x @ self.weights / np.sqrt(x.sum(axis=1, keepdims=True)) + self.bias
+        size = np.sqrt(x.sum(axis=1, keepdims=True))
+        for w in self.weights:
+            x = x @ w
+        return x / size + self.bias
 
 
 def fit(samples: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
     """Trains on (language, feature numbers) rows."""
     languages = tuple(sorted({lang for lang, _ in samples}))
     if not languages:
-        return Model((), np.zeros((DIM, 0), np.float32), np.zeros(0, np.float32))
+        return Model((), (np.zeros((DIM, 0), np.float32),), np.zeros(0, np.float32))
     number = {lang: k for k, lang in enumerate(languages)}
     label = np.array([number[lang] for lang, _ in samples])
 
@@ -158,12 +164,19 @@ def fit(samples: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS, ridge
     values, vectors = np.linalg.eigh((z @ z.T).astype(np.float64))
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
-    phi = np.concatenate([(scaled(range(i, min(i + ROWS, len(samples)))) @ z.T) @ root for i in range(0, len(samples), ROWS)])
-    y = np.where(label[:, None] == np.arange(len(languages)), 1.0, -1.0)
-    center, middle = phi.mean(axis=0), y.mean(axis=0)
-    own = phi - center
-    w = np.linalg.solve(own.T @ own + ridge * np.eye(own.shape[1]), own.T @ (y - middle))
-    return Model(languages, (z.T @ (root @ w)).astype(np.float32), (middle - center @ w).astype(np.float32))
+    m, n = root.shape[1], len(samples)
+    square, sums = np.zeros((m, m)), np.zeros((len(languages), m))
+    for i in range(0, n, ROWS):
+        phi = (scaled(range(i, min(i + ROWS, n))) @ z.T) @ root
+        square += phi.T @ phi
+        np.add.at(sums, label[i:i + ROWS], phi)
+    # Targets are 1 for the own language and -1 else, so their products with phi are sums by language.
+    center, middle = sums.sum(axis=0) / n, 2 * np.bincount(label, minlength=len(languages)) / n - 1
+    own = square - n * np.outer(center, center)
+    w = np.linalg.solve(own + ridge * np.eye(m), (2 * sums - sums.sum(axis=0)).T - n * np.outer(center, middle))
+    last = root @ w
+    weights = (z.T @ last,) if len(languages) <= len(marks) // 2 else (z.T, last)
+    return Model(languages, tuple(x.astype(np.float32) for x in weights), (middle - center @ w).astype(np.float32))
 
 
 def bounds(languages: tuple[str, ...], samples: list[tuple[str, np.ndarray, list[np.ndarray]]]) -> tuple[np.ndarray, np.ndarray]:
@@ -185,19 +198,27 @@ def held_out(id_col: Column) -> Column:
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
           per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> Model:
-    """Learns every language of the labelled rows that are not held out."""
+    """Learns every language of the labelled rows that are not held out.
+
+    Rows with a null id, language or text, and those without a letter, teach
+    nothing. Rows that repeat an id in a language count once, with one of their
+    texts. Without any such row nothing is learned and every text is ``und``.
+    Other columns are not looked at."""
     known = df.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()
                      & ~held_out(F.col(id_col)))
     order = F.xxhash64(F.col(id_col).cast("string"))
-    most = sorted(r["lang"] for r in known.select(F.col(lang_col).alias("lang")).distinct().collect())
+    ids = cut_lineage(known.select(F.col(lang_col).alias("lang"), order.alias("o")).distinct())
+    spans = ids.groupBy("lang", F.shiftright("o", 48).alias("span")).agg(F.count(F.lit(1)).alias("n"))
+    found = ids.select("lang").distinct().count()
     # Beyond ``languages`` they share what that many have.
-    share = min(1.0, languages / max(1, len(most)))
-    per_language, landmarks = int(per_language * share), max(1, int(LANDMARKS * share))
-    if share < 1 and per_language < LEAST_SAMPLE:
-        raise ValueError(f"{len(most)} languages are too many to learn: {per_language} rows of each fit the sample")
-    # Ids first, by the smallest hashes of each language, kept in each task already; then one text of each.
+    share = min(1.0, languages / max(1, found))
+    per_language, landmarks = max(LEAST_SAMPLE, int(per_language * share)), max(1, int(LANDMARKS * share))
+    # Ids first, by the smallest hashes of each language; only the spans of hashes they lie in come together.
+    upto = Window.partitionBy("lang").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    near = spans.withColumn("less", F.coalesce(F.sum("n").over(upto), F.lit(0))).where(F.col("less") < per_language)
+    near = near.groupBy("lang").agg(F.max("span").alias("last"))
     place = Window.partitionBy("lang").orderBy("o")
-    chosen = {(r["lang"], r["o"]) for r in known.select(F.col(lang_col).alias("lang"), order.alias("o")).distinct()
+    chosen = {(r["lang"], r["o"]) for r in ids.join(near, "lang").where(F.shiftright("o", 48) <= F.col("last"))
               .withColumn("place", F.row_number().over(place)).where(F.col("place") <= per_language).collect()}
     if not chosen:
         return fit([])
@@ -298,7 +319,8 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", lang_name: str
 
 def keep_known(df: DataFrame, model: Model, text_col: str = "text", least: float = LEAST_SCORE) -> DataFrame:
     """The rows of ``df`` in a learned language, with their columns: a text without letters goes, one with too
-    few known triples, and one whose best score is under ``least``."""
+    few known triples, and one whose best score is under ``least``. Null and empty texts have no letter. Every row is
+    judged for itself, also if it repeats; no rows give no rows, and a model that learned nothing keeps none."""
     lang, score, learned = fresh(df, "_lang_pred"), fresh(df, "_lang_score"), fresh(df, "_lang_learned")
     marked = predict(df, model, text_col, lang, score, learned)
     return marked.where((F.col(lang) != UNKNOWN) & F.col(learned) & (F.col(score) >= least)).drop(lang, score, learned)

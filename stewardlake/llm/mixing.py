@@ -35,7 +35,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget:
     Targets are the budget dealt by weight; a source gets at most ``repeats``
     times its size, and what is above is dealt again by weight to the others
     (water-filling: with the sources ordered by size per weight, the capped
-    ones are a prefix). The table has one row per source.
+    ones are a prefix). The table has one row per source and its windows run in
+    one task: fine for up to some millions of sources.
     """
     named = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
@@ -66,8 +67,10 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     ``copies`` (0 to ``repeats``) is how often the mix takes the document,
     ``taken`` the words of these copies. Null texts have size 0; null sources
     are one source, the last; documents of size 0 come with their neighbours in
-    the queue and take nothing. Rows that repeat an id and size are queued one
-    after the other. A table without words takes nothing.
+    the queue and take nothing. Rows that repeat an id are queued by size and by a
+    checksum of their texts; only rows of one id, text and source are alike, and
+    of these it is open which one is taken, not how many. A table without words
+    takes nothing.
     """
     return _mix(df, id_col, text_col, source_col, weights, budget, repeats, seed, [])
 
@@ -77,17 +80,17 @@ def _mix(df: DataFrame, id_col: str, text_col: str, source_col: str, weights: tu
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     slim = cut_lineage(df.select(
         *more, F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
-        F.md5(F.concat(F.lit(seed + "|"), key)).alias("turn")))
+        F.md5(F.concat(F.lit(seed + "|"), key)).alias("turn"), F.left(F.md5(text_or_empty(F.col(text_col))), F.lit(16)).alias("mark")))
     targets = cut_lineage(source_targets(slim.select("source", "size"), weights, budget, repeats))
-    queued = running_totals(slim, ["source"], ["turn", "doc_id", *more], "size", "served")
+    queued = running_totals(slim, ["source"], ["turn", "doc_id", "size", "mark", *more], "size", "served")
     timed = (queued.join(targets, same_key(queued, targets, "source"), "left")
              .drop(targets["source"]).where(F.col("srank").isNotNull()))
     timed = cut_lineage(timed)
     copies = timed.where("target > 0").select(
-        "srank", "turn", "doc_id", "size",
+        "srank", "turn", "doc_id", "size", "mark",
         F.posexplode(F.array(*[(F.col("served") + F.col("source_size") * i) / F.col("target") for i in range(repeats)]))
         .alias("copy", "finish"))
-    order = ["finish", "srank", "turn", "doc_id", "copy"]
+    order = ["finish", "srank", "turn", "doc_id", "size", "mark", "copy"]
     total = slim.agg(F.sum("size")).first()[0] or 0
     lined = running_totals(copies, [], order, "size", "used")
     # The budget's end is one row: every copy up to it in the order is taken.
@@ -99,7 +102,7 @@ def _mix(df: DataFrame, id_col: str, text_col: str, source_col: str, weights: tu
         count = F.lit(0)
         for i in range(repeats):
             at = F.struct(((F.col("served") + F.col("source_size") * i) / F.col("target")).alias("finish"),
-                          "srank", "turn", "doc_id", F.lit(i).alias("copy"))
+                          "srank", "turn", "doc_id", "size", "mark", F.lit(i).alias("copy"))
             count = count + F.when((F.col("target") > 0) & (at <= end), 1).otherwise(0)
     return timed.select(*more, "doc_id", "source", "size", "source_size", "target", count.cast("long").alias("copies"),
                         (F.col("size") * count).cast("long").alias("taken"))
@@ -111,7 +114,7 @@ def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Rows are told apart by all their columns, so those that repeat an id (or
     have none) come as often as the mix takes each. Equal rows together come
-    as often as it takes them together.
+    as often as it takes them together. No rows give no rows.
     """
     marked, marks = with_marks(df)
     nth, n = fresh(df, "_copy"), fresh(df, "_copies_each")

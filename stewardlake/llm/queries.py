@@ -77,11 +77,11 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = fingerprint.edits(read_documents(spark, sf_dir))
-    own, changed, following = F.col("own"), F.col("changed"), F.col("next_own")
+    own, changed, following = (fingerprint.pair(c) for c in ("own", "changed", "next_own"))
     return e.select("doc_id", F.char_length("text").cast("long").alias("n_chars"),
                     F.sha2("edited", 256).alias("edited_sha256"),
-                    fingerprint.as_text(own).alias("fingerprint"),
-                    fingerprint.as_text(changed).alias("edited_fingerprint"),
+                    fingerprint.as_text(F.col("own")).alias("fingerprint"),
+                    fingerprint.as_text(F.col("changed")).alias("edited_fingerprint"),
                     fingerprint.likeness(own, changed).alias("near_edited"),
                     fingerprint.likeness(own, following).alias("near_next"),
                     fingerprint.resemblance(own, changed).alias("jaccard_edited"), "next_id")
@@ -137,6 +137,7 @@ SQL = {
     "op5_source_mix": r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, md5('mix|' || coalesce(cast(doc_id AS varchar), 'null')) AS turn,
+         left(md5(coalesce(text, '')), 16) AS mark,
          cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS bigint) AS size
   FROM documents),
 s AS (
@@ -155,15 +156,15 @@ t AS (
   FROM l LEFT JOIN c ON true),
 q AS (
   SELECT d.*, t.srank, t.source_size, t.target,
-    sum(size) OVER (PARTITION BY t.srank ORDER BY turn, doc_id ROWS UNBOUNDED PRECEDING) AS served
+    sum(size) OVER (PARTITION BY t.srank ORDER BY turn, doc_id, size, mark ROWS UNBOUNDED PRECEDING) AS served
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 k AS (SELECT *, (served + source_size * copy) / target AS finish FROM q, (VALUES (0), (1)) v(copy) WHERE target > 0),
 u AS (
-  SELECT *, sum(size) OVER (ORDER BY finish, srank, turn, doc_id, copy ROWS UNBOUNDED PRECEDING) AS used FROM k),
-m AS (SELECT turn, doc_id, cast(count(*) AS bigint) AS copies FROM u
+  SELECT *, sum(size) OVER (ORDER BY finish, srank, turn, doc_id, size, mark, copy ROWS UNBOUNDED PRECEDING) AS used FROM k),
+m AS (SELECT turn, doc_id, srank, size, mark, cast(count(*) AS bigint) AS copies FROM u
       WHERE used <= 1.5::double * (SELECT sum(size) FROM d) GROUP BY ALL)
 SELECT q.doc_id, q.size, q.source_size, q.target, cast(q.size * coalesce(m.copies, 0) AS bigint) AS taken
-FROM q LEFT JOIN m ON q.turn = m.turn AND q.doc_id IS NOT DISTINCT FROM m.doc_id
+FROM q LEFT JOIN m ON q.turn = m.turn AND q.doc_id IS NOT DISTINCT FROM m.doc_id AND q.srank = m.srank AND q.size = m.size AND q.mark = m.mark
 """,
     "op8_exact_dedup": r"""
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept,

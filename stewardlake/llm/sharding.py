@@ -10,8 +10,10 @@ Who overflows depends only on how many documents each arc of the ring holds.
 So the arcs are counted in one aggregate (at most shards x ``VNODES`` rows, a
 size fixed by parameters), the walk around the ring is done on these counts
 and gives segments (arc, ranks, shard), and every document finds its segment
-by its rank inside its arc. No document is moved step by step, and no task
-sees more than an arc.
+by its rank inside its arc. No document is moved step by step. The ranks come
+from a range sort in which even rows of one id and text are told apart by their
+place in the table, so an arc, or an id with a third of all rows, is spread
+over many tasks.
 
 With ``load_factor`` 1 the capacities are the two integers next to the mean,
 so that document counts differ by one at most; a larger factor moves fewer
@@ -23,10 +25,10 @@ from __future__ import annotations
 import hashlib
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_table, text_or_empty
+from .common import cut_lineage, running_totals, small_table, text_or_empty
 
 SLOT_BITS = 14
 SLOTS = 1 << SLOT_BITS
@@ -105,17 +107,16 @@ def assign_shards(df: DataFrame, n_shards: int, id_col: str = "doc_id", text_col
         F.explode(F.sequence("first", "last")).alias("ring_slot"), "arc", "home"))
     at = F.xxhash64(F.col(id_col).cast("string"))
     ring_slot = F.shiftrightunsigned(at, 64 - SLOT_BITS).cast("int")
-    found = {r["arc"]: r["n"] for r in df.select(ring_slot.alias("ring_slot")).join(arcs, "ring_slot")
-             .groupBy("arc").agg(F.count(F.lit(1)).alias("n")).collect()}
-    counts = [found.get(a, 0) for a in range(len(nodes))]
-    parts = segments(nodes, counts, capacities(sum(counts), n_shards, load_factor))
-    plan = F.broadcast(small_table(spark, parts, "arc int, first bigint, end bigint, shard int, base bigint"))
     text = text_or_empty(F.col(text_col))
-    placed = df.select(
+    placed = cut_lineage(df.select(
         F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"), at.alias("at"), ring_slot.alias("ring_slot")).join(arcs, "ring_slot")
-    in_arc = Window.partitionBy("arc").orderBy("at", "doc_id", "text_crc32", "size")
-    ranked = placed.withColumn("rank", F.row_number().over(in_arc) - 1)
+        .drop("ring_slot").withColumns({"row": F.monotonically_increasing_id(), "one": F.lit(1)}))
+    found = {r["arc"]: r["n"] for r in placed.groupBy("arc").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = [found.get(a, 0) for a in range(len(nodes))]
+    parts = segments(nodes, counts, capacities(sum(counts), n_shards, load_factor))
+    plan = F.broadcast(small_table(spark, parts, "arc int, first bigint, end bigint, shard int, base bigint"))
+    ranked = running_totals(placed, ["arc"], ["at", "doc_id", "text_crc32", "size", "row"], "one", "nth").withColumn("rank", F.col("nth") - 1)
     own = (ranked["arc"] == plan["arc"]) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end"))
     return ranked.join(plan, own, "inner").select(
         "doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("rank") - F.col("first")).alias("slot"),

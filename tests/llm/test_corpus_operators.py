@@ -346,7 +346,7 @@ def test_pipeline_stages_on_odd_tables(spark, edge, nothing, sf_small):
                 assert not rows
 
 
-@pytest.mark.parametrize("key", sorted(queries.oracle_sql()))
+@pytest.mark.parametrize("key", sorted(k for k in queries.oracle_sql() if k not in ("op11_url_filter", "op13_hard_negatives")))
 def test_sql(spark, sf_small, key):
     import duckdb
 
@@ -360,7 +360,87 @@ def test_sql(spark, sf_small, key):
 
 def test_queries_give_one_row_per_document(spark, sf_small):
     for key, fn in queries.queries().items():
+        if key in ("op11_url_filter", "op13_hard_negatives"):  # of other tables, see test_graph_operators
+            continue
         df = fn(spark, sf_small)
         if key not in ("op7_license_scan",):
             assert df.count() == 200, key
         assert "doc_id" in df.columns
+
+
+def test_mix_of_repeated_ids_does_not_depend_on_partitions(spark):
+    rng = random.Random(6)
+    rows = [(i % 3 if i % 5 else None, " ".join("w" * rng.randint(1, 4) for _ in range(rng.randint(0, 30))), "ab"[i % 2]) for i in range(300)]
+    found = set()
+    for parts in (1, 3, 7):
+        rng.shuffle(rows)
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts)
+        found.add(tuple(sorted(map(str, mixing.mix(df).collect()))))
+    assert len(found) == 1
+
+
+def test_stages_take_maps_arrays_and_nulls_in_any_place(spark):
+    """Rows that differ only in a map, in the place of a null or in an array are different rows."""
+    schema = ("doc_id long, text string, lang string, source string, n_chars long, m map<string,array<int>>, a array<string>, "
+              "s struct<x: int, y: int>, decoded string, ids string")
+    text = like = "the thing of the other thing and when the mother " * 3
+    rows = [(1, text, None, "en", 5, {"a": [1]}, ["x", None], (1, None), "d", "i"), (1, text, "en", None, 5, {"a": [1]}, ["x", None], (1, None), "d", "i"),
+            (1, text, None, "en", 5, {"a": [2]}, ["x", None], (1, None), "d", "i"), (1, text, None, "en", 5, {"a": [1]}, [None, "x"], (1, None), "d", "i"),
+            (1, text, None, "en", 5, {"a": [1]}, ["x", None], (None, 1), "d", "i"), (2, like, "en", "en", 5, None, None, None, None, None),
+            (3, "quite another text here", "en", "en", 5, {"b": [1], "a": []}, [], (1, 1), "d", "i")]
+    df = spark.createDataFrame(rows, schema)
+    from stewardlake.llm.common import with_marks
+
+    marked, marks = with_marks(df)
+    assert marked.select(*marks).distinct().count() == 7
+    back = spark.createDataFrame([(dict(reversed(list(r[5].items()))) if r[5] else r[5],) for r in rows], "m map<string,array<int>>")
+    a, b = (with_marks(x)[0].select(with_marks(x)[1]) for x in (df.select("m"), back))
+    assert a.exceptAll(b).count() == 0
+    for stage in (corpus_pipeline.exact_copies, corpus_pipeline.near_copies, corpus_pipeline.source_mix):
+        out = stage(spark, df, "")
+        assert out.columns == df.columns and out.count() >= 2
+    out = corpus_pipeline.tokens(spark, df, "")
+    assert out.columns == [c for c in df.columns if c != "text"] + ["ids_", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert sorted(r["decoded"] or "" for r in out.collect()) == sorted(r[8] or "" for r in rows)
+
+
+def test_ring_of_a_hot_id(spark):
+    """Rows of one null id, and of one text, are many tasks and still gapless."""
+    rows = [(None, "same") for _ in range(2000)] + [(i, f"t{i}") for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = sharding.assign_shards(df, 16).collect()
+    slots = defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+    assert len(got) == 3000 and all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+
+
+def test_many_languages_are_all_learned(spark):
+    """Eighty languages of their own words: none is refused, and short texts are told apart."""
+    rng = random.Random(9)
+    words = {f"l{k:02d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 7))) for _ in range(12)] for k in range(80)}
+    rows = [(1000 * k + i, " ".join(rng.choices(w, k=40)), lang) for k, (lang, w) in enumerate(words.items()) for i in range(24)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df, per_language=10, languages=8)
+    assert len(model.languages) == 80
+    marked = langid.predict(df, model).collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in marked) > 0.95 * len(marked)
+
+
+def test_regressions_from_sums_equal_the_dense_ones():
+    """The weights from sums by language, in one matrix or two, are those of the centred least-squares problem."""
+    rng = np.random.default_rng(1)
+    samples = [(f"l{k}", np.unique(rng.integers(200 * k, 200 * k + 600, 40))) for k in range(6) for _ in range(9)]
+    for landmarks in (1, 5):
+        model = langid.fit(samples, landmarks)
+        assert len(model.weights) == (2 if landmarks == 1 else 1)
+        x = langid.presence([g for _, g in samples]).astype(np.float64)
+        x /= np.sqrt(x.sum(axis=1, keepdims=True))
+        y = np.array([[1.0 if lang == other else -1.0 for other in model.languages] for lang, _ in samples])
+        z = np.concatenate([x[[i for i, s in enumerate(samples) if s[0] == lang][:landmarks]] for lang in model.languages])
+        values, vectors = np.linalg.eigh(z @ z.T)
+        phi = x @ z.T @ (vectors / np.sqrt(values))
+        own = phi - phi.mean(axis=0)
+        w = np.linalg.solve(own.T @ own + langid.RIDGE * np.eye(own.shape[1]), own.T @ (y - y.mean(axis=0)))
+        assert np.allclose(model.scores([g for _, g in samples]), own @ w + y.mean(axis=0), atol=1e-3)
