@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from stewardlake.llm import bpe, exact_dedup, langid, mixing, queries, simhash
-from stewardlake.llm.common import read_documents
+from stewardlake.llm.common import fresh, read_documents
 from stewardlake.session import checkpoint_subdir
 
 
@@ -39,13 +39,15 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids (packed) of every document, their number, and checksums of ids and decoded bytes."""
+    """``docs`` but for ``text``, with token ids (packed), their number, and checksums of ids and decoded bytes.
+
+    A column of ``docs`` that has one of these names stays; the new one then gets an underscore at its end."""
     ranks, pattern = queries.tokenizer_file()
-    ids = bpe.encode(docs, ranks, pattern).drop("text")
-    both = bpe.decode(ids, ranks, pattern)
+    ids, decoded = (fresh(docs, c) for c in ("ids", "decoded"))
+    both = bpe.decode(bpe.encode(docs, ranks, pattern, ids_col=ids).drop("text"), ranks, pattern, ids, decoded)
     return both.withColumns({
-        "n_tokens": bpe.n_tokens(both["ids"]), "ids_sha256": bpe.sha256_hex(both["ids"]),
-        "decoded_sha256": bpe.sha256_hex(both["decoded"])}).drop("decoded")
+        fresh(docs, "n_tokens"): bpe.n_tokens(both[ids]), fresh(docs, "ids_sha256"): bpe.sha256_hex(both[ids]),
+        fresh(docs, "decoded_sha256"): bpe.sha256_hex(both[decoded])}).drop(decoded)
 
 
 STAGES = [
