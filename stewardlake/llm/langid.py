@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut_lineage, fresh, ship_package
+from .common import broadcast_if_small, cut_lineage, fresh, ship_package
 
 ORDER = 3
 DIM = 1 << 15
@@ -216,7 +216,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     # Ids first, by the smallest hashes of each language; only the spans of hashes they lie in come together.
     upto = Window.partitionBy("lang").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
     near = spans.withColumn("less", F.coalesce(F.sum("n").over(upto), F.lit(0))).where(F.col("less") < per_language)
-    near = near.groupBy("lang").agg(F.max("span").alias("last"))
+    near = broadcast_if_small(near.groupBy("lang").agg(F.max("span").alias("last")))
     place = Window.partitionBy("lang").orderBy("o")
     chosen = {(r["lang"], r["o"]) for r in ids.join(near, "lang").where(F.shiftright("o", 48) <= F.col("last"))
               .withColumn("place", F.row_number().over(place)).where(F.col("place") <= per_language).collect()}
