@@ -299,7 +299,8 @@ def revocations(requests: DataFrame, decisions: DataFrame, as_of: Column) -> dic
     out = _updated(req, req.join(d, "request_id", "left"), F.coalesce("_hit", F.lit(False)), {
         "status": F.lit("Revoked"), "resolved_at": as_of, "denial_reason": F.col("_reason"),
         "uc_grant_sql": revoke_sql("uc_grant_sql"), "updated_at": as_of})
-    grants = req.groupBy("request_id").agg(F.max(F.struct("uc_grant_sql"))["uc_grant_sql"].alias("uc_grant_sql"))
+    named = req.join(d.select("request_id"), "request_id", "left_semi")  # the few decided ones, before they are grouped
+    grants = named.groupBy("request_id").agg(F.max(F.struct("uc_grant_sql"))["uc_grant_sql"].alias("uc_grant_sql"))
     told = d.join(grants, "request_id", "inner").withColumn("_revoke", revoke_sql("uc_grant_sql"))
     return {"access_requests": out, "audit": _decision_audit(
         "ACCESS_REVOKED", told, audit_metadata(reason=F.col("_reason"), revokeSql=F.col("_revoke")), as_of)}

@@ -179,12 +179,13 @@ def audit_append(audit: DataFrame, new_events: DataFrame) -> DataFrame:
     """M9: append event rows. An event is the same as another only if type,
     actor, metadata and time agree; such repeats, in the batch or already
     present, are skipped, so rerunning a batch appends nothing. New log ids
-    continue after the current maximum in (occurred_at, metadata) order."""
+    continue after the current maximum in (occurred_at, metadata, event_type,
+    actor_id) order, which no two of them share."""
     key = ["event_type", "actor_id", "metadata", "occurred_at"]
     fresh = new_events.dropDuplicates(key).join(audit.select(*key), key, "left_anti")
     base = audit.select(F.coalesce(F.max("log_id"), F.lit(0)).alias("m")).scalar()
     numbered = sequence_numbers(fresh.withColumn("_k", F.concat_ws("|", F.col("occurred_at").cast("string"), "metadata")),
-                                ["_k"], "_seq")
+                                ["_k", "event_type", "actor_id"], "_seq")
     rows = numbered.select((base + F.col("_seq")).alias("log_id"), *[c for c in audit.columns if c != "log_id"])
     return audit.unionByName(rows)
 

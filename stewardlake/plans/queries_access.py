@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..operators import access as A
+from ..operators import intervals as I
 from ..operators.catalog import catalog_published
 from ..sources.fixtures import tables
 from .params import REQUESTS_AS_OF_TEXT, STEWARD_EMAIL, requests_as_of
@@ -230,3 +231,43 @@ FROM user_library l""")
 def q_open_request_check(spark, d):
     t = tables(spark, d)
     return A.open_request_check(t.user_library, t.access_requests)
+
+
+# The access log has no product and time of a call, so calls are the deliveries: the customer of an order uses the
+# product of each line on the day it was shipped, and again 200 days later.
+CALLS = """calls AS (
+ SELECT o_custkey AS user_id, l_partkey AS product_id, l_orderkey * 10 + l_linenumber AS call_id, n.i AS nth,
+  CAST(l_shipdate AS TIMESTAMP) + n.i * INTERVAL '200' DAY AS called_at
+ FROM lineitem JOIN orders ON l_orderkey = o_orderkey, (VALUES (0), (1)) n(i))"""
+INTERVALS = """granted AS (
+ SELECT requester_id, product_id, COALESCE(resolved_at, requested_at) AS a, COALESCE(expires_at, TIMESTAMP '9999-12-31 00:00:00') AS b
+ FROM access_requests WHERE status = 'Approved'),
+starts AS (
+ SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY requester_id, product_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+  THEN 0 ELSE 1 END AS first FROM granted WHERE a < b),
+islands AS (
+ SELECT *, sum(first) OVER (PARTITION BY requester_id, product_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM starts),
+intervals AS (
+ SELECT requester_id, product_id, min(a) AS from_at, max(b) AS to_at, count(*) AS n_grants FROM islands
+ GROUP BY requester_id, product_id, island)"""
+
+
+def _calls(t):
+    lines = t.raw("lineitem").join(t.raw("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return lines.select(F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("product_id"),
+                        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("call_id"),
+                        F.col("l_shipdate").cast("timestamp_ntz").alias("day"), F.explode(F.array(F.lit(0), F.lit(1))).alias("nth")).select(
+        "user_id", "product_id", "call_id", "nth", (F.col("day") + F.make_dt_interval(days=200 * F.col("nth"))).alias("called_at"))
+
+
+@register("access_intervals", f"WITH {INTERVALS} SELECT * FROM intervals")
+def q_access_intervals(spark, d):
+    return I.access_intervals(tables(spark, d).access_requests)
+
+
+@register("calls_without_access", f"""WITH {CALLS}, {INTERVALS}
+SELECT user_id, c.product_id, call_id, nth, called_at FROM calls c WHERE NOT EXISTS (
+ SELECT 1 FROM intervals i WHERE i.requester_id = c.user_id AND i.product_id = c.product_id AND called_at >= from_at AND called_at < to_at)""")
+def q_calls_without_access(spark, d):
+    t = tables(spark, d)
+    return I.calls_without_access(_calls(t), I.access_intervals(t.access_requests))

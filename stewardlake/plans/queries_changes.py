@@ -7,13 +7,17 @@ for multi-table deletes, the new row counts of each table).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..operators import access as A
 from ..operators import changes as CH
 from ..operators.governance import user_group_role
+from ..session import checkpoint_subdir
 from ..sources import catalog_io as IO
+from ..sources.bucketed import BucketedTable
 from ..sources.fixtures import days, tables
 from .params import REQUESTS_AS_OF_TEXT, STEWARD_EMAIL, requests_as_of
 from .queries_governance import _grant_sql_sql
@@ -124,7 +128,7 @@ def q_delete_products(spark, d):
 # event submits one from a new e-mail (the user is created first).
 SUBMIT_SQL = f"""
 sub AS (
- SELECT event_id AS submission_id, 'DP-' || lpad(regexp_extract(props, '[0-9]+', 0), 3, '0') AS product_ref,
+ SELECT event_id AS submission_id, 'DP-' || lpad(regexp_extract(props, '[0-9]+', 0), greatest(3, length(regexp_extract(props, '[0-9]+', 0)))::int, '0') AS product_ref,
   CASE WHEN event_type = 'view' THEN 'customer.' || lpad(CAST(user_id AS VARCHAR), 9, '0') || '@example.org'
        ELSE 'signup' || CAST(user_id AS VARCHAR) || '@example.org' END AS requester_email, event_type AS reason
  FROM events WHERE event_type IN ('view', 'signup')),
@@ -135,6 +139,11 @@ newu AS (
 allu AS (SELECT lower(trim(email)) AS k, user_id, department FROM users UNION ALL SELECT k, user_id, 'General' FROM newu)"""
 
 
+def _padded_ref(number):
+    """The mapping's reference: three digits at least, longer numbers whole."""
+    return F.concat(F.lit("DP-"), F.when(F.length(number) < 3, F.lpad(number, 3, "0")).otherwise(number))
+
+
 @register("submit_requests", f"""WITH {SUBMIT_SQL}
 SELECT md5(requester_email || '|' || product_ref || '|' || CAST(submission_id AS VARCHAR)) AS request_id, product_id,
  u.user_id AS requester_id, reason AS business_reason, 'Pending' AS status, {AS_OF} AS requested_at, u.department AS requester_team
@@ -144,7 +153,7 @@ def q_submit_requests(spark, d):
     ev = t.raw("events").filter(F.col("event_type").isin("view", "signup"))
     sub = ev.select(
         F.col("event_id").alias("submission_id"),
-        F.concat(F.lit("DP-"), F.lpad(F.regexp_extract("props", "[0-9]+", 0), 3, "0")).alias("product_ref"),
+        _padded_ref(F.regexp_extract("props", "[0-9]+", 0)).alias("product_ref"),
         F.when(F.col("event_type") == "view",
                F.concat(F.lit("customer."), F.lpad(F.col("user_id").cast("string"), 9, "0"), F.lit("@example.org")))
         .otherwise(F.concat(F.lit("signup"), F.col("user_id").cast("string"), F.lit("@example.org"))).alias("requester_email"),
@@ -165,7 +174,7 @@ def q_upsert_users_on_submit(spark, d):
     ev = t.raw("events").filter(F.col("event_type").isin("view", "signup"))
     sub = ev.select(
         F.col("event_id").alias("submission_id"),
-        F.concat(F.lit("DP-"), F.lpad(F.regexp_extract("props", "[0-9]+", 0), 3, "0")).alias("product_ref"),
+        _padded_ref(F.regexp_extract("props", "[0-9]+", 0)).alias("product_ref"),
         F.when(F.col("event_type") == "view",
                F.concat(F.lit("customer."), F.lpad(F.col("user_id").cast("string"), 9, "0"), F.lit("@example.org")))
         .otherwise(F.concat(F.lit("signup"), F.col("user_id").cast("string"), F.lit("@example.org"))).alias("requester_email"),
@@ -413,3 +422,20 @@ def q_decision_outcomes(spark, d):
     t = tables(spark, d)
     dec = t.access_requests.filter(F.col("business_reason") == "5-LOW").select("request_id")
     return CH.decision_outcomes(t.access_requests, dec, "deny")
+
+
+# A batch of denials for the requesters whose key ends in 7, applied to the stored table bucketed by requester: only
+# the parts that hold them are rewritten. The result is the whole table as it is read afterwards.
+@register("stored_denials", f"""
+SELECT request_id, product_id, requester_id, CASE WHEN hit THEN 'Denied' ELSE status END AS status,
+ CASE WHEN hit THEN {AS_OF} ELSE resolved_at END AS resolved_at, CASE WHEN hit THEN 'stale' END AS denial_reason
+FROM (SELECT *, status = 'Pending' AND requester_id % 10 = 7 AS hit FROM access_requests)""")
+def q_stored_denials(spark, d):
+    t = tables(spark, d)
+    name = f"requests_{uuid.uuid4().hex[:12]}"
+    stored = BucketedTable(spark, name, checkpoint_subdir(spark, name), ["requester_id"], parts=16)
+    stored.create(CH._with_resolution_cols(t.access_requests))
+    batch = t.access_requests.where("status = 'Pending' AND requester_id % 10 = 7").select(
+        "requester_id", "request_id", F.lit(STEWARD_EMAIL).alias("approver_email"), F.lit("stale").alias("reason"))
+    stored.change(batch, ["requester_id"], lambda old: CH.deny_requests(old, t.users, batch.drop("requester_id"), requests_as_of()))
+    return stored.read().select("request_id", "product_id", "requester_id", "status", "resolved_at", "denial_reason")

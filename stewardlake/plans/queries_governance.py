@@ -368,3 +368,31 @@ sc AS (SELECT *, (qty - avg(qty) OVER (PARTITION BY usage_type)) / stddev_samp(q
 SELECT usage_type, usage_date, round(qty, 4) AS qty, round(z, 4) AS z_score FROM sc WHERE abs(z) > 2.0""")
 def q_billing_outliers(spark, d):
     return D.billing_outliers(tables(spark, d).billing_usage, 2.0)
+
+
+# A17 and A18 with median and median deviation (exact medians).
+@register("vendor_flags_robust", """
+WITH per AS (
+ SELECT s.s_suppkey, s.s_name, round(COALESCE(p.paid, 0), 2) AS paid, COALESCE(p.n_lines, 0) AS n_lines FROM supplier s LEFT JOIN (
+  SELECT l_suppkey, sum(l_extendedprice * (1 - l_discount)) AS paid, count(*) AS n_lines FROM lineitem GROUP BY 1) p
+ ON p.l_suppkey = s.s_suppkey),
+md AS (SELECT median(paid) AS md FROM per),
+mad AS (SELECT median(abs(paid - md)) AS mad FROM per, md),
+z AS (SELECT per.*, CASE WHEN paid = md THEN 0.0 ELSE COALESCE((paid - md) / NULLIF(1.4826 * mad, 0), CASE WHEN paid > md THEN 'inf' ELSE '-inf' END::double) END AS z
+ FROM per, md, mad)
+SELECT s_suppkey, s_name, paid, n_lines, round(z, 4) AS robust_z,
+ CASE WHEN z > 3.5 THEN 'review' WHEN n_lines < 10 THEN 'low_activity' ELSE 'ok' END AS flag FROM z""")
+def q_vendor_flags_robust(spark, d):
+    t = tables(spark, d)
+    return D.vendor_flags_robust(t.raw("lineitem"), t.raw("supplier"))
+
+
+# All days that are over 1.5 deviations away, so that the ordinary fixture has some.
+@register("billing_outliers_robust", """
+WITH daily AS (SELECT usage_type, usage_date, sum(usage_quantity) AS qty FROM billing_usage GROUP BY 1, 2),
+md AS (SELECT usage_type, median(qty) AS md FROM daily GROUP BY 1),
+mad AS (SELECT usage_type, any_value(md) AS md, median(abs(qty - md)) AS mad FROM daily JOIN md USING (usage_type) GROUP BY 1),
+z AS (SELECT usage_type, usage_date, qty, md, (qty - md) / (1.4826 * mad) AS z FROM daily JOIN mad USING (usage_type))
+SELECT usage_type, usage_date, round(qty, 4) AS qty, round(md, 4) AS median, round(z, 4) AS robust_z FROM z WHERE abs(z) > 1.5""")
+def q_billing_outliers_robust(spark, d):
+    return D.billing_outliers_robust(tables(spark, d).billing_usage, 1.5)
