@@ -204,18 +204,23 @@ def robust_scores(values: DataFrame, groups: list[str], value: str, sketch: bool
     infinitely far. Null values have no score.
     """
     given = values.where(F.col(value).isNotNull())
-    key = [F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)] or [F.lit(0).alias("_g0")]
-    same = F.lit(True)
-    for i, g in enumerate(groups or [None]):
-        same = same & ((F.col(g) if g else F.lit(0)).eqNullSafe(F.col(f"_g{i}")))
-    mid = given.groupBy(*key).agg(_median(F.col(value).cast("double"), sketch).alias("median"))
-    apart = given.join(mid, same).withColumn("_d", F.abs(F.col(value) - F.col("median")))
-    mad = apart.groupBy(*[f"_g{i}" for i in range(len(key))]).agg(F.first("median").alias("median"), _median(F.col("_d"), sketch).alias("mad"))
+    if groups:
+        key, same = [F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], F.lit(True)
+        for i, g in enumerate(groups):
+            same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+        mid = given.groupBy(*key).agg(_median(F.col(value).cast("double"), sketch).alias("median"))
+        apart = given.join(mid, same).withColumn("_d", F.abs(F.col(value) - F.col("median")))
+        mad = apart.groupBy(*[f"_g{i}" for i in range(len(groups))]).agg(F.first("median").alias("median"), _median(F.col("_d"), sketch).alias("mad"))
+        scored = values.join(mad, same, "left")
+    else:  # one number each for all values
+        mid = given.select(_median(F.col(value).cast("double"), sketch)).scalar()
+        mad = given.withColumn("_m", mid).select(_median(F.abs(F.col(value) - F.col("_m")), sketch)).scalar()
+        scored = values.withColumns({"median": mid, "mad": mad})
     z = F.when(F.col(value) == F.col("median"), F.lit(0.0)).otherwise(
         F.try_divide(F.col(value) - F.col("median"), MAD_SCALE * F.col("mad")))
     far = F.when(F.col(value) > F.col("median"), float("inf")).otherwise(float("-inf"))
-    return values.join(mad, same, "left").withColumn("robust_z", F.when(F.col("median").isNotNull(), F.coalesce(z, far))).drop(
-        *[f"_g{i}" for i in range(len(key))])
+    far = F.when(F.col(value).isNotNull() & F.col("median").isNotNull(), F.coalesce(z, far))
+    return scored.withColumn("robust_z", far).drop(*[f"_g{i}" for i in range(len(groups))])
 
 
 def billing_outliers_robust(usage: DataFrame, z: float = ROBUST_Z, sketch: bool = False) -> DataFrame:
