@@ -27,6 +27,7 @@ from ..functions.text import tags_from_input, word_caps
 from ..sources.fixtures import days
 from .common import latest_per_key, sequence_numbers
 from .metadata import assign_refs
+from .refusals import accepted, judge_registrations, judge_requests, refused
 
 WORKFLOW_EVENTS = ["REQUEST_SUBMITTED", "REQUEST_APPROVED", "REQUEST_DENIED", "ACCESS_REVOKED", "NUDGE_SENT"]
 
@@ -40,8 +41,10 @@ def _nz(c: str) -> Column:
 def register_products(products: DataFrame, submissions: DataFrame, as_of: Column) -> dict[str, DataFrame]:
     """M1: valid submissions (non-empty name and description) become inactive
     Pending products with defaults; refs continue after the current maximum
-    in submission order; one PRODUCT_SUBMITTED audit row each."""
-    ok = submissions.filter(_nz("name").isNotNull() & _nz("description").isNotNull())
+    in submission order; one PRODUCT_SUBMITTED audit row each. The others are
+    ``refused``, with their reasons."""
+    judged = judge_registrations(submissions)
+    ok = accepted(judged)
     rows = ok.select(
         "submission_id",
         F.col("name").alias("display_name"), "description",
@@ -63,7 +66,7 @@ def register_products(products: DataFrame, submissions: DataFrame, as_of: Column
         F.col("product_ref").alias("target_name"),
         audit_metadata(name=F.col("display_name"), productRef=F.col("product_ref")).alias("metadata"),
         as_of.alias("occurred_at"))
-    return {"new_products": new.drop("submission_id", "submitted_by"), "audit": audit}
+    return {"new_products": new.drop("submission_id", "submitted_by"), "audit": audit, "refused": refused(judged)}
 
 
 def review_products(products: DataFrame, decisions: DataFrame, as_of: Column) -> DataFrame:
@@ -170,9 +173,10 @@ def submit_requests(requests: DataFrame, users: DataFrame, products: DataFrame,
     """M5: submissions (submission_id, product_ref, requester_email, team,
     reason) for known products become Pending requests; unknown e-mails are
     inserted as analysts of 'General' first; team defaults to the user's
-    department. request_id = md5 of the business key."""
-    valid = submissions.filter(_nz("requester_email").isNotNull() & _nz("reason").isNotNull() & _nz("product_ref").isNotNull())
-    known = valid.join(products.select("product_ref", "product_id"), "product_ref", "inner")
+    department. request_id = md5 of the business key. Submissions without a
+    product, an e-mail or a reason, or for an unknown product, are ``refused``."""
+    judged = judge_requests(submissions, products)
+    known = accepted(judged)
     new_users = upsert_users(
         users,
         known.select(F.col("requester_email").alias("email"), default_display_name(F.col("requester_email")).alias("display_name"),
@@ -195,7 +199,7 @@ def submit_requests(requests: DataFrame, users: DataFrame, products: DataFrame,
     audit = fresh.select(
         F.lit("REQUEST_SUBMITTED").alias("event_type"), "requester_email", "request_id", as_of.alias("occurred_at"))
     return {"access_requests": requests.unionByName(fresh.drop("requester_email"), allowMissingColumns=True),
-            "new_requests": fresh.drop("requester_email"), "users": new_users, "audit": audit}
+            "new_requests": fresh.drop("requester_email"), "users": new_users, "audit": audit, "refused": refused(judged)}
 
 
 def _with_resolution_cols(requests: DataFrame) -> DataFrame:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.classify import freshness
 from ..functions.text import parse_tags, tags_from_input
 from ..operators import catalog as C
+from ..session import checkpoint_subdir
 from ..sources import catalog_io as IO
 from ..sources.fixtures import tables
+from ..sources.pages import PageStore
 from .params import FRESHNESS_AS_OF_TEXT, freshness_as_of
 from .registry import register
 
@@ -118,6 +122,23 @@ def q_catalog_page(spark, d):
     return C.catalog_page(f, 3)
 
 
+# Pages by a directory of boundary keys: the first three, the middle and the last page of all published products.
+@register("catalog_page_lookup", f"""WITH {ALIGNED}, {NORM.format(where=PUBLISHED)},
+s AS (SELECT *, (row_number() OVER (ORDER BY name, product_id) - 1) // 6 + 1 AS page,
+ (SELECT CAST(ceil(count(*) / 6.0) AS BIGINT) FROM norm) AS total_pages FROM norm)
+SELECT {NORM_COLS}, CAST(page AS BIGINT) AS page, total_pages FROM s
+WHERE page IN (1, 2, 3, total_pages // 2 + 1, total_pages)""")
+def q_catalog_page_lookup(spark, d):
+    store = PageStore(spark, checkpoint_subdir(spark, f"pages_{uuid.uuid4().hex[:12]}")).write(
+        _norm_published(tables(spark, d)), ["name", "product_id"])
+    total = store.total_pages()
+    asked = sorted({1, 2, 3, total // 2 + 1, total} & set(range(1, total + 1))) or [1]
+    out = store.read(asked[0])
+    for page in asked[1:]:
+        out = out.unionByName(store.read(page))
+    return out.withColumn("page", F.col("page").cast("long"))
+
+
 @register("products_pending", f"WITH {ALIGNED} SELECT {LIST_COLS} FROM aligned WHERE NOT is_active AND status = 'Pending'")
 def q_products_pending(spark, d):
     return C.products_pending(tables(spark, d).data_products)

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..operators import access as A
 from ..operators import changes as CH
+from ..operators import metadata as M
+from ..operators import refusals as R
 from ..operators.governance import user_group_role
 from ..session import checkpoint_subdir
 from ..sources import catalog_io as IO
@@ -439,3 +441,80 @@ def q_stored_denials(spark, d):
         "requester_id", "request_id", F.lit(STEWARD_EMAIL).alias("approver_email"), F.lit("stale").alias("reason"))
     stored.change(batch, ["requester_id"], lambda old: CH.deny_requests(old, t.users, batch.drop("requester_id"), requests_as_of()))
     return stored.read().select("request_id", "product_id", "requester_id", "status", "resolved_at", "denial_reason")
+
+
+# M1 batch with refusals: every turn of a conversation submits a product. Only users give it a name; every third turn
+# has no description.
+REGISTRATIONS_SQL = """sub AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'Request ' || CAST(conv_id AS VARCHAR) ELSE ' ' END AS name,
+  CASE WHEN turn % 3 <> 2 THEN text END AS description FROM conversations),
+judged AS (SELECT conv_id, turn, array_to_string(list_filter([
+   CASE WHEN NULLIF(trim(name), '') IS NULL THEN 'name is required' END,
+   CASE WHEN NULLIF(trim(description), '') IS NULL THEN 'description is required' END], lambda x: x IS NOT NULL), '|') AS reasons FROM sub)"""
+
+
+@register("refused_registrations", f"""WITH {REGISTRATIONS_SQL}
+SELECT conv_id, turn, CASE WHEN reasons = '' THEN 'accepted' ELSE 'refused' END AS verdict, reasons FROM judged""")
+def q_refused_registrations(spark, d):
+    sub = tables(spark, d).conversations.select(
+        "conv_id", "turn",
+        F.when(F.col("role") == "user", F.concat(F.lit("Request "), F.col("conv_id").cast("string"))).otherwise(" ").alias("name"),
+        F.when(F.col("turn") % 3 != 2, F.col("text")).alias("description"))
+    path = checkpoint_subdir(spark, f"registrations_{uuid.uuid4().hex[:12]}")
+    out = R.split(R.judge_registrations(sub), [R.NAME_MISSING, R.DESCRIPTION_MISSING], path)
+    kept = out.accepted.select("conv_id", "turn", F.lit("accepted").alias("verdict"), F.lit("").alias("reasons"))
+    return kept.unionByName(out.refused.select(
+        "conv_id", "turn", F.lit("refused").alias("verdict"), F.array_join("reasons", "|").alias("reasons")))
+
+
+# M5 batch with refusals: each event asks for product k. Purchases give no reason, events of every tenth user no e-mail,
+# clicks use retired references that no product has, and errors name no product.
+REQUESTS_SQL = """asked AS (SELECT event_id, event_type, user_id, regexp_extract(props, '[0-9]+', 0) AS k FROM events),
+sub AS (SELECT event_id, CASE WHEN event_type = 'click' THEN 'OLD-' || k WHEN event_type <> 'error' AND k <> '' THEN 'DP-' || lpad(k, greatest(3, length(k))::int, '0') END AS product_ref,
+  CASE WHEN user_id % 10 <> 9 THEN 'customer.' || CAST(user_id AS VARCHAR) || '@example.org' END AS requester_email,
+  CASE WHEN event_type <> 'purchase' THEN event_type ELSE '' END AS reason FROM asked),
+judged AS (SELECT s.event_id, p.product_id, array_to_string(list_filter([
+   CASE WHEN s.product_ref IS NULL THEN 'productRef is required' END,
+   CASE WHEN s.requester_email IS NULL THEN 'requesterEmail is required' END,
+   CASE WHEN s.reason = '' THEN 'reason is required' END,
+   CASE WHEN s.product_ref IS NOT NULL AND p.product_id IS NULL THEN 'product not found' END], lambda x: x IS NOT NULL), '|') AS reasons
+ FROM sub s LEFT JOIN data_products p ON p.product_ref = s.product_ref)"""
+
+
+def _asked(t):
+    k = F.regexp_extract("props", "[0-9]+", 0)
+    return t.raw("events").select(
+        "event_id",
+        F.when(F.col("event_type") == "click", F.concat(F.lit("OLD-"), k))
+        .when((F.col("event_type") != "error") & (k != ""), _padded_ref(k)).alias("product_ref"),
+        F.when(F.col("user_id") % 10 != 9, F.concat(F.lit("customer."), F.col("user_id").cast("string"), F.lit("@example.org"))).alias("requester_email"),
+        F.when(F.col("event_type") != "purchase", F.col("event_type")).otherwise("").alias("reason"))
+
+
+@register("refused_requests", f"""WITH {REQUESTS_SQL} SELECT event_id, product_id, reasons FROM judged WHERE reasons <> ''""")
+def q_refused_requests(spark, d):
+    t = tables(spark, d)
+    return R.refused(R.judge_requests(_asked(t), t.data_products)).select("event_id", "product_id", "reasons")
+
+
+@register("request_outcomes", f"""WITH {REQUESTS_SQL}
+SELECT 'submitted' AS outcome, count(*) AS n_rows FROM judged UNION ALL
+SELECT 'accepted', count(*) FROM judged WHERE reasons = '' UNION ALL SELECT 'refused', count(*) FROM judged WHERE reasons <> '' UNION ALL
+SELECT r, count(*) FROM (SELECT unnest(string_split(reasons, '|')) AS r FROM judged WHERE reasons <> '') GROUP BY r""")
+def q_request_outcomes(spark, d):
+    t = tables(spark, d)
+    path = checkpoint_subdir(spark, f"requests_{uuid.uuid4().hex[:12]}")
+    reasons = [R.REF_MISSING, R.EMAIL_MISSING, R.REASON_MISSING, R.PRODUCT_UNKNOWN]
+    out = R.split(R.judge_requests(_asked(t), t.data_products), reasons, path)
+    verdicts = out.accepted.select(F.explode(F.array(F.lit("submitted"), F.lit("accepted"))).alias("outcome")).unionByName(
+        out.refused.select(F.explode(F.concat(F.array(F.lit("submitted"), F.lit("refused")), "reasons")).alias("outcome")))
+    return verdicts.groupBy("outcome").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+# M12 batch with refusals: all metadata tables are selected; those of products are registered already.
+@register("refused_imports", """
+SELECT catalog_name || '.' || schema_name || '.' || table_name AS full_name, 'already registered' AS reasons FROM meta_tables
+WHERE lower(catalog_name || '.' || schema_name || '.' || table_name) IN
+ (SELECT lower(uc_full_name) FROM data_products WHERE NULLIF(trim(uc_full_name), '') IS NOT NULL)""")
+def q_refused_imports(spark, d):
+    t = tables(spark, d)
+    return R.refused(R.judge_imports(t.meta_tables.select(M.full_name().alias("full_name")), t.data_products))

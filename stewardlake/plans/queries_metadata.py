@@ -3,12 +3,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.classify import infer_domain
 from ..functions.text import display_name
 from ..operators import metadata as M
+from ..session import checkpoint_subdir
+from ..sources import listing as L
 from ..sources.fixtures import tables
 from .params import REQUESTS_AS_OF_TEXT, requests_as_of
 from .registry import register
@@ -268,3 +272,45 @@ SELECT count(*) FILTER (WHERE sync = 'synced') AS synced, count(*) FILTER (WHERE
 def q_sync_counters(spark, d):
     t = tables(spark, d)
     return M.sync_counters(M.sync_metadata(t.data_products, t.meta_tables, requests_as_of()))
+
+
+# Two listings for the diff: the given columns, and the same after changes in the schemas brand_1*: ssn_last4 is
+# dropped, amount gets another type, region another tag, my_email a sibling contact_email.
+RETAG = '[{"key":"sensitivity","value":"internal"}]'
+LISTINGS = f"""old AS (
+ SELECT catalog_name, schema_name, table_name, c.column_name, c.data_type,
+  CASE WHEN g.tag_name IS NOT NULL THEN '[{{"key":"' || g.tag_name || '","value":"' || g.tag_value || '"}}]' END AS tags
+ FROM meta_tables t JOIN meta_columns c ON c.product_id = t.product_id
+ LEFT JOIN meta_column_tags g ON g.product_id = c.product_id AND g.column_name = c.column_name),
+new AS (
+ SELECT * REPLACE (CASE WHEN column_name = 'amount' AND schema_name LIKE 'brand\\_1%' ESCAPE '\\' THEN 'decimal(20,4)' ELSE data_type END AS data_type,
+  CASE WHEN column_name = 'region' AND schema_name LIKE 'brand\\_1%' ESCAPE '\\' THEN '{RETAG}' ELSE tags END AS tags)
+ FROM old WHERE NOT (column_name = 'ssn_last4' AND schema_name LIKE 'brand\\_1%' ESCAPE '\\')
+ UNION ALL
+ SELECT * REPLACE ('contact_email' AS column_name) FROM old WHERE column_name = 'my_email' AND schema_name LIKE 'brand\\_1%' ESCAPE '\\'),
+both_sides AS (
+ SELECT catalog_name, schema_name, table_name, column_name, o.data_type AS old_type, n.data_type AS new_type, o.tags AS old_tags,
+  n.tags AS new_tags, o.data_type IS NULL AS is_new, n.data_type IS NULL AS is_gone
+ FROM old o FULL JOIN new n USING (catalog_name, schema_name, table_name, column_name))"""
+
+
+def _listings(spark, d):
+    t = tables(spark, d)
+    old = L.column_listing(t.meta_tables, M.columns_with_tags(t.meta_columns, t.meta_column_tags))
+    here, name = F.col("schema_name").startswith("brand_1"), F.col("column_name")
+    new = old.filter(~(here & (name == "ssn_last4"))).withColumn(
+        "data_type", F.when(here & (name == "amount"), "decimal(20,4)").otherwise(F.col("data_type"))).withColumn(
+        "tags", F.when(here & (name == "region"), RETAG).otherwise(F.col("tags"))).unionByName(
+        old.filter(here & (name == "my_email")).withColumn("column_name", F.lit("contact_email")))
+    base = checkpoint_subdir(spark, f"listing_{uuid.uuid4().hex[:12]}")
+    return L.Listing(spark, f"{base}/old").write(old), L.Listing(spark, f"{base}/new").write(new)
+
+
+@register("metadata_changes", f"""WITH {LISTINGS}
+SELECT catalog_name, schema_name, table_name, column_name, change, old_type, new_type, old_tags, new_tags FROM (
+ SELECT *, 'added' AS change FROM both_sides WHERE is_new UNION ALL
+ SELECT *, 'dropped' FROM both_sides WHERE is_gone UNION ALL
+ SELECT *, 'retyped' FROM both_sides WHERE NOT is_new AND NOT is_gone AND old_type <> new_type UNION ALL
+ SELECT *, 'retagged' FROM both_sides WHERE NOT is_new AND NOT is_gone AND old_tags IS DISTINCT FROM new_tags)""")
+def q_metadata_changes(spark, d):
+    return L.changes(*_listings(spark, d))
