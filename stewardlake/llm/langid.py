@@ -208,17 +208,19 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                      & ~held_out(F.col(id_col)))
     order = F.xxhash64(F.col(id_col).cast("string"))
     ids = cut_lineage(known.select(F.col(lang_col).alias("lang"), order.alias("o")).distinct())
-    spans = ids.groupBy("lang", F.shiftright("o", 48).alias("span")).agg(F.count(F.lit(1)).alias("n"))
-    found = ids.select("lang").distinct().count()
+    counts = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    found = counts.count()
     # Beyond ``languages`` they share what that many have.
     share = min(1.0, languages / max(1, found))
     per_language, landmarks = max(LEAST_SAMPLE, int(per_language * share)), max(1, int(LANDMARKS * share))
-    # Ids first, by the smallest hashes of each language; only the spans of hashes they lie in come together.
-    upto = Window.partitionBy("lang").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
-    near = spans.withColumn("less", F.coalesce(F.sum("n").over(upto), F.lit(0))).where(F.col("less") < per_language)
-    near = broadcast_if_small(near.groupBy("lang").agg(F.max("span").alias("last")))
+    # Ids first, by the smallest hashes of each language. Hashes are uniform, so of a language's n about ``ample`` lie
+    # under this bound, and the smallest among them; only these come together.
+    ample = 4 * per_language + 64
+    bound = F.lit(-2.0 ** 63) + F.lit(2.0 ** 64) * (F.lit(float(ample)) / F.col("n"))
+    near = broadcast_if_small(counts.select(
+        "lang", F.when(F.col("n") > ample, bound).otherwise(F.lit(2.0 ** 63)).alias("last")))
     place = Window.partitionBy("lang").orderBy("o")
-    chosen = {(r["lang"], r["o"]) for r in ids.join(near, "lang").where(F.shiftright("o", 48) <= F.col("last"))
+    chosen = {(r["lang"], r["o"]) for r in ids.join(near, "lang").where(F.col("o").cast("double") <= F.col("last"))
               .withColumn("place", F.row_number().over(place)).where(F.col("place") <= per_language).collect()}
     if not chosen:
         return fit([])
