@@ -72,22 +72,27 @@ def _encode(enc, text: str | None) -> bytes:
     return b"".join(np.array(enc.encode_ordinary(p), dtype="<u4").tobytes() for p in pieces(text))
 
 
-def _with_binary(df: DataFrame, column: str, name: str, fn) -> DataFrame:
-    """Adds (or replaces) a binary column made from another by an Arrow function.
+def _decode(enc, ids: bytes | None) -> bytes:
+    return enc.decode_bytes(np.frombuffer(ids or b"", dtype="<u4").tolist())
+
+
+def _with_binary(df: DataFrame, column: str, names: list[str], fn, without: tuple[str, ...] = ()) -> DataFrame:
+    """Adds (or replaces) binary columns made from another by an Arrow function, which gives a value for each of ``names``.
 
     A small slice of rows is worked at a time, so a worker holds the results of
-    few long texts at once.
+    few long texts at once. Columns ``without`` are not sent back.
     """
     at = df.columns.index(column)
-    rest = [i for i, c in enumerate(df.columns) if c != name]
-    schema = T.StructType([df.schema[i] for i in rest] + [T.StructField(name, T.BinaryType())])
+    rest = [i for i, c in enumerate(df.columns) if c not in names and c not in without]
+    schema = T.StructType([df.schema[i] for i in rest] + [T.StructField(n, T.BinaryType()) for n in names])
 
     def run(batches):
         for whole in batches:
             for b in _slices(whole, at):
-                made = pa.array([fn(v) for v in b.column(at).to_pylist()], type=pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column(i) for i in rest] + [made],
-                                                 names=[b.schema.field(i).name for i in rest] + [name])
+                made = [fn(v) for v in b.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(i) for i in rest] + [pa.array([m[k] for m in made], type=pa.binary()) for k in range(len(names))],
+                    names=[b.schema.field(i).name for i in rest] + names)
 
     ship_package(df.sparkSession)
     return df.mapInArrow(run, schema)
@@ -113,16 +118,24 @@ def encode(df: DataFrame, ranks_file: bytes, pattern: str, text_col: str = "text
     in size). Every row gives one row; a column that has the name ``ids_col``
     already is replaced. No special tokens: their strings are ordinary text.
     """
-    return _with_binary(df, text_col, ids_col, lambda t: _encode(encoder(ranks_file, pattern), t))
+    return _with_binary(df, text_col, [ids_col], lambda t: (_encode(encoder(ranks_file, pattern), t),))
 
 
 def decode(df: DataFrame, ranks_file: bytes, pattern: str, ids_col: str = "ids",
            bytes_col: str = "decoded") -> DataFrame:
-    """``df`` with the bytes of packed token ids: raw bytes, since ids can end inside a character."""
-    def back(v):
-        return encoder(ranks_file, pattern).decode_bytes(np.frombuffer(v or b"", dtype="<u4").tolist())
+    """``df`` with the bytes of packed token ids: raw bytes, since ids can end inside a character (null ids: none)."""
+    return _with_binary(df, ids_col, [bytes_col], lambda v: (_decode(encoder(ranks_file, pattern), v),))
+
+
+def round_trip(df: DataFrame, ranks_file: bytes, pattern: str, text_col: str = "text", ids_col: str = "ids",
+               bytes_col: str = "decoded") -> DataFrame:
+    """``decode(encode(df).drop(text_col))`` in one pass, so that a task has one Python worker and not two."""
+    def both(t):
+        enc = encoder(ranks_file, pattern)
+        ids = _encode(enc, t)
+        return ids, _decode(enc, ids)
 
-    return _with_binary(df, ids_col, bytes_col, back)
+    return _with_binary(df, text_col, [ids_col, bytes_col], both, without=(text_col,))
 
 
 def n_tokens(ids: Column) -> Column:

@@ -333,3 +333,17 @@ def test_sketch_edges(edge, nothing):
     same = {}
     for r in got:
         assert same.setdefault(r["text"], r["own"]) == r["own"]
+
+
+def test_bpe_round_trip_is_encode_then_decode(spark):
+    ranks, pattern = queries.tokenizer_file()
+    df = spark.createDataFrame([(1, "Zwölf 漢字 \U0001f600", "x"), (2, None, "y"), (3, "", None), (3, "", None), (4, "ab 1! " * 30000, "z")],
+                               "doc_id long, text string, decoded string")
+    got = bpe.round_trip(df, ranks, pattern, bytes_col="raw")
+    want = bpe.decode(bpe.encode(df, ranks, pattern).drop("text"), ranks, pattern, bytes_col="raw")
+    assert got.columns == want.columns == ["doc_id", "decoded", "ids", "raw"]
+    key = lambda r: (r["doc_id"], bytes(r["ids"]))
+    rows = sorted(got.collect(), key=key)
+    assert rows == sorted(want.collect(), key=key)
+    assert [bytes(r["raw"]).decode() for r in rows] == ["Zwölf 漢字 \U0001f600", "", "", "", "ab 1! " * 30000]
+    assert bpe.round_trip(df.limit(0), ranks, pattern).count() == 0
