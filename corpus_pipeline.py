@@ -44,7 +44,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A column of ``docs`` that has one of these names stays; the new one then gets an underscore at its end."""
     ranks, pattern = queries.tokenizer_file()
     ids, decoded = (fresh(docs, c) for c in ("ids", "decoded"))
-    both = bpe.decode(bpe.encode(docs, ranks, pattern, ids_col=ids).drop("text"), ranks, pattern, ids, decoded)
+    both = bpe.round_trip(docs, ranks, pattern, ids_col=ids, bytes_col=decoded)
     return both.withColumns({
         fresh(docs, "n_tokens"): bpe.n_tokens(both[ids]), fresh(docs, "ids_sha256"): bpe.sha256_hex(both[ids]),
         fresh(docs, "decoded_sha256"): bpe.sha256_hex(both[decoded])}).drop(decoded)
