@@ -6,11 +6,12 @@ lower orders, contexts and back-off weights are aggregates and joins of these
 counts (all of them grow with the trusted text, nothing is cut or collected
 but four counts of counts for each order, which give the discounts).
 
-Scoring: documents are dealt into blocks of about ``BLOCK_DOCS``. A block's
-different n-grams are few against its characters; they are joined with the
-model, which stays sharded by n-gram, and what the model knows of them goes
-back to the block, where every character is scored. So neither the model nor
-the texts' n-grams are ever gathered in one place.
+Scoring: documents are dealt into blocks of about ``BLOCK_CHARS`` characters
+and shuffled there once, as compressed packs. A block's different n-grams are
+few against its characters; they are joined with the model, which stays sharded
+by n-gram, and what the model knows of them goes back to the block, where every
+character is scored, one pack after the other. So neither the model nor the
+texts' n-grams are ever gathered in one place.
 
 Perplexity is per character, the end of the text included. A document is of
 high quality if its perplexity is at most the ``QUANTILE`` quantile of trusted
@@ -33,7 +34,10 @@ from pyspark.sql import types as T
 from .common import cut_lineage, ship_package
 
 ORDER = 5
-BLOCK_DOCS = 16384
+#: Characters of a block; larger blocks ask the model for the same n-grams less often.
+BLOCK_CHARS = 100_000_000
+#: Bytes of rows that a task deals into packs at once.
+PACK = 1 << 25
 QUANTILE = 0.99
 HELD_OUT = 5
 #: Trusted ids are broadcast up to this many (about 16 MB), and joined by a shuffle beyond.
@@ -47,8 +51,12 @@ def _normal(text: str | None) -> str:
     return re.sub(r"[\s\x02\x03]+", " ", text or "").strip()
 
 
+def _normalised(texts) -> pa.Array:
+    return pa.array([_normal(t) for t in texts.to_pylist()], pa.string())
+
+
 def _parts(texts) -> Iterator[tuple[list[int], str, np.ndarray, np.ndarray]]:
-    """(numbers of the texts, joined texts, starts of their n-grams, n-grams of each text) for parts of a batch.
+    """(numbers of the texts, joined texts, starts of their n-grams, n-grams of each text) for parts of normalised texts.
 
     Each text stands between ORDER - 1 start signs and one end sign.
     """
@@ -63,7 +71,7 @@ def _parts(texts) -> Iterator[tuple[list[int], str, np.ndarray, np.ndarray]]:
         return who, "".join(held), np.delete(starts, drop), counts
 
     for i, t in enumerate(texts):
-        t = _normal(t.as_py())
+        t = t.as_py()
         if not t:
             continue
         who.append(i)
@@ -93,7 +101,7 @@ def gram_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
     """(gram, n): how often each ``ORDER``-gram occurs in the texts."""
     def run(batches):
         for b in batches:
-            for _, joined, starts, _ in _parts(b.column(0)):
+            for _, joined, starts, _ in _parts(_normalised(b.column(0))):
                 grams, _, n = _types(joined, starts)
                 yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(n.astype(np.int64))], names=["gram", "n"])
 
@@ -165,16 +173,57 @@ def _score(gram: str, known: dict[str, tuple[float | None, float | None]], unsee
     return weight + unseen
 
 
-def log_likelihood(docs: DataFrame, model: DataFrame, n_blocks: int) -> DataFrame:
-    """(row columns but text, n, logp): predicted characters of each row's text and the sum of their logs."""
-    keep = [c for c in docs.columns if c not in ("text", "block")]
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.char_length("text")), F.lit(n_blocks)).cast("int"))
-    dealt = dealt.select("block", "text", *keep)
+def _pack(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """One (block, rows) for each block of the rows, which are compressed; equal rows are one with their number."""
+    at = table.schema.get_field_index("text")
+    table = table.set_column(at, "text", _normalised(table.column("text")))
+    table = table.group_by(table.column_names).aggregate([([], "count_all")])
+    table = table.rename_columns([*table.column_names[:-1], "copies"]).sort_by("block")
+    blocks = table.column("block").to_numpy()
+    firsts = np.flatnonzero(np.diff(blocks, prepend=-1))
+    kept = table.drop_columns("block").combine_chunks()
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
+    for first, after in zip(firsts, [*firsts[1:], len(blocks)]):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, kept.schema, options=options) as out:
+            out.write_table(kept.slice(first, after - first))
+        yield pa.RecordBatch.from_arrays([pa.array([blocks[first]], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
+                                         names=["block", "rows"])
+
+
+def _unpacked(table: pa.Table) -> Iterator[pa.Table]:
+    for pack in table.column("rows"):
+        yield pa.ipc.open_stream(pack.as_buffer()).read_all()
+
+
+def log_likelihood(docs: DataFrame, model: DataFrame) -> DataFrame:
+    """(doc_id, lang, n, logp): predicted characters of each row's text and the sum of their logs.
+
+    Rows go to blocks by id and text, so that neither a hot id nor a hot text
+    fills one block; rows equal in all three columns are scored once in a pack.
+    """
+    keep = [f for f in docs.schema if f.name in ("doc_id", "lang")]
+    names = [f.name for f in keep]
+    chars = docs.agg(F.sum(F.char_length("text"))).first()[0] or 0
+    n_blocks = -(-chars // BLOCK_CHARS) or 1
+    rows = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int").alias("block"), *names, "text")
+
+    def dealt(batches):
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += b.nbytes
+            if size >= PACK:
+                yield from _pack(pa.Table.from_batches(held))
+                held, size = [], 0
+        if size:
+            yield from _pack(pa.Table.from_batches(held))
 
     def wanted(table):
         found = set()
-        for _, joined, starts, _ in _parts(table.column("text")):
-            found.update(_types(joined, starts)[0])
+        for pack in _unpacked(table):
+            for _, joined, starts, _ in _parts(pack.column("text")):
+                found.update(_types(joined, starts)[0])
         parts = {g[k:] for g in found for k in range(ORDER)} | {g[k:-1] for g in found for k in range(ORDER - 1)}
         block = table.column("block")[0].as_py()
         return pa.table({"block": pa.array([block] * (len(parts) + 1), pa.int32()), "gram": pa.array([*parts, ""])})
@@ -183,19 +232,25 @@ def log_likelihood(docs: DataFrame, model: DataFrame, n_blocks: int) -> DataFram
         known = dict(zip(answers.column("gram").to_pylist(),
                          zip(answers.column("logp").to_pylist(), answers.column("bow").to_pylist())))
         unseen = known.get("", (None,))[0] or 0.0
-        n, total = np.zeros(len(table), dtype=np.int64), np.zeros(len(table))
-        for who, joined, starts, counts in _parts(table.column("text")):
-            grams, which, _ = _types(joined, starts)
-            each = np.array([_score(g, known, unseen) for g in grams])[which]
-            total[who] = np.add.reduceat(each, np.cumsum(counts) - counts)
-            n[who] = counts
-        return pa.table({**{c: table.column(c) for c in keep}, "n": pa.array(n), "logp": pa.array(total)})
+        out = []
+        for pack in _unpacked(table):
+            n, total = np.zeros(len(pack), dtype=np.int64), np.zeros(len(pack))
+            for who, joined, starts, counts in _parts(pack.column("text")):
+                grams, which, _ = _types(joined, starts)
+                each = np.array([_score(g, known, unseen) for g in grams])[which]
+                total[who] = np.add.reduceat(each, np.cumsum(counts) - counts)
+                n[who] = counts
+            out.append(pa.table({**{c: pack.column(c) for c in [*names, "copies"]}, "n": pa.array(n), "logp": pa.array(total)}))
+        return pa.concat_tables(out)
 
     ship_package(docs.sparkSession)
-    asked = dealt.groupBy("block").applyInArrow(wanted, "block int, gram string")
+    packs = rows.mapInArrow(dealt, "block int, rows binary")
+    asked = packs.groupBy("block").applyInArrow(wanted, "block int, gram string")
     answers = asked.join(model, "gram").select("block", "gram", "logp", "bow")
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("n", T.LongType()), T.StructField("logp", T.DoubleType())])
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored, schema)
+    schema = T.StructType([*keep, T.StructField("copies", T.LongType()), T.StructField("n", T.LongType()),
+                            T.StructField("logp", T.DoubleType())])
+    out = packs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored, schema)
+    return out.select(*names, "n", "logp", F.explode(F.expr("array_repeat(0, int(copies))")).alias("copy")).drop("copy")
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
@@ -215,8 +270,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     unseen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % HELD_OUT == 0
     taught = rows.where(~unseen).join(good, F.col("doc_id") == good["good_id"], "left_semi")
     model = fit(gram_counts(taught))
-    n_blocks = max(1, -(-docs.count() // BLOCK_DOCS))
-    scored = log_likelihood(rows, model, n_blocks)
+    scored = log_likelihood(rows, model)
     marked = cut_lineage(scored.join(good, F.col("doc_id") == good["good_id"], "left")
                          .withColumn("trusted", F.col("good_id").isNotNull()).drop("good_id"))
     ppl = F.when((F.col("n") > 1) & F.lit(not model.isEmpty()), F.exp(-F.col("logp") / F.col("n")))

@@ -85,7 +85,8 @@ def test_low_quality_is_found_and_blocks_do_not_matter(spark, monkeypatch):
     good = [r["doc_id"] for r in labels.where("quality = 1").collect()]
     assert sum(not one[i]["high_quality"] for i in bad) >= 0.7 * len(bad)
     assert sum(one[i]["high_quality"] for i in good) >= 0.97 * len(good)
-    monkeypatch.setattr(quality, "BLOCK_DOCS", 100)
+    monkeypatch.setattr(quality, "BLOCK_CHARS", 50_000)
+    monkeypatch.setattr(quality, "PACK", 20_000)
     monkeypatch.setattr(quality, "PART", 5000)
     many = {r["doc_id"]: r for r in quality.classify(docs, labels).collect()}
     assert all(many[i]["perplexity"] == pytest.approx(one[i]["perplexity"], rel=1e-9) for i in one)
@@ -99,3 +100,15 @@ def test_quality_edges(spark, edge, nothing):
     got = quality.classify(edge, none).collect()
     assert len(got) == 41 and all(r["perplexity"] is None and r["threshold"] is None for r in got)
     assert all(r["high_quality"] == (r["doc_id"] not in (0, 1, 2, 20, 21, 22)) for r in got)
+
+
+def test_equal_rows_are_each_scored(spark):
+    rows = [(1, "en", "the cat sat on the mat")] * 30 + [(1, "en", "the dog ran")] * 2 + [(1, None, "the dog ran"), (None, "en", "the dog ran"), (2, "en", " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(3)
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    got = quality.classify(docs, labels).collect()
+    assert sorted((r["doc_id"] or 0, r["lang"] or "") for r in got) == sorted((i or 0, c or "") for i, c, _ in rows)
+    plain = Plain([t for i, _, t in rows if i == 1])
+    for text, n in (("the cat sat on the mat", 30), ("the dog ran", 4)):
+        want = pytest.approx(plain.perplexity(text), rel=1e-9)
+        assert sum(r["perplexity"] is not None and r["perplexity"] == want for r in got) == n
