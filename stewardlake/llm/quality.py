@@ -21,7 +21,6 @@ the id); languages without any use the quantile over all languages.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +34,7 @@ from .common import cut_lineage, ship_package
 
 ORDER = 5
 #: Characters of a block; larger blocks ask the model for the same n-grams less often.
-BLOCK_CHARS = 100_000_000
+BLOCK_CHARS = 64_000_000
 #: Bytes of rows that a task deals into packs at once.
 PACK = 1 << 25
 QUANTILE = 0.99
@@ -48,7 +47,7 @@ START, END = "\x02", "\x03"
 
 
 def _normal(text: str | None) -> str:
-    return re.sub(r"[\s\x02\x03]+", " ", text or "").strip()
+    return " ".join((text or "").replace(START, " ").replace(END, " ").split())
 
 
 def _normalised(texts) -> pa.Array:
@@ -84,8 +83,8 @@ def _parts(texts) -> Iterator[tuple[list[int], str, np.ndarray, np.ndarray]]:
         yield part()
 
 
-def _types(joined: str, starts: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Different n-grams, the number of each n-gram's type, and how often each type occurs."""
+def _types(joined: str, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers (hashes) of the different n-grams, where each stands first, and the place of each n-gram among them."""
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
     key = np.zeros(len(starts), dtype=np.uint64)
     for k in range(ORDER):
@@ -94,7 +93,18 @@ def _types(joined: str, starts: np.ndarray) -> tuple[list[str], np.ndarray, np.n
     which, types = pd.factorize(key)
     first = np.zeros(len(types), dtype=np.int64)
     first[which[::-1]] = starts[::-1]
-    return [joined[s:s + ORDER] for s in first.tolist()], which, np.bincount(which, minlength=len(types))
+    return types, first, which
+
+
+def _grams(joined: str, first: np.ndarray) -> list[str]:
+    return [joined[s:s + ORDER] for s in first.tolist()]
+
+
+def _unknown(types: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of the numbers are not among the sorted ``keys``."""
+    if not len(keys):
+        return np.ones(len(types), dtype=bool)
+    return keys[np.minimum(np.searchsorted(keys, types), len(keys) - 1)] != types
 
 
 def gram_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
@@ -102,8 +112,9 @@ def gram_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
     def run(batches):
         for b in batches:
             for _, joined, starts, _ in _parts(_normalised(b.column(0))):
-                grams, _, n = _types(joined, starts)
-                yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(n.astype(np.int64))], names=["gram", "n"])
+                types, first, which = _types(joined, starts)
+                n = np.bincount(which, minlength=len(types)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(_grams(joined, first)), pa.array(n)], names=["gram", "n"])
 
     ship_package(texts.sparkSession)
     return texts.select(F.col(text_col)).mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
@@ -160,16 +171,14 @@ def fit(grams: DataFrame) -> DataFrame:
     return cut_lineage(out.groupBy("gram").agg(F.max("logp").alias("logp"), F.max("bow").alias("bow")))
 
 
-def _score(gram: str, known: dict[str, tuple[float | None, float | None]], unseen: float) -> float:
+def _score(gram: str, logp: dict[str, float], bow: dict[str, float], unseen: float) -> float:
     """Log probability of an n-gram's last character: the longest n-gram the model knows, and the weights above it."""
     weight = 0.0
     for k in range(len(gram)):
-        found = known.get(gram[k:])
-        if found and found[0] is not None:
-            return weight + found[0]
-        context = known.get(gram[k:-1])
-        if context and context[1] is not None:
-            weight += context[1]
+        found = logp.get(gram[k:])
+        if found is not None:
+            return weight + found
+        weight += bow.get(gram[k:-1], 0.0)
     return weight + unseen
 
 
@@ -220,24 +229,36 @@ def log_likelihood(docs: DataFrame, model: DataFrame) -> DataFrame:
             yield from _pack(pa.Table.from_batches(held))
 
     def wanted(table):
-        found = set()
+        found, keys = set(), np.zeros(0, dtype=np.uint64)
         for pack in _unpacked(table):
             for _, joined, starts, _ in _parts(pack.column("text")):
-                found.update(_types(joined, starts)[0])
+                types, first, _ = _types(joined, starts)
+                new = _unknown(types, keys)
+                found.update(_grams(joined, first[new]))
+                keys = np.sort(np.concatenate([keys, types[new]]))
         parts = {g[k:] for g in found for k in range(ORDER)} | {g[k:-1] for g in found for k in range(ORDER - 1)}
         block = table.column("block")[0].as_py()
         return pa.table({"block": pa.array([block] * (len(parts) + 1), pa.int32()), "gram": pa.array([*parts, ""])})
 
     def scored(table, answers):
-        known = dict(zip(answers.column("gram").to_pylist(),
-                         zip(answers.column("logp").to_pylist(), answers.column("bow").to_pylist())))
-        unseen = known.get("", (None,))[0] or 0.0
-        out = []
+        def known(column):
+            found = answers.select(["gram", column]).drop_null()
+            return dict(zip(found.column("gram").to_pylist(), found.column(column).to_pylist()))
+
+        logp, bow = known("logp"), known("bow")
+        unseen = logp.get("", 0.0)
+        keys, scores, out = np.zeros(0, dtype=np.uint64), np.zeros(0), []
         for pack in _unpacked(table):
             n, total = np.zeros(len(pack), dtype=np.int64), np.zeros(len(pack))
             for who, joined, starts, counts in _parts(pack.column("text")):
-                grams, which, _ = _types(joined, starts)
-                each = np.array([_score(g, known, unseen) for g in grams])[which]
+                types, first, which = _types(joined, starts)
+                new = _unknown(types, keys)
+                if new.any():
+                    keys = np.concatenate([keys, types[new]])
+                    scores = np.concatenate([scores, [_score(g, logp, bow, unseen) for g in _grams(joined, first[new])]])
+                    order = np.argsort(keys)
+                    keys, scores = keys[order], scores[order]
+                each = scores[np.searchsorted(keys, types)][which]
                 total[who] = np.add.reduceat(each, np.cumsum(counts) - counts)
                 n[who] = counts
             out.append(pa.table({**{c: pack.column(c) for c in [*names, "copies"]}, "n": pa.array(n), "logp": pa.array(total)}))
