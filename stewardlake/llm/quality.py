@@ -34,7 +34,7 @@ from .common import cut_lineage, ship_package
 
 ORDER = 5
 #: Characters of a block; larger blocks ask the model for the same n-grams less often.
-BLOCK_CHARS = 64_000_000
+BLOCK_CHARS = 80_000_000
 #: Bytes of rows that a task deals into packs at once.
 PACK = 1 << 25
 QUANTILE = 0.99
