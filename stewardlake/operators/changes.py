@@ -149,17 +149,48 @@ def fill_defaults(products: DataFrame) -> DataFrame:
         .withColumn("source_system", F.coalesce("source_system", F.lit(rules.DEFAULT_SOURCE_TYPE)))
 
 
+def _seeded_or_decided(seed_refs: list[str]) -> Column:
+    """Products a reset keeps: all but Pending / Rejected ones off the seed list. A null
+    status counts as Published; without a reference a product is on no list and stays."""
+    open_ = F.coalesce("status", F.lit("Published")).isin("Pending", "Rejected")
+    return ~F.coalesce(open_ & ~F.col("product_ref").isin(*seed_refs), F.lit(False))
+
+
 def reset_workflow(requests: DataFrame, audit: DataFrame, products: DataFrame, seed_refs: list[str]) -> dict[str, DataFrame]:
     """Remove all requests and the workflow audit events; drop Pending /
     Rejected products that are not in the seed list."""
-    keep_prod = ~(F.coalesce("status", F.lit("")).isin("Pending", "Rejected") & ~F.col("product_ref").isin(*seed_refs))
     return {
         "access_requests": requests.filter(F.lit(False)),
         "audit_log": audit.filter(~F.col("event_type").isin(*WORKFLOW_EVENTS)),
-        "data_products": products.filter(keep_prod),
+        "data_products": products.filter(_seeded_or_decided(seed_refs)),
     }
 
 
+def reset_demo(requests: DataFrame, audit: DataFrame, library: DataFrame, products: DataFrame, users: DataFrame,
+               seed_refs: list[str], seed_users: DataFrame) -> dict[str, DataFrame]:
+    """M19, demo reset: requests, the whole audit log and every library are emptied, Pending /
+    Rejected products off the seed list go, and seed users (email, display_name, role, department)
+    are added where their e-mail is missing; nobody is changed or removed. Empty tables stay empty
+    but for the seed users."""
+    return {
+        "access_requests": requests.filter(F.lit(False)),
+        "audit_log": audit.filter(F.lit(False)),
+        "user_library": library.filter(F.lit(False)),
+        "data_products": products.filter(_seeded_or_decided(seed_refs)),
+        "users": upsert_users(users, seed_users, mode="insert_if_absent"),
+    }
+
+
+def table_counts(frames: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, n_rows): one row per table, counted in each task and summed."""
+    counts = [df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows")
+              for name, df in frames.items()]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out
+
+
 # ---- requests -------------------------------------------------------------------------------
 def default_display_name(email: Column) -> Column:
     """Name for a user created on submit: local part, the first '.' to a blank,

@@ -367,6 +367,47 @@ def q_reset_products(spark, d):
         "product_id", "product_ref", "status")
 
 
+# Demo reset: the seed users are two fixed accounts, new to the users table, and customer 1 under another name, who stays
+# as stored.
+SEED_USERS = [("analyst@example.org", "Alex Analyst", "analyst", "Finance"),
+              ("datasteward@example.org", "Dana Steward", "admin", "Data Governance"),
+              ("Customer.000000001@example.org", "Someone Else", "admin", "General")]
+SEED_USERS_SQL = ", ".join(f"('{e}', '{n}', '{r}', '{d}')" for e, n, r, d in SEED_USERS)
+NEW_SEEDS = f"""seeds AS (SELECT lower(trim(email)) AS email, display_name, role, department
+ FROM (VALUES {SEED_USERS_SQL}) v(email, display_name, role, department)
+ WHERE lower(trim(email)) NOT IN (SELECT lower(trim(email)) FROM users WHERE email IS NOT NULL))"""
+
+
+def _demo_reset(spark, d):
+    t = tables(spark, d)
+    before = {"access_requests": t.access_requests, "audit_log": t.audit_log, "user_library": t.user_library,
+              "data_products": t.data_products, "users": t.users}
+    seeds = spark.createDataFrame(SEED_USERS, "email string, display_name string, role string, department string")
+    return before, CH.reset_demo(*before.values(), SEED_REFS, seeds)
+
+
+@register("demo_reset", f"""WITH {NEW_SEEDS}
+SELECT 'access_requests' AS table_name, (SELECT count(*) FROM access_requests) AS n_before, 0 AS n_after
+UNION ALL SELECT 'audit_log', (SELECT count(*) FROM audit_log), 0
+UNION ALL SELECT 'user_library', (SELECT count(*) FROM user_library), 0
+UNION ALL SELECT 'data_products', (SELECT count(*) FROM data_products), (SELECT count(*) FROM data_products
+  WHERE COALESCE(status, 'Published') NOT IN ('Pending', 'Rejected') OR product_ref IS NULL
+     OR product_ref IN ('DP-001', 'DP-020', 'DP-040'))
+UNION ALL SELECT 'users', (SELECT count(*) FROM users), (SELECT count(*) FROM users) + (SELECT count(*) FROM seeds)""")
+def q_demo_reset(spark, d):
+    before, after = _demo_reset(spark, d)
+    n = CH.table_counts(before).withColumnRenamed("n_rows", "n_before")
+    return n.join(CH.table_counts(after).withColumnRenamed("n_rows", "n_after"), "table_name")
+
+
+@register("demo_reset_users", f"""WITH {NEW_SEEDS}
+SELECT user_id, email, display_name, role, department FROM users
+UNION ALL SELECT (SELECT COALESCE(max(user_id), 0) FROM users) + row_number() OVER (ORDER BY email), email, display_name, role, department
+FROM seeds""")
+def q_demo_reset_users(spark, d):
+    return _demo_reset(spark, d)[1]["users"].select("user_id", "email", "display_name", "role", "department")
+
+
 # The admin list is every user of the FURNITURE segment.
 @register("resolve_roles", """
 WITH gr AS (SELECT user_id, role AS group_role FROM (

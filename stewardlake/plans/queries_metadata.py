@@ -19,10 +19,12 @@ from .registry import register
 
 AS_OF = f"TIMESTAMP '{REQUESTS_AS_OF_TEXT}'"
 FULL = "catalog_name || '.' || schema_name || '.' || table_name"
-INTERNAL = " OR ".join(f"starts_with(table_name, '{p}')" for p in rules.INTERNAL_TABLE_PREFIXES)
-PII_RE = "(?i)" + rules.PII_NAME_PREFIX
-CONF_RE = "(?i)" + rules.CONFIDENTIAL_NAME_PREFIX
-ELEV_RE = "(?i)" + rules.ELEVATED_PII_NAME
+# FIXED VALUES, stated here once more so that the oracles do not share the library's rule tables.
+INTERNAL = """starts_with(table_name, '__materialization_mat_') OR starts_with(table_name, '__apply_changes_')
+  OR starts_with(table_name, 'event_log_') OR starts_with(table_name, '__dlt_')"""
+PII_RE = "(?i)^(ssn|social_security|dob|date_of_birth|birth_date|email|phone|address|bank_account|credit_card|salary|compensation|wage)"
+CONF_RE = "(?i)^(cost_center|approver|budget_code|account_number|internal_id)"
+ELEV_RE = "(?i)ssn|dob|date_of_birth|birth|bank|credit_card"
 SP = "stewardlake-sp"
 
 
@@ -38,8 +40,18 @@ def display_name_sql(x: str) -> str:
 
 def infer_domain_sql(cat: str, sch: str) -> str:
     s = f"lower(COALESCE({cat}, '') || ' ' || COALESCE({sch}, ''))"
-    arms = " ".join(f"WHEN regexp_matches({s}, '{p}') THEN '{d}'" for p, d in rules.DOMAIN_RULES)
-    return f"CASE {arms} ELSE 'Other' END"
+    return f"""CASE WHEN regexp_matches({s}, 'finance|budget|payroll|revenue|billing|accounting|expenditure') THEN 'Finance'
+ WHEN regexp_matches({s}, 'hr|human.resource|employee|headcount|workforce|hris') THEN 'HR'
+ WHEN regexp_matches({s}, 'health|clinical|patient|medical|pharma') THEN 'Healthcare'
+ WHEN regexp_matches({s}, 'fire|police|ems|safety|emergency|incident|911') THEN 'Public Safety'
+ WHEN regexp_matches({s}, 'sales|customer|crm|marketing|retail|ecommerce') THEN 'Sales & Marketing'
+ WHEN regexp_matches({s}, 'geo|gis|spatial|map|location|address') THEN 'Geospatial'
+ WHEN regexp_matches({s}, 'weather|forecast|climate|accuweather') THEN 'Weather'
+ WHEN regexp_matches({s}, 'tax|property|assessment|parcel') THEN 'Property Tax'
+ WHEN regexp_matches({s}, 'supply|inventory|logistics|warehouse|procurement') THEN 'Operations'
+ WHEN regexp_matches({s}, 'nyctaxi|transit|transport|trip|vehicle') THEN 'Transportation'
+ WHEN regexp_matches({s}, 'bakehouse|restaurant|food|hospitality|hotel|wander') THEN 'Hospitality'
+ WHEN regexp_matches({s}, 'audit|compliance|risk|governance') THEN 'Compliance' ELSE 'Other' END"""
 
 
 FLAGGED = f"""flagged AS (
@@ -60,7 +72,7 @@ PII_FLAGS = f"""pii AS (
  SELECT product_id, bool_or(regexp_matches(column_name, '{PII_RE}')) AS has_pii,
   NOT bool_or(regexp_matches(column_name, '{PII_RE}')) AND bool_or(regexp_matches(column_name, '{CONF_RE}')) AS has_confidential
  FROM meta_columns GROUP BY product_id)"""
-HIDDEN_CATALOGS_SQL = "(" + ", ".join(f"'{c}'" for c in rules.HIDDEN_CATALOGS) + ")"
+HIDDEN_CATALOGS_SQL = "('system', '__databricks_internal', 'hive_metastore')"
 VISIBILITY = f"""vis AS (
  SELECT catalog_name, schema_name, NOT first(catalog_name IN {HIDDEN_CATALOGS_SQL}) AS can_list_schemas,
   NOT bool_or({INTERNAL}) AS tables_visible FROM meta_tables GROUP BY 1, 2),

@@ -161,3 +161,27 @@ def test_product_words_past_the_sixtieth_name_match(spark):
                                      "product_id long, display_name string, domain string, tags array<string>, description string")
     qs = spark.createDataFrame([(1, 0, "Where is the ÉCLAIR of the Straße?"), (2, 0, "nothing here")], "conv_id long, turn int, text string")
     assert [(r["conv_id"], r["product_id"], r["shared_words"]) for r in match_questions(qs, products).collect()] == [(1, 99, 2)]
+
+
+def test_demo_reset(spark):
+    req = spark.createDataFrame([(1, "Pending")], "request_id long, status string")
+    log = spark.createDataFrame([(1, "PRODUCT_PUBLISHED"), (2, "NUDGE_SENT")], "log_id long, event_type string")
+    lib = spark.createDataFrame([(1, 1)], "user_id long, product_id long")
+    prods = spark.createDataFrame(
+        [("DP-001", "Pending"), ("DP-002", "Rejected"), ("DP-003", None), (None, "Pending"), ("DP-004", "Published")],
+        "product_ref string, status string")
+    users = spark.createDataFrame([(7, " Ann@Example.org", "Ann", "analyst", "HR")],
+                                  "user_id long, email string, display_name string, role string, department string")
+    seeds = spark.createDataFrame([("ann@example.org", "Other", "admin", "X"), ("bo@example.org", "Bo", "admin", "Y")],
+                                  "email string, display_name string, role string, department string")
+    out = CH.reset_demo(req, log, lib, prods, users, ["DP-001"], seeds)
+    assert {r["table_name"]: r["n_rows"] for r in CH.table_counts(out).collect()} == {
+        "access_requests": 0, "audit_log": 0, "user_library": 0, "data_products": 4, "users": 2}
+    assert {r["product_ref"] for r in out["data_products"].collect()} == {"DP-001", "DP-003", None, "DP-004"}
+    assert sorted(tuple(r) for r in out["users"].collect()) == [
+        (7, " Ann@Example.org", "Ann", "analyst", "HR"), (8, "bo@example.org", "Bo", "admin", "Y")]
+    again = CH.reset_demo(*[out[k] for k in ("access_requests", "audit_log", "user_library", "data_products", "users")],
+                          ["DP-001"], seeds)
+    assert all(same(out[k], again[k]) for k in out)
+    nothing = CH.reset_demo(*[f.limit(0) for f in (req, log, lib, prods, users)], ["DP-001"], seeds)
+    assert [r["user_id"] for r in nothing["users"].sort("user_id").collect()] == [1, 2]
