@@ -50,6 +50,8 @@ CHANGE = 0.12
 SERIAL = 0.3
 #: Random strings stay within this many standard deviations.
 SIGMAS = 4.5
+#: Matches of a text placed at a time.
+PLACED = 512
 #: Steps of -log10(p) in the counts, and their number.
 STEP, STEPS = 0.05, 1200
 
@@ -58,8 +60,11 @@ def spans(text: Column, pattern: str) -> Column:
     """Array of (start, end, found) of a pattern's leftmost non-overlapping matches, in code points.
 
     Matches and the pieces between them alternate, so a match starts where all
-    pieces and matches before it end.
+    pieces and matches before it end. Appending copies an array, so matches are
+    placed ``PLACED`` at a time: a text with very many costs little more for each.
     """
+    none = F.array().cast("array<struct<start:int,end:int,found:string>>")
+
     def place(found, between):
         def step(acc, i):
             start = acc["at"] + F.char_length(F.element_at(between, i))
@@ -67,12 +72,17 @@ def spans(text: Column, pattern: str) -> Column:
             return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(
                 start.alias("start"), end.alias("end"), F.element_at(found, i).alias("found"))).alias("out"))
 
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,found:string>>").alias("out"))
-        return F.aggregate(F.sequence(F.lit(1), F.size(found)), zero, step, lambda acc: acc["out"])
+        def some(acc, first):
+            last = F.least(F.size(found), first + (PLACED - 1))
+            placed = F.aggregate(F.sequence(first, last), F.struct(acc["at"].alias("at"), none.alias("out")), step)
+            return bound(placed, lambda p: F.struct(p["at"].alias("at"), F.array_append(acc["out"], p["out"]).alias("out")))
+
+        zero = F.struct(F.lit(0).alias("at"),
+                        F.array().cast("array<array<struct<start:int,end:int,found:string>>>").alias("out"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(found), F.lit(PLACED)), zero, some, lambda acc: F.flatten(acc["out"]))
 
     def matches(m):
-        return F.when(F.size(m) > 0, bound(F.split(text, pattern, -1), lambda between: place(m, between))).otherwise(
-            F.array().cast("array<struct<start:int,end:int,found:string>>"))
+        return F.when(F.size(m) > 0, bound(F.split(text, pattern, -1), lambda between: place(m, between))).otherwise(none)
 
     return bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), matches)
 

@@ -105,6 +105,13 @@ def test_discovery_thresholds_equal_the_rule_on_single_candidates():
     assert secrets.thresholds(counts, 0.05) == {1: plain_thresholds(steps, 0.05)}
 
 
+def test_spans_of_a_text_with_many_matches(spark):
+    text = "".join(f"é {i} ab" for i in range(20_000))
+    df = spark.createDataFrame([(text,), ("",), ("12",), ("x",)], "text string")
+    got = [[(m["start"], m["end"], m["found"]) for m in r["m"]] for r in df.select(secrets.spans(F.col("text"), "[0-9]+").alias("m")).collect()]
+    assert got == [[(m.start(), m.end(), m.group()) for m in re.finditer("[0-9]+", t)] for t in (text, "", "12", "x")]
+
+
 def test_secret_scan_of_nothing(nothing):
     assert secrets.scan(nothing).count() == 0
 
