@@ -8,6 +8,26 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 
 
+#: Rows of a table in one task that makes many rows of each.
+ROWS_IN_TASK = 10_000
+
+
+def fixed(df: DataFrame) -> DataFrame:
+    """The frame, computed once and kept in the shared checkpoint folder."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def spread(df: DataFrame, key: Column, rows_in_task: int | None = None) -> DataFrame:
+    """The rows in tasks of about ``rows_in_task`` rows, those of one ``key`` in one task. A file of small rows is read
+    by few tasks, however many rows are then made of each."""
+    return df.repartition(tasks_for(df.count(), rows_in_task or ROWS_IN_TASK), key)
+
+
+def tasks_for(rows: int, rows_in_task: int) -> int:
+    return max(1, -(-rows // rows_in_task))
+
+
 def sequence_numbers(df: DataFrame, order_cols: list[str], name: str = "seq") -> DataFrame:
     """Consecutive 1-based numbers in ``order_cols`` order, computed without
     moving all rows into one partition.

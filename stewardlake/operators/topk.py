@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from .common import fixed
 
 #: Ids in a block, and children of a node.
 BITS = 6
@@ -26,12 +26,7 @@ FAN = 1 << BITS
 WEIGHT = "decimal(28,9)"
 
 
-def _fixed(df: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def _node(product_id: Column | str, level: int) -> Column:
+def node(product_id: Column | str, level: int) -> Column:
     return F.shiftright(product_id, BITS * (level + 1))
 
 
@@ -39,10 +34,10 @@ class Postings:
     """(word, product_id) with their blocks, and which words occur under the nodes of each level."""
 
     def __init__(self, product_words: DataFrame):
-        self.rows = _fixed(product_words.select("word", F.col("product_id").cast("long").alias("product_id"), _node("product_id", 0).alias("node")))
-        self.nodes = [_fixed(self.rows.select("word", "node").distinct())]
+        self.rows = fixed(product_words.select("word", F.col("product_id").cast("long").alias("product_id"), node("product_id", 0).alias("node")))
+        self.nodes = [fixed(self.rows.select("word", "node").distinct())]
         while self.nodes[-1].select("node").distinct().limit(FAN + 1).count() > FAN:
-            self.nodes.append(_fixed(self.nodes[-1].select("word", F.shiftright("node", BITS).alias("node")).distinct()))
+            self.nodes.append(fixed(self.nodes[-1].select("word", F.shiftright("node", BITS).alias("node")).distinct()))
 
 
 def _bounds(asked: DataFrame, under: DataFrame, level: int) -> DataFrame:
@@ -61,7 +56,7 @@ def top_products(asked: DataFrame, postings: Postings, k: int, formed: list[int]
 
     ``asked`` has the different words of each set, (set_id, word, w) with positive weights. ``formed`` gets the
     number of (set, product) pairs that were scored in each round."""
-    asked = _fixed(asked.select("set_id", "word", F.col("w").cast(WEIGHT).alias("w")))
+    asked = fixed(asked.select("set_id", "word", F.col("w").cast(WEIGHT).alias("w")))
     by_rank = Window.partitionBy("set_id").orderBy(F.desc("score"), F.asc("product_id"))
     by_bound = Window.partitionBy("set_id").orderBy(F.desc("bound"), F.asc("first_id"), F.desc("level"))
     top = len(postings.nodes) - 1
@@ -74,7 +69,7 @@ def top_products(asked: DataFrame, postings: Postings, k: int, formed: list[int]
             open_ = open_.join(last, "set_id", "left").where(
                 F.col("least").isNull() | (F.col("bound") > F.col("least"))
                 | ((F.col("bound") == F.col("least")) & (F.col("first_id") < F.col("last_id")))).drop("least", "last_id")
-        ranked = _fixed(open_.withColumn("turn", F.row_number().over(by_bound)))
+        ranked = fixed(open_.withColumn("turn", F.row_number().over(by_bound)))
         chosen = ranked.where(F.col("turn") <= take)
         levels = [r["level"] for r in chosen.select("level").distinct().collect()]
         if not levels:
@@ -94,7 +89,7 @@ def top_products(asked: DataFrame, postings: Postings, k: int, formed: list[int]
             if formed is not None:
                 formed.append(scored.count())
             both = scored if best is None else scored.unionByName(best.drop("rank"))
-            best = _fixed(both.withColumn("rank", F.row_number().over(by_rank)).where(F.col("rank") <= k))
+            best = fixed(both.withColumn("rank", F.row_number().over(by_rank)).where(F.col("rank") <= k))
         take = min(2 * take, FAN)
     if best is None:
         best = asked.select("set_id", F.lit(0).cast("long").alias("product_id"), F.col("w").alias("score"),
