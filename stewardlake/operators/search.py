@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import WS, classify_intent, find_keywords, is_question, prompt_line, strip_markdown
-from . import topk
+from . import common, topk
 from .common import fixed
 
 WORD_RE = r"[\p{L}\p{N}]+"
@@ -42,6 +42,10 @@ CONTEXT_SIZE = 60
 DIRECT_PAIRS = 5_000_000
 
 
+#: Of these, in one task.
+PAIRS_IN_TASK = 250_000
+
+
 def match_questions(questions: DataFrame, products: DataFrame, k: int = 5, weighting: str = "count",
                     direct_pairs: int = DIRECT_PAIRS) -> DataFrame:
     """Per question the k best of the given products by shared words.
@@ -58,7 +62,8 @@ def match_questions(questions: DataFrame, products: DataFrame, k: int = 5, weigh
     each set by a WindowGroupLimit (score desc, product id asc); beyond, the
     same rows come from the bounded search of ``topk``, which pairs a set with
     few more products than it returns, however many have its words."""
-    pw = product_words(products)
+    tasks = common.tasks_for(products.count(), common.ROWS_IN_TASK)
+    pw = product_words(products.repartition(tasks, topk.node("product_id", 0)))
     df = pw.groupBy("word").agg(F.count(F.lit(1)).cast("double").alias("df"))
     if weighting == "idf":
         n = products.select(F.count(F.lit(1)).cast("double")).scalar()
@@ -66,14 +71,21 @@ def match_questions(questions: DataFrame, products: DataFrame, k: int = 5, weigh
     else:
         known = df.withColumn("w", F.lit(1).cast(topk.WEIGHT))
     qw = questions.select("conv_id", "turn", F.explode(words(F.col("text"))).alias("word"))
-    sets = (qw.join(known, "word", "inner").groupBy("conv_id", "turn")
+    sets = (qw.join(known.hint("merge"), "word", "inner").groupBy("conv_id", "turn")
             .agg(F.array_sort(F.collect_list(F.struct("word", "w"))).alias("words"), F.sum("df").alias("pairs"))
             .withColumn("set_id", F.sha2(F.to_json("words"), 256)))
     asked = sets.groupBy("set_id").agg(F.first("words").alias("words"), F.first("pairs").alias("pairs"))
-    if (asked.agg(F.sum("pairs")).first()[0] or 0) > direct_pairs:
+    pairs = int(asked.agg(F.sum("pairs")).first()[0] or 0)
+    if pairs > direct_pairs:
         best = topk.top_products(asked.select("set_id", F.inline("words")), topk.Postings(pw), k)
     else:
-        scored = (asked.select("set_id", F.inline("words")).join(pw, "word", "inner").groupBy("set_id", "product_id")
+        tasks = max(tasks, shares := common.tasks_for(pairs, PAIRS_IN_TASK))
+        # a word of many products is in every share of them
+        shared = asked.select("set_id", F.inline("words")).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+        held = pw.withColumn("share", F.pmod(F.xxhash64("product_id"), F.lit(shares)).cast("int"))
+        paired = held.repartition(tasks, "word", "share").join(
+            shared.repartition(tasks, "word", "share").hint("shuffle_hash"), ["word", "share"])
+        scored = (paired.repartition(tasks, "set_id", "product_id").groupBy("set_id", "product_id")
                   .agg(F.sum("w").alias("score"), F.count(F.lit(1)).alias("shared_words")))
         win = Window.partitionBy("set_id").orderBy(F.desc("score"), F.asc("product_id"))
         best = scored.withColumn("rank", F.row_number().over(win)).filter(F.col("rank") <= k)

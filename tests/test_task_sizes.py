@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from stewardlake.operators import common, topk
 from stewardlake.operators import search as S
 
 
@@ -40,3 +41,22 @@ def test_find_matches_counts_hot_and_rare_keywords(spark):
         for r in S.find_matches(qs, norm, hot=hot).collect():
             got.setdefault(r["conv_id"], (r["n_matches"], set()))[1].add((r["rank"], r["name"], r["product_id"]))
         assert got == {c: (len(w), {(i, *x) for i, x in enumerate(w[:4], 1)} or {(None, None, None)}) for c, w in want.items()}
+
+
+def test_words_of_products_are_made_in_small_tasks(spark, monkeypatch):
+    """One file of products is many tasks, whole blocks in each; pairs too are split, a frequent word among them."""
+    rows = [(i, f"ring {i % 7}", "LARGE", ["a"], None) for i in range(1000)]
+    products = spark.createDataFrame(rows, "product_id long, display_name string, domain string, tags array<string>, description string").coalesce(1)
+    qs = spark.createDataFrame([(i, 0, f"a large ring {i % 9}") for i in range(20)], "conv_id long, turn long, text string")
+    want = sorted(map(tuple, S.match_questions(qs, products).collect()))
+    monkeypatch.setattr(common, "ROWS_IN_TASK", 100)
+    monkeypatch.setattr(S, "PAIRS_IN_TASK", 1500)
+    seen = []
+    make = S.product_words
+    monkeypatch.setattr(S, "product_words", lambda p: seen.append(p) or make(p))
+    got = S.match_questions(qs, products)
+    assert sorted(map(tuple, got.collect())) == want and len(want) == 100
+    blocks = seen[0].select(topk.node("product_id", 0).alias("block"), F.spark_partition_id().alias("task")).distinct().groupBy("block").agg(
+        F.count(F.lit(1)).alias("n"))
+    assert seen[0].rdd.getNumPartitions() == 10 and {r["n"] for r in blocks.collect()} == {1}
+    assert sorted(map(tuple, S.match_questions(qs, products, direct_pairs=0).collect())) == want
