@@ -1,11 +1,14 @@
 """Work in tasks of bounded size, and no broadcast on an estimate from small files."""
 
 import random
+import uuid
 
 from pyspark.sql import functions as F
 
 from stewardlake.operators import common, topk
 from stewardlake.operators import search as S
+from stewardlake.operators import textindex as X
+from stewardlake.session import checkpoint_subdir
 
 
 def _plan(df):
@@ -60,3 +63,28 @@ def test_words_of_products_are_made_in_small_tasks(spark, monkeypatch):
         F.count(F.lit(1)).alias("n"))
     assert seen[0].rdd.getNumPartitions() == 10 and {r["n"] for r in blocks.collect()} == {1}
     assert sorted(map(tuple, S.match_questions(qs, products, direct_pairs=0).collect())) == want
+
+
+def test_index_is_built_in_small_tasks(spark, monkeypatch):
+    """One file of products is many tasks of whole blocks, and n-grams are not shuffled after they are made."""
+    rows = [(i, f"DP-{i}", f"ring {i}", "LARGE", "Brand#1", ["a"]) for i in range(1000)]
+    products = spark.createDataFrame(rows, "product_id long, product_ref string, display_name string, domain string, source_system string, tags array<string>").coalesce(1).withColumn("description", F.lit(None).cast("string"))
+    want = sorted(map(tuple, X.postings(products).collect()))
+    monkeypatch.setattr(common, "ROWS_IN_TASK", 100)
+    got = X.postings(products)
+    assert got.rdd.getNumPartitions() == 10 and _plan(got).count("Exchange") == 1
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_many_searches_of_one_text_are_checked_once(spark):
+    """Searches and products that repeat give every pair; the check runs per text, so a word that many ask is not paired with all."""
+    rows = [(i, f"DP-{i}", f"ring {i}", None, None, ["a"]) for i in range(200)]
+    schema = "product_id long, product_ref string, display_name string, domain string, source_system string, tags array<string>"
+    products = spark.createDataFrame(rows + rows[:3], schema).withColumn("description", F.lit(None).cast("string"))
+    index = X.StoredIndex(spark, checkpoint_subdir(spark, f"t-index-{uuid.uuid4().hex[:8]}")).build(products)
+    asked = [(i * 100_000, "RING") for i in range(30)] + [(0, "RING"), (7, "ing 15"), (8, "qring 1"), (9, None)]
+    got = X.search_admin(index, spark.createDataFrame(asked, "query_id long, q string"), products)
+    names = [(r[0], r[2]) for r in rows + rows[:3]]
+    want = sorted((i, p) for i, q in asked if q for p, n in names if q.lower() in n)
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 6000
+    assert "Generate explode(query_ids" in _plan(got)
