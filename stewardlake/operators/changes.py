@@ -247,13 +247,20 @@ def one_decision_per_request(decisions: DataFrame, cols: list[str]) -> DataFrame
     return latest_per_key(decisions, ["request_id"], [_sequence(decisions, "decided_at"), *[F.col(c) for c in cols]], cols)
 
 
+#: Shares of the decisions of one approver.
+APPROVER_SHARES = 64
+
+
 def _approver_ids(decisions: DataFrame, users: DataFrame) -> DataFrame:
     """Adds ``_approver_id``: the user with exactly the approver's e-mail. The
     few different approvers are resolved first, so that one steward who decides
-    everything is one row of the join with users."""
+    everything is one row of the join with users. Their decisions are joined in
+    shares, so that they are no single task either."""
     asked = decisions.select(F.col("approver_email").alias("_ae")).distinct()
     found = asked.join(users, asked._ae == users.email, "inner").groupBy("_ae").agg(F.min("user_id").alias("_approver_id"))
-    return decisions.join(found, decisions.approver_email == found._ae, "left").drop("_ae")
+    shared = found.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(APPROVER_SHARES - 1))))
+    split = decisions.withColumn("_split", F.pmod(F.xxhash64("request_id"), F.lit(APPROVER_SHARES)).cast("int"))
+    return split.join(shared, (split.approver_email == shared._ae) & (split._split == shared._share), "left").drop("_ae", "_share", "_split")
 
 
 def _decision_audit(event: str, decided: DataFrame, metadata: Column, as_of: Column) -> DataFrame:

@@ -5,6 +5,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from stewardlake.operators import changes as CH
 from stewardlake.operators import common, topk
 from stewardlake.operators import search as S
 from stewardlake.operators import textindex as X
@@ -72,7 +73,7 @@ def test_index_is_built_in_small_tasks(spark, monkeypatch):
     want = sorted(map(tuple, X.postings(products).collect()))
     monkeypatch.setattr(common, "ROWS_IN_TASK", 100)
     got = X.postings(products)
-    assert got.rdd.getNumPartitions() == 10 and _plan(got).count("Exchange") == 1
+    assert _plan(got).count("Exchange") == 1 and got.rdd.getNumPartitions() == 10
     assert sorted(map(tuple, got.collect())) == want
 
 
@@ -88,3 +89,27 @@ def test_many_searches_of_one_text_are_checked_once(spark):
     want = sorted((i, p) for i, q in asked if q for p, n in names if q.lower() in n)
     assert sorted(map(tuple, got.collect())) == want and len(want) > 6000
     assert "Generate explode(query_ids" in _plan(got)
+
+
+def _with_conf(spark, conf, run):
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        return run()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_decisions_of_one_approver_are_many_tasks(spark):
+    decisions = spark.createDataFrame([(f"r{i}", "one@x") for i in range(500)] + [("n", None), ("u", "nobody@x")], "request_id string, approver_email string")
+    users = spark.createDataFrame([(7, "one@x"), (3, "one@x"), (1, None)], "user_id long, email string")
+
+    def run():
+        out = CH._approver_ids(decisions, users)
+        return out.withColumn("task", F.spark_partition_id()).collect()
+
+    rows = _with_conf(spark, {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}, run)
+    assert len(rows) == 502 and {(r["approver_email"], r["_approver_id"]) for r in rows} == {("one@x", 3), (None, None), ("nobody@x", None)}
+    assert len({r["task"] for r in rows if r["approver_email"] == "one@x"}) > 1
