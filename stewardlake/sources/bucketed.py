@@ -36,8 +36,12 @@ class BucketedTable:
         # the hash of Spark's own distribution, so that a part holds rows of one bucket
         return df.drop(PART).withColumn(PART, F.pmod(F.hash(*self.key), F.lit(self.parts)))
 
+    def _tasks(self, placed: DataFrame) -> DataFrame:
+        """The rows by key in tasks of Spark's advisory size, however few parts and buckets there are."""
+        return placed.hint("rebalance", *self.key)
+
     def create(self, df: DataFrame) -> BucketedTable:
-        placed = self._placed(df).repartition(self.parts, *self.key)
+        placed = self._tasks(self._placed(df))
         (placed.write.format("parquet").mode("overwrite").option("path", self.path).partitionBy(PART)
          .bucketBy(self.buckets, *self.key).sortBy(*self.key).saveAsTable(self.name))
         return self
@@ -83,7 +87,7 @@ class BucketedTable:
         self.spark.conf.set(conf, "dynamic")
         try:
             columns = self.spark.table(self.name).columns
-            new.repartition(self.buckets, *self.key).select(*columns).write.mode("overwrite").insertInto(self.name)
+            self._tasks(new).select(*columns).write.mode("overwrite").insertInto(self.name)
         finally:
             self.spark.conf.set(conf, before)
 

@@ -10,6 +10,7 @@ from stewardlake.operators import common, topk
 from stewardlake.operators import search as S
 from stewardlake.operators import textindex as X
 from stewardlake.session import checkpoint_subdir
+from stewardlake.sources.bucketed import BucketedTable
 
 
 def _plan(df):
@@ -113,3 +114,18 @@ def test_decisions_of_one_approver_are_many_tasks(spark):
     rows = _with_conf(spark, {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}, run)
     assert len(rows) == 502 and {(r["approver_email"], r["_approver_id"]) for r in rows} == {("one@x", 3), (None, None), ("nobody@x", None)}
     assert len({r["task"] for r in rows if r["approver_email"] == "one@x"}) > 1
+
+
+def test_a_part_is_written_by_tasks_of_bounded_size(spark):
+    name = f"t_sizes_{uuid.uuid4().hex[:8]}"
+    table = BucketedTable(spark, name, checkpoint_subdir(spark, name), ["requester_id"], buckets=1, parts=1)
+    df = spark.range(20_000).select(F.col("id").alias("requester_id"), F.col("id").alias("n"))
+    try:
+        _with_conf(spark, {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k"}, lambda: table.create(df))
+        assert len(table.read().inputFiles()) > 1
+        _with_conf(spark, {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k"}, lambda: table.change(
+            spark.createDataFrame([(5,)], "requester_id long"), ["requester_id"], lambda old: old.withColumn("n", F.col("n") + 1)))
+        assert len(table.read().inputFiles()) > 1
+        assert table.read().agg(F.sum("n"), F.count(F.lit(1)), F.count_distinct("requester_id")).first()[:] == (200_010_000, 20_000, 20_000)
+    finally:
+        table.drop()
