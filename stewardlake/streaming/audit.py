@@ -52,11 +52,12 @@ class StreamRun:
 
 def land_by_day(events: DataFrame, folder: str, reverse: bool = False) -> str:
     """Writes the events as a landing zone with one folder per day of arrival, in one job, and returns the pattern of
-    these folders. ``arrival`` (a date) is a row's day of arrival, the day of ``ts`` if there is no such column. Files
+    these folders. A day is one file, or a few of Spark's advisory size: with a file for each day of every task that
+    reads the events, the batches of the stream would grow with the input. ``arrival`` (a date) is a row's day of arrival, the day of ``ts`` if there is no such column. Files
     get modification times in the order of days (or the reverse, for late data): that is the order of the stream."""
     spark = events.sparkSession
     day = F.col("arrival") if "arrival" in events.columns else F.col("ts").cast("date")
-    (events.withColumn("day", F.date_format(day, "yyyyMMdd")).drop("arrival")
+    (events.withColumn("day", F.date_format(day, "yyyyMMdd")).drop("arrival").hint("rebalance", "day")
      .write.mode("overwrite").partitionBy("day").parquet(folder))
     path = spark._jvm.org.apache.hadoop.fs.Path
     fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())

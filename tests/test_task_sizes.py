@@ -11,6 +11,7 @@ from stewardlake.operators import search as S
 from stewardlake.operators import textindex as X
 from stewardlake.session import checkpoint_subdir
 from stewardlake.sources.bucketed import BucketedTable
+from stewardlake.streaming import audit as T
 
 
 def _plan(df):
@@ -129,3 +130,13 @@ def test_a_part_is_written_by_tasks_of_bounded_size(spark):
         assert table.read().agg(F.sum("n"), F.count(F.lit(1)), F.count_distinct("requester_id")).first()[:] == (200_010_000, 20_000, 20_000)
     finally:
         table.drop()
+
+
+def test_a_day_lands_as_one_file(spark):
+    landing, out, ckpt = T.new_run_dirs(spark, "t-sizes")
+    ev = spark.range(400, numPartitions=8).select(
+        F.col("id").alias("event_id"), F.expr("timestamp_ntz'2001-01-01 00:00:00' + make_dt_interval(cast(id % 3 AS int))").alias("ts"))
+    pattern = T.land_by_day(ev, landing)
+    landed = spark.read.option("basePath", landing).parquet(pattern)
+    assert landed.count() == 400 and len(landed.inputFiles()) == 3
+    T.discard(spark, landing, out, ckpt)
