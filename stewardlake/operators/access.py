@@ -44,8 +44,8 @@ def requests_detail(requests: DataFrame, products: DataFrame, users: DataFrame)
     """Requests JOIN products JOIN users (newest first is a presentation
     order; callers sort or page as needed)."""
     return (
-        requests.join(_products_dim(products), "product_id", "inner")
-        .join(_users_dim(users), "requester_id", "inner")
+        requests.join(_users_dim(users), "requester_id", "inner")
+        .join(_products_dim(products), "product_id", "inner")
         .select(
             "request_id", "status", "business_reason", "requested_at", "resolved_at", "expires_at",
             "product_id", "product_ref", "product_name", "domain", "product_type",

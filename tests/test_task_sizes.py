@@ -5,6 +5,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from stewardlake.operators import access as A
 from stewardlake.operators import changes as CH
 from stewardlake.operators import common, topk
 from stewardlake.operators import search as S
@@ -140,3 +141,18 @@ def test_a_day_lands_as_one_file(spark):
     landed = spark.read.option("basePath", landing).parquet(pattern)
     assert landed.count() == 400 and len(landed.inputFiles()) == 3
     T.discard(spark, landing, out, ckpt)
+
+
+def test_wide_rows_of_requests_are_shuffled_without_product_columns(spark):
+    """Users' columns are the narrower ones, so they are joined before the last shuffle of the requests."""
+    req = spark.createDataFrame([("r", 1, 2, "Pending", "why", None, None, None)], "request_id string, product_id long, requester_id long, "
+                                "status string, business_reason string, requested_at timestamp_ntz, resolved_at timestamp_ntz, expires_at timestamp_ntz")
+    products = spark.createDataFrame([(1, "DP-001", "a", "b", "c", "d")], "product_id long, product_ref string, display_name string, domain string, type string, uc_full_name string")
+    users = spark.createDataFrame([(2, "e", "n", "t")], "user_id long, email string, display_name string, department string")
+
+    def run():
+        out = A.requests_detail(req, products, users)
+        return _plan(out), [r["requester_team"] for r in out.collect()]
+
+    plan, rows = _with_conf(spark, {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}, run)
+    assert rows == ["t"] and plan.index("hashpartitioning(product_id") < plan.index("hashpartitioning(requester_id")
