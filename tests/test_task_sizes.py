@@ -94,6 +94,34 @@ def test_many_searches_of_one_text_are_checked_once(spark):
     assert "Generate explode(query_ids" in _plan(got)
 
 
+def _join_rows(df):
+    """The largest number of rows that a join made."""
+    def rows(p):
+        own = [p.metrics().get("numOutputRows").get().value()] if "Join" in p.nodeName() else []
+        return own + [r for i in range(p.children().size()) for r in rows(p.children().apply(i))]
+
+    df.collect()
+    return max(rows(df._jdf.queryExecution().executedPlan()), default=0)
+
+
+def test_words_share_the_blocks_of_their_ngrams(spark, monkeypatch):
+    """Many numbers with the same digits, asked with their prefix: blocks are met for each different start, not for each word."""
+    names = [f"dp-{i}" for i in range(10_000, 19_000)]
+    products = spark.range(9_000).selectExpr(
+        "id AS product_id", "concat('DP-', 10000 + id) AS product_ref", "CAST(NULL AS string) AS display_name", "CAST(NULL AS string) AS domain",
+        "CAST(NULL AS string) AS source_system", "array('a') AS tags", "CAST(NULL AS string) AS description")
+    index = X.StoredIndex(spark, checkpoint_subdir(spark, f"t-index-{uuid.uuid4().hex[:8]}")).build(products)
+    made = []
+    fixed = X.fixed
+    monkeypatch.setattr(X, "fixed", lambda df: made.append(_join_rows(df)) or fixed(df))
+    asked = spark.createDataFrame([(i, [n]) for i, n in enumerate(names) if i % 9 == 1], "query_id long, words array<string>")
+    got = _with_conf(spark, {"spark.sql.adaptive.enabled": "false"}, lambda: X.candidates(index, asked, ["ref"]).collect())
+    grams = [{n[k:k + 3] for k in range(len(n) - 2)} for n in names]
+    found = set(map(tuple, got))
+    assert {(i, i) for i in range(9_000) if i % 9 == 1} <= found and all(grams[i] <= grams[j] for i, j in found) and len(found) == len(got)
+    assert max(made) < 30_000, made
+
+
 def _with_conf(spark, conf, run):
     old = {k: spark.conf.get(k) for k in conf}
     for k, v in conf.items():
