@@ -94,6 +94,21 @@ def test_many_searches_of_one_text_are_checked_once(spark):
     assert "Generate explode(query_ids" in _plan(got)
 
 
+def test_pairs_are_handed_on_one_at_a_time(spark, monkeypatch):
+    """A text that all ask of all products: the products of a list are not expanded by the generated code that expands the
+    searches, which would keep all their pairs at once."""
+    rows = [(i, f"DP-{i}", f"ring {i}", None, None, ["a"]) for i in range(300)]
+    schema = "product_id long, product_ref string, display_name string, domain string, source_system string, tags array<string>"
+    products = spark.createDataFrame(rows, schema).withColumn("description", F.lit(None).cast("string"))
+    index = X.StoredIndex(spark, checkpoint_subdir(spark, f"t-index-{uuid.uuid4().hex[:8]}")).build(products)
+    monkeypatch.setattr(X, "LISTED", 20, raising=False)
+    asked = spark.range(1000).selectExpr("id AS query_id", "'ring' AS q")
+    got = X.search_ilike(index, asked, products)
+    plan = _plan(got)
+    assert "Generate explode(filter(product_ids" in plan and "Generate explode(product_ids" not in plan
+    assert got.count() == 300_000 and got.distinct().count() == 300_000
+
+
 def _join_rows(df):
     """The largest number of rows that a join made."""
     def rows(p):
