@@ -137,6 +137,22 @@ def test_words_share_the_blocks_of_their_ngrams(spark, monkeypatch):
     assert max(made) < 30_000, made
 
 
+def test_a_search_with_an_unknown_word_reads_no_bitmaps(spark, monkeypatch):
+    rows = [(i, f"DP-{i}", f"sales report {i}", None, None, ["a"]) for i in range(300)]
+    schema = "product_id long, product_ref string, display_name string, domain string, source_system string, tags array<string>"
+    products = spark.createDataFrame(rows, schema).withColumn("description", F.lit(None).cast("string"))
+    index = X.StoredIndex(spark, checkpoint_subdir(spark, f"t-index-{uuid.uuid4().hex[:8]}")).build(products)
+    seen = []
+    fixed = X.fixed
+    monkeypatch.setattr(X, "fixed", lambda df: seen.append(fixed(df)) or seen[-1])
+    asked = spark.createDataFrame([(1, ["report", "zzz"]), (2, ["123"]), (3, ["sales", "12", "s"])], "query_id long, words array<string>")
+    got = X.candidates(index, asked, ["name"]).collect()
+    want = [(2, 123), *[(3, i) for i in range(300) if "12" in str(i)]]
+    assert sorted(map(tuple, got)) == want
+    held = [df for df in seen if {"word", "block", "bits"} <= set(df.columns)]
+    assert {r["word"] for df in held for r in df.select("word").distinct().collect()} == {"123", "sales", "12", "s"}
+
+
 def _with_conf(spark, conf, run):
     old = {k: spark.conf.get(k) for k in conf}
     for k, v in conf.items():
